@@ -10,8 +10,10 @@ from spindleflow.operators.scan import Layout
 from spindleflow.plans.catalog import read
 
 EPOCH_US = 1704067200000000  # 2024-01-01, so that start times are small
-HORIZON_S = 21600.0
-LAYOUT = Layout(span=432000.0)
+TICK_US = 3e6  # a clock unit of three seconds: times are not short decimals, so no rounding ties
+HORIZON_S = 7200.0
+HORIZON_US = int(HORIZON_S * TICK_US)
+LAYOUT = Layout(span=144000.0)
 
 _STATUS = {"error": "severe", "purchase": "chatter", "click": "warning", "view": "0", "signup": "unknown"}
 _SCENARIOS = ("stable", "near_boundary", "onset", "unstable")
@@ -48,21 +50,21 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
         "scenario",
         "episode",
         "time_us",
-        ((F.col("time_us") - EPOCH_US) / F.lit(1e6)).alias("start_time_s"),
-        ((F.col("time_us") - EPOCH_US) / F.lit(1e6) + 60.0).alias("end_time_s"),
+        ((F.col("time_us") - EPOCH_US) / F.lit(TICK_US)).alias("start_time_s"),
+        ((F.col("time_us") - EPOCH_US) / F.lit(TICK_US) + 60.0).alias("end_time_s"),
         "label",
         id_of_label(F.col("label")).alias("label_id"),
         "k",
         "value",
-        F.col("value").alias("rms"),
-        (F.col("value") * (1.0 + F.col("k") / 100.0)).alias("chatter_band_energy"),
-        (F.col("value") * 0.5 + 1.0).alias("tooth_band_energy"),
-        (1.0 + F.col("k") / 50.0).alias("non_tooth_harmonic_ratio"),
+        F.sqrt("value").alias("rms"),
+        (F.sqrt("value") * (1.0 + F.col("k") / 97.0)).alias("chatter_band_energy"),
+        (F.sqrt("value") / 7.0 + 1.0).alias("tooth_band_energy"),
+        F.sqrt(1.0 + F.col("k")).alias("non_tooth_harmonic_ratio"),
         (100.0 + F.col("k")).alias("dominant_frequency_hz"),
         (2.0 + F.col("k") / 20.0).alias("crest_factor"),
         (F.col("k") / 100.0).alias("spectral_entropy"),
-        ((F.col("k") - 50.0) / 50.0).alias("margin_physics"),
-        (F.col("k") / 100.0).alias("risk_chatter_now"),
+        ((F.col("k") - 50.0) / 51.0).alias("margin_physics"),
+        (F.col("k") / 101.0).alias("risk_chatter_now"),
         (0.12 + 0.006 * F.col("k")).alias("uncertainty"),
         (F.col("value") / 500.0).alias("score"),
         (0.6 + (F.col("episode") % 13) / 10.0).alias("axial_depth_scale"),
@@ -92,12 +94,12 @@ win0 AS (
   FROM events),
 win AS (
   SELECT window_id, scenario, episode, time_us,
-         (time_us - {EPOCH_US}) / 1e6 AS start_time_s, (time_us - {EPOCH_US}) / 1e6 + 60e0 AS end_time_s,
+         (time_us - {EPOCH_US}) / 3e6 AS start_time_s, (time_us - {EPOCH_US}) / 3e6 + 60e0 AS end_time_s,
          label, {ID_CASE.format('label')} AS label_id, {SEV_CASE.format('label')} AS sev, k, value,
-         value AS rms, value * (1e0 + k / 100e0) AS chatter_band_energy, value * 0.5e0 + 1e0 AS tooth_band_energy,
-         1e0 + k / 50e0 AS non_tooth_harmonic_ratio, 100e0 + k AS dominant_frequency_hz,
-         2e0 + k / 20e0 AS crest_factor, k / 100e0 AS spectral_entropy, (k - 50e0) / 50e0 AS margin_physics,
-         k / 100e0 AS risk_chatter_now, 0.12e0 + 0.006e0 * k AS uncertainty, value / 500e0 AS score,
+         sqrt(value) AS rms, sqrt(value) * (1e0 + k / 97e0) AS chatter_band_energy, sqrt(value) / 7e0 + 1e0 AS tooth_band_energy,
+         sqrt(1e0 + k) AS non_tooth_harmonic_ratio, 100e0 + k AS dominant_frequency_hz,
+         2e0 + k / 20e0 AS crest_factor, k / 100e0 AS spectral_entropy, (k - 50e0) / 51e0 AS margin_physics,
+         k / 101e0 AS risk_chatter_now, 0.12e0 + 0.006e0 * k AS uncertainty, value / 500e0 AS score,
          0.6e0 + (episode % 13) / 10e0 AS axial_depth_scale,
          0.0006e0 * (0.6e0 + (episode % 13) / 10e0) AS axial_depth_m, 45e-6 AS feed_per_tooth_m,
          0.004e0 AS radial_depth_m, 6000e0 + 50e0 * k AS spindle_rpm,
@@ -113,14 +115,14 @@ hz0 AS (
            ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_us
   FROM win
   WINDOW f AS (PARTITION BY scenario, episode ORDER BY time_us
-               RANGE BETWEEN CURRENT ROW AND {int(HORIZON_S * 1e6)} FOLLOWING)),
+               RANGE BETWEEN CURRENT ROW AND {HORIZON_US} FOLLOWING)),
 hz AS (
   SELECT *, CASE hsev WHEN 0 THEN 'stable' WHEN 1 THEN 'transition' WHEN 2 THEN 'slight' WHEN 3 THEN 'severe'
               ELSE 'unknown' END AS horizon_label,
          CASE hsev WHEN -1 THEN 4 ELSE hsev END AS horizon_label_id,
          first_us IS NOT NULL AS chatter_within_horizon,
-         coalesce(after_us <= time_us + {int(HORIZON_S * 1e6)}, FALSE) AS future_chatter_within_horizon,
-         CASE WHEN first_us IS NULL THEN -1e0 ELSE (first_us - time_us) / 1e6 END AS time_to_chatter_s
+         coalesce(after_us <= time_us + {HORIZON_US}, FALSE) AS future_chatter_within_horizon,
+         CASE WHEN first_us IS NULL THEN -1e0 ELSE (first_us - time_us) / 3e6 END AS time_to_chatter_s
   FROM hz0)"""
 
 
