@@ -1,7 +1,8 @@
 """Exact, linearly interpolated quantiles without sorting a whole group in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.  Here a mergeable sketch
-brackets each wanted rank, everything outside the brackets is counted, and only bracketed values are ranked.
+brackets each wanted rank, everything outside the brackets is counted, and only bracketed values are ranked.  Two
+passes over the input, whatever its size; the two small results in between are staged.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindleflow.operators.scan import Running, scan
+from spindleflow.operators.staging import staged
 
 ACCURACY = 20_000
 SMALL = 100_000  # up to this many rows the bracket is simply [min, max]
@@ -31,29 +33,27 @@ def exact_quantiles(
         F.percentile_approx("v", edges, ACCURACY).alias("edges"),
     )
     small = F.col("n") <= SMALL
-    brackets = sketch.select(
-        *keys,
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.when(small, F.col("least")).otherwise(F.col("edges")[2 * i]).alias("lo"),
-                    F.when(small, F.col("most")).otherwise(F.col("edges")[2 * i + 1]).alias("hi"),
-                )
-                for i in range(len(probs))
-            ]
-        ).alias("brackets"),
+    brackets = staged(
+        sketch.select(
+            *keys,
+            "n",
+            F.array(
+                *[
+                    F.struct(
+                        F.when(small, F.col("least")).otherwise(F.col("edges")[2 * i]).alias("lo"),
+                        F.when(small, F.col("most")).otherwise(F.col("edges")[2 * i + 1]).alias("hi"),
+                    )
+                    for i in range(len(probs))
+                ]
+            ).alias("brackets"),
+        ),
+        "brackets",
     )
     placed = long.join(brackets.drop("n"), keys)
     inside = F.exists("brackets", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
-    floor = F.array_max(F.transform("brackets", lambda b: F.when(b["hi"] < F.col("v"), b["hi"])))
-    counted = (
-        placed.select(*keys, "brackets", F.when(inside, F.col("v")).alias("at"), F.when(~inside, floor).alias("gap"), (~inside).alias("skip"))
-        .groupBy(*keys, F.coalesce("at", "gap", F.lit(float("-inf"))).alias("v"), "skip")
-        .agg(F.count(F.lit(1)).alias("c"), F.first("brackets").alias("brackets"))
-    )
+    below = F.array_max(F.transform("brackets", lambda b: F.when(b["hi"] < F.col("v"), b["hi"])))
     # Chunks: which bracket edges lie below, then a 64-way split of the bracket; both grow with v.
-    passed = F.aggregate(
+    part = F.aggregate(
         "brackets",
         F.lit(0).cast("long"),
         lambda acc, b: acc
@@ -62,13 +62,18 @@ def exact_quantiles(
         .otherwise(1 + F.floor(F.lit(63.0) * (F.col("v") - b["lo"]) / F.greatest(b["hi"] - b["lo"], F.lit(1e-300))))
         .cast("long"),
     )
-    ranked = scan(
-        counted.withColumn("_part", passed),
-        keys,
-        F.col("_part"),
-        ["v", "skip"],
-        {"upto": Running("sum", F.col("c"))},
+    counted = staged(
+        placed.select(
+            *keys,
+            part.alias("part"),
+            F.when(inside, F.col("v")).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("v"),
+            (~inside).alias("skip"),
+        )
+        .groupBy(*keys, "part", "v", "skip")
+        .agg(F.count(F.lit(1)).alias("c")),
+        "ranks",
     )
+    ranked = scan(counted, keys, F.col("part"), ["v", "skip"], {"upto": Running("sum", F.col("c"))})
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     rank = F.floor(F.col("prob") * (F.col("n") - 1))
     picks = (
@@ -90,7 +95,7 @@ def spread_of(
 ) -> DataFrame:
     """Rows ``(*by, name, median, scale)`` with scale = max(1.4826 MAD, IQR / 1.349, floor)."""
     keys = [*by, "name"]
-    quartiles = (
+    quartiles = staged(
         exact_quantiles(df, columns, [0.25, 0.5, 0.75], by)
         .groupBy(*keys)
         .agg(
@@ -99,7 +104,8 @@ def spread_of(
                 F.max(F.when(F.col("prob") == 0.75, F.col("value")))
                 - F.max(F.when(F.col("prob") == 0.25, F.col("value")))
             ).alias("iqr"),
-        )
+        ),
+        "quartiles",
     )
     cells = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])
     deviations = (

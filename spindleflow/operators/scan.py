@@ -136,3 +136,8 @@ def unit_interval(digest: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row result as a struct value (a scalar subquery): no join, evaluated once, inlined into the tasks."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()

@@ -68,7 +68,7 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
         (0.12 + 0.006 * F.col("k")).alias("uncertainty"),
         (F.col("value") / 500.0).alias("score"),
         (0.6 + (F.col("episode") % 13) / 10.0).alias("axial_depth_scale"),
-        (0.0006 * (0.6 + (F.col("episode") % 13) / 10.0)).alias("axial_depth_m"),
+        (0.0006 * F.sqrt(0.6 + (F.col("episode") % 13) / 10.0)).alias("axial_depth_m"),
         F.lit(45.0e-6).alias("feed_per_tooth_m"),
         F.lit(0.004).alias("radial_depth_m"),
         (6000.0 + 50.0 * F.col("k")).alias("spindle_rpm"),
@@ -101,7 +101,7 @@ win AS (
          2e0 + k / 20e0 AS crest_factor, k / 100e0 AS spectral_entropy, (k - 50e0) / 51e0 AS margin_physics,
          k / 101e0 AS risk_chatter_now, 0.12e0 + 0.006e0 * k AS uncertainty, value / 500e0 AS score,
          0.6e0 + (episode % 13) / 10e0 AS axial_depth_scale,
-         0.0006e0 * (0.6e0 + (episode % 13) / 10e0) AS axial_depth_m, 45e-6 AS feed_per_tooth_m,
+         0.0006e0 * sqrt(0.6e0 + (episode % 13) / 10e0) AS axial_depth_m, 45e-6 AS feed_per_tooth_m,
          0.004e0 AS radial_depth_m, 6000e0 + 50e0 * k AS spindle_rpm,
          7e8 * (1e0 + k / 200e0) AS cutting_coeff_t_n_m2, 2.1e8 * (1e0 + k / 200e0) AS cutting_coeff_r_n_m2,
          0.5e0 + k / 100e0 AS axial_depth_profile_scale, 1e0 + k / 200e0 AS cutting_coeff_profile_scale
@@ -214,7 +214,8 @@ tr0 AS (
   SELECT l_returnflag AS training_algorithm,
          CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'fixed' END AS controller,
          {SCENARIO_SQL.format('l_linenumber')} AS scenario, l_suppkey % 5 AS seed, l_orderkey AS episode,
-         ROW(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS step,
+         {{'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey,
+          'l_quantity': l_quantity, 'l_extendedprice': l_extendedprice, 'l_shipdate': l_shipdate}} AS step,
          l_discount * 10e0 AS risk_now, least(l_discount * 10e0 + l_tax, 1e0) AS risk_horizon,
          l_quantity / 50e0 AS risk_uncertainty, 0.5e0 - l_discount * 10e0 AS current_margin,
          1e0 - l_tax AS previous_feed_override, 1e0 + l_discount AS previous_spindle_override,
