@@ -169,8 +169,8 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(
             "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
         ).alias("step"),
-        (disc * 10.0).alias("risk_now"),
-        F.least(disc * 10.0 + tax, F.lit(1.0)).alias("risk_horizon"),
+        (F.sqrt(disc) * 2.53).alias("risk_now"),
+        F.least(F.sqrt(disc) * 2.53 + tax, F.lit(1.0)).alias("risk_horizon"),
         (qty / 50.0).alias("risk_uncertainty"),
         (0.5 - disc * 10.0).alias("current_margin"),
         (1.0 - tax).alias("previous_feed_override"),
@@ -185,7 +185,7 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
         F.when(disc >= 0.1, F.lit(1)).otherwise(F.lit(0)).alias("shield_rejected"),
         F.when(tax > 0.02, disc * 9.0).alias("guard_candidate_risk"),
         F.when(tax > 0.02, qty / 60.0).alias("guard_candidate_uncertainty"),
-        (F.col("l_extendedprice") / 100000.0 - disc * 10.0).alias("reward"),
+        (F.sqrt("l_extendedprice") / 300.0 - disc * 10.0).alias("reward"),
         F.array_compact(
             F.array(
                 F.when(qty / 50.0 > 0.9, F.lit("high_uncertainty")),
@@ -216,7 +216,7 @@ tr0 AS (
          {SCENARIO_SQL.format('l_linenumber')} AS scenario, l_suppkey % 5 AS seed, l_orderkey AS episode,
          {{'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey,
           'l_quantity': l_quantity, 'l_extendedprice': l_extendedprice, 'l_shipdate': l_shipdate}} AS step,
-         l_discount * 10e0 AS risk_now, least(l_discount * 10e0 + l_tax, 1e0) AS risk_horizon,
+         sqrt(l_discount) * 2.53e0 AS risk_now, least(sqrt(l_discount) * 2.53e0 + l_tax, 1e0) AS risk_horizon,
          l_quantity / 50e0 AS risk_uncertainty, 0.5e0 - l_discount * 10e0 AS current_margin,
          1e0 - l_tax AS previous_feed_override, 1e0 + l_discount AS previous_spindle_override,
          0.75e0 + l_quantity / 100e0 AS raw_feed_override, 0.9e0 + l_discount * 2e0 + l_tax AS raw_spindle_override,
@@ -226,7 +226,7 @@ tr0 AS (
          CASE WHEN l_discount >= 0.1e0 THEN 1 ELSE 0 END AS shield_rejected,
          CASE WHEN l_tax > 0.02e0 THEN l_discount * 9e0 END AS guard_candidate_risk,
          CASE WHEN l_tax > 0.02e0 THEN l_quantity / 60e0 END AS guard_candidate_uncertainty,
-         l_extendedprice / 100000e0 - l_discount * 10e0 AS reward
+         sqrt(l_extendedprice) / 300e0 - l_discount * 10e0 AS reward
   FROM lineitem),
 tr AS (
   SELECT *, least(guard_feed_override, 1e0) AS shield_feed_override, guard_spindle_override AS shield_spindle_override,
