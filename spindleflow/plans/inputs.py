@@ -155,8 +155,8 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as logged decision steps of evaluation runs."""
     line = read(spark, folder, "lineitem")
     qty, disc, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    raw_feed = 0.75 + qty / 100.0
-    raw_spindle = 0.9 + disc * 2.0 + tax
+    raw_feed = 0.75 + F.sqrt(qty) / 23.0
+    raw_spindle = 0.87 + F.sqrt(disc + tax) / 1.7
     guard_feed = F.least(F.greatest(raw_feed, F.lit(0.80)), F.lit(1.05))
     guard_spindle = F.least(F.greatest(raw_spindle, F.lit(0.90)), F.lit(1.10))
     rows = line.select(
@@ -219,9 +219,9 @@ tr0 AS (
          sqrt(l_discount) * 2.53e0 AS risk_now, least(sqrt(l_discount) * 2.53e0 + l_tax, 1e0) AS risk_horizon,
          l_quantity / 50e0 AS risk_uncertainty, 0.5e0 - l_discount * 10e0 AS current_margin,
          1e0 - l_tax AS previous_feed_override, 1e0 + l_discount AS previous_spindle_override,
-         0.75e0 + l_quantity / 100e0 AS raw_feed_override, 0.9e0 + l_discount * 2e0 + l_tax AS raw_spindle_override,
-         least(greatest(0.75e0 + l_quantity / 100e0, 0.8e0), 1.05e0) AS guard_feed_override,
-         least(greatest(0.9e0 + l_discount * 2e0 + l_tax, 0.9e0), 1.1e0) AS guard_spindle_override,
+         0.75e0 + sqrt(l_quantity) / 23e0 AS raw_feed_override, 0.87e0 + sqrt(l_discount + l_tax) / 1.7e0 AS raw_spindle_override,
+         least(greatest(0.75e0 + sqrt(l_quantity) / 23e0, 0.8e0), 1.05e0) AS guard_feed_override,
+         least(greatest(0.87e0 + sqrt(l_discount + l_tax) / 1.7e0, 0.9e0), 1.1e0) AS guard_spindle_override,
          CASE WHEN l_quantity / 50e0 > 0.9e0 THEN 1 ELSE 0 END AS guard_fallback,
          CASE WHEN l_discount >= 0.1e0 THEN 1 ELSE 0 END AS shield_rejected,
          CASE WHEN l_tax > 0.02e0 THEN l_discount * 9e0 END AS guard_candidate_risk,
