@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from spindleflow.functions.risk import clip, sigmoid, signal_score
+from spindleflow.schema import struct_of
 
-SPECTRAL_TYPE = (
-    "tooth_frequency_hz double, tooth_band_energy double, chatter_band_energy double,"
-    " non_tooth_harmonic_ratio double, dominant_frequency_hz double, spectral_entropy double, total_energy double"
+SPECTRAL_TYPE = struct_of(
+    "tooth_frequency_hz:D tooth_band_energy:D chatter_band_energy:D non_tooth_harmonic_ratio:D"
+    " dominant_frequency_hz:D spectral_entropy:D total_energy:D"
 )
 
 
@@ -40,6 +41,15 @@ def series_of_window(window: Column) -> Column:
     return centred(magnitude(window))
 
 
+def with_series(df: DataFrame, name: str, series: Column) -> DataFrame:
+    """Add the series as a column of its own, computed once per row.
+
+    The one-row ``inline`` keeps the optimizer from copying the expression into every later use, Arrow UDF arguments
+    included.
+    """
+    return df.select("*", F.inline(F.array(F.struct(series.alias(name)))))
+
+
 def time_features(series: Column) -> Column:
     """struct(rms, peak, crest_factor, kurtosis) of a mean-removed series; kurtosis unbiased, normal = 3."""
     n = F.size(series).cast("double")
@@ -119,7 +129,7 @@ def spectral_features(
                 energy,
             ]
         )
-    return pd.DataFrame(out, columns=[item.split()[0] for item in SPECTRAL_TYPE.split(",")])
+    return pd.DataFrame(out, columns=SPECTRAL_TYPE.names)
 
 
 def growth_target(window_norm: Column, features: Column) -> Column:

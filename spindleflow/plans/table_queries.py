@@ -354,13 +354,13 @@ def a22(spark: SparkSession, folder: str) -> DataFrame:
     f"""{BASE}, g AS (SELECT scenario, episode, start_time_s, start_time_s - lag(start_time_s) OVER (PARTITION BY scenario, episode ORDER BY window_id) AS dt FROM win),
     m AS (SELECT scenario, quantile_cont(dt, 0.5) AS med, count(*) AS rows, max(start_time_s) - min(start_time_s) AS duration_s, count(*) FILTER (dt <= 0) AS bad FROM g GROUP BY scenario),
     j AS (SELECT scenario, quantile_cont(abs(dt - med), 0.5) AS mad FROM g JOIN m USING (scenario) GROUP BY scenario)
-    SELECT scenario, rows, round(duration_s, 6) AS duration_s, round(1e0 / med, 9) AS rate, round(mad / greatest(med, 1e-12), 6) AS jitter, bad = 0 AS increasing,
+    SELECT scenario, rows, round(duration_s, 6) AS duration_s, round(1e3 / med, 6) AS rate, round(mad / greatest(med, 1e-12), 6) AS jitter, bad = 0 AS increasing,
       mad / greatest(med, 1e-12) > 0.02 AS warn FROM m JOIN j USING (scenario)""",
 )
 def a23(spark: SparkSession, folder: str) -> DataFrame:
     layout = Layout(keys=("scenario", "episode"), time="window_id", tie="window_id", span=4096.0)
     return timebase.timebase_summary(windows(spark, folder), layout, "start_time_s", ("scenario",)).select(
-        "scenario", "rows", "duration_s", F.round("rate_hz", 9).alias("rate"), "jitter", "increasing", F.col("jitter_warning").alias("warn")
+        "scenario", "rows", "duration_s", (F.col("rate_hz") * 1e3).alias("rate"), "jitter", "increasing", F.col("jitter_warning").alias("warn")
     )
 
 
