@@ -1,9 +1,9 @@
 """Imports every query module so that the registry is complete."""
 
-from spindleflow.plans import metric_queries, run_queries, scalar_queries, sequence_queries, signal_queries, table_queries
+from spindleflow.plans import live_queries, metric_queries, run_queries, scalar_queries, sequence_queries, signal_queries, table_queries
 from spindleflow.plans.catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flagship", "metric_queries", "run_queries", "scalar_queries", "sequence_queries", "signal_queries", "table_queries"]
+__all__ = ["QUERIES", "SQL", "flagship", "live_queries", "metric_queries", "run_queries", "scalar_queries", "sequence_queries", "signal_queries", "table_queries"]
 
 
 def flagship(spark, folder):
