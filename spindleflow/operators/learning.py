@@ -112,7 +112,7 @@ def train_trees(
         models.append(
             GBTClassifier(
                 featuresCol="_x", labelCol="_y", weightCol="weight", maxIter=max_iter, stepSize=step, maxDepth=depth,
-                minInstancesPerNode=min_rows, seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c",
+                minInstancesPerNode=min_rows, seed=seed,
             ).fit(binary)
         )
     train.unpersist()
@@ -120,7 +120,8 @@ def train_trees(
     def score(rows: DataFrame) -> DataFrame:
         out = assembler.transform(rows)
         for c, model in zip(classes, models):
-            out = model.transform(out).withColumn(f"_s{c}", vector_to_array("_p")[1]).drop("_p", "_r", "_c")
+            out = model.transform(out).withColumn(f"_s{c}", vector_to_array("probability")[1])
+            out = out.drop("probability", "rawPrediction", "prediction")
         return normalised(out, classes).drop("_x", *[f"_s{c}" for c in classes])
 
     return RiskModel(features, models, classes, score)

@@ -196,7 +196,12 @@ def lead_time_metrics(df: DataFrame, score: Column, threshold: float = 0.5, by:
 
 
 def event_warning_metrics(
-    df: DataFrame, warned: Column, keys: tuple[str, ...], time: str = "start_time_s", any_quiet_warning: bool = False
+    df: DataFrame,
+    warned: Column,
+    keys: tuple[str, ...],
+    time: str = "start_time_s",
+    any_quiet_warning: bool = False,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Episode-level outcome: was the first chatter preceded by a warning on a non-chatter window?
 
@@ -204,7 +209,7 @@ def event_warning_metrics(
     Minima per episode are partially aggregated before the exchange, so a long episode costs one row per task.
     """
     calm = F.col("label_id") < CHATTER_ID
-    per_episode = df.groupBy(*keys).agg(
+    per_episode = df.groupBy(*dict.fromkeys((*by, *keys))).agg(
         F.min(F.when(~calm, F.col(time))).alias("first"),
         F.min(F.when(calm & warned, F.col(time))).alias("warn"),
         F.max(warned.cast("int")).alias("any_warn"),
@@ -212,7 +217,7 @@ def event_warning_metrics(
     event = F.col("first").isNotNull()
     early = event & (F.col("warn") < F.col("first"))
     false_alarm = ~event & ((F.col("any_warn") == 1) if any_quiet_warning else F.col("warn").isNotNull())
-    return summarise_events(per_episode, event, early, false_alarm, F.col("first") - F.col("warn"), ())
+    return summarise_events(per_episode, event, early, false_alarm, F.col("first") - F.col("warn"), by)
 
 
 def summarise_events(

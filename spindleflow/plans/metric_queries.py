@@ -10,7 +10,9 @@ from spindleflow.functions.risk import sigmoid
 from spindleflow.operators import metrics as m
 from spindleflow.operators import sequence as seq
 from spindleflow.plans.catalog import pick, query
+from spindleflow.operators.staging import staged
 from spindleflow.plans.inputs import HORIZON_S, HZ_SQL, ID_CASE, LAYOUT, PRED_SQL, WIN_SQL, windows, with_probabilities
+from spindleflow.plans.sequence_queries import HYST_SQL
 from spindleflow.schema import EPISODE, LABELS
 
 EVENT_COUNTS = (
@@ -330,3 +332,37 @@ def a26(spark: SparkSession, folder: str) -> DataFrame:
 )
 def a26_weights(spark: SparkSession, folder: str) -> DataFrame:
     return m.class_weights(windows(spark, folder), "label")
+
+
+_REPORT_SQL = f"""WITH RECURSIVE {WIN_SQL}, {HYST_SQL}, {HZ_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY scenario, episode ORDER BY start_time_s, window_id) AS rn FROM win),
+r AS (SELECT scenario, episode, rn, window_id, rms AS e FROM o WHERE rn = 1
+  UNION ALL SELECT o.scenario, o.episode, o.rn, o.window_id, 0.35e0 * o.rms + 0.65e0 * r.e FROM o JOIN r ON o.scenario = r.scenario AND o.episode = r.episode AND o.rn = r.rn + 1),
+ep AS (SELECT scenario, episode, min(CASE WHEN label_id >= 2 THEN start_time_s END) AS first, min(CASE WHEN label_id < 2 AND shadow_warning THEN start_time_s END) AS warn
+  FROM hy GROUP BY scenario, episode),
+ev AS (SELECT scenario, count(*) AS episode_count, count(first) AS event_episodes, count(*) FILTER (warn < first) AS detected_event_episodes,
+  count(*) FILTER (first IS NULL AND warn IS NOT NULL) AS false_warning_episodes FROM ep GROUP BY scenario),
+wn AS (SELECT hy.scenario, count(*) AS windows, count(*) FILTER (shadow_warning) AS warning_windows, avg(r.e) AS mean_rms_ewma,
+  count(*) FILTER (hz.future_chatter_within_horizon AND hz.label_id < 2) AS lead_windows FROM hy JOIN r USING (window_id) JOIN hz USING (window_id) GROUP BY hy.scenario)
+SELECT scenario, windows, warning_windows, lead_windows, round(mean_rms_ewma, 6) AS mean_rms_ewma, episode_count, event_episodes, detected_event_episodes, false_warning_episodes
+FROM wn JOIN ev USING (scenario)"""
+
+
+@query("early_warning_report", _REPORT_SQL)
+def early_warning_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per scenario: windows, smoothed level, look-ahead positives, warnings, and what the warnings caught."""
+    rows = windows(spark, folder).select(*EPISODE, "window_id", "start_time_s", "label", "label_id", "rms", "score")
+    ahead = seq.horizon_labels(rows, LAYOUT, HORIZON_S)
+    smooth = seq.ewma(ahead, LAYOUT, ("rms",))
+    warned = staged(seq.hysteresis(smooth, LAYOUT, "score", 0.6, 0.45), "warned")
+    lead = F.col("future_chatter_within_horizon") & (F.col("label_id") < 2)
+    counts = warned.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("windows"),
+        m.count_if(F.col("shadow_warning")).alias("warning_windows"),
+        m.count_if(lead).alias("lead_windows"),
+        F.avg("rms_ewma").alias("mean_rms_ewma"),
+    )
+    events = m.event_warning_metrics(warned, F.col("shadow_warning"), EPISODE, by=("scenario",)).select(
+        "scenario", "episode_count", "event_episodes", "detected_event_episodes", "false_warning_episodes"
+    )
+    return counts.join(events, "scenario")

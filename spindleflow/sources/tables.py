@@ -232,13 +232,15 @@ def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.nullif(F.col("run_id"), F.lit("")).alias("run_id"), *fields)
 
 
-def read_runs(spark: SparkSession, requested: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+def read_runs(
+    spark: SparkSession, requested: DataFrame, pattern: str, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
     """Metrics of many runs, and the requested runs that have none.
 
-    ``requested`` has ``run``; ``pattern`` is a path glob whose parent directory names are run names.  Returns
-    (runs tagged with ``run``, skipped with a reason).
+    ``requested`` has ``run``; ``pattern`` is a path glob whose parent directory names are run names, ``schema`` the
+    metrics that are read (absent ones become NULL).  Returns (runs tagged with ``run``, skipped with a reason).
     """
-    found = spark.read.option("multiLine", True).json(pattern).select(
+    found = spark.read.schema(schema).option("multiLine", True).json(pattern).select(
         "*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run")
     )
     rows = found.join(requested, "run")
