@@ -23,8 +23,13 @@ def interpolate_context(
     both = left.unionByName(right, allowMissingColumns=True)
     order = [time, "_kind", "_tie"]
     chunk = F.floor(F.col(time) / F.lit(float(span))).cast("long")
-    both = scan(both, list(keys), chunk, order, {"_lo": Running("last", F.col("_r"))})
-    both = scan(both, list(keys), chunk, order, {"_hi": Running("last", F.col("_r"))}, reverse=True)
+    both = scan(
+        both,
+        list(keys),
+        chunk,
+        order,
+        {"_lo": Running("last", F.col("_r")), "_hi": Running("last", F.col("_r"), reverse=True)},
+    )
     rows = both.where(F.col("_kind") == 1)
     lo, hi = F.coalesce("_lo", "_hi"), F.coalesce("_hi", "_lo")
     gap = hi["t"] - lo["t"]

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindleflow.functions.labels import id_of_label, label_of_id
 from spindleflow.operators.metrics import count_if, ratio
 from spindleflow.operators.scan import Running, scan
+from spindleflow.operators.staging import staged
 
 
 def episode_metrics(trace: DataFrame, keys: tuple[str, ...], step: str = "step") -> DataFrame:
     """Totals and means of each episode, with the last risk and label by step order."""
-    last = F.max_by(F.struct("risk_now", "risk_label"), F.col(step))
+    # Numbers only in the aggregation buffers: labels travel as ids, so this stays a hash aggregation.
     out = trace.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("steps"),
         F.sum("reward").alias("total_reward"),
         F.avg("risk_now").alias("mean_risk"),
         F.max("risk_now").alias("max_risk"),
-        last.alias("_last"),
+        F.max_by("risk_now", step).alias("final_risk"),
+        F.max_by(id_of_label(F.col("risk_label")), F.col(step)).alias("_last"),
         count_if(F.col("risk_label") == "severe").alias("severe_steps"),
         F.avg("shield_feed_override").alias("mean_feed_override"),
         F.avg("shield_spindle_override").alias("mean_spindle_override"),
@@ -25,8 +28,7 @@ def episode_metrics(trace: DataFrame, keys: tuple[str, ...], step: str = "step")
     )
     return out.withColumns(
         {
-            "final_risk": F.col("_last.risk_now"),
-            "final_label": F.col("_last.risk_label"),
+            "final_label": label_of_id(F.col("_last")),
             "severe_fraction": ratio(F.col("severe_steps"), F.col("steps")),
             "relative_mrr_proxy": F.col("mean_feed_override") * F.col("mean_spindle_override"),
         }
@@ -149,6 +151,7 @@ def pareto_front(
 ) -> DataFrame:
     """Keep ``low`` small and ``high`` large: a row is efficient when no other is at least as good on both and
     better on one.  Sort by ``low`` and compare with the running best ``high``; equal rows do not dominate."""
+    df = staged(df, "front")
     best = df.groupBy(*by, low).agg(F.max(high).alias("_top"))
     ranked = scan(
         best,
@@ -171,6 +174,7 @@ def pareto_front3(
     a row offers itself to the blocks that contain its count and asks the blocks that make up 0..c.  Inside a block
     the question is the two-way one: the running best ``high`` along ``low``.  No pair of rows is ever formed.
     """
+    df = staged(df, "front")
     base = df.select(*key, F.col(low).alias("_l"), F.col(high).alias("_h"), F.col(count).cast("long").alias("_c"))
     levels = F.sequence(F.lit(0), F.lit(31))
     n = F.col("_c") + 1  # the prefix 0..c as the half-open range [0, n)

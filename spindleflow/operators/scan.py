@@ -40,18 +40,20 @@ class Layout:
 class Running:
     """One running value: ``sum``, ``max``, ``min`` or ``last`` (last non-null) of ``value``.
 
-    ``inclusive`` counts the current row; ``whole`` gives the value over the entire group instead.
+    ``inclusive`` counts the current row; ``whole`` gives the value over the entire group instead; ``reverse`` runs
+    from the end of the group towards its start.
     """
 
     kind: str
     value: Column
     inclusive: bool = True
     whole: bool = False
+    reverse: bool = False
 
-    def summarise(self, order: list[str], reverse: bool) -> Column:
+    def summarise(self, order: list[str]) -> Column:
         if self.kind == "last":
             position = F.when(self.value.isNotNull(), F.struct(*[F.col(c) for c in order]))
-            return (F.min_by if reverse else F.max_by)(self.value, position)
+            return (F.min_by if self.reverse else F.max_by)(self.value, position)
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](self.value)
 
     def over(self, value: Column, window) -> Column:
@@ -67,36 +69,29 @@ class Running:
         return (F.greatest if self.kind == "max" else F.least)(inherited, local)
 
 
-def scan(
-    df: DataFrame,
-    by: list[str],
-    chunk: Column,
-    order: list[str],
-    outputs: dict[str, Running],
-    reverse: bool = False,
-) -> DataFrame:
+def scan(df: DataFrame, by: list[str], chunk: Column, order: list[str], outputs: dict[str, Running]) -> DataFrame:
     """Add one column per entry of ``outputs``; ``chunk`` must not decrease along ``order``."""
     rows = df.withColumn("_chunk", chunk)
     keys = [*by, "_chunk"]
-    summary = rows.groupBy(*keys).agg(
-        *[run.summarise(order, reverse).alias(f"_s_{name}") for name, run in outputs.items()]
-    )
-    direction = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
+    summary = rows.groupBy(*keys).agg(*[run.summarise(order).alias(f"_s_{name}") for name, run in outputs.items()])
     group = Window.partitionBy(*by)
-    before = group.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(run: Running):
+        if run.whole:
+            return group
+        ahead = F.col("_chunk").desc() if run.reverse else F.col("_chunk").asc()
+        return group.orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)
+
     inherited = summary.select(
-        *keys,
-        *[
-            run.over(F.col(f"_s_{name}"), group if run.whole else before).alias(f"_c_{name}")
-            for name, run in outputs.items()
-        ],
+        *keys, *[run.over(F.col(f"_s_{name}"), earlier(run)).alias(f"_c_{name}") for name, run in outputs.items()]
     )
-    arrange = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    within = Window.partitionBy(*keys).orderBy(*arrange)
-    frames = {
-        True: within.rowsBetween(Window.unboundedPreceding, 0),
-        False: within.rowsBetween(Window.unboundedPreceding, -1),
-    }
+
+    def inside(run: Running):
+        arrange = [F.col(c).desc() if run.reverse else F.col(c).asc() for c in order]
+        return Window.partitionBy(*keys).orderBy(*arrange).rowsBetween(
+            Window.unboundedPreceding, 0 if run.inclusive else -1
+        )
+
     joined = rows.join(inherited, keys, "left")
     results = []
     for name, run in outputs.items():
@@ -104,7 +99,7 @@ def scan(
         if run.whole:
             results.append(carried.alias(name))
         else:
-            results.append(run.merge(carried, run.over(run.value, frames[run.inclusive])).alias(name))
+            results.append(run.merge(carried, run.over(run.value, inside(run))).alias(name))
     keep = [c for c in df.columns if c not in outputs]
     return joined.select(*keep, *results)
 

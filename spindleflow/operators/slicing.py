@@ -89,8 +89,7 @@ def override_profile(recs: DataFrame, layout: Layout, rate: float, columns: tupl
         list(layout.keys),
         layout.chunk(),
         layout.order,
-        {"_next": Running("last", F.col("_start"), inclusive=False)},
-        reverse=True,
+        {"_next": Running("last", F.col("_start"), inclusive=False, reverse=True)},
     )
     stop = F.coalesce(F.col("_next"), F.col(end_step))
     return held.where(F.col("_start") < stop).select(

@@ -165,10 +165,12 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
         scenario_of(F.col("l_linenumber").cast("long")).alias("scenario"),
         (F.col("l_suppkey") % 5).alias("seed"),
         F.col("l_orderkey").alias("episode"),
-        # a total order of the steps in an episode: the table has no unique line key
-        F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+        # one number that orders the lines of an order: the table has no unique line key
+        (
+            ((F.col("l_linenumber") * F.lit(1 << 28) + F.col("l_partkey")) * F.lit(1 << 22) + F.col("l_suppkey")) * 64
+            + qty.cast("long")
         ).alias("step"),
+        "l_partkey",
         (F.sqrt(disc) * 2.53).alias("risk_now"),
         F.least(F.sqrt(disc) * 2.53 + tax, F.lit(1.0)).alias("risk_horizon"),
         (qty / 50.0).alias("risk_uncertainty"),
@@ -214,8 +216,7 @@ tr0 AS (
   SELECT l_returnflag AS training_algorithm,
          CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'fixed' END AS controller,
          {SCENARIO_SQL.format('l_linenumber')} AS scenario, l_suppkey % 5 AS seed, l_orderkey AS episode,
-         {{'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey,
-          'l_quantity': l_quantity, 'l_extendedprice': l_extendedprice, 'l_shipdate': l_shipdate}} AS step,
+         ((CAST(l_linenumber AS BIGINT) * 268435456 + l_partkey) * 4194304 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS step, l_partkey,
          sqrt(l_discount) * 2.53e0 AS risk_now, least(sqrt(l_discount) * 2.53e0 + l_tax, 1e0) AS risk_horizon,
          l_quantity / 50e0 AS risk_uncertainty, 0.5e0 - l_discount * 10e0 AS current_margin,
          1e0 - l_tax AS previous_feed_override, 1e0 + l_discount AS previous_spindle_override,

@@ -352,17 +352,27 @@ FROM wn JOIN ev USING (scenario)"""
 def early_warning_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per scenario: windows, smoothed level, look-ahead positives, warnings, and what the warnings caught."""
     rows = windows(spark, folder).select(*EPISODE, "window_id", "start_time_s", "label", "label_id", "rms", "score")
-    ahead = seq.horizon_labels(rows, LAYOUT, HORIZON_S)
-    smooth = seq.ewma(ahead, LAYOUT, ("rms",))
-    warned = staged(seq.hysteresis(smooth, LAYOUT, "score", 0.6, 0.45), "warned")
-    lead = F.col("future_chatter_within_horizon") & (F.col("label_id") < 2)
-    counts = warned.groupBy("scenario").agg(
+    # Each staged step is read twice by the next one instead of being recomputed twice.
+    ahead = staged(seq.horizon_labels(rows, LAYOUT, HORIZON_S), "ahead")
+    smooth = staged(seq.ewma(ahead, LAYOUT, ("rms",)), "smooth")
+    warned = seq.hysteresis(smooth, LAYOUT, "score", 0.6, 0.45)
+    calm, on = F.col("label_id") < 2, F.col("shadow_warning")
+    episodes = warned.groupBy(*EPISODE).agg(
         F.count(F.lit(1)).alias("windows"),
-        m.count_if(F.col("shadow_warning")).alias("warning_windows"),
-        m.count_if(lead).alias("lead_windows"),
-        F.avg("rms_ewma").alias("mean_rms_ewma"),
+        m.count_if(on).alias("warning_windows"),
+        m.count_if(F.col("future_chatter_within_horizon") & calm).alias("lead_windows"),
+        F.sum("rms_ewma").alias("level"),
+        F.min(F.when(~calm, F.col("start_time_s"))).alias("first"),
+        F.min(F.when(calm & on, F.col("start_time_s"))).alias("warn"),
     )
-    events = m.event_warning_metrics(warned, F.col("shadow_warning"), EPISODE, by=("scenario",)).select(
-        "scenario", "episode_count", "event_episodes", "detected_event_episodes", "false_warning_episodes"
+    event = F.col("first").isNotNull()
+    return episodes.groupBy("scenario").agg(
+        F.sum("windows").alias("windows"),
+        F.sum("warning_windows").alias("warning_windows"),
+        F.sum("lead_windows").alias("lead_windows"),
+        (F.sum("level") / F.sum("windows")).alias("mean_rms_ewma"),
+        F.count(F.lit(1)).alias("episode_count"),
+        m.count_if(event).alias("event_episodes"),
+        m.count_if(F.col("warn") < F.col("first")).alias("detected_event_episodes"),
+        m.count_if(~event & F.col("warn").isNotNull()).alias("false_warning_episodes"),
     )
-    return counts.join(events, "scenario")

@@ -355,7 +355,7 @@ def shield_sql(mode: str) -> str:
     reject = "blocked OR unknown OR " + ("unsure" if mode == "reject" else "FALSE")
     hold = "unsure" if mode == "hold" else "FALSE"
     return f"""
-    s0 AS (SELECT *, step.l_partkey % 11 = 0 AS blocked, step.l_partkey % 13 = 0 AS unknown, risk_uncertainty > 0.65e0 AS unsure,
+    s0 AS (SELECT *, l_partkey % 11 = 0 AS blocked, l_partkey % 13 = 0 AS unknown, risk_uncertainty > 0.65e0 AS unsure,
         least(greatest(raw_feed_override, 0.8e0), 1.05e0) AS cf, least(greatest(raw_spindle_override, 0.9e0), 1.1e0) AS cs FROM tr),
     s1 AS (SELECT *, {reject} AS reject, NOT ({reject}) AND {hold} AS hold,
         {_near('cf', 'previous_feed_override')} AS lf, {_near('cs', 'previous_spindle_override')} AS ls FROM s0),
@@ -378,8 +378,8 @@ def _register_shield(mode: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows = trace(spark, folder).withColumns(
             {
-                "mode": F.when(F.col("step.l_partkey") % 11 == 0, "manual").otherwise("auto"),
-                "state": F.when(F.col("step.l_partkey") % 13 == 0, "unknown").otherwise(F.col("risk_label")),
+                "mode": F.when(F.col("l_partkey") % 11 == 0, "manual").otherwise("auto"),
+                "state": F.when(F.col("l_partkey") % 13 == 0, "unknown").otherwise(F.col("risk_label")),
             }
         )
         out = ctl.apply_shield(

@@ -151,7 +151,7 @@ def intervals(spark: SparkSession, folder: str) -> DataFrame:
     marks = windows(spark, folder).where(F.col("label") == "unknown")
     nxt = seq.scan(
         marks, ["episode"], LAYOUT.chunk(), LAYOUT.order,
-        {"_b": seq.Running("last", F.col("start_time_s"), inclusive=False)}, reverse=True,
+        {"_b": seq.Running("last", F.col("start_time_s"), inclusive=False, reverse=True)},
     )
     k = F.col("k")
     return nxt.where(F.col("_b") > F.col("start_time_s")).select(
@@ -214,7 +214,7 @@ rec AS (SELECT hy.*, rl.feed_override, rl.spindle_override, abs(rl.feed_override
 
 def recommendations(spark: SparkSession, folder: str) -> DataFrame:
     rows = windows(spark, folder).select(*EPISODE, "window_id", "start_time_s", "label", "label_id", "score", "risk_chatter_now")
-    return shadow.recommend(rows, LAYOUT, "score", shadow.ShadowPolicy(threshold=0.6, clear=0.45))
+    return staged(shadow.recommend(rows, LAYOUT, "score", shadow.ShadowPolicy(threshold=0.6, clear=0.45)), "recs")
 
 
 @query(
