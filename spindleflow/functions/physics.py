@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from spindleflow.functions.risk import clip, safe_log, sigmoid
@@ -194,30 +195,52 @@ def _solve(c: dict[str, np.ndarray]) -> np.ndarray:
 _INPUTS = ("rpm", "flutes", "diameter", "ap", "ae", "kt", "kr", "mx", "my", "kx", "ky", "cx", "cy", "start", "end")
 
 
+def _solve_in_blocks(values: dict[str, np.ndarray]) -> np.ndarray:
+    """Blocks that fit the cache."""
+    count = len(values["rpm"])
+    blocks = [_solve({n: column[i : i + 512] for n, column in values.items()}) for i in range(0, count, 512)]
+    return np.vstack(blocks) if blocks else np.empty((0, 4))
+
+
 @pandas_udf(STABILITY_TYPE)
 def _stability(cuts: pd.DataFrame) -> pd.DataFrame:
-    """Arrow batches in, solved in blocks that fit the cache."""
     values = {name: cuts[name].to_numpy(float)[:, None] for name in _INPUTS}
-    blocks = [
-        _solve({name: column[i : i + 512] for name, column in values.items()}) for i in range(0, len(cuts), 512)
-    ]
-    return pd.DataFrame(np.vstack(blocks) if blocks else np.empty((0, 4)), columns=STABILITY_TYPE.names)
+    return pd.DataFrame(_solve_in_blocks(values), columns=STABILITY_TYPE.names)
 
 
-def stability(modal: Modal, tool: Tool, cut: Cut) -> Column:
-    """struct(critical_axial_depth_m, signed_margin, limiting_frequency_hz, tooth_frequency_hz).
+@pandas_udf(T.ArrayType(T.DoubleType()))
+def _margins(cuts: pd.DataFrame, overrides: pd.Series) -> pd.Series:
+    sizes = overrides.map(len).to_numpy()
+    values = {name: np.repeat(cuts[name].to_numpy(float), sizes)[:, None] for name in _INPUTS}
+    if sizes.sum():
+        values["rpm"] = values["rpm"] * np.concatenate(overrides.to_list()).astype(float)[:, None]
+    margins = _solve_in_blocks(values)[:, 1]
+    return pd.Series(np.split(margins, np.cumsum(sizes)[:-1]))
 
-    Scans 240 candidate frequencies per row; compliance is the force direction dotted with the two axis receptances,
-    instability is compliance times the regenerative factor.  The scan is one vectorised Arrow UDF: the same scan as
-    a higher-order function is evaluated element by element and measured some fifty times slower.
-    """
+
+def _cut_struct(modal: Modal, tool: Tool, cut: Cut) -> Column:
     values = (
         cut.spindle_rpm, tool.flute_count, tool.diameter_m, cut.axial_depth_m, cut.radial_depth_m,
         cut.cutting_coeff_t_n_m2, cut.cutting_coeff_r_n_m2, modal.mass_x_kg, modal.mass_y_kg, modal.stiffness_x_n_m,
         modal.stiffness_y_n_m, modal.damping_x_n_s_m, modal.damping_y_n_s_m, cut.immersion_start_rad,
         cut.immersion_end_rad,
     )
-    return _stability(F.struct(*[as_column(v).alias(name) for name, v in zip(_INPUTS, values)]))
+    return F.struct(*[as_column(v).alias(name) for name, v in zip(_INPUTS, values)])
+
+
+def stability(modal: Modal, tool: Tool, cut: Cut) -> Column:
+    """struct(critical_axial_depth_m, signed_margin, limiting_frequency_hz, tooth_frequency_hz).
+
+    Scans 240 candidate frequencies per row; compliance is the force direction dotted with the two axis receptances,
+    instability is compliance times the regenerative factor.  The scan is one vectorised Arrow UDF: the same scan as
+    a higher-order function is evaluated element by element and measured some fifty times slower.
+    """
+    return _stability(_cut_struct(modal, tool, cut))
+
+
+def margins_at(modal: Modal, tool: Tool, cut: Cut, overrides: Column) -> Column:
+    """Signed margins at each spindle override of an array column: candidates stay inside their row."""
+    return _margins(_cut_struct(modal, tool, cut), overrides)
 
 
 # ---- margin calibration ---------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindleflow.functions.control import Shield, action_active
-from spindleflow.functions.physics import Cut, MarginCalibration, Modal, Tool, calibrated, stability
+from spindleflow.functions.physics import Cut, MarginCalibration, Modal, Tool, calibrated, margins_at
 from spindleflow.functions.risk import clip, sigmoid
 from spindleflow.operators.metrics import count_if, ratio
 from spindleflow.operators.scan import Layout
@@ -203,6 +203,11 @@ def sweep_best(sweep: DataFrame) -> DataFrame:
 
 
 
+def _in_row(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions may use many times without being copied into them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def margin_policy(
     df: DataFrame,
     warning: str,
@@ -215,55 +220,37 @@ def margin_policy(
     min_gain: float = 0.05,
     weights: tuple[float, float, float] = (1.0, 0.03, 0.08),
 ) -> DataFrame:
-    """Pick a spindle override by stability margin for warning windows.
+    """Pick a spindle override by stability margin for warning windows; a row-wise job without any exchange.
 
     Staying at 1.0 is the first candidate, so a later one must score strictly higher.  The score is kept even when
-    the gain is too small to act.
+    the gain is too small to act.  Quiet windows have the one candidate 1.0, so only warnings pay for the scan.
     """
     step = (bounds[1] - bounds[0]) / (count - 1)
     spindles = F.array(*[F.lit(bounds[0] + step * i) for i in range(count)])
     w_gain, w_prod, w_move = weights
-
-    def margin_at(override: Column, feed_at: float) -> Column:
-        moved = Cut(
-            cut.spindle_rpm * override if isinstance(cut.spindle_rpm, Column) else F.lit(float(cut.spindle_rpm)) * override,
-            cut.feed_per_tooth_m,
-            cut.axial_depth_m,
-            cut.radial_depth_m,
-            cut.cutting_coeff_t_n_m2,
-            cut.cutting_coeff_r_n_m2,
-            cut.immersion_start_rad,
-            cut.immersion_end_rad,
-        )
-        return stability(modal, tool, moved)["signed_margin"]
-
-    base = df.withColumn("baseline_margin_physics", margin_at(F.lit(1.0), 1.0))
-    # Quiet windows never leave 1.0, so only warning windows pay for the scan.
-    options = F.when(
-        F.col(warning), F.concat(F.array(F.lit(1.0)), spindles)
-    ).otherwise(F.array(F.lit(1.0)))
-    spread = base.select("*", F.posexplode(options).alias("_i", "_s")).withColumn(
-        "_m", F.when(F.col("_i") == 0, F.col("baseline_margin_physics")).otherwise(margin_at(F.col("_s"), feed))
-    )
-    gain = F.col("_m") - F.col("baseline_margin_physics")
-    score = w_gain * gain + w_prod * feed * F.col("_s") - w_move * F.abs(F.col("_s") - 1.0)
-    keep = [c for c in base.columns if c != "window_id"]
-    best = spread.groupBy("window_id").agg(
-        F.max(F.struct(score.alias("score"), (-F.col("_i")).alias("i"), F.col("_s").alias("s"), F.col("_m").alias("m"))).alias("_b"),
-        F.first(F.struct(*keep)).alias("_row"),
-    )
-    out = best.select("window_id", "_row.*", F.col("_b.s").alias("_s"), F.col("_b.m").alias("_m"), F.col("_b.score").alias("selected_action_score"))
-    improvement = F.col("_m") - F.col("baseline_margin_physics")
-    act = F.col(warning) & (improvement >= min_gain) & (F.abs(F.col("_s") - 1.0) > 1e-12)
-    return out.withColumns(
+    stay = F.array(F.lit(1.0))
+    rows = _in_row(df, _o=F.when(F.col(warning), F.concat(stay, spindles)).otherwise(stay))
+    rows = rows.withColumn("_m", margins_at(modal, tool, cut, F.col("_o")))
+    base = F.col("_m")[0]
+
+    def scored(x: Column, i: Column) -> Column:
+        score = w_gain * (x["_m"] - base) + w_prod * feed * x["_o"] - w_move * F.abs(x["_o"] - 1.0)
+        return F.struct(score.alias("score"), (-i).alias("i"), x["_o"].alias("s"), x["_m"].alias("m"))
+
+    rows = _in_row(rows, _b=F.array_max(F.transform(F.arrays_zip("_o", "_m"), scored)), baseline_margin_physics=base)
+    improvement = F.col("_b.m") - F.col("baseline_margin_physics")
+    act = F.col(warning) & (improvement >= min_gain) & (F.abs(F.col("_b.s") - 1.0) > 1e-12)
+    out = rows.withColumns(
         {
+            "selected_action_score": F.col("_b.score"),
             "action_active": act,
             "feed_override": F.when(act, F.lit(feed)).otherwise(1.0),
-            "spindle_override": F.when(act, F.col("_s")).otherwise(1.0),
-            "selected_margin_physics": F.when(act, F.col("_m")).otherwise(F.col("baseline_margin_physics")),
+            "spindle_override": F.when(act, F.col("_b.s")).otherwise(1.0),
+            "selected_margin_physics": F.when(act, F.col("_b.m")).otherwise(F.col("baseline_margin_physics")),
             "selected_margin_improvement": F.when(act, improvement).otherwise(0.0),
         }
-    ).withColumn("relative_mrr_proxy", F.col("feed_override") * F.col("spindle_override")).drop("_s", "_m")
+    )
+    return out.withColumn("relative_mrr_proxy", F.col("feed_override") * F.col("spindle_override")).drop("_o", "_m", "_b")
 
 
 def margin_uncertainty(margin: Column, width: float = 0.22) -> Column:
@@ -276,18 +263,19 @@ def _reach(current: Column, delta: float, low: float, high: float, count: int) -
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: lo + (hi - lo) * i / float(count - 1))
 
 
-def _margins(cut: Cut, modal: Modal, tool: Tool, override: Column, calibration: MarginCalibration | None, columns):
-    """Margin and its uncertainty at a spindle override, calibrated when a calibration is given."""
-    rpm = cut.spindle_rpm if isinstance(cut.spindle_rpm, Column) else F.lit(float(cut.spindle_rpm))
-    moved = Cut(
-        rpm * override, cut.feed_per_tooth_m, cut.axial_depth_m, cut.radial_depth_m, cut.cutting_coeff_t_n_m2,
-        cut.cutting_coeff_r_n_m2, cut.immersion_start_rad, cut.immersion_end_rad,
-    )
-    raw = stability(modal, tool, moved)["signed_margin"]
+def _candidates(df: DataFrame, options: Column, modal: Modal, tool: Tool, cut: Cut) -> DataFrame:
+    """Candidate spindle overrides ``_o`` of each row with their raw margins ``_m``."""
+    return _in_row(df, _o=options).withColumn("_m", margins_at(modal, tool, cut, F.col("_o")))
+
+
+def _margin_and_uncertainty(raw: Column, calibration: MarginCalibration | None, columns, floor: Column | None):
+    """Margin, and the largest of its own, the calibrated and a floor uncertainty."""
     if calibration is None:
-        return raw, None
+        own = margin_uncertainty(raw)
+        return raw, own if floor is None else F.greatest(floor, own)
     values = calibrated(calibration, columns, raw)
-    return values["calibrated_margin"], values["calibrated_uncertainty"]
+    margin = values["calibrated_margin"]
+    return margin, F.greatest(values["calibrated_uncertainty"], margin_uncertainty(margin))
 
 
 def lobe_schedule(
@@ -305,30 +293,27 @@ def lobe_schedule(
     """Schedule the spindle by margin within one step, skip too uncertain moves, step the feed by risk."""
     shield = shield or Shield()
     current = F.col(spindle)
-    options = _reach(current, shield.max_spindle_delta, shield.min_spindle, shield.max_spindle, 17)
-    spread = df.select("*", F.posexplode(options).alias("_i", "_c"))
-    margin, unsure = _margins(cut, modal, tool, F.col("_c"), calibration, df.columns)
-    spread = spread.withColumn("_m", margin)
-    if unsure is not None:
-        spread = spread.withColumn("_cu", unsure)
-    base = margin_uncertainty(F.col("_m"))
-    u = F.greatest(base, F.col("_cu")) if unsure is not None else base
-    score = F.col("_m") - 0.80 * u - 0.05 * F.abs(F.col("_c") - current) - 0.01 * F.abs(F.col("_c") - 1.0)
-    allowed = (u <= shield.max_uncertainty) | (F.col("_c") == current)
-    best = spread.groupBy(key).agg(
-        F.max(F.when(allowed, F.struct(score.alias("score"), (-F.col("_i")).alias("i"), F.col("_c").alias("c")))).alias("_b"),
-        F.first(F.struct(feed, spindle, risk)).alias("_r"),
+    rows = _candidates(
+        df, _reach(current, shield.max_spindle_delta, shield.min_spindle, shield.max_spindle, 17), modal, tool, cut
     )
-    last, now = F.col(f"_r.{feed}"), F.col(f"_r.{risk}")
+
+    def scored(x: Column, i: Column) -> Column:
+        margin, unsure = _margin_and_uncertainty(x["_m"], calibration, df.columns, None)
+        score = margin - 0.80 * unsure - 0.05 * F.abs(x["_o"] - current) - 0.01 * F.abs(x["_o"] - 1.0)
+        allowed = (unsure <= shield.max_uncertainty) | (x["_o"] == current)
+        return F.when(allowed, F.struct(score.alias("score"), (-i).alias("i"), x["_o"].alias("c")))
+
+    rows = _in_row(rows, _b=F.array_max(F.transform(F.arrays_zip("_o", "_m"), scored)))
+    last, now = F.col(feed), F.col(risk)
     next_feed = (
         F.when(now >= 0.80, F.greatest(F.lit(0.90), last - 0.03))
         .when(now < 0.35, F.least(F.lit(1.0), last + 0.5 * 0.03))
         .otherwise(last)
     )
-    return best.select(
+    return rows.select(
         key,
         next_feed.alias("feed_override"),
-        F.coalesce(F.col("_b.c"), F.col(f"_r.{spindle}")).alias("spindle_override"),
+        F.coalesce(F.col("_b.c"), current).alias("spindle_override"),
         F.col("_b.score").alias("schedule_score"),
     )
 
@@ -352,43 +337,55 @@ def lookahead_schedule(
     """
     shield = shield or Shield()
     c = F.col
-    spread = df.select(
-        "*", F.posexplode(_reach(c(spindle), shield.max_spindle_delta, shield.min_spindle, shield.max_spindle, 9)).alias("_j", "_s")
+    rows = _candidates(
+        df, _reach(c(spindle), shield.max_spindle_delta, shield.min_spindle, shield.max_spindle, 9), modal, tool, cut
     )
-    margin, unsure = _margins(cut, modal, tool, c("_s"), calibration, df.columns)
-    spread = spread.withColumn("_m", margin)
-    own = c(uncertainty)
-    if unsure is not None:
-        spread = spread.withColumn("_cu", unsure)
-        own = c("_cu")
-    spread = spread.withColumn("_u", F.greatest(own, margin_uncertainty(c("_m"))))
-    spread = spread.select(
-        "*", F.posexplode(_reach(c(feed), shield.max_feed_delta, shield.min_feed, shield.max_feed, 7)).alias("_k", "_f")
+    rows = _in_row(
+        rows,
+        _g=_reach(c(feed), shield.max_feed_delta, shield.min_feed, shield.max_feed, 7),
+        _z=F.transform(
+            F.arrays_zip("_o", "_m"),
+            lambda x: F.struct(
+                x["_o"].alias("s"),
+                *[
+                    value.alias(name)
+                    for name, value in zip(("m", "u"), _margin_and_uncertainty(x["_m"], calibration, df.columns, c(uncertainty)))
+                ],
+            ),
+        ),
     )
-    f, s = c("_f"), c("_s")
-    expected = clip(0.65 * sigmoid(-c("_m") / 0.22) + 0.35 * c(risk) - 0.25 * F.greatest(F.lit(0.0), 1.0 - f), 0.0, 1.0)
-    over = F.greatest(F.lit(0.0), c("_u") - shield.max_uncertainty)
-    climb = F.when((c(risk) > 0.70) & (f > c(feed)), 4.0 * (f - c(feed))).otherwise(0.0)
-    score = (
-        f * s
-        - 2.8 * expected
-        - 0.45 * (F.abs(f - c(feed)) + F.abs(s - c(spindle)))
-        - 0.35 * c(uncertainty)
-        - 0.90 * c("_u")
-        - 3.0 * over
-        - F.when(c("_m") < -1.0, 0.75).otherwise(0.0)
-        - climb
-    )
-    allowed = (c("_u") <= shield.max_uncertainty) | ((f == c(feed)) & (s == c(spindle)))
-    order = -(c("_k") * 9 + c("_j"))
-    best = spread.groupBy(key).agg(
-        F.max(F.when(allowed, F.struct(score.alias("score"), order.alias("i"), f.alias("f"), s.alias("s")))).alias("_b"),
-        F.first(F.struct(feed, spindle)).alias("_r"),
-    )
-    return best.select(
+
+    def scored(f: Column, k: Column):
+        def at(z: Column, j: Column) -> Column:
+            s, margin, unsure = z["s"], z["m"], z["u"]
+            expected = clip(
+                0.65 * sigmoid(-margin / 0.22) + 0.35 * c(risk) - 0.25 * F.greatest(F.lit(0.0), 1.0 - f), 0.0, 1.0
+            )
+            climb = F.when((c(risk) > 0.70) & (f > c(feed)), 4.0 * (f - c(feed))).otherwise(0.0)
+            score = (
+                f * s
+                - 2.8 * expected
+                - 0.45 * (F.abs(f - c(feed)) + F.abs(s - c(spindle)))
+                - 0.35 * c(uncertainty)
+                - 0.90 * unsure
+                - 3.0 * F.greatest(F.lit(0.0), unsure - shield.max_uncertainty)
+                - F.when(margin < -1.0, 0.75).otherwise(0.0)
+                - climb
+            )
+            allowed = (unsure <= shield.max_uncertainty) | ((f == c(feed)) & (s == c(spindle)))
+            return F.when(
+                allowed,
+                F.struct(score.alias("score"), (-(k * 9 + j)).alias("i"), f.alias("f"), s.alias("s")),
+            )
+
+        return at
+
+    options = F.flatten(F.transform("_g", lambda f, k: F.transform("_z", scored(f, k))))
+    rows = _in_row(rows, _b=F.array_max(options))
+    return rows.select(
         key,
-        F.coalesce("_b.f", f"_r.{feed}").alias("feed_override"),
-        F.coalesce("_b.s", f"_r.{spindle}").alias("spindle_override"),
+        F.coalesce(c("_b.f"), c(feed)).alias("feed_override"),
+        F.coalesce(c("_b.s"), c(spindle)).alias("spindle_override"),
         F.col("_b.score").alias("lookahead_score"),
     )
 

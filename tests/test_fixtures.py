@@ -397,3 +397,14 @@ def test_status_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["l"] for r in df.select("i", labels.status_to_label(F.col("t")).alias("l")).orderBy("i").collect()]
     assert got == ["stable", "severe", "slight", "slight", "stable", "unknown", "unknown", "unknown", "transition"]
+
+
+def test_sql_names(spark):
+    from spindleflow.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT status_to_label(' Severe') AS a, status_to_label('0.7') AS b, risk_score(1e-3D, 1e-2D, 3D, 0.4D, -0.5D) AS r").first()
+    assert (row["a"], row["b"]) == ("severe", "slight")
+    assert row["r"] == pytest.approx(risk_of(spark, -0.5)["risk_chatter_now"], rel=1e-9)
+    wave_row = spark.sql("SELECT spectral_features(transform(sequence(0, 127), i -> sin(i / 3D)), 100D, 300D, 4, CAST(NULL AS DOUBLE)) AS p").first()
+    assert wave_row["p"]["tooth_frequency_hz"] == 20.0
