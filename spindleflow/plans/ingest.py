@@ -178,12 +178,19 @@ def ingest_machine_run(
     errors = tables["findings"].where("severity = 'error'").limit(20).collect()
     if errors:
         raise ValueError("; ".join(row["message"] for row in errors))
-    samples = staged(tables["samples"], "samples")
     meta = tables["metadata"].first().asDict()  # one small row of a run's parameters
+    scenario = meta["run_id"] or folder.rstrip("/").rsplit("/", 1)[-1]
+    return machine_windows(tables["samples"], tables["labels"], meta, scenario, plan, default_label)
+
+
+def machine_windows(
+    aligned: DataFrame, labels: DataFrame, meta: dict, scenario: str, plan: WindowPlan, default_label: str = "unknown"
+) -> DataFrame:
+    """Aligned samples of one run (sample_idx, time_s, ch, spindle_rpm, feed_per_tooth_m) to windows."""
+    samples = staged(aligned, "samples")
     clock = samples.agg((F.max("time_s") - F.min("time_s")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     rate = (clock["n"] - 1) / clock["d"]
     size, hop = window_samples(plan.window_s, plan.stride_s, rate)
-    scenario = meta["run_id"] or folder.rstrip("/").rsplit("/", 1)[-1]
     rows = samples.withColumns({"scenario": F.lit(scenario), "episode": F.lit(0).cast("long")})
     cut = slice_samples(
         rows, size, hop, {"spindle_rpm": F.avg("spindle_rpm"), "feed_per_tooth_m": F.avg("feed_per_tooth_m")}
@@ -212,9 +219,8 @@ def ingest_machine_run(
             "episode_progress": clip(F.col("start_time_s") / F.lit(max(clock["d"], 1e-12)), 0.0, 1.0),
         }
     )
-    labels = tables["labels"].withColumn("scenario", F.lit(scenario))
     named = label_windows(
-        filled, labels, ["scenario"], "window_index_in_episode", plan.span_s, default_label
+        filled, labels.withColumn("scenario", F.lit(scenario)), ["scenario"], "window_index_in_episode", plan.span_s, default_label
     )
     return finish(named.drop("_margin"), plan)
 

@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 
 from spindleflow.operators import metrics, runs, timebase
 from spindleflow.plans.catalog import pick, query, read
-from spindleflow.plans.inputs import PRED_SQL, TRACE_SQL, WIN_SQL, trace, windows, with_probabilities
-from spindleflow.plans.ingest import WindowPlan, ingest_packages, ingest_samples
+from spindleflow.operators.scan import with_position
+from spindleflow.operators.staging import staged
+from spindleflow.plans.inputs import LAYOUT, PRED_SQL, TRACE_SQL, WIN_SQL, trace, windows, with_probabilities
+from spindleflow.plans.ingest import WindowPlan, ingest_packages, ingest_samples, machine_windows
 from spindleflow.schema import struct_of
 from spindleflow.session import shared_folder
 from spindleflow.sources import packages, tables
+from spindleflow.sources.machine_run import align_run
 
 
 def folder_for(spark: SparkSession, name: str) -> str:
@@ -305,3 +308,38 @@ def s4_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return table.groupBy("label", "horizon_label").agg(F.count(F.lit(1)).alias("windows"), F.avg("rms").alias("rms"))
 
 
+
+
+_S7_SQL = f"""WITH {WIN_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY start_time_s, window_id) - 1 AS i FROM win),
+c AS (SELECT count(*) AS n, min(start_time_s) AS t0 FROM o),
+w AS (SELECT unnest(range(CAST(greatest(0, ceil((i - 15) / 8.0)) AS BIGINT), i // 8 + 1)) AS w, start_time_s - t0 AS t FROM o CROSS JOIN c),
+g AS (SELECT w, min(t) AS a, max(t) AS b, count(*) AS n FROM w GROUP BY w HAVING count(*) = 16),
+iv AS (SELECT start_time_s - t0 AS a, start_time_s - t0 + 400e0 AS b, label FROM o CROSS JOIN c WHERE label IN ('slight', 'severe') AND k > 60),
+h AS (SELECT g.w, max(CASE iv.label WHEN 'slight' THEN 2 ELSE 3 END) AS sv FROM g JOIN iv ON 0.5e0 * (g.a + g.b) BETWEEN iv.a AND iv.b GROUP BY g.w)
+SELECT CASE sv WHEN 2 THEN 'slight' WHEN 3 THEN 'severe' ELSE 'stable' END AS label, count(*) AS windows, round(sum(a), 3) AS start_sum FROM g LEFT JOIN h USING (w) GROUP BY 1"""
+
+
+@query("s7_machine_run", _S7_SQL)
+def s7(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole event table as one machine run: aligned context, slices, margins, interval labels, look-ahead."""
+    rows = windows(spark, folder)
+    span = LAYOUT.span / 30
+    sensors = with_position(
+        rows, [], F.floor(F.col("start_time_s") / span).cast("long"), ["start_time_s", "window_id"], "_p"
+    ).select(
+        F.lit("run").alias("run"), (F.col("_p") - 1).alias("sample_idx"), F.col("start_time_s").alias("time_s"), F.array("rms", "value").alias("ch")
+    )
+    context = rows.where("label = 'stable'").select(
+        F.lit("run").alias("run"), F.col("window_id").alias("row"), F.col("start_time_s").alias("time_s"), "spindle_rpm", "feed_per_tooth_m"
+    )
+    first = rows.agg(F.min("start_time_s")).scalar()
+    marks = rows.where("label IN ('slight', 'severe') AND k > 60").select(
+        (F.col("start_time_s") - first).alias("start_time_s"), (F.col("start_time_s") - first + 400.0).alias("end_time_s"), "label"
+    )
+    aligned = staged(align_run(sensors, context, span), "aligned")
+    clock = aligned.agg(F.max("time_s") - F.min("time_s"), F.count(F.lit(1))).first()
+    step = clock[0] / (clock[1] - 1)
+    plan = WindowPlan(16.2 * step, 8.1 * step, 20.0 * step, span)
+    meta = {**{k: v for group in tables.METADATA_DEFAULTS.values() for k, v in group.items()}, "run_id": "run"}
+    table = machine_windows(aligned, marks, meta, "run", plan, "stable")
+    return table.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum("start_time_s"), 3).alias("start_sum"))

@@ -210,23 +210,25 @@ def operator_labels(rows: DataFrame) -> DataFrame:
     )
 
 
+# Defaults of absent metadata.
+METADATA_DEFAULTS = {
+    "tool": {"diameter_m": 0.010, "flute_count": 4, "overhang_m": 0.040, "runout_m": 1.0e-6},
+    "process": {
+        "axial_depth_m": 0.0006, "radial_depth_m": 0.004, "cutting_coeff_t_n_m2": 7.0e8, "cutting_coeff_r_n_m2": 2.1e8,
+    },
+    "modal": {
+        "mass_x_kg": 0.8, "mass_y_kg": 0.8, "stiffness_x_n_m": 1.55e7, "stiffness_y_n_m": 1.25e7,
+        "damping_x_n_s_m": 210.0, "damping_y_n_s_m": 190.0,
+    },
+}
+
+
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Nested run metadata with every missing value replaced by its default; one row per run file."""
     raw = spark.read.schema(RUN_METADATA_SCHEMA).option("multiLine", True).json(path)
-    # Defaults of absent metadata.
-    defaults = {
-        "tool": {"diameter_m": 0.010, "flute_count": 4, "overhang_m": 0.040, "runout_m": 1.0e-6},
-        "process": {
-            "axial_depth_m": 0.0006, "radial_depth_m": 0.004, "cutting_coeff_t_n_m2": 7.0e8, "cutting_coeff_r_n_m2": 2.1e8,
-        },
-        "modal": {
-            "mass_x_kg": 0.8, "mass_y_kg": 0.8, "stiffness_x_n_m": 1.55e7, "stiffness_y_n_m": 1.25e7,
-            "damping_x_n_s_m": 210.0, "damping_y_n_s_m": 190.0,
-        },
-    }
     fields = [
         F.coalesce(F.col(f"{group}.{name}"), F.lit(value)).alias(name)
-        for group, values in defaults.items()
+        for group, values in METADATA_DEFAULTS.items()
         for name, value in values.items()
     ]
     return raw.select(F.nullif(F.col("run_id"), F.lit("")).alias("run_id"), *fields)
