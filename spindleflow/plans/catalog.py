@@ -19,6 +19,8 @@ def query(name: str, sql: str | None = None):
 
     def register(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # The tables hold wall-clock timestamps; SQL twins read them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return tidy(build(spark, folder))
 
         run.__name__ = name

@@ -10,7 +10,6 @@ from spindleflow.functions.risk import sigmoid
 from spindleflow.operators import metrics as m
 from spindleflow.operators import sequence as seq
 from spindleflow.plans.catalog import pick, query
-from spindleflow.operators.staging import staged
 from spindleflow.plans.inputs import HORIZON_S, HZ_SQL, ID_CASE, LAYOUT, PRED_SQL, WIN_SQL, windows, with_probabilities
 from spindleflow.plans.sequence_queries import HYST_SQL
 from spindleflow.schema import EPISODE, LABELS
@@ -352,10 +351,10 @@ FROM wn JOIN ev USING (scenario)"""
 def early_warning_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per scenario: windows, smoothed level, look-ahead positives, warnings, and what the warnings caught."""
     rows = windows(spark, folder).select(*EPISODE, "window_id", "start_time_s", "label", "label_id", "rms", "score")
-    # Each staged step is read twice by the next one instead of being recomputed twice.
-    ahead = staged(seq.horizon_labels(rows, LAYOUT, HORIZON_S), "ahead")
-    smooth = staged(seq.ewma(ahead, LAYOUT, ("rms",)), "smooth")
-    warned = seq.hysteresis(smooth, LAYOUT, "score", 0.6, 0.45)
+    # A scan reads its input twice, so the cheap ones come first and the one-pass look-ahead last.
+    warned = seq.hysteresis(rows, LAYOUT, "score", 0.6, 0.45)
+    smooth = seq.ewma(warned, LAYOUT, ("rms",))
+    warned = seq.horizon_labels(smooth, LAYOUT, HORIZON_S)
     calm, on = F.col("label_id") < 2, F.col("shadow_warning")
     episodes = warned.groupBy(*EPISODE).agg(
         F.count(F.lit(1)).alias("windows"),
