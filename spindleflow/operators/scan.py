@@ -69,8 +69,19 @@ class Running:
         return (F.greatest if self.kind == "max" else F.least)(inherited, local)
 
 
-def scan(df: DataFrame, by: list[str], chunk: Column, order: list[str], outputs: dict[str, Running]) -> DataFrame:
-    """Add one column per entry of ``outputs``; ``chunk`` must not decrease along ``order``."""
+def scan(
+    df: DataFrame,
+    by: list[str],
+    chunk: Column,
+    order: list[str],
+    outputs: dict[str, Running],
+    coarse: Column | None = None,
+) -> DataFrame:
+    """Add one column per entry of ``outputs``; ``chunk`` must not decrease along ``order``.
+
+    ``coarse`` (an expression over ``_fine``, the chunk) splits the summaries once more, for tables whose chunks are
+    themselves many: the summaries are then scanned in the same way instead of in one window per group.
+    """
     rows = df.withColumn("_chunk", chunk)
     keys = [*by, "_chunk"]
     summary = rows.groupBy(*keys).agg(*[run.summarise(order).alias(f"_s_{name}") for name, run in outputs.items()])
@@ -82,9 +93,18 @@ def scan(df: DataFrame, by: list[str], chunk: Column, order: list[str], outputs:
         ahead = F.col("_chunk").desc() if run.reverse else F.col("_chunk").asc()
         return group.orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)
 
-    inherited = summary.select(
-        *keys, *[run.over(F.col(f"_s_{name}"), earlier(run)).alias(f"_c_{name}") for name, run in outputs.items()]
-    )
+    if coarse is None:
+        inherited = summary.select(
+            *keys, *[run.over(F.col(f"_s_{name}"), earlier(run)).alias(f"_c_{name}") for name, run in outputs.items()]
+        )
+    else:
+        upper = {
+            f"_c_{name}": Running(run.kind, F.col(f"_s_{name}"), False, run.whole, run.reverse)
+            for name, run in outputs.items()
+        }
+        inherited = scan(summary.withColumnRenamed("_chunk", "_fine"), by, coarse, ["_fine"], upper).select(
+            *by, F.col("_fine").alias("_chunk"), *upper
+        )
 
     def inside(run: Running):
         arrange = [F.col(c).desc() if run.reverse else F.col(c).asc() for c in order]
@@ -105,13 +125,19 @@ def scan(df: DataFrame, by: list[str], chunk: Column, order: list[str], outputs:
 
 
 def with_position(
-    df: DataFrame, by: list[str], chunk: Column, order: list[str], position: str = "position", total: str | None = None
+    df: DataFrame,
+    by: list[str],
+    chunk: Column,
+    order: list[str],
+    position: str = "position",
+    total: str | None = None,
+    coarse: Column | None = None,
 ) -> DataFrame:
     """1-based rank inside each group, and optionally the group size."""
     outputs = {position: Running("sum", F.lit(1).cast("long"))}
     if total:
         outputs[total] = Running("sum", F.lit(1).cast("long"), whole=True)
-    return scan(df, by, chunk, order, outputs)
+    return scan(df, by, chunk, order, outputs, coarse)
 
 
 def hash_chunk(column: str) -> Column:

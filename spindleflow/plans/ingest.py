@@ -87,7 +87,12 @@ def finish(rows: DataFrame, plan: WindowPlan) -> DataFrame:
     """
     layout = plan.layout()
     numbered = with_position(
-        rows, [], F.struct("scenario", "episode"), ["scenario", "episode", "window_index_in_episode"], "window_id"
+        rows,
+        [],
+        F.struct("scenario", "episode", F.floor(F.col("window_index_in_episode") / 100_000).alias("part")),
+        ["scenario", "episode", "window_index_in_episode"],
+        "window_id",
+        coarse=F.struct(F.col("_fine.scenario"), F.floor(F.col("_fine.episode") / 1000).alias("block")),
     ).withColumn("window_id", F.col("window_id") - 1)
     base = numbered.withColumns(
         {
@@ -137,6 +142,7 @@ def ingest_packages(
         F.struct("path", F.floor(F.col("package_number") / 4096).alias("part")),
         ["path", "package_number"],
         "episode",
+        coarse=F.col("_fine.path"),
     ).withColumn("episode", F.col("episode") - 1)
     sized = numbered.withColumn("_duration", F.size("signal") / F.col("fs"))
     cut = slice_arrays(sized, "signal", F.col("fs"), plan.window_s, plan.stride_s)

@@ -170,7 +170,28 @@ def a25(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", sig.growth_target(F.transform("x", lambda v: F.abs(v)), both).alias("risk"))
 
 
-@query("a2_window_risk")
+# An eight-sample window is one Welch segment of eight: five bins, periodic Hann, segment mean removed.
+_WINDOW_RISK_SQL = f"""WITH {WIN_SQL}, sm AS (SELECT scenario, episode, row_number() OVER (PARTITION BY scenario, episode ORDER BY start_time_s, window_id) - 1 AS i, rms, k FROM win),
+s0 AS (SELECT scenario, episode, unnest(range(CAST(greatest(0, ceil((i - {_SIZE - 1}) / {_HOP}.0)) AS BIGINT), i // {_HOP} + 1)) AS w, i, rms, k FROM sm),
+s1 AS (SELECT *, i - w * {_HOP} AS j, count(*) OVER p AS n, avg(rms) OVER p AS m, avg(k) OVER p AS mk FROM s0 WINDOW p AS (PARTITION BY scenario, episode, w)),
+s2 AS (SELECT scenario, episode, w, j, rms - m AS x, mk FROM s1 WHERE n = {_SIZE}),
+tf AS (SELECT scenario, episode, w, any_value(mk) AS mk, sqrt(avg(x * x)) AS rms, max(abs(x)) / greatest(sqrt(avg(x * x)), 1e-12) AS crest FROM s2 GROUP BY ALL),
+ft AS (SELECT scenario, episode, w, b.range AS b, sum(x * (0.5e0 - 0.5e0 * cos(2e0 * pi() * j / 8e0)) * cos(2e0 * pi() * b.range * j / 8e0)) AS re,
+  sum(x * (0.5e0 - 0.5e0 * cos(2e0 * pi() * j / 8e0)) * sin(2e0 * pi() * b.range * j / 8e0)) AS im FROM s2 CROSS JOIN range(5) b GROUP BY ALL),
+pw AS (SELECT ft.*, b * 12.5e0 AS f, CASE WHEN b IN (0, 4) THEN 1e0 ELSE 2e0 END * (re * re + im * im) / (100e0 * 3e0) AS p, (300e0 + mk) * 4 / 60e0 AS tooth FROM ft JOIN tf USING (scenario, episode, w)),
+mk AS (SELECT *, list_bool_or(list_transform([1, 2, 3, 4, 5, 6], lambda h: h * tooth < 50e0 AND abs(f - h * tooth) <= greatest(5e0, 0.08e0 * tooth))) AS near FROM pw),
+mb AS (SELECT *, NOT near AND f >= least(greatest(1.2e0 * tooth, 20e0), 45e0) AND f <= 45e0 AS chat FROM mk),
+et AS (SELECT scenario, episode, w, sum(0.5e0 * (p + pp) * (f - pf)) AS e FROM (SELECT scenario, episode, w, f, p, lag(f) OVER o AS pf, lag(p) OVER o AS pp FROM mb WHERE near WINDOW o AS (PARTITION BY scenario, episode, w ORDER BY b)) GROUP BY ALL),
+ec AS (SELECT scenario, episode, w, sum(0.5e0 * (p + pp) * (f - pf)) AS e FROM (SELECT scenario, episode, w, f, p, lag(f) OVER o AS pf, lag(p) OVER o AS pp FROM mb WHERE chat WINDOW o AS (PARTITION BY scenario, episode, w ORDER BY b)) GROUP BY ALL),
+en AS (SELECT scenario, episode, w, -sum(q * log2(q + 1e-18)) / log2(5) AS h FROM (SELECT scenario, episode, w, p / (sum(p) OVER (PARTITION BY scenario, episode, w) + 1e-18) AS q FROM mb) GROUP BY ALL),
+sg AS (SELECT tf.*, least(1e0, 0.55e0 / (1e0 + exp(-(log10(coalesce(ec.e, 0e0) / greatest(coalesce(et.e, 0e0), 1e-18) + 1e-12) + 0.4e0) * 2e0)) + 0.25e0 / (1e0 + exp(-(crest - 4e0) / 1.5e0))
+  + 0.2e0 / (1e0 + exp(-(h - 0.55e0) * 6e0))) AS s FROM tf LEFT JOIN et USING (scenario, episode, w) LEFT JOIN ec USING (scenario, episode, w) JOIN en USING (scenario, episode, w)),
+rk AS (SELECT *, least(1e0, greatest(0e0, 0.55e0 * 0.5e0 + 0.45e0 * s)) AS now FROM sg)
+SELECT scenario, episode, CAST(w AS BIGINT) AS window_index_in_episode, round(rms, 6) AS rms, round(now, 6) AS risk_chatter_now,
+  CASE WHEN now < 0.3e0 THEN 'stable' WHEN now < 0.55e0 THEN 'transition' WHEN now < 0.8e0 THEN 'slight' ELSE 'severe' END AS label FROM rk"""
+
+
+@query("a2_window_risk", _WINDOW_RISK_SQL)
 def window_risk(spark: SparkSession, folder: str) -> DataFrame:
     """Slice, featurise and score multi-channel windows end to end."""
     cut = sig.with_series(sample_windows(spark, folder), "s", sig.series_of_window(F.col("sensor_window")))

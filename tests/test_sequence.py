@@ -83,6 +83,29 @@ def test_position_and_size(table):
             assert got[r[2]] == (i + 1, len(group))
 
 
+def test_chunks_of_chunks(table):
+    rows, df = table
+    everything = sorted(rows, key=lambda r: r[2])
+    out = scan(
+        df,
+        [],
+        F.floor(F.col("window_id") / 5).cast("long"),
+        ["window_id"],
+        {
+            "total": Running("sum", F.col("rms")),
+            "next": Running("last", F.col("rms"), inclusive=False, reverse=True),
+            "top": Running("max", F.col("rms"), whole=True),
+        },
+        coarse=F.floor(F.col("_fine") / 7).cast("long"),
+    )
+    got = result(out, "total", "next", "top")
+    values = [r[5] for r in everything]
+    for i, r in enumerate(everything):
+        total, nxt, top = got[r[2]]
+        assert total == pytest.approx(sum(values[: i + 1])) and top == max(values)
+        assert nxt == (values[i + 1] if i + 1 < len(values) else None)
+
+
 def test_deltas_and_ewma(table):
     rows, df = table
     got = result(seq.temporal_deltas(df, LAYOUT, {"rms": "rms_delta"}), "rms_delta", "rms_growth_rate")
