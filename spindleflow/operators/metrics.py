@@ -349,7 +349,7 @@ def select_threshold(best: DataFrame, positives: str, split: str = "split") -> D
     )
 
 
-def roc_auc(df: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (), parts: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (), parts: int = 65_536) -> DataFrame:
     """Area under the ROC curve by mid-ranks; equal scores are counted first, NULL when one class is missing."""
     keys = list(by)
     per_score = df.groupBy(*keys, score).agg(

@@ -147,7 +147,7 @@ def merge_reason_counts(df: DataFrame, text: str, by: tuple[str, ...]) -> DataFr
 
 
 def pareto_front(
-    df: DataFrame, by: list[str], low: str, high: str, parts: int = 1024, name: str = "pareto_efficient"
+    df: DataFrame, by: list[str], low: str, high: str, parts: int = 65_536, name: str = "pareto_efficient"
 ) -> DataFrame:
     """Keep ``low`` small and ``high`` large: a row is efficient when no other is at least as good on both and
     better on one.  Sort by ``low`` and compare with the running best ``high``; equal rows do not dominate."""
@@ -166,7 +166,7 @@ def pareto_front(
 
 
 def pareto_front3(
-    df: DataFrame, key: list[str], low: str, high: str, count: str, parts: int = 1024, name: str = "pareto_efficient"
+    df: DataFrame, key: list[str], low: str, high: str, count: str, parts: int = 65_536, name: str = "pareto_efficient"
 ) -> DataFrame:
     """Three-way front: ``low`` and the whole number ``count`` small, ``high`` large.
 

@@ -141,8 +141,8 @@ def with_position(
 
 
 def hash_chunk(column: str) -> Column:
-    """Chunk of an md5 hex column: its first three digits (4,096 ordered chunks per group)."""
-    return F.conv(F.substring(F.col(column), 1, 3), 16, 10).cast("long")
+    """Chunk of an md5 hex column: its first four digits (65,536 ordered chunks per group)."""
+    return F.conv(F.substring(F.col(column), 1, 4), 16, 10).cast("long")
 
 
 def seeded(seed: int, *parts: Column) -> Column:

@@ -80,6 +80,8 @@ def recommendations(
 
     ``keys`` maps key columns to their types; the stream has ``ts``, ``window_id`` and ``score``.  A machine that
     stays silent longer than ``stale`` gets one row with state ``unknown`` at the neutral overrides, and starts anew.
+    The rows of one machine in one micro-batch are ordered in memory, so set the source's rate limit
+    (``maxFilesPerTrigger`` or its like) when a long backlog is replayed.
     """
     clear = max(0.0, policy.threshold * 0.75) if policy.clear is None else policy.clear
     wait = int(pd.Timedelta(stale).total_seconds() * 1000)
