@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from spindleflow.llm import token_blocks
+from pyspark.sql import functions as F
+
+from spindleflow.llm import simhash, token_blocks
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -23,3 +25,11 @@ def register(name: str, sql: str | None = None):
 def op1_token_blocks(spark, folder):
     """Every document encoded, written as block files and read back."""
     return token_blocks.encode_documents(read(spark, folder, "documents"))
+
+
+@register("op6_simhash")
+def op6_simhash(spark, folder):
+    """Fingerprints of four-word shingles and their components at four or fewer differing bits."""
+    found = simhash.near_groups(read(spark, folder, "documents"), words=4, max_bits=4)
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
