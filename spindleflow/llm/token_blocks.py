@@ -19,6 +19,7 @@ import struct
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -160,51 +161,55 @@ class WordEncoder:
     # The pattern by which the vocabulary's word splitter cuts a word.
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 400_000, keep_pieces: int = 700_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.keep, self.keep_pieces = Tokenizer.from_file(path), keep, keep_pieces
         self.model = self.tokenizer.model
         self.cut = regex.compile(self.PIECE).findall
-        self.plain = regex.compile("[\x21-\x3b\x3d-\x7e\xa1-ɏ]+").fullmatch
+        # Below U+0250 no letter changes under composition, and lower case is letter by letter. "<" may start a mark
+        # that the vocabulary treats as one id.
+        self.plain = regex.compile("[\x21-\x3b\x3d-\x7e\xa1-\u024f]+").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+        # The model spells every byte as one visible letter.
+        self.letters = {b: chr(256 + n) for n, b in enumerate(others)}
+        self.pieces: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
-
-    def _ids(self, word: str) -> list[int]:
-        import unicodedata
-
-        if not self.plain(word) or not unicodedata.is_normalized("NFC", word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.cut(word.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                spelled = "".join(map(self.letters.__getitem__, piece.encode()))
-                found = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
-            out += found
-        return out
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def _ids(self, word: str) -> bytes:
+        if not self.plain(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        word = word.lower()
+        if word.isalpha():
+            return self._piece(word)
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, self.cut(word)))
 
     def _learn(self, words: set) -> None:
-        for word in words:
-            ids = self._ids(word)
-            code = len(self.codes)
-            if code == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * code), np.resize(self.sizes, 2 * code)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.starts[code], self.sizes[code] = self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.codes[word] = code
+        if not words:
+            return
+        if len(self.pieces) > self.keep_pieces:
+            self.pieces.clear()
+        found = list(map(self._ids, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(found))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
