@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import simhash, token_blocks
+from spindleflow.llm import simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -33,3 +33,9 @@ def op6_simhash(spark, folder):
     found = simhash.near_groups(read(spark, folder, "documents"), words=4, max_bits=4)
     digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, folder):
+    """A toxicity score for every document, learnt from the labelled rows."""
+    return toxicity.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
