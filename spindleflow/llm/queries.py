@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import simhash, token_blocks, toxicity
+from spindleflow.llm import mixing, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -39,3 +39,9 @@ def op6_simhash(spark, folder):
 def op7_toxicity(spark, folder):
     """A toxicity score for every document, learnt from the labelled rows."""
     return toxicity.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@register("op3_mix_sources", mixing.mix_sql())
+def op3_mix_sources(spark, folder):
+    """How often each document enters a mix in which sources weigh 3, 1, 2 and total 150% of all words."""
+    return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
