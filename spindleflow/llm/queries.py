@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import mixing, simhash, token_blocks, toxicity
+from spindleflow.llm import mixing, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -45,3 +45,9 @@ def op7_toxicity(spark, folder):
 def op3_mix_sources(spark, folder):
     """How often each document enters a mix in which sources weigh 3, 1, 2 and total 150% of all words."""
     return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op8_secret_scan")
+def op8_secret_scan(spark, folder):
+    """Secrets of every document: the exact patterns, and runs that pass the randomness battery."""
+    return secret_scan.report(read(spark, folder, "documents"))
