@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import mixing, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import mixing, pieces, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -51,3 +51,9 @@ def op3_mix_sources(spark, folder):
 def op8_secret_scan(spark, folder):
     """Secrets of every document: the exact patterns, and runs that pass the randomness battery."""
     return secret_scan.report(read(spark, folder, "documents"))
+
+
+@register("op4_sentencepiece")
+def op4_sentencepiece(spark, folder):
+    """The piece ids of every document, and whether decoding gives the text back."""
+    return pieces.encode_documents(read(spark, folder, "documents"))

@@ -56,16 +56,14 @@ def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes), word
 
 
-def hashes(letters: np.ndarray, order: int) -> list[np.ndarray]:
+def hashes(letters: np.ndarray, order: int):
     """For each length from 1 to ``order``, a hash of the letters that end at each place (wrong before a word's start)."""
-    out, power = [], 1
-    held = np.zeros_like(letters)
+    power, held = 1, np.zeros_like(letters)
     for length in range(1, order + 1):
         shifted = np.concatenate([np.zeros(length - 1, np.uint64), letters[: len(letters) - length + 1]])
         held = held + (shifted + np.uint64(1)) * np.uint64(power)
         power = power * BASE % 2**64
-        out.append(held)
-    return out
+        yield held
 
 
 @dataclass
@@ -83,12 +81,12 @@ class KneserNey:
         """``counts``: occurrences of each word in ordinary and in toxic text. Grams seen less than ``least`` times in
         all are left to the lower orders; their context's totals still count them."""
         letters, place, word = spell(words)
-        keys = hashes(letters, order)
-        model = cls(order, discount, len(np.unique(letters)) + 1)
-        for length in range(1, order + 1):
+        model, shorter = cls(order, discount, len(np.unique(letters)) + 1), None
+        for length, keys in enumerate(hashes(letters, order), 1):
             at = np.flatnonzero((place >= max(1, length - 1)))
-            gram = keys[length - 1][at]
-            before = keys[length - 2][at - 1] if length > 1 else np.zeros(len(at), np.uint64)
+            gram = keys[at]
+            before = shorter[at - 1] if length > 1 else np.zeros(len(at), np.uint64)
+            shorter = keys
             weights = np.ones((len(at), 1)) if length <= 2 else counts[word[at]]
             grams = Table.of(gram, weights)
             contexts = Table.of(before, weights)
@@ -120,7 +118,7 @@ class KneserNey:
         if not words:
             return np.zeros(0)
         letters, place, word = spell(words)
-        keys = hashes(letters, self.order)
+        keys = list(hashes(letters, self.order))
         at = np.flatnonzero(place >= 1)
         p = np.full(len(at), 1.0 / self.letters)
         for length, (grams, contexts) in enumerate(self.shared, 1):
