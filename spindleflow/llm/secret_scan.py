@@ -176,10 +176,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every span of its texts replaced by a mask; spans that overlap are replaced as one."""
-    clear = docs.withColumn(text_column, F.coalesce(F.col(text_column), F.lit("")))
-    by_text = scan(clear.select(F.md5(text_column).alias("key"), F.col(text_column).alias("t")).distinct(), "key", "t", **options)
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    by_text = scan(docs.select(F.md5(text).alias("key"), text.alias("t")), "key", "t", **options)
     spans = F.array_sort(F.concat("base", "added"))
-    marked = staged(by_text.where((F.size("base") > 0) | (F.size("added") > 0)).select("key", spans.alias("spans")), "marked")
+    hit = by_text.where((F.size("base") > 0) | (F.size("added") > 0))
+    marked = staged(hit.select("key", spans.alias("spans")).groupBy("key").agg(F.first("spans").alias("spans")), "marked")
     row = docs.select(F.struct("*").alias("row"))
     joined = row.join(marked, F.md5(F.coalesce(F.col(f"row.{text_column}"), F.lit(""))) == marked["key"], "left")
     # Walk the spans in order; keep what lies between the last one's end and the next one's start.
