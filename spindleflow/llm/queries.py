@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import mixing, pieces, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import merkle, mixing, pieces, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -57,3 +57,9 @@ def op8_secret_scan(spark, folder):
 def op4_sentencepiece(spark, folder):
     """The piece ids of every document, and whether decoding gives the text back."""
     return pieces.encode_documents(read(spark, folder, "documents"))
+
+
+@register("op2_merkle")
+def op2_merkle(spark, folder):
+    """Merkle fingerprints of every document and of its edit, and their likeness."""
+    return merkle.compare_with_next(read(spark, folder, "documents"))
