@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import merkle, mixing, pieces, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import merkle, mixing, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -63,3 +63,9 @@ def op4_sentencepiece(spark, folder):
 def op2_merkle(spark, folder):
     """Merkle fingerprints of every document and of its edit, and their likeness."""
     return merkle.compare_with_next(read(spark, folder, "documents"))
+
+
+@register("op5_page_text")
+def op5_page_text(spark, folder):
+    """The main text of every page."""
+    return page_text.main_text(read(spark, folder, "pages"))
