@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import merkle, mixing, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import merkle, mixing, onebit, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ def op2_merkle(spark, folder):
 def op5_page_text(spark, folder):
     """The main text of every page."""
     return page_text.main_text(read(spark, folder, "pages"))
+
+
+@register("op10_one_bit_codes", onebit.search_sql())
+def op10_one_bit_codes(spark, folder):
+    """The ten nearest vectors of every hundredth one."""
+    return onebit.search(read(spark, folder, "embeddings"))
