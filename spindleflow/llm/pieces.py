@@ -32,7 +32,7 @@ NORMAL, BYTE, USER = 1, 6, 4
 class PieceModel:
     """The pieces of a model file, and what has been learnt about words and neighbours so far."""
 
-    def __init__(self, content: bytes, keep_words: int = 300_000, keep_pairs: int = 2_000_000):
+    def __init__(self, content: bytes, keep_words: int = 200_000, keep_pairs: int = 3_000_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -70,6 +70,7 @@ class PieceModel:
             for piece, k in self.ids.items():
                 self.whole[k] = self._merged(piece) == [piece]
         self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.clear()
         spelled = [p.replace(SPACE, " ").encode() for p in self.names]
         for value, k in self.bytes_at.items():
@@ -111,18 +112,26 @@ class PieceModel:
     def _beside(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each piece stays beside the one before it. Negative pieces are letters that no piece holds."""
         code = (left << np.int64(32)) ^ right
-        kinds, back = np.unique(code, return_inverse=True)
-        if len(self.pairs) > self.keep_pairs:
-            self.pairs.clear()
+        kinds, first, back = np.unique(code, return_index=True, return_inverse=True)
         out = np.zeros(len(kinds), bool)
-        first = np.zeros(len(kinds), np.int64)
-        first[back] = np.arange(len(back))
-        for k, (key, at) in enumerate(zip(kinds.tolist(), first.tolist())):
-            known = self.pairs.get(key)
-            if known is None:
-                a, b = (self.names[p] if p >= 0 else chr(-p - 1) for p in (int(left[at]), int(right[at])))
-                known = self.pairs[key] = self._merged(a + b) == [a, b]
-            out[k] = known
+        at = np.minimum(np.searchsorted(self.pair_keys, kinds), max(0, len(self.pair_keys) - 1))
+        known = self.pair_keys[at] == kinds if len(self.pair_keys) else out.copy()
+        out[known] = self.pair_fits[at[known]]
+        for k in np.flatnonzero(~known).tolist():
+            fits = self.pairs.get(int(kinds[k]))
+            if fits is None:
+                a, b = (self.names[p] if p >= 0 else chr(-p - 1) for p in (int(left[first[k]]), int(right[first[k]])))
+                fits = self.pairs[int(kinds[k])] = self._merged(a + b) == [a, b]
+            out[k] = fits
+        if len(self.pairs) > 30_000:
+            # New pairs move from the dictionary to sorted arrays of nine bytes each.
+            if len(self.pair_keys) > self.keep_pairs:
+                self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+            keys = np.concatenate([self.pair_keys, np.fromiter(self.pairs, np.int64, len(self.pairs))])
+            fits = np.concatenate([self.pair_fits, np.fromiter(self.pairs.values(), bool, len(self.pairs))])
+            order = np.argsort(keys, kind="stable")
+            self.pair_keys, self.pair_fits = keys[order], fits[order]
+            self.pairs.clear()
         return out[back]
 
     def _walk(self, words: list[str]) -> list[bytes]:
@@ -264,7 +273,7 @@ def encoded(text: Column, model: str = "piece_bpe_32k.model") -> Column:
         for batch in batches:
             texts = batch.to_pylist()
             ids, sizes = [np.zeros(0, np.int32)], []
-            for begin, end in text_chunks(texts, 6_000_000):
+            for begin, end in text_chunks(texts, 4_000_000):
                 got, per_text = walker.encode(texts[begin:end])
                 ids.append(got)
                 sizes += per_text.tolist()
@@ -281,7 +290,7 @@ def decoded(ids: Column, model: str = "piece_bpe_32k.model") -> Column:
     def run(batches):
         walker = piece_model(path)
         for batch in batches:
-            yield pa.array([walker.decode(row or []) for row in batch.to_pylist()], pa.string())
+            yield pa.array([walker.decode(row.as_py() or []) for row in batch], pa.string())
 
     return F.arrow_udf(_hinted(run), "string")(ids)
 
@@ -291,6 +300,22 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col
 
     A text that itself holds the mark for a space decodes to a space there, so its round trip is false.
     """
-    ids = docs.select(F.col(id_column), F.coalesce(text_column, F.lit("")).alias("t"), encoded(F.col(text_column), model).alias("piece_ids"))
-    back = ids.withColumn("back", decoded(F.col("piece_ids"), model))
-    return back.select(id_column, F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("back") == F.col("t")).alias("round_trip"))
+    path = tokenizer_path(model)
+
+    def run(batches):
+        walker = piece_model(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for begin, end in text_chunks(texts, 4_000_000):
+                ids, sizes = walker.encode(texts[begin:end])
+                ends = np.cumsum(sizes)
+                same = [walker.decode(ids[e - n : e].tolist()) == t for t, e, n in zip(texts[begin:end], ends.tolist(), sizes.tolist())]
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                yield pa.record_batch(
+                    [batch.column(0).slice(begin, end - begin), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(same)],
+                    names=["id", "n_pieces", "piece_ids", "round_trip"],
+                )
+
+    slim = docs.select(F.col(id_column).cast("long"), F.col(text_column))
+    rows = slim.mapInArrow(run, "id long, n_pieces long, piece_ids array<int>, round_trip boolean")
+    return rows.withColumnRenamed("id", id_column)
