@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import merkle, mixing, onebit, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import merkle, mixing, ngram_trie, onebit, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -75,3 +75,9 @@ def op5_page_text(spark, folder):
 def op10_one_bit_codes(spark, folder):
     """The ten nearest vectors of every hundredth one."""
     return onebit.search(read(spark, folder, "embeddings"))
+
+
+@register("op9_ngram_trie")
+def op9_ngram_trie(spark, folder):
+    """Unigram and trie scores of every document."""
+    return ngram_trie.score_documents(read(spark, folder, "documents"))
