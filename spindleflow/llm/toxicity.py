@@ -51,16 +51,16 @@ class Table:
 def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters of all words, each between two marks; the place of each letter in its word; the word of each letter."""
     letters = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), sizes)
-    return letters, np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes), word
+    sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    return letters, np.arange(len(letters), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes), word
 
 
 def hashes(letters: np.ndarray, order: int):
     """For each length from 1 to ``order``, a hash of the letters that end at each place (wrong before a word's start)."""
     power, held = 1, np.zeros_like(letters)
     for length in range(1, order + 1):
-        shifted = np.concatenate([np.zeros(length - 1, np.uint64), letters[: len(letters) - length + 1]])
+        shifted = np.concatenate([np.zeros(length - 1, np.uint64), letters])[: len(letters)]
         held = held + (shifted + np.uint64(1)) * np.uint64(power)
         power = power * BASE % 2**64
         yield held
@@ -81,18 +81,19 @@ class KneserNey:
         """``counts``: occurrences of each word in ordinary and in toxic text. Grams seen less than ``least`` times in
         all are left to the lower orders; their context's totals still count them."""
         letters, place, word = spell(words)
+        counts = counts.astype(np.float32)
         model, shorter = cls(order, discount, len(np.unique(letters)) + 1), None
         for length, keys in enumerate(hashes(letters, order), 1):
             at = np.flatnonzero((place >= max(1, length - 1)))
             gram = keys[at]
             before = shorter[at - 1] if length > 1 else np.zeros(len(at), np.uint64)
             shorter = keys
-            weights = np.ones((len(at), 1)) if length <= 2 else counts[word[at]]
-            grams = Table.of(gram, weights)
+            weights = np.ones((len(at), 1), np.float32) if length <= 2 else counts[word[at]]
             contexts = Table.of(before, weights)
-            first = np.unique(gram, return_index=True)[1]
-            seen = (grams.values > 0).astype(np.float64)
-            kinds = Table.of(before[first], seen)
+            grams, first = Table.of(gram, weights), np.unique(gram, return_index=True)[1]
+            before = before[first]
+            del gram, weights, at, first
+            kinds = Table.of(before, (grams.values > 0).astype(np.float32))
             # Both are sorted by the same contexts.
             contexts = Table(contexts.keys, np.concatenate([contexts.values, kinds.values], axis=1))
             if length > 2:
@@ -218,7 +219,7 @@ def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 0.05) -> t
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, sample_chars: int = 20_000, order: int = 7,
+    docs: DataFrame, labels: DataFrame, sample_docs: int = 2_000, sample_chars: int = 20_000, order: int = 7,
     id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
 ) -> Classifier:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0: remainders 1 to 3 feed the models, 4 the curve.
@@ -257,11 +258,12 @@ def learn(
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("ordinary"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic")
     )
     table = table.toPandas().sort_values("word")
-    counts = table[["ordinary", "toxic"]].to_numpy(np.float64)
-    if not len(table) or not (counts.sum(axis=0) > 0).all():
+    words, counts = table["word"].tolist(), table[["ordinary", "toxic"]].to_numpy(np.float32)
+    del table
+    if not words or not (counts.sum(axis=0) > 0).all():
         share = named.agg(F.avg("y")).first()[0]
         return Classifier(None, np.zeros(0), np.zeros(0), np.zeros(0), float(share or 0.0))
-    model = KneserNey.fit(table["word"].tolist(), counts, order)
+    model = KneserNey.fit(words, counts, order)
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def features(batches):
