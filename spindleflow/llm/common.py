@@ -23,7 +23,7 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """Write a table to the shared folder and read it back: computed once, kept when an executor is lost."""
     path = shared_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
