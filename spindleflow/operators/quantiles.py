@@ -14,17 +14,13 @@ from spindleflow.operators.scan import Running, scan
 from spindleflow.operators.staging import staged
 
 ACCURACY = 20_000
-SMALL = 100_000  # up to this many rows the bracket is simply [min, max]
+NARROW = 100_000  # below this many values the margin is less than a few ranks, so a bracket spans the whole range
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], by: tuple[str, ...] = (), small: int = SMALL
+    df: DataFrame, columns: dict[str, Column], probs: list[float], by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Rows ``(*by, name, prob, value)``; NULLs are left out, values equal a linear-interpolation quantile.
-
-    When the sketch pass shows that no group holds more than ``small`` values, the built-in exact percentile does the
-    rest: its buffer is then at most that long.
-    """
+    """Rows ``(*by, name, prob, value)``; NULLs are left out, values equal a linear-interpolation quantile."""
     keys = [*by, "name"]
     cells = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])
     long = df.select(*by, F.inline(cells)).where(F.col("v").isNotNull())
@@ -36,7 +32,7 @@ def exact_quantiles(
         F.max("v").alias("most"),
         F.percentile_approx("v", edges, ACCURACY).alias("edges"),
     )
-    few = F.col("n") <= SMALL  # too few rows for the sketch margin: the bracket is the whole range
+    few = F.col("n") <= NARROW
     brackets = staged(
         sketch.select(
             *keys,
@@ -53,13 +49,6 @@ def exact_quantiles(
         ),
         "brackets",
     )
-    most = brackets.agg(F.max("n")).first()[0]
-    if most is None or most <= small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        exact = long.groupBy(*keys).agg(F.percentile("v", wanted).alias("q"))
-        return exact.select(
-            *keys, F.inline(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("value")))
-        )
     placed = long.join(brackets.drop("n"), keys)
     inside = F.exists("brackets", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
     below = F.array_max(F.transform("brackets", lambda b: F.when(b["hi"] < F.col("v"), b["hi"])))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindleflow.functions.labels import id_of_label, label_of_id
 from spindleflow.operators.metrics import count_if, ratio
-from spindleflow.operators.scan import Running, scan
+from spindleflow.operators.scan import Running, one_row, scan
 from spindleflow.operators.staging import staged
 
 
@@ -170,13 +170,17 @@ def pareto_front3(
 ) -> DataFrame:
     """Three-way front: ``low`` and the whole number ``count`` small, ``high`` large.
 
-    Row r is beaten by rows with a count at most r's.  Every count range 0..c splits into at most 32 binary blocks;
-    a row offers itself to the blocks that contain its count and asks the blocks that make up 0..c.  Inside a block
+    Row r is beaten by rows with a count at most r's.  Every count range 0..c splits into binary blocks, one for
+    each bit of the largest count; a row offers itself to the blocks that contain its count and asks the blocks that make up 0..c.  Inside a block
     the question is the two-way one: the running best ``high`` along ``low``.  No pair of rows is ever formed.
     """
     df = staged(df, "front")
     base = df.select(*key, F.col(low).alias("_l"), F.col(high).alias("_h"), F.col(count).cast("long").alias("_c"))
-    levels = F.sequence(F.lit(0), F.lit(31))
+    base = base.withColumn("_c", F.when(F.col("_c") < 0, F.raise_error(F.lit(f"{count} must not be negative"))).otherwise(F.col("_c")))
+    # Bits of the largest count plus one: no block above them is ever asked.
+    top = df.agg(F.coalesce(F.length(F.bin(F.max(F.col(count).cast("long")) + 1)), F.lit(1)).alias("bits"))
+    base = base.withColumn("_bits", one_row(top)["bits"])
+    levels = F.sequence(F.lit(0), F.col("_bits"))
     n = F.col("_c") + 1  # the prefix 0..c as the half-open range [0, n)
 
     def block(size_bit: Column, start: Column) -> Column:
@@ -190,7 +194,7 @@ def pareto_front3(
     # Best (high, then smallest count) a block can offer at each low.
     offers = (
         base.groupBy("_l", "_c")
-        .agg(F.max("_h").alias("_h"))
+        .agg(F.max("_h").alias("_h"), F.max("_bits").alias("_bits"))
         .select("_l", F.inline(holds), F.struct(F.col("_h"), (-F.col("_c")).alias("_c")).alias("_offer"))
         .groupBy("bit", "at", "_l")
         .agg(F.max("_offer").alias("_offer"))

@@ -82,9 +82,12 @@ def scan(
     ``coarse`` (an expression over ``_fine``, the chunk) splits the summaries once more, for tables whose chunks are
     themselves many: the summaries are then scanned in the same way instead of in one window per group.
     """
-    rows = df.withColumn("_chunk", chunk)
+    # A struct is never NULL and equals another with NULLs in the same places, so groups and times that are NULL meet
+    # in the join as they do in a window; the windows below reuse the join's exchange.
+    rows = df.withColumn("_key", F.struct(*[F.col(c) for c in by], chunk.alias("_chunk")))
     keys = [*by, "_chunk"]
-    summary = rows.groupBy(*keys).agg(*[run.summarise(order).alias(f"_s_{name}") for name, run in outputs.items()])
+    summary = rows.groupBy("_key").agg(*[run.summarise(order).alias(f"_s_{name}") for name, run in outputs.items()])
+    summary = summary.select("_key.*", *[f"_s_{name}" for name in outputs])
     group = Window.partitionBy(*by)
 
     def earlier(run: Running):
@@ -108,11 +111,12 @@ def scan(
 
     def inside(run: Running):
         arrange = [F.col(c).desc() if run.reverse else F.col(c).asc() for c in order]
-        return Window.partitionBy(*keys).orderBy(*arrange).rowsBetween(
+        return Window.partitionBy("_key").orderBy(*arrange).rowsBetween(
             Window.unboundedPreceding, 0 if run.inclusive else -1
         )
 
-    joined = rows.join(inherited, keys, "left")
+    carried_on = inherited.select(F.struct(*keys).alias("_key"), *[f"_c_{name}" for name in outputs])
+    joined = rows.join(carried_on, "_key", "left")
     results = []
     for name, run in outputs.items():
         carried = F.col(f"_c_{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,12 @@ DELTA_FEATURES = {
 EWMA_FEATURES = ("rms", "chatter_band_energy", "non_tooth_harmonic_ratio")
 EWMA_ALPHA = 0.35
 
-_BLOCK = 128  # 0.65**-128 stays near 1e24, and 0.65**128 is below one double ulp of any later term
+_FAR = 80.0  # a value e**-80 of its former size no longer shows in a double
+
+
+def _reach(decay: float) -> int:
+    """Rows after which a value has faded beyond the precision of a double."""
+    return max(1, math.ceil(_FAR / -math.log(decay))) if decay > 0 else 1
 
 
 def temporal_deltas(df: DataFrame, layout: Layout, features: dict[str, str] | None = None) -> DataFrame:
@@ -46,73 +52,77 @@ def temporal_deltas(df: DataFrame, layout: Layout, features: dict[str, str] | No
 def ewma(
     df: DataFrame, layout: Layout, features: tuple[str, ...] = EWMA_FEATURES, alpha: float = EWMA_ALPHA
 ) -> DataFrame:
-    """Exponentially weighted mean seeded with the episode's first value, exact to double precision.
+    """Exponentially weighted mean seeded with the episode's first value, exact to double precision for any ``alpha``.
 
-    Inside a block of 128 rows the recurrence is a running sum of ``x * b**-k``; blocks and chunks hand on only
-    their last value, because the weight of anything 96 rows back is below double precision.
+    Blocks hold as many rows as a value takes to fade below double precision. Inside a block the recurrence is a running
+    sum of ``x * decay**-k``, whose weights stay far from overflow, and only the block before still counts. The ends of
+    the chunks, one row each, are summed in the same way along the rows they stand for: nothing is cut off by a number
+    of chunks, and no list of them is built.
     """
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha must lie in (0, 1]")
     decay = 1.0 - alpha
+    reach = _reach(decay)
     keys = [*layout.keys, "_chunk"]
-    in_chunk = Window.partitionBy(*keys).orderBy(*layout.order)
+    rows = df.withColumn("_key", F.struct(*[F.col(c) for c in layout.keys], layout.chunk().alias("_chunk")))
+    in_chunk = Window.partitionBy("_key").orderBy(*layout.order)
     rows = (
-        df.withColumn("_chunk", layout.chunk())
-        .withColumn("_i", F.row_number().over(in_chunk) - 1)
-        .withColumn("_block", F.floor(F.col("_i") / _BLOCK))
-        .withColumn("_k", (F.col("_i") % _BLOCK).cast("double"))
+        rows.withColumn("_i", F.row_number().over(in_chunk) - 1)
+        .withColumn("_block", F.floor(F.col("_i") / reach))
+        .withColumn("_k", (F.col("_i") % reach).cast("double"))
     )
-    in_block = (
-        Window.partitionBy(*keys, "_block").orderBy(*layout.order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    weight = F.pow(F.lit(decay), F.col("_k"))
+    in_block = Window.partitionBy("_key", "_block").orderBy(*layout.order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def faded(steps):
+        return F.pow(F.lit(decay), steps)
+
+    weight = faded(F.col("_k"))
     partial = rows.withColumns(
         {f"_p_{f}": F.lit(alpha) * weight * F.sum(F.col(f) / weight).over(in_block) for f in features}
-    )
+    ) if decay else rows.withColumns({f"_p_{f}": F.col(f) for f in features})
     before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+
+    def block_end(f: str):
+        return F.last(F.when(F.col("_k") == reach - 1, F.col(f"_p_{f}")), ignorenulls=True).over(before)
+
     chunked = partial.withColumns(
-        {
-            f"_l_{f}": F.col(f"_p_{f}")
-            + weight
-            * decay
-            * F.coalesce(
-                F.last(F.when(F.col("_k") == _BLOCK - 1, F.col(f"_p_{f}")), ignorenulls=True).over(before), F.lit(0.0)
-            )
-            for f in features
-        }
+        {f"_l_{f}": F.col(f"_p_{f}") + weight * decay * F.coalesce(block_end(f), F.lit(0.0)) for f in features}
     )
     position = F.struct(*[F.col(c) for c in layout.order])
-    ends = chunked.groupBy(*keys).agg(
+    ends = chunked.groupBy("_key").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         *[F.min_by(F.col(f), position).alias(f"first_{f}") for f in features],
         *[F.max_by(F.col(f"_l_{f}"), position).alias(f"tail_{f}") for f in features],
     )
     chunks = Window.partitionBy(*layout.keys).orderBy("_chunk")
-    recent = chunks.rowsBetween(-96, -1)
-    handed = ends.select(
-        *keys,
-        *[F.first(f"first_{f}").over(chunks).alias(f"_seed_{f}") for f in features],
-        F.collect_list(F.struct("n", *[f"tail_{f}" for f in features])).over(recent).alias("_past"),
-    )
-    def hand_on(f: str):
-        return lambda acc, c: F.pow(F.lit(decay), c["n"]) * acc + c[f"tail_{f}"]
-
-    handed = handed.select(
-        *keys,
-        *[
-            F.aggregate(
-                "_past",
-                F.col(f"_seed_{f}"),
-                hand_on(f),
-            ).alias(f"_in_{f}")
-            for f in features
-        ],
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    # Rows up to a chunk's end, and the stretch of ``reach`` rows in which it ends.
+    ends = ends.select("_key.*", "n", *[f"first_{f}" for f in features], *[f"tail_{f}" for f in features])
+    ends = ends.withColumn("_end", F.sum("n").over(chunks)).withColumn("_part", F.floor(F.col("_end") / reach))
+    into = F.col("_end") - F.col("_part") * reach
+    in_part = Window.partitionBy(*layout.keys, "_part").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ends.withColumns({f"_sum_{f}": F.sum(F.col(f"tail_{f}") / faded(into)).over(in_part) for f in features})
+    closes = F.coalesce(F.lead("_part").over(chunks) != F.col("_part"), F.lit(True))
+    closed = summed.withColumn("_closes", F.when(closes, F.struct("_part", *[f"_sum_{f}" for f in features])))
+    closed = closed.withColumn("_past", F.last("_closes", ignorenulls=True).over(earlier))
+
+    def leaving(f: str):
+        near = F.col("_past._part") == F.col("_part") - 1
+        past = F.when(near, F.col(f"_past._sum_{f}") * faded(into + reach))
+        return F.col(f"_sum_{f}") * faded(into) + F.coalesce(past, F.lit(0.0))
+
+    def seed(f: str):
+        return F.first(f"first_{f}").over(chunks) * faded(F.col("_end") - F.col("n"))
+
+    left = closed.withColumns({f"_out_{f}": leaving(f) for f in features})
+    handed = left.select(
+        F.struct(*keys).alias("_key"),
+        *[(seed(f) + F.coalesce(F.lag(f"_out_{f}").over(chunks), F.lit(0.0))).alias(f"_in_{f}") for f in features],
     )
-    joined = chunked.join(handed, keys, "left")
+    joined = chunked.join(handed, "_key", "left")
     return joined.select(
         *df.columns,
-        *[
-            (F.col(f"_l_{f}") + F.pow(F.lit(decay), F.col("_i") + 1) * F.col(f"_in_{f}")).alias(f"{f}_ewma")
-            for f in features
-        ],
+        *[(F.col(f"_l_{f}") + faded(F.col("_i") + 1) * F.col(f"_in_{f}")).alias(f"{f}_ewma") for f in features],
     )
 
 

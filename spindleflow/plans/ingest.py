@@ -181,9 +181,10 @@ def ingest_machine_run(
 ) -> DataFrame:
     """A machine-run folder to windows: aligned context, stability margin, interval labels.  Clock errors fail."""
     tables = read_machine_run(spark, folder, plan.span_s)
-    errors = tables["findings"].where("severity = 'error'").limit(20).collect()
+    # Findings are one row per kind and table of a run; equal ones are counted.
+    errors = tables["findings"].where("severity = 'error'").groupBy("message").count().orderBy("message").collect()
     if errors:
-        raise ValueError("; ".join(row["message"] for row in errors))
+        raise ValueError("; ".join(f"{row['message']} ({row['count']} times)" if row["count"] > 1 else row["message"] for row in errors))
     meta = tables["metadata"].first().asDict()  # one small row of a run's parameters
     scenario = meta["run_id"] or folder.rstrip("/").rsplit("/", 1)[-1]
     return machine_windows(tables["samples"], tables["labels"], meta, scenario, plan, default_label)

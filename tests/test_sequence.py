@@ -124,17 +124,28 @@ def test_deltas_and_ewma(table):
             before = r
 
 
-def test_ewma_over_one_long_chunk(table):
+@pytest.mark.parametrize("alpha", [0.01, 0.05, 0.35, 0.9, 1.0])
+@pytest.mark.parametrize("span", [0.1, 2.0, 1e9])
+def test_ewma_for_any_alpha_and_chunk(table, alpha, span):
+    """One long chunk, some chunks, and chunks of about one row each."""
     rows, df = table
-    wide = Layout(span=1e9)
-    smooth = result(seq.ewma(df, wide, ("rms",)), "rms_ewma")
+    smooth = result(seq.ewma(df, Layout(span=span), ("rms",), alpha), "rms_ewma")
     for group in by_episode(rows).values():
         level = None
         for r in group:
-            level = r[5] if level is None else 0.35 * r[5] + 0.65 * level
+            level = r[5] if level is None else alpha * r[5] + (1 - alpha) * level
             assert smooth[r[2]][0] == pytest.approx(level, rel=1e-12)
 
 
+def test_scans_keep_groups_and_times_that_are_null_together(spark):
+    rows = [(None, None if i < 3 else i / 10.0, i) for i in range(400)] + [("a", i / 10.0, 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t double, i long")
+    layout = Layout(("k",), "t", "i", 2.0)
+    out = {r["i"]: (r["position"], r["n"]) for r in with_position(df, ["k"], layout.chunk(), layout.order, total="n").collect()}
+    assert [out[i] for i in range(400)] == [(i + 1, 400) for i in range(400)]
+    assert [out[1000 + i] for i in range(50)] == [(i + 1, 50) for i in range(50)]
+
+
 @pytest.mark.parametrize("horizon", [0.25, 3.0])
 def test_horizon_labels(table, horizon):
     rows, df = table
@@ -200,13 +211,12 @@ def test_intervals_closed_and_severest_wins(spark):
     assert [got[i] for i in range(12)] == ["stable"] * 3 + ["slight"] * 3 + ["transition"] * 3 + ["unknown"] * 3
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_exact_quantiles(spark, small):
+def test_exact_quantiles(spark):
     rnd = random.Random(2)
     rows = [("a", rnd.gauss(0, 1)) for _ in range(3000)] + [("b", float(rnd.randint(0, 3))) for _ in range(501)] + [("c", 4.0)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.25, 0.5, 0.95, 0.997, 1.0]
-    out = quantiles.exact_quantiles(df, {"x": F.col("x")}, probs, ("g",), small=small)
+    out = quantiles.exact_quantiles(df, {"x": F.col("x")}, probs, ("g",))
     got = {(r["g"], r["prob"]): r["value"] for r in out.collect()}
     for g in "abc":
         values = [x for k, x in rows if k == g]
@@ -215,11 +225,11 @@ def test_exact_quantiles(spark, small):
 
 
 def test_sketch_brackets_hold_the_ranks(spark, monkeypatch):
-    """The large-group path: brackets from the sketch, not the whole range."""
-    monkeypatch.setattr(quantiles, "SMALL", 0)
+    """Brackets from the sketch, not the whole range."""
+    monkeypatch.setattr(quantiles, "NARROW", 0)
     df = spark.range(250_000).select((F.hash("id") / 1000.0).alias("x"), F.lit(1).alias("g"))
     values = np.array([r[0] for r in df.select("x").collect()])
-    out = quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.99], ("g",), small=0)
+    out = quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.99], ("g",))
     got = {r["prob"]: r["value"] for r in out.collect()}
     for p in (0.25, 0.5, 0.99):
         assert got[p] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
@@ -238,6 +248,15 @@ def test_pareto_fronts(spark):
         assert three[i] == (not beaten3)
 
 
+def test_front_with_large_counts(spark):
+    rows = [(0, 0.1, 0.9, 0), (1, 0.2, 0.8, 2**33), (2, 0.1, 0.95, 2**62), (3, 0.3, 0.95, 2**62 - 1)]
+    df = spark.createDataFrame(rows, "id long, r double, m double, c long")
+    got = {x["id"]: x["pareto_efficient"] for x in runs.pareto_front3(df, ["id"], "r", "m", "c").collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True}
+    with pytest.raises(Exception, match="must not be negative"):
+        runs.pareto_front3(spark.createDataFrame([(0, 0.1, 0.9, -1)], df.schema), ["id"], "r", "m", "c").collect()
+
+
 def test_slices_cover_full_windows_only(spark):
     n, size, hop = 53, 8, 3
     samples = spark.createDataFrame([("s", 0, i, i / 10.0, [float(i)]) for i in range(n)], "scenario string, episode long, sample_idx long, time_s double, ch array<double>")
