@@ -265,16 +265,16 @@ def a27(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "j9_pareto_three_way",
-    f"""WITH {TRACE_SQL}, {EPM_SQL}, p AS (SELECT {_EP}, round(mean_risk, 2) AS r, round(relative_mrr_proxy, 2) AS m, steps - severe_steps AS c FROM epm WHERE scenario = 'onset'),
+    f"""WITH {TRACE_SQL}, {EPM_SQL}, p AS (SELECT {_EP}, round(mean_risk, 9) AS r, round(relative_mrr_proxy, 9) AS m, steps - severe_steps AS c FROM epm),
     u AS (SELECT DISTINCT r, m, c FROM p),
     f AS (SELECT *, NOT EXISTS (SELECT 1 FROM u q WHERE q.r <= u.r AND q.m >= u.m AND q.c <= u.c AND (q.r < u.r OR q.m > u.m OR q.c < u.c)) AS pareto_efficient FROM u)
     SELECT {_EP}, pareto_efficient FROM p JOIN f USING (r, m, c)""",
 )
 def j9_three(spark: SparkSession, folder: str) -> DataFrame:
-    rows = episodes(spark, folder).where(F.col("scenario") == "onset").select(
+    rows = episodes(spark, folder).select(
         *EP_KEYS,
-        F.round("mean_risk", 2).alias("r"),
-        F.round("relative_mrr_proxy", 2).alias("m"),
+        F.round("mean_risk", 9).alias("r"),
+        F.round("relative_mrr_proxy", 9).alias("m"),
         (F.col("steps") - F.col("severe_steps")).alias("c"),
     )
     return runs.pareto_front3(rows, list(EP_KEYS), "r", "m", "c").drop("r", "m", "c")

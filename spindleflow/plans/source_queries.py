@@ -37,7 +37,7 @@ def s1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _package_files(spark: SparkSession, folder: str, wide: bool) -> str:
-    """Embeddings as package CSV files: vector cells, or four expanded columns per axis."""
+    """Embeddings as package CSV files: vector cells, or one column for each value of an axis (half a vector)."""
     x = F.col("embedding").cast("array<double>")
     rows = read(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("timestamp"),
@@ -47,10 +47,10 @@ def _package_files(spark: SparkSession, folder: str, wide: bool) -> str:
         x.alias("x"),
     )
     if wide:
-        axes = [(a, F.slice("x", 1 + 4 * j, 4)) for j, a in enumerate(("x", "y"))]
+        axes = [(a, F.slice("x", 1 + 32 * j, 32)) for j, a in enumerate(("x", "y"))]
         rows = rows.select(
             "timestamp", "fs", "spindlespeed", "status",
-            *[F.get(v, F.lit(i)).cast("string").alias(f"{a}_channel_{i}") for a, v in axes for i in (3, 0, 2, 1)],
+            *[F.get(v, F.lit(i)).cast("string").alias(f"{a}_channel_{i}") for a, v in axes for i in (k * 13 % 32 for k in range(32))],
         )
     else:
         text = F.concat(F.lit("["), F.array_join(F.col("x").cast("array<string>"), ";"), F.lit("]"))
@@ -86,37 +86,57 @@ def s2(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "s2_read_wide_packages",
     """SELECT CASE WHEN label < 2 THEN 'unknown' WHEN label < 6 THEN 'stable' ELSE 'slight' END AS label, count(*) AS packages,
-      round(sum(embedding[1]::DOUBLE), 6) + 0.0 AS x0, round(sum(embedding[4]::DOUBLE), 6) + 0.0 AS x3, round(sum(embedding[7]::DOUBLE), 6) + 0.0 AS y2 FROM embeddings GROUP BY 1""",
+      
+      round(sum(list_sum(list_transform(range(1, 33), lambda i: i * embedding[i]::DOUBLE))), 5) + 0.0 AS x_in_place, round(sum(list_sum(list_transform(range(1, 33), lambda i: i * embedding[i + 32]::DOUBLE))), 5) + 0.0 AS y_in_place,
+      CAST(sum(len(embedding)) AS BIGINT) AS numbers FROM embeddings GROUP BY 1""",
 )
 def s2_wide(spark: SparkSession, folder: str) -> DataFrame:
     rows = packages.read_packages(spark, _package_files(spark, folder, True), include_unknown=True)
     return rows.groupBy("label").agg(
         F.count(F.lit(1)).alias("packages"),
-        F.sum(F.col("signal")[0][0]).alias("x0"),
-        F.sum(F.col("signal")[3][0]).alias("x3"),
-        F.sum(F.col("signal")[2][1]).alias("y2"),
+        F.round(F.sum(_in_place(0)), 5).alias("x_in_place"),
+        F.round(F.sum(_in_place(1)), 5).alias("y_in_place"),
+        F.sum(F.size("signal") * F.size(F.col("signal")[0])).alias("numbers"),
     )
 
 
+def _in_place(axis: int):
+    """Sum of an axis' samples, each weighted by its place, so that a value out of order shows."""
+    weighed = F.transform("signal", lambda s, i: s[axis] * (i + 1))
+    return F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x)
+
+
 def _recordings(spark: SparkSession, folder: str) -> str:
     base = folder_for(spark, "recordings")
     rows = read(spark, folder, "events").select("event_id", "event_type", F.col("value").alias("x"), (F.col("value") * 2).alias("y"), F.lit(1.5).alias("z"))
-    for quality, kind in (("good", "view"), ("bad", "error")):
-        part = rows.where(F.col("event_type") == kind).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    bad = F.col("event_type") == "error"
+    for quality, kept in (("good", ~bad), ("bad", bad)):
+        part = rows.where(kept).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
         part.drop("event_type").write.option("header", True).csv(f"{base}/M01/OP07/{quality}")
     return base
 
 
-@query("s3_discover_files")
+@query(
+    "s3_discover_files",
+    """SELECT 'M01' AS machine, 'OP07' AS operation, CASE event_type WHEN 'error' THEN 'bad' ELSE 'good' END AS quality, count(*) AS samples,
+      CAST(sum(length(CAST(event_id AS VARCHAR))) AS BIGINT) AS digits FROM events GROUP BY ALL""",
+)
 def s3(spark: SparkSession, folder: str) -> DataFrame:
-    found = tables.discover_files(spark, _recordings(spark, folder), "*.csv")
-    return found.groupBy("machine", "operation", "quality").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    """Every discovered file with the rows it holds, by the attributes of its folder."""
+    base = _recordings(spark, folder)
+    inside = F.regexp_extract("path", r"(/M\d+/.*)$", 1)
+    found = tables.discover_files(spark, base, "*.csv").withColumn("name", inside).where("length > 0")
+    lines = spark.read.option("header", True).option("recursiveFileLookup", True).csv(base)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "event_id").withColumn("name", inside).drop("path")
+    return found.join(lines, "name").groupBy("machine", "operation", "quality").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum(F.length("event_id")).alias("digits")
+    )
 
 
 @query(
     "s4_read_triaxial",
-    """SELECT 'M01_OP07' AS scenario, CASE event_type WHEN 'view' THEN 'good' ELSE 'bad' END AS quality, count(*) AS samples, count(*) AS numbered, round(sum(value), 6) AS x, round(sum(value * 2), 6) AS y
-    FROM events WHERE event_type IN ('view', 'error') GROUP BY event_type""",
+    """SELECT 'M01_OP07' AS scenario, CASE event_type WHEN 'error' THEN 'bad' ELSE 'good' END AS quality, count(*) AS samples, count(*) AS numbered, round(sum(value), 6) AS x, round(sum(value * 2), 6) AS y
+    FROM events GROUP BY ALL""",
 )
 def s4(spark: SparkSession, folder: str) -> DataFrame:
     samples = tables.read_triaxial(spark, _recordings(spark, folder), 2000.0)
@@ -171,11 +191,11 @@ def s6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s9_read_cutting_intervals",
-    f"""WITH {WIN_SQL} SELECT count(*) AS intervals, round(sum(k - 10.5e0), 6) AS length_sum FROM win WHERE label = 'severe' AND k - 10.5e0 > 0""",
+    f"""WITH {WIN_SQL} SELECT count(*) AS intervals, round(sum(k - 10.5e0), 6) AS length_sum FROM win WHERE k - 10.5e0 > 0""",
 )
 def s9(spark: SparkSession, folder: str) -> DataFrame:
     path = folder_for(spark, "cutting")
-    windows(spark, folder).where("label = 'severe'").select(
+    windows(spark, folder).select(
         F.col("value").alias("Start"), (F.col("value") + F.col("k") - 10.5).alias("End")
     ).write.option("header", True).csv(path)
     found = tables.read_cutting_intervals(spark, path)
@@ -208,7 +228,7 @@ def s10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """One metrics file per (algorithm, seed), and the list of requested runs with two that do not exist."""
+    """One metrics file per (algorithm, seed); requested are these runs and one named after each nation, which has none."""
     run = F.concat_ws("-", "training_algorithm", F.col("seed").cast("string"))
     stats = trace(spark, folder).groupBy(run.alias("run")).agg(
         F.avg("risk_now").alias("a"), F.avg("reward").alias("b"), F.avg("raw_feed_override").alias("c")
@@ -225,7 +245,7 @@ def _run_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     base = folder_for(spark, "runs")
     nested.withColumn("dir", F.col("run")).repartition("dir").write.partitionBy("dir").json(base)
     asked = stats.select(F.concat(F.lit("dir="), F.col("run")).alias("run")).union(
-        spark.range(2).select(F.concat(F.lit("dir=missing-"), F.col("id").cast("string")).alias("run"))
+        read(spark, folder, "nation").select(F.concat(F.lit("dir="), F.col("n_name")).alias("run"))
     )
 
     number = T.StructType().add("f1", "double")
@@ -255,7 +275,7 @@ def a29(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s11_skipped_runs",
-    """SELECT 'dir=missing-' || i AS run, 'missing metrics.json' AS reason FROM (SELECT DISTINCT l_linenumber % 2 AS i FROM lineitem)""",
+    """SELECT 'dir=' || n_name AS run, 'missing metrics.json' AS reason FROM nation""",
 )
 def s11(spark: SparkSession, folder: str) -> DataFrame:
     return _run_files(spark, folder)[1]
