@@ -38,7 +38,7 @@ def x1(spark: SparkSession, folder: str) -> DataFrame:
     "x2_live_context",
     """WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'view'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
     m AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM c)) - INTERVAL 1 DAY AS mark),
-    j AS (SELECT s.event_id, s.ts, arg_max(c.value, c.ts) AS context_value FROM s JOIN c ON s.user_id = c.user_id AND c.ts <= s.ts AND c.ts >= s.ts - INTERVAL 12 HOUR GROUP BY s.event_id, s.ts)
+    j AS (SELECT s.event_id, s.ts, arg_max(c.value, c.ts) AS context_value FROM s LEFT JOIN c ON s.user_id = c.user_id AND c.ts <= s.ts AND c.ts >= s.ts - INTERVAL 12 HOUR GROUP BY s.event_id, s.ts)
     SELECT event_id, context_value FROM j CROSS JOIN m WHERE date_trunc('second', j.ts) + INTERVAL 1 SECOND <= m.mark - INTERVAL 12 HOUR""",
 )
 def x2(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,5 +88,5 @@ def x4(spark: SparkSession, folder: str) -> DataFrame:
     # The recommendations table is itself a stream source for the burden job.
     path = stored.inputFiles()[0].rsplit("/", 1)[0]
     again = spark.readStream.schema(stored.schema).parquet(path).where("state = 'live'")
-    burden = live.drain(live.rolling_burden(again, "1 day"), "burden", "complete")
+    burden = live.drain(live.rolling_burden(again, "1 day"), "burden", ("window_start",))
     return burden.select(F.unix_micros("window_start").alias("start_us"), "windows", "warning_windows", "action_windows")

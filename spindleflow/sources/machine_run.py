@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindleflow.functions.physics import feed_from_mm_min
@@ -32,8 +32,8 @@ def read_sensors(
     )
 
 
-def read_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Spindle speed and feed per tooth; a feed in mm/min is converted with the run's flute count of 4."""
+def read_context(spark: SparkSession, folder: str, flutes: Column | None = None) -> DataFrame:
+    """Spindle speed and feed per tooth; a feed in mm/min is converted with the tool's flute count (4 if unknown)."""
     rows = in_file_order(read_rows(spark, folder, "cnc_context.csv"), "_n")
     if "spindle_rpm" not in rows.columns or not {"feed_per_tooth_m", "feed_mm_min"} & set(rows.columns):
         raise ValueError("cnc_context.csv needs spindle_rpm and feed_per_tooth_m or feed_mm_min")
@@ -41,7 +41,7 @@ def read_context(spark: SparkSession, folder: str) -> DataFrame:
     if "feed_per_tooth_m" in rows.columns:
         feed = F.col("feed_per_tooth_m").cast("double")
     else:
-        feed = feed_from_mm_min(F.col("feed_mm_min").cast("double"), rpm, F.lit(4.0))
+        feed = feed_from_mm_min(F.col("feed_mm_min").cast("double"), rpm, F.lit(4.0) if flutes is None else flutes.cast("double"))
     return rows.select(
         run_of().alias("run"),
         (F.col("_n") - 1).alias("row"),
@@ -79,7 +79,8 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
 def read_machine_run(spark: SparkSession, folder: str, span: float = 60.0) -> dict[str, DataFrame]:
     """The tables of one run folder: samples with context, label intervals on the same clock, metadata, findings."""
     base = folder.rstrip("/")
-    sensors, context = read_sensors(spark, base), read_context(spark, base)
+    metadata = read_run_metadata(spark, f"{base}/metadata.json")
+    sensors, context = read_sensors(spark, base), read_context(spark, base, metadata.select("flute_count").scalar())
     origin = sensors.agg(F.min_by("time_s", "sample_idx")).scalar()
     labels = read_labels(spark, base).withColumns(
         {"start_time_s": F.col("start_time_s") - origin, "end_time_s": F.col("end_time_s") - origin}
@@ -87,6 +88,6 @@ def read_machine_run(spark: SparkSession, folder: str, span: float = 60.0) -> di
     return {
         "samples": align_run(sensors, context, span),
         "labels": labels,
-        "metadata": read_run_metadata(spark, f"{base}/metadata.json"),
+        "metadata": metadata,
         "findings": inspect_run(sensors, context),
     }

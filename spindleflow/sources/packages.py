@@ -114,14 +114,21 @@ _FRAMES = 65_536
 
 def _decode(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """PCM sound to mono samples in [-1, 1), a fixed number of frames at a time."""
-    scale = {1: 128.0, 2: 32768.0, 4: 2147483648.0}
+    scale = {1: 128.0, 2: 32768.0, 3: 8388608.0, 4: 2147483648.0}
     kinds = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
     for frame in files:
         for experiment, sensor, content in zip(frame["experiment"], frame["sensor"], frame["content"]):
             with wave.open(io.BytesIO(content)) as sound:
                 width, channels, at = sound.getsampwidth(), sound.getnchannels(), 0
                 while block := sound.readframes(_FRAMES):
-                    data = np.frombuffer(block, kinds[width]).reshape(-1, channels).mean(axis=1)
+                    if width == 3:
+                        # Three bytes a sample: put them on top of an empty one, so that the sign comes along.
+                        wide = np.zeros((len(block) // 3, 4), np.uint8)
+                        wide[:, 1:] = np.frombuffer(block, np.uint8).reshape(-1, 3)
+                        values = wide.view("<i4").reshape(-1) >> 8
+                    else:
+                        values = np.frombuffer(block, kinds[width])
+                    data = values.reshape(-1, channels).mean(axis=1)
                     if width == 1:
                         data = data / 255.0
                     else:

@@ -45,10 +45,10 @@ def session_features(stream: DataFrame, keys: list[str], value: str, gap: str, d
 def enrich(
     samples: DataFrame, context: DataFrame, key: str, sample_id: str, columns: list[str], bound: str, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Latest context row at most ``bound`` before each sample.
+    """Latest context row at most ``bound`` before each sample; NULL columns where there is none.
 
     A stream-stream interval join with watermarks on both sides, then one row per sample; state is bounded by
-    ``bound`` plus the delay.
+    ``bound`` plus the delay. A sample without context leaves the join once the watermark rules a match out.
     """
     left = samples.select(F.col(key), F.col(sample_id), F.col("ts")).withWatermark("ts", delay).alias("s")
     right = context.select(F.col(key), F.col("ts").alias("context_ts"), *columns).withWatermark("context_ts", delay).alias("c")
@@ -57,6 +57,7 @@ def enrich(
         (F.col(f"s.{key}") == F.col(f"c.{key}"))
         & (F.col("c.context_ts") <= F.col("s.ts"))
         & (F.col("c.context_ts") >= F.col("s.ts") - F.expr(f"INTERVAL {bound}")),
+        "left",
     )
     latest = F.max_by(F.struct(*columns), F.col("context_ts"))
     return (
@@ -145,21 +146,24 @@ def rolling_burden(recs: DataFrame, size: str, slide: str | None = None, delay:
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over everything available and return what it wrote to the shared folder.
 
-    ``append`` uses the file sink with its exactly-once log; ``update`` and ``complete`` keep the last batch per run.
+    Without ``keys`` rows are appended by the file sink with its exactly-once log. With ``keys`` the stream runs in
+    update mode: every batch is kept under its number (a repeated batch replaces itself), and of each key the row of
+    the latest batch counts.
     """
     spark = stream.sparkSession
     base = fresh_path(shared_folder(spark), name)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start()
-    else:
-        query = (
-            writer.outputMode(mode)
-            .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows"))
-            .start()
-        )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    if not keys:
+        writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    writer.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    kept = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/rows")
+    latest = F.max_by(F.struct(*stream.columns), F.col("batch")).alias("_row")
+    return kept.groupBy(*keys).agg(latest).select("_row.*")
