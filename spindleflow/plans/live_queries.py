@@ -34,6 +34,19 @@ def x1(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("user_id", F.unix_micros("window_start").alias("start_us"), "samples", "rms", "peak")
 
 
+@query(
+    "x1_live_sessions",
+    """WITH s AS (SELECT user_id, epoch_us(ts) AS us, value, CASE WHEN epoch_us(ts) < lag(epoch_us(ts)) OVER o + 43200000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS number FROM s),
+    g AS (SELECT user_id, number, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) AS samples, round(sqrt(avg(value * value)), 6) AS rms FROM n GROUP BY 1, 2)
+    SELECT user_id, start_us, end_us, samples, rms FROM g WHERE end_us <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000""",
+)
+def x1_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    sessions = live.session_features(event_stream(spark, folder), ["user_id"], "value", "12 hours", "1 day")
+    rows = live.drain(sessions, "sessions")
+    return rows.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "samples", "rms")
+
+
 @query(
     "x2_live_context",
     """WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'view'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),

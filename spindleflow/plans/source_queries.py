@@ -363,3 +363,65 @@ def s7(spark: SparkSession, folder: str) -> DataFrame:
     meta = {**{k: v for group in tables.METADATA_DEFAULTS.values() for k, v in group.items()}, "run_id": "run"}
     table = machine_windows(aligned, marks, meta, "run", plan, "stable")
     return table.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum("start_time_s"), 3).alias("start_sum"))
+
+
+def _write_sounds(spark: SparkSession, folder: str) -> str:
+    """Three 16-bit sound files for each label and thousand vectors, written by the tasks that hold their samples."""
+    base = folder_for(spark, "sounds")
+    parts = read(spark, folder, "embeddings").select(
+        F.concat_ws("x", F.concat(F.lit("Exp"), F.col("label").cast("string")), F.floor(F.col("vec_id") / 1000).cast("string")).alias("experiment"), "vec_id", F.col("embedding").cast("array<double>").alias("x")
+    )
+
+    def write(frames):
+        import io
+        import wave
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        experiment, blocks = None, []
+
+        def close():
+            samples = np.concatenate(blocks)
+            system.create_dir(f"{root}/{experiment}", recursive=True)
+            for sensor in range(3):
+                held = io.BytesIO()
+                with wave.open(held, "wb") as out:
+                    out.setnchannels(1)
+                    out.setsampwidth(2)
+                    out.setframerate(1000)
+                    out.writeframes(np.floor(samples * 10_000 / 2**sensor).astype("<i2").tobytes())
+                with system.open_output_stream(f"{root}/{experiment}/cut_sensor{sensor}.wav") as out:
+                    out.write(held.getvalue())
+            return pd.DataFrame({"experiment": [experiment], "samples": [len(samples)]})
+
+        for frame in frames:
+            for name, x in zip(frame["experiment"], frame["x"]):
+                if name != experiment and blocks:
+                    yield close()
+                    blocks = []
+                experiment = name
+                blocks.append(np.asarray(x))
+        if blocks:
+            yield close()
+
+    dealt = parts.repartition("experiment").sortWithinPartitions("experiment", "vec_id")
+    dealt.mapInPandas(write, "experiment string, samples long").agg(F.sum("samples")).collect()
+    return base
+
+
+@query(
+    "s8_read_sound",
+    """WITH v AS (SELECT 'Exp' || label || 'x' || vec_id // 1000 AS experiment, unnest(embedding)::DOUBLE * 10000e0 AS x FROM embeddings),
+    q AS (SELECT experiment, floor(x) / 32768e0 AS a, floor(x / 2e0) / 32768e0 AS b, floor(x / 4e0) / 32768e0 AS c FROM v)
+    SELECT experiment, count(*) AS samples, round(var_pop(a), 6) + 0.0 AS power0, round(var_pop(b), 6) + 0.0 AS power1, round(covar_pop(a, c), 6) + 0.0 AS joint02 FROM q GROUP BY 1""",
+)
+def s8(spark: SparkSession, folder: str) -> DataFrame:
+    """Sound files of every experiment, read back as aligned channels; powers need the mean removed, the joint one the order."""
+    rows = packages.read_sound(spark, _write_sounds(spark, folder))
+    ch = F.col("ch")
+    return rows.groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("samples"), F.avg(ch[0] * ch[0]).alias("power0"), F.avg(ch[1] * ch[1]).alias("power1"), F.avg(ch[0] * ch[2]).alias("joint02")
+    )
