@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindleflow.functions.labels import label_of_id
@@ -18,25 +19,91 @@ from spindleflow.operators.metrics import chatter_score, class_weights, standard
 from spindleflow.operators.scan import seeded, unit_interval
 from spindleflow.schema import LABELS
 
-Scorer = Callable[[DataFrame], DataFrame]
-
 
 @dataclass
 class RiskModel:
-    """A fitted scorer: adds ``probability`` (five labels), ``predicted_id``, ``predicted_label`` and the chatter score."""
+    """A fitted scorer: adds ``probability`` (five labels), ``predicted_id``, ``predicted_label`` and the chatter score.
+
+    ``kind`` is softmax, trees or calibrated. ``stages`` are fitted Spark ML models; a calibrated model has ``parts``
+    instead: models with one map for each of their labels, a fitted isotonic model or the two numbers of a sigmoid.
+    """
 
+    kind: str
     features: tuple[str, ...]
+    classes: list[int]
     stages: list = field(default_factory=list)
-    classes: list[int] = field(default_factory=list)
-    scorer: Scorer | None = None
+    stats: dict[str, tuple[float, float]] = field(default_factory=dict)
+    parts: list[tuple[RiskModel, dict]] = field(default_factory=list)
+
+    def scorer(self, rows: DataFrame) -> DataFrame:
+        return {"softmax": _score_softmax, "trees": _score_trees, "calibrated": _score_calibrated}[self.kind](self, rows)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return add_predictions(self.scorer(df))
 
-    def save(self, path: str) -> None:
-        """Write every fitted stage under ``path`` with Spark ML persistence."""
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write all that scoring needs under ``path``: the stages, and a line of JSON for the rest."""
+        base = path.rstrip("/")
+        facts = {
+            "kind": self.kind, "features": list(self.features), "classes": self.classes, "stats": self.stats,
+            "stages": [type(s).__name__ for s in self.stages], "parts": [],
+        }
         for i, stage in enumerate(self.stages):
-            stage.write().overwrite().save(f"{path.rstrip('/')}/stage-{i}")
+            stage.write().overwrite().save(f"{base}/stage-{i}")
+        for k, (model, maps) in enumerate(self.parts):
+            model.save(spark, f"{base}/part-{k}")
+            for c, fitted in maps.items():
+                if not isinstance(fitted, tuple):
+                    fitted.write().overwrite().save(f"{base}/map-{k}-{c}")
+            facts["parts"].append([[c, list(m) if isinstance(m, tuple) else None] for c, m in maps.items()])
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RiskModel:
+        """The model saved under ``path``; its scores equal those of the saved one."""
+        base = path.rstrip("/")
+        facts = json.loads(spark.read.text(f"{base}/model").first()[0])
+        readers = {c.__name__: c for c in (LogisticRegressionModel, GBTClassificationModel)}
+        parts = []
+        for k, maps in enumerate(facts["parts"]):
+            held = {c: tuple(m) if m else IsotonicRegressionModel.load(f"{base}/map-{k}-{c}") for c, m in maps}
+            parts.append((cls.load(spark, f"{base}/part-{k}"), held))
+        stages = [readers[name].load(f"{base}/stage-{i}") for i, name in enumerate(facts["stages"])]
+        stats = {name: tuple(pair) for name, pair in facts["stats"].items()}
+        return cls(facts["kind"], tuple(facts["features"]), facts["classes"], stages, stats, parts)
+
+
+def _score_softmax(model: RiskModel, rows: DataFrame) -> DataFrame:
+    assembled = rows.withColumn("_x", array_to_vector(F.array(*_scaled(list(model.features), model.stats))))
+    out = model.stages[0].transform(assembled)
+    return out.withColumn("probability", _aligned(F.col("_p"), model.classes)).drop("_x", "_p", "_r", "_c")
+
+
+def _score_trees(model: RiskModel, rows: DataFrame) -> DataFrame:
+    out = VectorAssembler(inputCols=list(model.features), outputCol="_x").transform(rows)
+    for c, stage in zip(model.classes, model.stages):
+        out = stage.transform(out).withColumn(f"_s{c}", vector_to_array("probability")[1])
+        out = out.drop("probability", "rawPrediction", "prediction")
+    return normalised(out, model.classes).drop("_x", *[f"_s{c}" for c in model.classes])
+
+
+def _score_calibrated(model: RiskModel, rows: DataFrame) -> DataFrame:
+    """The mean of the parts' calibrated scores, normalised."""
+    out = rows
+    for k, (part, maps) in enumerate(model.parts):
+        out = part.scorer(out)
+        for c, fitted in maps.items():
+            s = F.col("probability")[c]
+            if isinstance(fitted, tuple):
+                out = out.withColumn(f"_m{k}_{c}", 1.0 / (1.0 + F.exp(-(fitted[1] + fitted[0] * s))))
+            else:
+                out = fitted.transform(out.withColumn("s", s)).drop("s").withColumnRenamed(f"_q{c}", f"_m{k}_{c}")
+        out = out.drop("probability")
+    for c in model.classes:
+        shares = [F.col(f"_m{k}_{c}") for k, (_, maps) in enumerate(model.parts) if c in maps]
+        out = out.withColumn(f"_s{c}", sum(shares[1:], shares[0]) / len(model.parts))
+    used = [f"_m{k}_{c}" for k, (_, maps) in enumerate(model.parts) for c in maps]
+    return normalised(out, model.classes).drop(*used, *[f"_s{c}" for c in model.classes])
 
 
 def add_predictions(df: DataFrame) -> DataFrame:
@@ -91,11 +158,7 @@ def train_softmax(
     ).fit(train)
     train.unpersist()
 
-    def score(rows: DataFrame) -> DataFrame:
-        out = model.transform(assemble(rows))
-        return out.withColumn("probability", _aligned(F.col("_p"), classes)).drop("_x", "_p", "_r", "_c")
-
-    return RiskModel(features, [model], classes, score)
+    return RiskModel("softmax", tuple(features), classes, [model], stats)
 
 
 def train_trees(
@@ -117,14 +180,7 @@ def train_trees(
         )
     train.unpersist()
 
-    def score(rows: DataFrame) -> DataFrame:
-        out = assembler.transform(rows)
-        for c, model in zip(classes, models):
-            out = model.transform(out).withColumn(f"_s{c}", vector_to_array("probability")[1])
-            out = out.drop("probability", "rawPrediction", "prediction")
-        return normalised(out, classes).drop("_x", *[f"_s{c}" for c in classes])
-
-    return RiskModel(features, models, classes, score)
+    return RiskModel("trees", tuple(features), classes, models)
 
 
 def normalised(df: DataFrame, classes: list[int], prefix: str = "_s") -> DataFrame:
@@ -167,33 +223,13 @@ def calibrate_scores(
                 maps[c] = IsotonicRegression(featuresCol="s", labelCol="y", predictionCol=f"_q{c}").fit(rows)
             else:
                 vector = rows.withColumn("_v", array_to_vector(F.array("s")))
-                maps[c] = LogisticRegression(featuresCol="_v", labelCol="y", regParam=0.0).fit(vector)
+                fitted = LogisticRegression(featuresCol="_v", labelCol="y", regParam=0.0).fit(vector)
+                maps[c] = (float(fitted.coefficients[0]), float(fitted.intercept))
         pairs.append((model, maps))
     tagged.unpersist()
     classes = sorted({c for model, _ in pairs for c in model.classes})
 
-    def calibrated(rows: DataFrame, model: RiskModel, maps: dict, k: int) -> DataFrame:
-        out = model.scorer(rows)
-        for c, fitted in maps.items():
-            s = F.col("probability")[c]
-            if method == "isotonic":
-                out = fitted.transform(out.withColumn("s", s)).drop("s").withColumnRenamed(f"_q{c}", f"_m{k}_{c}")
-            else:
-                a, b = float(fitted.coefficients[0]), float(fitted.intercept)
-                out = out.withColumn(f"_m{k}_{c}", 1.0 / (1.0 + F.exp(-(b + a * s))))
-        return out.drop("probability")
-
-    def score(rows: DataFrame) -> DataFrame:
-        out = rows
-        for k, (model, maps) in enumerate(pairs):
-            out = calibrated(out, model, maps, k)
-        for c in classes:
-            parts = [F.col(f"_m{k}_{c}") for k, (_, maps) in enumerate(pairs) if c in maps]
-            out = out.withColumn(f"_s{c}", sum(parts[1:], parts[0]) / len(pairs))
-        used = [f"_m{k}_{c}" for k, (_, maps) in enumerate(pairs) for c in maps]
-        return normalised(out, classes).drop(*used, *[f"_s{c}" for c in classes])
-
-    return RiskModel(pairs[0][0].features, [s for model, _ in pairs for s in model.stages], classes, score)
+    return RiskModel("calibrated", pairs[0][0].features, classes, parts=pairs)
 
 
 def fit_margin_calibration(df: DataFrame, margin: str, positive: str, context: bool = False) -> MarginCalibration:

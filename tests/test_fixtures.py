@@ -408,3 +408,22 @@ def test_sql_names(spark):
     assert row["r"] == pytest.approx(risk_of(spark, -0.5)["risk_chatter_now"], rel=1e-9)
     wave_row = spark.sql("SELECT spectral_features(transform(sequence(0, 127), i -> sin(i / 3D)), 100D, 300D, 4, CAST(NULL AS DOUBLE)) AS p").first()
     assert wave_row["p"]["tooth_frequency_hz"] == 20.0
+
+
+@pytest.mark.parametrize("kind", ["softmax", "trees", "sigmoid", "isotonic"])
+def test_saved_models_score_alike(spark, tmp_path, kind):
+    from spindleflow.operators import learning
+
+    rows = [(i, i % 3, float(i % 3) + ((i * 37) % 11) / 20.0, float((i * 53) % 7)) for i in range(240)]
+    df = spark.createDataFrame(rows, "window_id long, label_id int, a double, b double")
+    fit = lambda d: learning.train_softmax(d, ("a", "b"), "label_id")
+    if kind == "softmax":
+        model = fit(df)
+    elif kind == "trees":
+        model = learning.train_trees(df, ("a", "b"), "label_id", max_iter=3)
+    else:
+        model = learning.calibrate_scores(df, fit, "label_id", "window_id", kind, 2)
+    model.save(spark, str(tmp_path))
+    again = learning.RiskModel.load(spark, str(tmp_path))
+    mine, theirs = ({r["window_id"]: (r["probability"], r["predicted_label"]) for r in m.transform(df).collect()} for m in (model, again))
+    assert mine == theirs
