@@ -31,7 +31,7 @@ def _run(spark: SparkSession, folder: str, **options) -> dict:
 
 @query("m1_softmax")
 def m1(spark: SparkSession, folder: str) -> DataFrame:
-    return _run(spark, folder, split="episode", iterations=30)["classification"]
+    return _run(spark, folder, split="episode")["classification"]
 
 
 @query("m2_trees")
@@ -41,7 +41,7 @@ def m2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m3_calibrated_scores")
 def m3(spark: SparkSession, folder: str) -> DataFrame:
-    return _run(spark, folder, calibration="sigmoid", iterations=15)["classification"]
+    return _run(spark, folder, calibration="sigmoid")["classification"]
 
 
 @query("m4_margin_calibration")
@@ -59,14 +59,14 @@ def m4(spark: SparkSession, folder: str) -> DataFrame:
 @query("m5_score")
 def m5(spark: SparkSession, folder: str) -> DataFrame:
     rows = learnable(spark, folder)
-    model = learning.train_softmax(rows, _FEATURES, "label_id", max_iter=20)
+    model = learning.train_softmax(rows, _FEATURES, "label_id")
     return model.transform(rows).select("window_id", "predicted_label", "predicted_chatter_score")
 
 
 @query("m6_train_risk")
 def m6(spark: SparkSession, folder: str) -> DataFrame:
     run = _run(
-        spark, folder, target="horizon", split="parameter_family", validation_fraction=0.25, iterations=20
+        spark, folder, target="horizon", split="parameter_family", validation_fraction=0.25
     )
     outcome = shadow_evaluation(run, LAYOUT, source="event")
     return outcome["events"]
