@@ -52,6 +52,12 @@ SELECT window_id, round(a, 6) + 0.0 AS rms_ewma, round(b, 6) + 0.0 AS chatter_ba
 FROM r"""
 
 
+@query("w3_ewma_slow", _EWMA_SQL.replace("0.35e0", "0.01e0").replace("0.65e0", "0.99e0"))
+def w3_slow(spark: SparkSession, folder: str) -> DataFrame:
+    """A factor that remembers some hundreds of windows."""
+    return seq.ewma(windows(spark, folder), LAYOUT, alpha=0.01).select("window_id", *[f"{f}_ewma" for f in seq.EWMA_FEATURES])
+
+
 @query("w3_ewma", _EWMA_SQL)
 def w3(spark: SparkSession, folder: str) -> DataFrame:
     return seq.ewma(windows(spark, folder), LAYOUT).select("window_id", *[f"{f}_ewma" for f in seq.EWMA_FEATURES])
