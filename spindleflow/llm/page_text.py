@@ -35,10 +35,11 @@ OPEN_ENDED = frozenset("li p dt dd tr td th option".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table figure dialog details blockquote menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
-    r"|nav|navbar|navigation|menus?|submenu|breadcrumbs?|sidebar|widgets?|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations"
-    r"|newsletter|subscribe|subscription|signup|login|search|comments?|commentlist|comment-?form|replies|respond|disqus|pagination|pager|copyright|skip-?link)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner|container|wrapper)s?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|cookie(?:bar|banner|notice|consent)|consent|gdpr|notices?|alerts?|popup|modal|overlay"
+    r"|nav|navbar|navigation|menus?|submenu|breadcrumbs?|sidebar|side-?bar|widgets?|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations"
+    r"|newsletter|subscribe|subscription|signup|login|search|comments?|commentlist|comment-?form|reply|replies|respond|disqus|pagination|pager|copyright|skip-?link)(?:$|[\s_-])"
 )
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])")
 BODY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|page)[_-]?(?:body|content|text)(?:$|[\s_-])|^(?:content|article|story)$")
 
@@ -87,7 +88,7 @@ class _Reader(HTMLParser):
                     break
         _, silent, dropped, level = self._state()
         given = dict(attrs)
-        names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().strip()
+        names = CAMEL.sub("-", f"{given.get('class') or ''} {given.get('id') or ''}").lower().strip()
         role = (given.get("role") or "").lower()
         if tag == "article" or role == "article":
             level = max(level, 3)

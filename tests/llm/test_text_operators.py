@@ -275,6 +275,15 @@ def test_markup_decides_and_differencing_fills_in(spark):
     assert page_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_named_containers_are_left_out():
+    page = """<html><body class="has-sidebar"><header class="siteHeader"><h1>Site</h1></header><div id="cookieNotice">We use cookies</div>
+    <nav>Menu</nav><div class="ad-slot">Buy</div><article class="post"><header><h1>Title &eacute;</h1></header><p>One&#8217;s   text</p>
+    <div class="advert">Ad</div><ul><li>first<li>second</ul><aside>Aside</aside><section class="reader-comments"><article class="comment"><p>Nice!</p></article></section>
+    <form><input value=x><label>Mail</label></form><footer>Tags</footer></article><div class="sidebar">Side</div><footer>End</footer></body></html>"""
+    assert [t for t, state in page_text.read_page(page) if state == page_text.KEEP] == ["Title é", "One’s text", "first", "second"]
+    assert page_text.read_page("") == [] and page_text.read_page("plain") == [("plain", page_text.OPEN)]
+
+
 def test_common_places_are_a_longest_common_subsequence():
     def length(a, b):
         row = [0] * (len(b) + 1)
