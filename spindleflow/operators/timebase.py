@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindleflow.operators.metrics import count_if
 from spindleflow.operators.quantiles import exact_quantiles
-from spindleflow.operators.scan import Layout, Running, scan, with_position
+from spindleflow.operators.scan import Layout, Running, scan
 from spindleflow.operators.staging import staged
 from spindleflow.schema import LABELS
 
@@ -71,9 +71,20 @@ def timebase_findings(summary: DataFrame, name: str, by: tuple[str, ...], min_ro
 
 
 def dense_number(values: DataFrame, column: str, name: str) -> DataFrame:
-    """0-based number of each distinct value in sorted order; chunks by the first character keep order."""
-    first = F.ascii(F.substring(F.col(column).cast("string"), 1, 1)).cast("long")
-    return with_position(values, [], first, [column], name).withColumn(name, F.col(name) - 1)
+    """0-based number of each row in the order of ``column``; give distinct values for a number per value.
+
+    Rows are sorted by ranges that Spark samples, so values that all start alike spread like any others. Each row is
+    numbered inside its part, and the parts, a row each, are numbered from their sizes.
+    """
+    sorted_rows = values.repartitionByRange(column).sortWithinPartitions(column)
+    rows = staged(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    bases = sizes.select("_part", before.alias("_base"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.withColumn("_part", F.shiftright("_at", 33)).join(bases, "_part")
+    return placed.withColumn(name, F.col("_base") + inside).select(*values.columns, name)
 
 
 def first_per_source(df: DataFrame, layout: Layout, k: int) -> DataFrame:
