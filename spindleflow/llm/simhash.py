@@ -194,6 +194,33 @@ def near_links(
     return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
 
 
+def forests(links: DataFrame) -> DataFrame:
+    """Links that join the same nodes with fewer rows: of each task's links a spanning forest. A dense group sends on as
+    many links as it has members in the task, not as it has pairs; what the tasks share is joined later."""
+    a, b = links.columns
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    kept.append((x, y))
+            if kept:
+                yield pa.record_batch([pa.array([k for k, _ in kept], pa.int64()), pa.array([k for _, k in kept], pa.int64())], names=[a, b])
+
+    return links.mapInArrow(run, f"{a} long, {b} long")
+
+
 def near_groups(
     docs: DataFrame, words: int = 4, max_bits: int = 4, more: int = 0, max_wide_bits: int | None = None,
     id_column: str = "doc_id", text_column: str = "text",
@@ -211,7 +238,7 @@ def near_groups(
     key = F.col("f0") if not more else F.xxhash64(*columns)
     nodes = staged(nodes.select(key.alias("key"), *columns, "least"), "nodes")
     links = near_links(nodes.drop("least"), max_bits, max_wide_bits)
-    found = components(links)
+    found = components(forests(links))
     named = nodes.join(found.withColumnRenamed("node", "key"), "key").select("key", "root", "least")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only nodes with a link need their component looked up; all others are named by their own smallest id.
