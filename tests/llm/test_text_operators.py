@@ -376,6 +376,47 @@ def test_simhash_on_awkward_rows(awkward):
     assert simhash.one_of_each_group(awkward.limit(0)).count() == 0
 
 
+def test_near_copies_are_decided_by_their_shingles(spark):
+    rng, rows, kept, number = random.Random(8), [], set(), 0
+    for same in (True, False):
+        for pair in range(60):
+            words = [f"w{rng.getrandbits(40):x}" for _ in range(rng.choice([150, 600]))]
+            changed, wanted = list(words), rng.uniform(0.8, 0.9) if same else rng.uniform(0.7, 0.79)
+            sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            like = lambda: len(sets(words) & sets(changed)) / len(sets(words) | sets(changed))
+            while like() > wanted:
+                before = list(changed)
+                changed[rng.randrange(len(changed))] = f"x{rng.getrandbits(40):x}"
+            if same:
+                changed = before  # the last step that was above
+            if (like() >= 0.8) != same:
+                continue
+            rows += [(number, " ".join(words)), (number + 1, " ".join(changed))]
+            kept |= {number} if same else {number, number + 1}
+            number += 2
+    assert len(rows) > 220
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each_group(df).collect()} == kept
+
+
+def test_slices_of_a_large_group_lose_no_link(spark):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(f"x{rng.getrandbits(30)}" if rng.random() < 0.02 else w for w in base) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.id: r.component_id for r in simhash.similar_groups(df).collect()}
+    for options in ({"most": 7}, {"most_shingles": 900}):
+        assert {r.id: r.component_id for r in simhash.similar_groups(df, **options).collect()} == whole
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    root = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert whole == dict(enumerate(root)) and 1 < len(set(root)) < 60
+
+
 # Toxicity
 
 
