@@ -16,10 +16,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import crc32_of, text_chunks
+from spindleflow.llm.common import crc32_of, staged, text_chunks
 
 WORDS = re.compile(r"[^\W\d_]+")
 BASE = 0x9E3779B97F4A7C15
@@ -47,6 +47,13 @@ class Table:
         sums = np.add.reduceat(weights, heads, axis=0) if len(keys) else weights
         return cls(keys[heads], sums.astype(np.float32))
 
+    @classmethod
+    def joined(cls, tables: list[Table]) -> Table:
+        """One table of tables that share no key."""
+        keys = np.concatenate([t.keys for t in tables])
+        order = np.argsort(keys)
+        return cls(keys[order], np.concatenate([t.values for t in tables])[order])
+
 
 def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters of all words, each between two marks; the place of each letter in its word; the word of each letter."""
@@ -60,8 +67,11 @@ def hashes(letters: np.ndarray, order: int):
     """For each length from 1 to ``order``, a hash of the letters that end at each place (wrong before a word's start)."""
     power, held = 1, np.zeros_like(letters)
     for length in range(1, order + 1):
-        shifted = np.concatenate([np.zeros(length - 1, np.uint64), letters])[: len(letters)]
-        held = held + (shifted + np.uint64(1)) * np.uint64(power)
+        more = np.ones(len(letters), np.uint64)
+        more[length - 1 :] += letters[: max(0, len(letters) - length + 1)]
+        more *= np.uint64(power)
+        more += held
+        held = more
         power = power * BASE % 2**64
         yield held
 
@@ -84,26 +94,36 @@ class KneserNey:
         counts = counts.astype(np.float32)
         model, shorter = cls(order, discount, len(np.unique(letters)) + 1), None
         for length, keys in enumerate(hashes(letters, order), 1):
-            at = np.flatnonzero((place >= max(1, length - 1)))
-            gram = keys[at]
-            before = shorter[at - 1] if length > 1 else np.zeros(len(at), np.uint64)
+            at = np.flatnonzero(place >= max(1, length - 1)).astype(np.int32)
+            if length == 1:
+                grams, total = np.unique(keys[at], return_counts=True)
+                counted = Table(grams, total.astype(np.float32)[:, None]), Table(np.zeros(1, np.uint64), np.array([[len(at), len(grams)]], np.float32))
+                model.shared.append(counted)
+                shorter = keys
+                continue
+            shares = (shorter[at - 1] * np.uint64(BASE) >> np.uint64(60)).astype(np.uint8)
+            tables = []
+            for share in range(16):  # all grams of a context are in one share
+                some = at[shares == share]
+                weights = np.ones((len(some), 1), np.float32) if length == 2 else counts[word[some]]
+                tables.append(cls._counted(keys[some], shorter[some - 1], weights, least if length > 2 else 0))
             shorter = keys
-            weights = np.ones((len(at), 1), np.float32) if length <= 2 else counts[word[at]]
-            contexts = Table.of(before, weights)
-            grams, first = Table.of(gram, weights), np.unique(gram, return_index=True)[1]
-            before = before[first]
-            del gram, weights, at, first
-            kinds = Table.of(before, (grams.values > 0).astype(np.float32))
-            # Both are sorted by the same contexts.
-            contexts = Table(contexts.keys, np.concatenate([contexts.values, kinds.values], axis=1))
-            if length > 2:
-                keep = grams.values.sum(axis=1) >= least
-                grams = Table(grams.keys[keep], grams.values[keep])
-                keep = contexts.values[:, :2].sum(axis=1) >= least
-                contexts = Table(contexts.keys[keep], contexts.values[keep])
+            del at, shares, some, weights
+            grams, contexts = (Table.joined([t[k] for t in tables]) for k in (0, 1))
             (model.shared if length <= 2 else model.classes).append((grams, contexts))
         return model
 
+    @staticmethod
+    def _counted(gram: np.ndarray, before: np.ndarray, weights: np.ndarray, least: int) -> tuple[Table, Table]:
+        """Tables of grams and of contexts, without those seen less than ``least`` times in all."""
+        contexts = Table.of(before, weights)
+        grams, first = Table.of(gram, weights), np.unique(gram, return_index=True)[1]
+        kinds = Table.of(before[first], (grams.values > 0).astype(np.float32))
+        # Both are sorted by the same contexts.
+        values = np.concatenate([contexts.values, kinds.values], axis=1)
+        often, seen = grams.values.sum(axis=1) >= least, contexts.values.sum(axis=1) >= least
+        return Table(grams.keys[often], grams.values[often]), Table(contexts.keys[seen], values[seen])
+
     def plain(self) -> tuple:
         """The model as bare numbers and arrays: executors need not have this package to unpickle a broadcast of it."""
         tables = [[(a.keys, a.values, b.keys, b.values) for a, b in pairs] for pairs in (self.shared, self.classes)]
@@ -219,25 +239,31 @@ def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 0.05) -> t
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample_docs: int = 2_000, sample_chars: int = 20_000, order: int = 7,
+    docs: DataFrame, labels: DataFrame, sample_docs: int = 3_000, sample_chars: int = 20_000, order: int = 7,
     id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
 ) -> Classifier:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0: remainders 1 to 3 feed the models, 4 the curve.
 
-    The fit takes a bounded sample: of each class and purpose at most ``sample_docs`` ids, the first in hash order, and
-    texts of up to ``sample_chars`` characters. Labels that are NULL are ignored, of repeated ids the highest counts.
+    The fit takes a bounded sample: of each class and purpose the first ``sample_docs`` ids of documents in hash order, or
+    as many of them as first reach ``sample_docs`` times ``sample_chars`` characters; a text of any length is taken whole,
+    and a label without a document takes no place. Labels that are NULL are ignored, of repeated ids the highest counts.
     Without documents of both classes the score is the share of toxic labels (0 without labels).
     """
     fold = F.pmod(crc32_of(id_column), F.lit(5))
     named = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(id_column)
     named = named.agg(F.max(F.col(label_column).cast("int")).alias("y")).where(fold != 0).withColumn("curve", fold == 4)
+    texts = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
+    sizes = texts.select(id_column, F.length("t").alias("chars"))  # no text enters the exchange
+    known = sizes.join(named, id_column).groupBy(id_column, "y", "curve").agg(F.sum("chars").alias("chars"))
+    known = staged(known, "labelled")
     picks = []
     for y in (0, 1):
         for curve in (False, True):
-            of = named.where((F.col("y") == y) & (F.col("curve") == curve))
-            picks.append(of.orderBy(F.xxhash64(id_column), id_column).limit(sample_docs))
+            order_of = [F.xxhash64(id_column), F.col(id_column)]
+            some = known.where((F.col("y") == y) & (F.col("curve") == curve)).orderBy(*order_of).limit(sample_docs)
+            before = F.sum("chars").over(Window.orderBy(*order_of)) - F.col("chars")
+            picks.append(some.withColumn("before", before).where(F.col("before") < sample_docs * sample_chars).drop("before", "chars"))
     picked = picks[0].unionAll(picks[1]).unionAll(picks[2]).unionAll(picks[3])
-    texts = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
     sample = texts.join(picked, id_column).select("t", "y", "curve")
 
     def count(batches):
@@ -257,8 +283,8 @@ def learn(
     table = counted.groupBy("word").agg(
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("ordinary"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic")
     )
-    table = table.toPandas().sort_values("word")
-    words, counts = table["word"].tolist(), table[["ordinary", "toxic"]].to_numpy(np.float32)
+    table = table.toArrow().sort_by("word")
+    words, counts = table["word"].to_pylist(), np.stack([table[c].to_numpy().astype(np.float32) for c in ("ordinary", "toxic")], axis=1)
     del table
     if not words or not (counts.sum(axis=0) > 0).all():
         share = named.agg(F.avg("y")).first()[0]

@@ -451,6 +451,17 @@ def test_toxicity_on_awkward_rows(awkward, labels):
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
 
 
+def test_long_texts_and_stale_labels_leave_the_fit_its_sample(spark):
+    of = lambda y, k: ("vile idiot scum " if y else "calm river stone ") * (2_000 if k % 20 else 2)
+    texts = [(k, of(k % 2, k)) for k in range(120)]
+    marked = [(k, k % 2) for k in range(5_000)]  # all but 120 without a document
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame(marked, "doc_id long, toxic int")
+    for options in ({}, {"sample_docs": 30}, {"sample_docs": 30, "sample_chars": 1}):
+        found = {r.doc_id: r.score for r in toxicity.score_documents(docs, marks, **options).collect()}
+        assert all((found[k] > 0.5) == bool(k % 2) for k, _ in texts)
+
+
 # Secrets
 
 
