@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import merkle, mixing, ngram_trie, onebit, page_text, pieces, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import centroids, merkle, mixing, ngram_trie, onebit, page_text, pieces, resampling, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -81,3 +81,16 @@ def op10_one_bit_codes(spark, folder):
 def op9_ngram_trie(spark, folder):
     """Unigram and trie scores of every document."""
     return ngram_trie.score_documents(read(spark, folder, "documents"))
+
+
+@register("op11_resampling", resampling.resample_sql())
+def op11_resampling(spark, folder):
+    """A tenth of the documents drawn towards the distribution of the benchmark's words."""
+    found = resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_centroids", centroids.cluster_sql())
+def op12_centroids(spark, folder):
+    """Eight clusters of the embeddings after ten rounds."""
+    return centroids.cluster(read(spark, folder, "embeddings"))[0]
