@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindleflow.llm import centroids, merkle, mixing, ngram_trie, onebit, page_text, pieces, resampling, secret_scan, simhash, token_blocks, toxicity
+from spindleflow.llm import centroids, lexicon, merkle, mixing, ngram_trie, onebit, page_text, pieces, resampling, secret_scan, simhash, token_blocks, toxicity
 from spindleflow.plans.catalog import read
 
 QUERIES: dict = {}
@@ -94,3 +94,9 @@ def op11_resampling(spark, folder):
 def op12_centroids(spark, folder):
     """Eight clusters of the embeddings after ten rounds."""
     return centroids.cluster(read(spark, folder, "embeddings"))[0]
+
+
+@register("op13_lexicon")
+def op13_lexicon(spark, folder):
+    """The ids of every document through the lexicon of frequent words, and their text again."""
+    return lexicon.encode_documents(read(spark, folder, "documents"))
