@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from spindleflow.operators.shadow import ShadowPolicy
 from spindleflow.plans.catalog import query, read
+from spindleflow.session import shared_folder
+from spindleflow.sources.tables import fresh_path
+from spindleflow.streaming import event_order as order
 from spindleflow.streaming import live
 
 
@@ -62,30 +65,35 @@ def x2(spark: SparkSession, folder: str) -> DataFrame:
     return live.drain(joined, "context").select("event_id", "context_value")
 
 
-_LIVE_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, value / 500e0 AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-    coalesce(last_value(CASE WHEN value / 500e0 >= 0.6e0 THEN TRUE WHEN value / 500e0 <= 0.45e0 THEN FALSE END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS warn FROM events),
-  r AS (SELECT user_id, event_id, ts, rn, warn, score AS ewma, CASE WHEN warn THEN 0.95e0 ELSE 1e0 END AS feed, CASE WHEN warn THEN 1.04e0 ELSE 1e0 END AS spindle FROM o WHERE rn = 1
-    UNION ALL SELECT o.user_id, o.event_id, o.ts, o.rn, o.warn, 0.35e0 * o.score + 0.65e0 * r.ewma,
+# Rows before the end of the last time chunk that the watermark has passed; a silence over two days starts anew.
+_LIVE_SQL = """WITH RECURSIVE m AS (SELECT (epoch_ms(max(ts)) - 86400000) // 432000000 * 432000000 AS closed FROM events),
+  g AS (SELECT user_id, event_id, ts, value / 500e0 AS score, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 172800000000 THEN 0 ELSE 1 END AS opens
+    FROM events CROSS JOIN m WHERE epoch_us(ts) < closed * 1000),
+  n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g),
+  o AS (SELECT *, row_number() OVER w AS rn, coalesce(last_value(CASE WHEN score >= 0.6e0 THEN TRUE WHEN score <= 0.45e0 THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS warn
+    FROM n WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  r AS (SELECT user_id, run, event_id, ts, rn, warn, score AS ewma, CASE WHEN warn THEN 0.95e0 ELSE 1e0 END AS feed, CASE WHEN warn THEN 1.04e0 ELSE 1e0 END AS spindle FROM o WHERE rn = 1
+    UNION ALL SELECT o.user_id, o.run, o.event_id, o.ts, o.rn, o.warn, 0.35e0 * o.score + 0.65e0 * r.ewma,
       greatest(least(CASE WHEN o.warn THEN 0.92e0 ELSE 1e0 END, r.feed + 0.05e0), r.feed - 0.05e0),
-      greatest(least(CASE WHEN o.warn THEN 1.04e0 ELSE 1e0 END, r.spindle + 0.05e0), r.spindle - 0.05e0) FROM o JOIN r ON o.user_id = r.user_id AND o.rn = r.rn + 1)"""
+      greatest(least(CASE WHEN o.warn THEN 1.04e0 ELSE 1e0 END, r.spindle + 0.05e0), r.spindle - 0.05e0) FROM o JOIN r ON o.user_id = r.user_id AND o.run = r.run AND o.rn = r.rn + 1),
+  e AS (SELECT user_id, run, max(ts) AS last_ts, run < max(run) OVER (PARTITION BY user_id) AS followed FROM o GROUP BY user_id, run)"""
 
 
-def live_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+def live_recommendations(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     stream = event_stream(spark, folder).select(
         "user_id", "ts", F.col("event_id").alias("window_id"), (F.col("value") / 500.0).alias("score")
     )
-    return live.recommendations(stream, {"user_id": "long"}, ShadowPolicy(threshold=0.6, clear=0.45))
+    return order.recommendations(stream, {"user_id": "long"}, ShadowPolicy(threshold=0.6, clear=0.45))
 
 
 @query(
     "x3_live_recommendations",
-    f"""{_LIVE_SQL}, m AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM events)
+    f"""{_LIVE_SQL}
     SELECT user_id, event_id AS window_id, warn AS shadow_warning, round(ewma, 4) AS score_ewma, round(feed, 6) AS feed_override, round(spindle, 6) AS spindle_override, 'live' AS state FROM r
-    UNION ALL SELECT user_id, NULL, FALSE, NULL, 1e0, 1e0, 'unknown' FROM events CROSS JOIN m GROUP BY user_id, mark HAVING epoch_ms(max(ts)) + 172800000 < mark""",
+    UNION ALL SELECT user_id, NULL, FALSE, NULL, 1e0, 1e0, 'unknown' FROM e CROSS JOIN m WHERE followed OR epoch_us(last_ts) + 172800000000 < closed * 1000""",
 )
 def x3(spark: SparkSession, folder: str) -> DataFrame:
-    rows = live.drain(live_recommendations(spark, folder), "recommendations")
+    rows, _ = live_recommendations(spark, folder)
     return rows.select(
         "user_id", "window_id", "shadow_warning", F.round("score_ewma", 4).alias("score_ewma"), "feed_override", "spindle_override", "state"
     )
@@ -97,9 +105,32 @@ def x3(spark: SparkSession, folder: str) -> DataFrame:
       count(*) FILTER (abs(feed - 1e0) > 1e-9 OR abs(spindle - 1e0) > 1e-9) AS action_windows FROM r GROUP BY 1""",
 )
 def x4(spark: SparkSession, folder: str) -> DataFrame:
-    stored = live.drain(live_recommendations(spark, folder), "recommendations")
+    stored, path = live_recommendations(spark, folder)
     # The recommendations table is itself a stream source for the burden job.
-    path = stored.inputFiles()[0].rsplit("/", 1)[0]
     again = spark.readStream.schema(stored.schema).parquet(path).where("state = 'live'")
     burden = live.drain(live.rolling_burden(again, "1 day"), "burden", ("window_start",))
     return burden.select(F.unix_micros("window_start").alias("start_us"), "windows", "warning_windows", "action_windows")
+
+
+ARRIVALS = 6
+
+
+@query(
+    "x1_late_rows",
+    f"""WITH a AS (SELECT event_id, epoch_us(ts) AS us, event_id * {ARRIVALS} // (SELECT max(event_id) + 1 FROM events) AS arrival FROM events),
+    n AS (SELECT arrival, max(us) AS newest FROM a GROUP BY 1), m AS (SELECT arrival, (max(newest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) // 1000 * 1000 AS mark FROM n)
+    SELECT arrival, count(*) AS samples, count(*) FILTER (us // 60000000 * 60000000 + 60000000 <= mark) AS late_samples, max(mark) AS watermark_us FROM a JOIN m USING (arrival) GROUP BY arrival""",
+)
+def x1_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The events arrive in the order of their ids, which is not quite that of their times; windows of one minute."""
+    events = read(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("event_id") + 1).first()[0]
+    base = fresh_path(shared_folder(spark), "arrivals")
+    dealt = events.withColumn("arrival", F.expr(f"event_id * {ARRIVALS} div {last}"))
+    for number in range(ARRIVALS):
+        dealt.where(F.col("arrival") == number).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(dealt.schema).parquet(f"{base}/in")
+        kept, late = order.separate_late(stream, f"{base}/out", "1 minute", delay="0 seconds")
+    tag = lambda rows, is_late: rows.select("arrival", "watermark_us", F.lit(is_late).alias("late"))
+    both = tag(kept, 0).unionByName(tag(late, 1))
+    return both.groupBy("arrival").agg(F.count(F.lit(1)).alias("samples"), F.sum("late").alias("late_samples"), F.max("watermark_us").alias("watermark_us"))

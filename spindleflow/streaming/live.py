@@ -1,16 +1,10 @@
-"""Live feature windows, context enrichment, stateful recommendations and alert burden."""
+"""Live feature windows, context enrichment and alert burden; recommendations are in ``event_order``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spindleflow.operators.sequence import EWMA_ALPHA
-from spindleflow.operators.shadow import ShadowPolicy
 from spindleflow.session import shared_folder
 from spindleflow.sources.tables import fresh_path
 
@@ -67,69 +61,6 @@ def enrich(
     )
 
 
-RECOMMENDATION = (
-    "window_id long, ts timestamp, score double, score_ewma double, shadow_warning boolean, feed_override double,"
-    " spindle_override double, state string"
-)
-_STATE = "active boolean, feed double, spindle double, ewma double, ts_ms long"
-
-
-def recommendations(
-    stream: DataFrame, keys: dict[str, str], policy: ShadowPolicy, stale: str = "2 days", delay: str = "1 day"
-) -> DataFrame:
-    """Hysteresis, rate-limited overrides and score EWMA with one small state per machine.
-
-    ``keys`` maps key columns to their types; the stream has ``ts``, ``window_id`` and ``score``.  A machine that
-    stays silent longer than ``stale`` gets one row with state ``unknown`` at the neutral overrides, and starts anew.
-    The rows of one machine in one micro-batch are ordered in memory, so set the source's rate limit
-    (``maxFilesPerTrigger`` or its like) when a long backlog is replayed.
-    """
-    clear = max(0.0, policy.threshold * 0.75) if policy.clear is None else policy.clear
-    wait = int(pd.Timedelta(stale).total_seconds() * 1000)
-    threshold, alpha = policy.threshold, EWMA_ALPHA
-    axes = (
-        (policy.warning_feed, *policy.feed_bounds, policy.max_feed_delta),
-        (policy.warning_spindle, *policy.spindle_bounds, policy.max_spindle_delta),
-    )
-    names = list(keys)
-
-    def towards(y: float, active: bool, axis: tuple[float, float, float, float]) -> float:
-        target, low, high, delta = axis
-        goal = min(max(target if active else 1.0, low), high)
-        return min(max(goal, y - delta), y + delta)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            row = dict(zip(names, key)) | {
-                "window_id": None, "ts": pd.Timestamp(state.get[4], unit="ms"), "score": None, "score_ewma": None,
-                "shadow_warning": False, "feed_override": 1.0, "spindle_override": 1.0, "state": "unknown",
-            }
-            state.remove()
-            yield pd.DataFrame([row]).astype({"window_id": "Int64", "score": "float64", "score_ewma": "float64"})
-            return
-        active, feed, spindle, ewma, last = state.get if state.exists else (False, 1.0, 1.0, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "window_id"])
-        out = {"score_ewma": [], "shadow_warning": [], "feed_override": [], "spindle_override": []}
-        for score in rows["score"]:
-            active = True if score >= threshold else False if score <= clear else active
-            feed, spindle = towards(feed, active, axes[0]), towards(spindle, active, axes[1])
-            ewma = score if ewma is None else alpha * score + (1.0 - alpha) * ewma
-            for name, value in zip(out, (ewma, active, feed, spindle)):
-                out[name].append(value)
-        last = max(last, int(rows["ts"].max().timestamp() * 1000))
-        state.update((bool(active), float(feed), float(spindle), float(ewma), last))
-        # A row older than the watermark cannot wait in the past; the next batch decides.
-        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
-        yield rows[[*names, "window_id", "ts", "score"]].assign(**out, state="live")
-
-    schema = ", ".join(f"{n} {t}" for n, t in keys.items()) + ", " + RECOMMENDATION
-    return (
-        stream.withWatermark("ts", delay)
-        .groupBy(*names)
-        .applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
 def rolling_burden(recs: DataFrame, size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Warnings and actions per event-time window."""
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
