@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import staged
+from spindleflow.llm.common import staged, text_chunks
 from spindleflow.llm.graph import components
 
 # Seeds of the further fingerprints made from the same shingle hashes.
@@ -311,51 +311,74 @@ def jaccard_links(owners: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, sim
     return kept
 
 
-def similar_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5, most: int = 512, most_shingles: int = 2_000_000,
-    id_column: str = "doc_id", text_column: str = "text",
-) -> DataFrame:
-    """Columns id and component_id of every row: components of the links between texts whose sets of shingles have a
-    Jaccard similarity of at least ``similarity``, each named by its smallest id.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, hot: int = 256) -> DataFrame:
+    """The rows of ``pairs`` (key, head) whose sets reach the similarity, counted on the whole sets.
 
-    Equal sets are one node. Candidates are all nodes that bands of smallest values connect; a pair at 0.8 shares none of
-    the 40 bands of 5 with a probability of 1.3e-7. What is linked is decided on the whole sets: each candidate component
-    is dealt over slices of up to ``most`` nodes or ``most_shingles`` shingles, about, and every two slices meet in a task,
-    which sends on a spanning forest of its links. Texts without words are one node, like no other.
+    A head that more than ``hot`` keys name has its set repeated for as many slices; the keys are dealt over them.
     """
-    slim = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t"))
+    slices = pairs.groupBy("head").agg(F.ceil(F.count("*") / hot).cast("int").alias("slices"))
+    dealt = pairs.join(slices, "head").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    heads = slices.join(sets.withColumnsRenamed({"key": "head", "shingles": "other"}), "head")
+    heads = heads.select("head", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "other")
+    met = dealt.select("head", "slice", "key").join(sets, "key").join(heads, ["head", "slice"])
+    common = F.size(F.array_intersect("shingles", "other"))
+    return met.where(common >= similarity * (F.size("shingles") + F.size("other") - common) - 1e-9).select("key", "head")
 
-    def sketched(batches):
-        for batch in batches:
-            found = [sketch(t or "", words, bands, rows) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([set_key(s) for s, _ in found], pa.int64()), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))],
-                names=["id", "key", "size", "bands"],
-            )
 
-    every = staged(slim.mapInArrow(sketched, "id long, key long, size long, bands array<long>"), "sketches")
-    nodes = every.groupBy("key").agg(F.min("id").alias("least"))
-    entries = every.select("key", "size", F.explode("bands").alias("band"))
-    heads = entries.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head <> last").select("band", "head")
-    shared = entries.join(heads, "band").where("key <> head").select("key", "head")
-    near = components(forests(shared)).withColumnsRenamed({"node": "key"})
-    sized = near.join(every.groupBy("key").agg(F.first("size").alias("size"), F.min("id").alias("id")), "key")
+def _star_pairs(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """For each node the one head it shares most bands with and is not yet known to be linked to: columns key, head.
+
+    A band's head is the first of its nodes in an order that changes with every turn."""
+    named = met.join(labels, "key")
+    place = F.xxhash64("key", F.lit(turn))
+    heads = named.groupBy("band").agg(F.min_by(F.struct("key", "label"), F.struct(place, F.col("key"))).alias("h"))
+    shared = named.join(heads, "band").where("key <> h.key AND label <> h.label").groupBy("key", F.col("h.key").alias("head")).count()
+    return shared.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
+
+
+def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, turns: int, most: int, most_shingles: int) -> DataFrame:
+    """Links (key_a, key_b) that connect all sets of a Jaccard similarity of at least ``similarity`` which share a band.
+
+    First each node is compared with heads of its bands, which takes one comparison a node and turn; what is linked so
+    is contracted. Only nodes that share a band with a node of another component are compared further: their candidate
+    groups are dealt over slices of up to ``most`` nodes or ``most_shingles`` shingles, and every two slices meet in a task
+    that sends on a spanning forest of its links.
+    """
+    entries = nodes.select("key", F.explode("bands").alias("band"))
+    several = entries.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band")
+    met = staged(entries.join(several, "band"), "shared-bands")
+    candidates = met.select("key").distinct()
+
+    def whole(batches):
+        for batch in batches:
+            for begin, end in text_chunks([t or "" for t in batch.column(1).to_pylist()]):
+                rows = batch.slice(begin, end - begin)
+                sets = [sketch(t or "", words, 1, 1)[0].view(np.int64) for t in rows.column(1).to_pylist()]
+                yield pa.record_batch([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    wanted = nodes.join(candidates, "key").select("key", F.col("least.own").alias("own"), F.col("least.hash").alias("hash"))
+    found = texts.join(wanted, ["own", "hash"]).select("key", "t").dropDuplicates(["key"])
+    sets = staged(found.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
+    links = None
+    labels = candidates.select("key", F.col("key").alias("label"))
+    for turn in range(turns):
+        more = staged(_verified(_star_pairs(met, labels, turn), sets, similarity), "star-links")
+        links = more if links is None else links.unionByName(more)
+        # Nodes linked to one head belong together; chains of heads are followed below.
+        best = links.groupBy("key").agg(F.min("head").alias("head"))
+        labels = candidates.join(best, "key", "left").select("key", F.coalesce("head", "key").alias("label"))
+    links = links.select(F.col("key").alias("key_a"), F.col("head").alias("key_b"))
+    known = components(forests(links)).withColumnRenamed("node", "key")
+    contracted = staged(candidates.join(known, "key", "left").select("key", F.coalesce("root", "key").alias("label")), "contracted")
+    named = met.join(contracted, "key")
+    mixed = named.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band", "first")
+    left = staged(named.join(mixed, "band").select("key", "label", "first"), "undecided")
+    groups = components(forests(left.where("label <> first").select("label", "first").distinct())).withColumnRenamed("node", "label")
+    sized = left.select("key", "label").distinct().join(groups, "label").join(nodes.select("key", "size"), "key")
     sized = staged(sized, "candidates")
     slices = F.ceil(F.greatest(F.count("*") / most, F.sum("size") / most_shingles)).cast("int")
     placed = sized.join(sized.groupBy("root").agg(slices.alias("slices")), "root")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-
-    def whole(batches):
-        for batch in batches:
-            kept = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sketch(text or "", words, 1, 1)[0]
-                if set_key(own) == key:  # an id may stand on several texts
-                    kept.append((key, own.view(np.int64)))
-            yield pa.record_batch([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    texts = slim.join(sized.select("id", "key"), "id").select("key", "t")
-    sets = staged(texts.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     meeting = placed.select("key", "root", "side", other.alias("other"))
     meeting = meeting.select("key", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
@@ -365,27 +388,74 @@ def similar_groups(
         table = table.take(pa.array(first)).combine_chunks()
         lists = table.column("shingles").combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        links = jaccard_links(np.repeat(np.arange(len(keys)), sizes), lists.flatten().to_numpy(zero_copy_only=False), sizes, similarity, table.column("side").to_numpy())
-        return pa.table({"key_a": pa.array([int(keys[x]) for x, _ in links], pa.int64()), "key_b": pa.array([int(keys[y]) for _, y in links], pa.int64())})
+        pairs = jaccard_links(np.repeat(np.arange(len(keys)), sizes), lists.flatten().to_numpy(zero_copy_only=False), sizes, similarity, table.column("side").to_numpy())
+        return pa.table({"key_a": pa.array([int(keys[x]) for x, _ in pairs], pa.int64()), "key_b": pa.array([int(keys[y]) for _, y in pairs], pa.int64())})
+
+    rest = meeting.join(sets, "key").groupBy("root", "i", "j").applyInArrow(compared, "key_a long, key_b long")
+    return links.unionByName(rest)
+
+
+def _similar_rows(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, turns: int, most: int, most_shingles: int, id_column: str, text_column: str) -> DataFrame:
+    """own, hash and least of every row: its id and the hash of its text, and the same two of the first row of its
+    component (in the order of ids, then hashes)."""
+    slim = docs.select(F.col(id_column).cast("long").alias("own"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
+    slim = slim.select("own", F.xxhash64("t").alias("hash"), "t")
+
+    def sketched(batches):
+        for batch in batches:
+            found = [sketch(t, words, bands, rows) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch(
+                [*batch.columns[:2], pa.array([set_key(s) for s, _ in found], pa.int64()), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))],
+                names=["own", "hash", "key", "size", "bands"],
+            )
+
+    every = staged(slim.mapInArrow(sketched, "own long, hash long, key long, size long, bands array<long>"), "sketches")
+    least = F.min(F.struct("own", "hash")).alias("least")
+    # Equal sets are one node, so copies make no entries of their own.
+    nodes = staged(every.groupBy("key").agg(least, F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    links = _linked_sets(nodes, slim, words, similarity, turns, most, most_shingles)
+    found = components(forests(links)).withColumnRenamed("node", "key")
+    named = nodes.select("key", "least").join(found, "key")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
+    linked = staged(named, "linked")
+    own = nodes.select("key", "least").join(linked, "key", "left").select("key", F.coalesce("first", "least").alias("least"))
+    return every.select("own", "hash", "key").join(own, "key").select("own", "hash", "least")
 
-    links = meeting.join(sets, "key").groupBy("root", "i", "j").applyInArrow(compared, "key_a long, key_b long")
-    found = components(links)
-    named = nodes.join(found.withColumnRenamed("node", "key"), "key")
-    linked = staged(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id"), "linked")
-    own = nodes.join(linked, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    return every.select("id", "key").join(own, "key").select("id", "component_id")
+
+def _own_ids(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    """The id of a row; rows without one come behind all others and are told apart by their text."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(1 << 61)))
+
+
+def similar_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5, turns: int = 2, most: int = 512, most_shingles: int = 2_000_000,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """Columns id and component_id of every row: components of the links between texts whose sets of shingles have a
+    Jaccard similarity of at least ``similarity``, each named by its smallest id.
+
+    Equal sets are one node. Candidates are nodes that share a band of smallest values; a pair at 0.8 shares none of the
+    40 bands of 5 with a probability of 1.3e-7. What is linked is decided on the whole sets, see ``_linked_sets``; the
+    result is the same for any ``turns``, ``most`` and ``most_shingles``. Texts without words are one node, like no other.
+    NULL ids take part; a component of rows without ids alone has none.
+    """
+    own = _own_ids(docs, id_column, text_column)
+    named = docs.select(own.alias("own"), F.col(text_column).alias("text"))
+    found = _similar_rows(named, words, similarity, bands, rows, turns, most, most_shingles, "own", "text")
+    known = lambda c: F.when(c < F.lit(1 << 62), c)
+    return found.select(known(F.col("own")).alias("id"), known(F.col("least.own")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    Texts are linked when the Jaccard similarity of their shingles, counted exactly, is ``similarity`` or more. Rows that
-    repeat an id count as one document. Rows without an id rank behind all others of their group and are told apart by
-    their text.
+    Texts are linked when the Jaccard similarity of their shingles, counted exactly, is ``similarity`` or more. Rows of
+    one id and one text count as one document (the row of the smallest hash stays); rows of one id and unlike texts are
+    documents of their own, told apart by the hash of the text. Rows without an id rank behind all others of their group.
     """
-    large = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(1 << 61))
-    own = F.coalesce(F.col(id_column).cast("long"), large)
-    found = similar_groups(docs.select(own.alias("own"), text_column), words, similarity, id_column="own", text_column=text_column)
-    stay = staged(found.where("id = component_id").select(F.col("id").alias("own")).distinct(), "stay")
-    rows = docs.select(own.alias("own"), F.struct("*").alias("row")).join(stay, "own", "left_semi")
-    return rows.dropDuplicates(["own"]).select("row.*")
+    own, text = _own_ids(docs, id_column, text_column), F.coalesce(F.col(text_column), F.lit(""))
+    found = _similar_rows(docs.select(own.alias("own"), F.col(text_column).alias("text")), words, similarity, 40, 5, 2, 512, 2_000_000, "own", "text")
+    stay = staged(found.where("own = least.own AND hash = least.hash").select("own", "hash").distinct(), "stay")
+    rows = docs.select(own.alias("own"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row")).join(stay, ["own", "hash"], "left_semi")
+    first = rows.groupBy("own", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.select("row.*")
