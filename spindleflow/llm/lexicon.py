@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import shared_path, tokenizer_path
+from spindleflow.llm.common import shared_path, staged, tokenizer_path
 from spindleflow.llm.ngram_trie import map_arrays
 from spindleflow.llm.resampling import binary_column
 from spindleflow.llm.token_blocks import _put
@@ -342,11 +342,30 @@ def word_counts(docs: DataFrame, tokenizer: str, text_column: str = "text", keep
     return docs.select(_texts(docs, text_column)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most_words: int) -> list[bytes]:
+    """Words by falling frequency, whole steps of it (a sixteenth of a doubling) as long as ``most_words`` hold them.
+
+    The number of steps is bounded, so the limit comes from a short table and no task sends more than its share of the
+    answer."""
+    step = F.floor(16 * F.log2("n"))
+    sizes = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    held, least = 0, None
+    for place, size in sizes:
+        held += size
+        if held > most_words:
+            break
+        least = place
+    if least is None:
+        return []
+    return [bytes(r.word) for r in counts.where(step >= least).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", most_words: int = 40_000, longest: int = 64, text_column: str = "text") -> str:
-    """Compile the ``most_words`` most frequent words of at most ``longest`` bytes (ties: smaller bytes) and hand the file
-    to all executors; returns its name. The bound holds whatever the corpus holds; rarer words are merged exactly."""
-    counts = word_counts(docs, tokenizer, text_column).where(F.length("word") <= longest)
-    frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(most_words).select("word").collect()]
+    """Compile the most frequent words (``most_words`` at most, of at most ``longest`` bytes and met twice or more) and
+    hand the file to all executors; returns its name. The bound holds whatever the corpus holds; rarer words are merged
+    exactly."""
+    counts = staged(word_counts(docs, tokenizer, text_column).where((F.length("word") <= longest) & (F.col("n") > 1)), "words")
+    frequent = frequent_words(counts, most_words)
     content = packed(compile_lexicon(frequent, Merges(tokenizer_path(tokenizer))))
     spark, name = docs.sparkSession, f"lexicon-{uuid.uuid4().hex}"
     folder = shared_path(spark, "lexicon")

@@ -190,6 +190,14 @@ def test_slices_and_odd_letters_change_no_id(limit):
     assert got == [w[3] for w in library(texts)]
 
 
+def test_frequent_words_keep_to_the_bound(spark):
+    counts = spark.createDataFrame([(bytes([k]), 1000 // (k + 1)) for k in range(200)], "word binary, n long")
+    for most in (0, 1, 7, 50, 500):
+        found = lexicon.frequent_words(counts, most)
+        assert len(found) <= most and found.sort() is None
+        assert found == [bytes([k]) for k in range(len(found))] and len(found) >= min(200, most) * 0.6 - 1
+
+
 def test_automaton_shares_endings_and_numbers_words():
     words = sorted({b"tap", b"taps", b"top", b"tops", b"stop", b"stops", b"s"})
     found = lexicon.minimal_automaton(words)
