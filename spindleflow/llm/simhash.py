@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -336,63 +337,102 @@ def _star_pairs(met: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
 
 
+def bloom(rows: DataFrame, bits_a_row: int = 16, most_bits: int = 1 << 28, probes: int = 4) -> np.ndarray:
+    """A Bloom filter (64-bit words) of rows of two longs. Its size follows the number of rows up to a fixed bound of
+    ``most_bits`` (32 MB); beyond that more rows pass it, which costs work but loses nothing."""
+    a, b = rows.columns
+    bits = min(most_bits, 1 << max(16, int(rows.count() * bits_a_row).bit_length()))
+    place = F.explode(F.array(*[F.pmod(F.xxhash64(a, b, F.lit(k)), F.lit(bits)) for k in range(probes)]))
+    words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+    held = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    return out
+
+
+def maybe_in(filter_words: np.ndarray, spark, a: str, b: str, probes: int = 4) -> Column:
+    """Whether a row of two longs may be in a Bloom filter; never false for one that is."""
+    shared, bits = spark.sparkContext.broadcast(filter_words), len(filter_words) * 64
+
+    @F.pandas_udf("boolean")
+    def passes(places: pd.Series) -> pd.Series:
+        p = np.stack(places.to_numpy()) if len(places) else np.zeros((0, probes), np.int64)
+        return pd.Series(((shared.value[p >> 6] >> (p & 63)) & 1 == 1).all(axis=1))
+
+    return passes(F.array(*[F.pmod(F.xxhash64(a, b, F.lit(k)), F.lit(bits)) for k in range(probes)]))
+
+
+def _compared_in_slices(sized: DataFrame, sets: DataFrame, similarity: float, most: int, most_shingles: int) -> DataFrame:
+    """Links among the nodes (key, size) of each group (root): groups are dealt over slices of up to ``most`` nodes or
+    ``most_shingles`` shingles, about; every two slices meet in a task that sends on a spanning forest of its links."""
+    slices = F.ceil(F.greatest(F.count("*") / most, F.sum("size") / most_shingles)).cast("int")
+    placed = sized.join(sized.groupBy("root").agg(slices.alias("slices")), "root")
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    meeting = placed.select("key", "root", "side", other.alias("other"))
+    meeting = meeting.select("key", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+    def compared(table: pa.Table) -> pa.Table:
+        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
+        table = table.take(pa.array(first)).combine_chunks()
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = jaccard_links(np.repeat(np.arange(len(keys)), sizes), lists.flatten().to_numpy(zero_copy_only=False), sizes, similarity, table.column("side").to_numpy())
+        return pa.table({"key_a": pa.array([int(keys[x]) for x, _ in pairs], pa.int64()), "key_b": pa.array([int(keys[y]) for _, y in pairs], pa.int64())})
+
+    return meeting.join(sets, "key").groupBy("root", "i", "j").applyInArrow(compared, "key_a long, key_b long")
+
+
 def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, turns: int, most: int, most_shingles: int) -> DataFrame:
     """Links (key_a, key_b) that connect all sets of a Jaccard similarity of at least ``similarity`` which share a band.
 
-    First each node is compared with heads of its bands, which takes one comparison a node and turn; what is linked so
-    is contracted. Only nodes that share a band with a node of another component are compared further: their candidate
-    groups are dealt over slices of up to ``most`` nodes or ``most_shingles`` shingles, and every two slices meet in a task
-    that sends on a spanning forest of its links.
+    Groups of candidates that one task can hold are compared whole: each set goes there once. In larger groups each node
+    is first compared with heads of its bands, one comparison a node and turn, and what is linked so is contracted; only
+    nodes that share a band with a node of another component then meet in slices.
     """
+    spark = nodes.sparkSession
     entries = nodes.select("key", F.explode("bands").alias("band"))
-    several = entries.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band")
+    several = entries.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
     met = staged(entries.join(several, "band"), "shared-bands")
-    candidates = met.select("key").distinct()
+    groups = components(forests(met.where("key <> low").select("key", "low").distinct())).withColumnRenamed("node", "key")
+    sized = staged(groups.join(nodes.select("key", "size", "least"), "key"), "candidates")
+    wanted = sized.select(F.col("least.own").alias("own"), F.col("least.hash").alias("hash"))
+    # Texts stay where they are: rows that may be a candidate's are told by a filter and give their sets in place.
+    rows = texts.where(maybe_in(bloom(wanted), spark, "own", "hash")).select("t")
 
     def whole(batches):
         for batch in batches:
-            for begin, end in text_chunks([t or "" for t in batch.column(1).to_pylist()]):
-                rows = batch.slice(begin, end - begin)
-                sets = [sketch(t or "", words, 1, 1)[0].view(np.int64) for t in rows.column(1).to_pylist()]
-                yield pa.record_batch([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    wanted = nodes.join(candidates, "key").select("key", F.col("least.own").alias("own"), F.col("least.hash").alias("hash"))
-    found = texts.join(wanted, ["own", "hash"]).select("key", "t").dropDuplicates(["key"])
-    sets = staged(found.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
+            lengths = [t or "" for t in batch.column(0).to_pylist()]
+            for begin, end in text_chunks(lengths):
+                sets = [sketch(t, words, 1, 1)[0] for t in lengths[begin:end]]
+                yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    sets = staged(rows.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
+    large = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where((F.col("n") > most) | (F.col("s") > most_shingles)).select("root")
+    large = staged(large, "large-groups")
+    small_links = _compared_in_slices(sized.join(large, "root", "left_anti").select("key", "root", "size"), sets, similarity, most, most_shingles)
+    if large.isEmpty():
+        return small_links
+    crowd = staged(sized.join(large, "root").select("key", "size"), "crowd")
+    met = staged(met.join(crowd.select("key"), "key").select("key", "band"), "crowded-bands")
+    labels = crowd.select("key", F.col("key").alias("label"))
     links = None
-    labels = candidates.select("key", F.col("key").alias("label"))
     for turn in range(turns):
         more = staged(_verified(_star_pairs(met, labels, turn), sets, similarity), "star-links")
         links = more if links is None else links.unionByName(more)
         # Nodes linked to one head belong together; chains of heads are followed below.
         best = links.groupBy("key").agg(F.min("head").alias("head"))
-        labels = candidates.join(best, "key", "left").select("key", F.coalesce("head", "key").alias("label"))
+        labels = crowd.join(best, "key", "left").select("key", F.coalesce("head", "key").alias("label"))
     links = links.select(F.col("key").alias("key_a"), F.col("head").alias("key_b"))
     known = components(forests(links)).withColumnRenamed("node", "key")
-    contracted = staged(candidates.join(known, "key", "left").select("key", F.coalesce("root", "key").alias("label")), "contracted")
-    named = met.join(contracted, "key")
+    contracted = crowd.join(known, "key", "left").select("key", F.coalesce("root", "key").alias("label"))
+    named = staged(met.join(contracted, "key"), "contracted")
     mixed = named.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band", "first")
-    left = staged(named.join(mixed, "band").select("key", "label", "first"), "undecided")
-    groups = components(forests(left.where("label <> first").select("label", "first").distinct())).withColumnRenamed("node", "label")
-    sized = left.select("key", "label").distinct().join(groups, "label").join(nodes.select("key", "size"), "key")
-    sized = staged(sized, "candidates")
-    slices = F.ceil(F.greatest(F.count("*") / most, F.sum("size") / most_shingles)).cast("int")
-    placed = sized.join(sized.groupBy("root").agg(slices.alias("slices")), "root")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    meeting = placed.select("key", "root", "side", other.alias("other"))
-    meeting = meeting.select("key", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-
-    def compared(table: pa.Table) -> pa.Table:
-        keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
-        table = table.take(pa.array(first)).combine_chunks()
-        lists = table.column("shingles").combine_chunks()
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs = jaccard_links(np.repeat(np.arange(len(keys)), sizes), lists.flatten().to_numpy(zero_copy_only=False), sizes, similarity, table.column("side").to_numpy())
-        return pa.table({"key_a": pa.array([int(keys[x]) for x, _ in pairs], pa.int64()), "key_b": pa.array([int(keys[y]) for _, y in pairs], pa.int64())})
-
-    rest = meeting.join(sets, "key").groupBy("root", "i", "j").applyInArrow(compared, "key_a long, key_b long")
-    return links.unionByName(rest)
+    left = staged(named.join(mixed, "band").select("key", "label", "first").distinct(), "undecided")
+    ties = components(forests(left.where("label <> first").select("label", "first").distinct())).withColumnRenamed("node", "label")
+    rest = left.select("key", "label").distinct().join(ties, "label").join(crowd, "key").select("key", "root", "size")
+    rest_links = _compared_in_slices(staged(rest, "undecided-groups"), sets, similarity, most, most_shingles)
+    return small_links.unionByName(links).unionByName(rest_links)
 
 
 def _similar_rows(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, turns: int, most: int, most_shingles: int, id_column: str, text_column: str) -> DataFrame:
@@ -455,7 +495,13 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """
     own, text = _own_ids(docs, id_column, text_column), F.coalesce(F.col(text_column), F.lit(""))
     found = _similar_rows(docs.select(own.alias("own"), F.col(text_column).alias("text")), words, similarity, 40, 5, 2, 512, 2_000_000, "own", "text")
-    stay = staged(found.where("own = least.own AND hash = least.hash").select("own", "hash").distinct(), "stay")
-    rows = docs.select(own.alias("own"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row")).join(stay, ["own", "hash"], "left_semi")
-    first = rows.groupBy("own", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return first.select("row.*")
+    stays = F.col("own").eqNullSafe(F.col("least.own")) & F.col("hash").eqNullSafe(F.col("least.hash"))
+    once = found.groupBy("own", "hash").agg(F.count("*").alias("n"), F.first(stays).alias("stays"))
+    # Most rows are single and stay: only those that may go, or that stand more than once, are looked up.
+    doubtful = staged(once.where(~F.col("stays") | (F.col("n") > 1)), "doubtful")
+    rows = docs.select(own.alias("own"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row"))
+    rows = rows.withColumn("doubt", maybe_in(bloom(doubtful.select("own", "hash")), docs.sparkSession, "own", "hash"))
+    looked_up = rows.where("doubt").join(doubtful, ["own", "hash"], "left").where(F.coalesce("stays", F.lit(True)))
+    single = looked_up.where(F.coalesce("n", F.lit(1)) == 1).select("row.*")
+    several = looked_up.where("n > 1").groupBy("own", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return rows.where(~F.col("doubt")).select("row.*").unionByName(single).unionByName(several)
