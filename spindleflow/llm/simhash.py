@@ -363,13 +363,22 @@ def maybe_in(filter_words: np.ndarray, spark, a: str, b: str, probes: int = 4) -
 
 
 def _compared_in_slices(sized: DataFrame, sets: DataFrame, similarity: float, most: int, most_shingles: int) -> DataFrame:
-    """Links among the nodes (key, size) of each group (root): groups are dealt over slices of up to ``most`` nodes or
-    ``most_shingles`` shingles, about; every two slices meet in a task that sends on a spanning forest of its links."""
+    """Links among the nodes (key, size, settled) of each group (root). Settled nodes are known to be linked to each
+    other and need only be compared with the rest of their group.
+
+    Both kinds are dealt over slices of up to ``most`` nodes or ``most_shingles`` shingles, about. Every two slices meet in
+    a task, but no two settled ones, so a settled set is sent once for each slice of the others; a task sends on a
+    spanning forest of its links.
+    """
     slices = F.ceil(F.greatest(F.count("*") / most, F.sum("size") / most_shingles)).cast("int")
-    placed = sized.join(sized.groupBy("root").agg(slices.alias("slices")), "root")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    meeting = placed.select("key", "root", "side", other.alias("other"))
+    per = sized.groupBy("root", "settled").agg(slices.alias("slices"))
+    count = lambda kind: F.coalesce(F.max(F.when(F.col("settled") == kind, F.col("slices"))), F.lit(0))
+    placed = sized.join(per.groupBy("root").agg(count(False).alias("open"), count(True).alias("shut")), "root")
+    side = F.pmod(F.xxhash64("key"), F.when(F.col("settled"), F.col("shut")).otherwise(F.col("open"))).cast("int")
+    # Open slices are numbered from 0, settled ones behind them.
+    placed = placed.withColumn("side", F.when(F.col("settled"), F.col("open") + side).otherwise(side))
+    partners = F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("shut"))
+    meeting = placed.where(partners > 0).select("key", "root", "side", F.explode(F.sequence(F.lit(0), partners - 1)).alias("other"))
     meeting = meeting.select("key", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
 
     def compared(table: pa.Table) -> pa.Table:
@@ -410,10 +419,12 @@ def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: flo
     sets = staged(rows.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
     large = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where((F.col("n") > most) | (F.col("s") > most_shingles)).select("root")
     large = staged(large, "large-groups")
-    small_links = _compared_in_slices(sized.join(large, "root", "left_anti").select("key", "root", "size"), sets, similarity, most, most_shingles)
+    small = sized.join(large, "root", "left_anti").select("key", "root", "size", F.lit(False).alias("settled"))
+    small_links = _compared_in_slices(small, sets, similarity, most, most_shingles)
     if large.isEmpty():
         return small_links
     crowd = staged(sized.join(large, "root").select("key", "size"), "crowd")
+    sets = staged(sets.where(maybe_in(bloom(crowd.select("key", F.col("key").alias("same"))), spark, "key", "key")), "crowd-shingles")
     met = staged(met.join(crowd.select("key"), "key").select("key", "band"), "crowded-bands")
     labels = crowd.select("key", F.col("key").alias("label"))
     links = None
@@ -430,7 +441,10 @@ def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: flo
     mixed = named.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band", "first")
     left = staged(named.join(mixed, "band").select("key", "label", "first").distinct(), "undecided")
     ties = components(forests(left.where("label <> first").select("label", "first").distinct())).withColumnRenamed("node", "label")
-    rest = left.select("key", "label").distinct().join(ties, "label").join(crowd, "key").select("key", "root", "size")
+    rest = staged(left.select("key", "label").distinct().join(ties, "label").join(crowd, "key"), "undecided-sizes")
+    # Of each group the component with the most nodes is settled.
+    main = rest.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = rest.join(main, "root").select("key", "root", "size", (F.col("label") == F.col("main")).alias("settled"))
     rest_links = _compared_in_slices(staged(rest, "undecided-groups"), sets, similarity, most, most_shingles)
     return small_links.unionByName(links).unionByName(rest_links)
 
