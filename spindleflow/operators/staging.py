@@ -17,3 +17,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_in_buckets(df: DataFrame, key: str, buckets: int, name: str = "buckets") -> DataFrame:
+    """Write a table to the shared folder in sorted buckets of ``key`` and read it back.
+
+    A join on ``key`` then moves only its other side, into the same buckets. Rows are not exchanged for it: every task
+    writes a file for each bucket it meets, so keep tasks x buckets in bounds.
+    """
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{table}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -16,7 +16,7 @@ from spindleflow.operators.align import label_windows
 from spindleflow.operators.quantiles import spread_of
 from spindleflow.operators.scan import Layout, with_position
 from spindleflow.operators.slicing import slice_arrays, slice_samples, window_samples
-from spindleflow.operators.staging import staged
+from spindleflow.operators.staging import staged, staged_in_buckets
 from spindleflow.schema import WINDOW_SCHEMA
 from spindleflow.sources.machine_run import read_machine_run
 from spindleflow.sources.packages import read_packages
@@ -24,12 +24,17 @@ from spindleflow.sources.packages import read_packages
 
 @dataclass(frozen=True)
 class WindowPlan:
-    """Window, stride and look-ahead in seconds, and the chunk width of the sequence operators."""
+    """Window, stride and look-ahead in seconds, and the chunk width of the sequence operators.
+
+    With ``waveforms`` the window table keeps each window's samples (``sensor_window``), joined over ``buckets`` buckets.
+    """
 
     window_s: float = 0.10
     stride_s: float = 0.05
     horizon_s: float = 0.25
     span_s: float = 60.0
+    waveforms: bool = False
+    buckets: int = 16
 
     def layout(self) -> Layout:
         return Layout(span=self.span_s)
@@ -83,7 +88,8 @@ def featurise(
 def finish(rows: DataFrame, plan: WindowPlan) -> DataFrame:
     """Ids, temporal features and look-ahead labels on the slim columns; returns the window table.
 
-    The feature table is staged first, so waveforms are read once and never shuffled with the sequence columns.
+    The feature table is staged first, so waveforms are read once and never shuffled with the sequence columns. Where the
+    plan keeps them they are staged in buckets of the window id, and the finished narrow columns come to them.
     """
     layout = plan.layout()
     numbered = with_position(
@@ -101,14 +107,19 @@ def finish(rows: DataFrame, plan: WindowPlan) -> DataFrame:
             "label_id": id_of_label(F.col("label")),
         }
     )
-    slim = staged(base.drop("sensor_window"), "features")
+    if plan.waveforms:
+        whole = staged_in_buckets(base, "window_id", plan.buckets, "features")
+        slim = whole.drop("sensor_window")
+    else:
+        slim = staged(base.drop("sensor_window"), "features")
     deltas = seq.temporal_deltas(slim, layout)
     means = seq.ewma(slim.select(*layout.keys, layout.time, layout.tie, *seq.EWMA_FEATURES), layout).select(
         "window_id", *[f"{f}_ewma" for f in seq.EWMA_FEATURES]
     )
     joined = deltas.join(means, "window_id")
     ahead = seq.horizon_labels(joined, layout, plan.horizon_s)
-    return ahead.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in WINDOW_SCHEMA.fields])
+    table = ahead.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in WINDOW_SCHEMA.fields])
+    return table.join(whole.select("window_id", "sensor_window"), "window_id") if plan.waveforms else table
 
 
 def _public(rows: DataFrame, plan: WindowPlan, rate: Column, rpm: Column, flutes: Column, modal_hz: float | None) -> DataFrame:

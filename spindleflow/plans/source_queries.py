@@ -294,6 +294,25 @@ def s12(spark: SparkSession, folder: str) -> DataFrame:
     return facts.select("schema_version", "total_windows", F.array_join(pairs, ";").alias("label_counts"))
 
 
+@query(
+    "s12_waveforms",
+    """WITH p AS (SELECT CASE WHEN label < 6 THEN 'stable' ELSE 'slight' END AS label, CASE WHEN vec_id % 7 = 0 THEN 40 ELSE 16 END AS size, embedding::DOUBLE[] AS x FROM embeddings WHERE label >= 2 AND vec_id % 11 <> 3),
+    w AS (SELECT label, size, x, unnest(range(0, 60 - size + 1, size // 2)) AS s FROM p)
+    SELECT label, count(*) AS windows, CAST(sum(size) AS BIGINT) AS samples, CAST(2 * sum(size) AS BIGINT) AS numbers, round(sum(list_sum(x[s + 1 : s + size])), 4) + 0.0 AS x_sum, round(sum(list_sum(x[s + 1 : s + size]) / 2), 4) + 0.0 AS y_sum FROM w GROUP BY label""",
+)
+def s12_waveforms(spark: SparkSession, folder: str) -> DataFrame:
+    """Package files to a stored dataset with waveforms, read back."""
+    plan = WindowPlan(0.016, 0.008, 0.02, 1.0, waveforms=True)
+    path = folder_for(spark, "dataset")
+    tables.write_window_dataset(ingest_packages(spark, _package_files(spark, folder, False), plan, default_rate=2500.0), path, 0.016, 0.008)
+    stored = tables.read_window_dataset(spark, path)
+    total = lambda axis: F.round(F.sum(F.aggregate("sensor_window", F.lit(0.0), lambda a, s: a + s[axis])), 4)
+    return stored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum(F.size("sensor_window").cast("long")).alias("samples"), F.sum(F.size(F.flatten("sensor_window")).cast("long")).alias("numbers"),
+        total(0).alias("x_sum"), total(1).alias("y_sum"),
+    )
+
+
 @query(
     "s13_prediction_sink",
     f"WITH {WIN_SQL}, {PRED_SQL.replace('FROM hz', 'FROM win')} SELECT label, predicted_label, count(*) AS windows FROM pred GROUP BY 1, 2",

@@ -266,7 +266,11 @@ def manifest(windows: DataFrame, window_s: float, stride_s: float) -> DataFrame:
 
 
 def write_window_dataset(windows: DataFrame, path: str, window_s: float, stride_s: float, mode: str = "errorifexists") -> None:
-    """Windows (waveforms included) partitioned by scenario, plus a one-row manifest."""
+    """Windows partitioned by scenario, plus a one-row manifest.
+
+    Waveforms are stored with them where the windows carry ``sensor_window`` (a plan with ``waveforms``); readers of the
+    other columns do not touch them.
+    """
     base = path.rstrip("/")
     windows.write.mode(mode).partitionBy("scenario").parquet(f"{base}/windows")
     stored = windows.sparkSession.read.parquet(f"{base}/windows")
