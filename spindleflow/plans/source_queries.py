@@ -110,9 +110,12 @@ def _recordings(spark: SparkSession, folder: str) -> str:
     base = folder_for(spark, "recordings")
     rows = read(spark, folder, "events").select("event_id", "event_type", F.col("value").alias("x"), (F.col("value") * 2).alias("y"), F.lit(1.5).alias("z"))
     bad = F.col("event_type") == "error"
+    # One file for each third of the ids.
+    last = rows.agg(F.max("event_id") + 1).first()[0]
+    rows = rows.withColumn("third", F.expr(f"event_id * 3 div {last}"))
     for quality, kept in (("good", ~bad), ("bad", bad)):
-        part = rows.where(kept).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
-        part.drop("event_type").write.option("header", True).csv(f"{base}/M01/OP07/{quality}")
+        part = rows.where(kept).repartition("third").sortWithinPartitions("third", "event_id")
+        part.drop("event_type").write.partitionBy("third").option("header", True).csv(f"{base}/M01/OP07/{quality}")
     return base
 
 
@@ -337,7 +340,14 @@ def s2_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return table.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("episode").alias("episodes"))
 
 
-@query("s4_ingest_triaxial")
+@query(
+    "s4_ingest_triaxial",
+    """WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'severe' ELSE 'stable' END AS label, event_id * 3 // (SELECT max(event_id) + 1 FROM events) AS third, sqrt(5 * value * value + 2.25e0) AS m FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY label, third ORDER BY event_id) - 1 AS i FROM e),
+    w AS (SELECT label, third, m, unnest(range(CAST(greatest(0, ceil((i - 7) / 4.0)) AS BIGINT), i // 4 + 1)) AS w FROM n),
+    g AS (SELECT label, third, w, stddev_pop(m) AS rms FROM w GROUP BY ALL HAVING count(*) = 8)
+    SELECT label, label AS horizon_label, count(*) AS windows, round(avg(rms), 6) + 0.0 AS rms FROM g GROUP BY label""",
+)
 def s4_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Triaxial recordings to the full window table."""
     samples = tables.read_triaxial(spark, _recordings(spark, folder), 10.0)
