@@ -1,33 +1,37 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
-
-All words of the training documents are counted. Words of at least a given share of all tokens form the vocabulary, and
-runs of two and more of them that reach a given share form the levels of a trie, so a level has at most 1 / share
-entries whatever the corpus holds. A node's number is its place in its level. The children of all nodes of a level lie
-in one monotone sequence of parent * vocabulary + word; a second one points to where each node's children begin.
-Probabilities are interpolated with absolute discounting and kept, like the back-off weights, as one byte each that
-refers to a code book. The file of the levels is handed to every executor once and memory-mapped by its workers.
-
-Words below the vocabulary share follow no entry of the trie, so their part in a score is the logarithm of their count
-alone: these rare words are sent, by document, to where their counts are, and the sums come back.
+"""Language-model scores from an Elias-Fano n-gram trie in shards.
+
+Every run of one, two and three words of the training documents is counted, however rare: what the model gathers grows
+with the corpus. Documents are cut into blocks of whole texts. A block sends each of its distinct runs once, with its
+count in training documents, to the shard that the hash of the run's first two words names; runs of one word go by
+their own hash. So a run that a third of all rows repeat arrives once from each block.
+
+A shard holds the contexts of two words that fall to it and the words after them as a trie. The hashes of contexts and
+of following words are monotone sequences, as are the children of all contexts, numbered context * words + word; another
+one points to where each context's children begin. Discounted probabilities and back-off weights are one byte each that
+refers to a code book. The task that builds a shard writes it to the shared folder, maps the file and answers from it
+for the very runs that the blocks sent; the answers go back to the blocks, which add up their documents' scores. Nothing
+passes through the driver but the number of training tokens and of distinct words.
+
+Probabilities are interpolated with absolute discounting:
+p(w|uv) = (c(uvw) - D) / c(uv) + D t(uv) / c(uv) p(w|v), and so on down to p(w) = (c(w) + 1) / (N + V + 1),
+t being the number of distinct words after a context. Words are told apart by 62 bits of their XXH64, contexts by 62 bits
+of a mix of two of these.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import crc32_of, staged, text_chunks
+from spindleflow.llm.common import crc32_of, shared_path, staged, text_chunks
 from spindleflow.llm.elias_fano import EliasFano
+from spindleflow.llm.token_blocks import _put
 
-END = "\n"  # no word holds white space
+HASHES = 1 << 62
 
 
 def words_of(text: str) -> list[bytes]:
@@ -35,7 +39,7 @@ def words_of(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), b"\n"]
 
 
-def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+def file_of(arrays: dict[str, np.ndarray]) -> bytes:
     """One file: length of the index, index (name, type, shape, offset) as JSON, arrays at multiples of 64 bytes."""
     index, at = [], 0
     for name, value in arrays.items():
@@ -43,17 +47,19 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
         at += -(-value.nbytes // 64) * 64
     head = json.dumps(index).encode()
     start = -(-(8 + len(head)) // 64) * 64
-    with open(path, "wb") as file:
-        file.write(len(head).to_bytes(8, "little") + head)
-        for (_, _, _, offset), value in zip(index, arrays.values()):
-            file.seek(start + offset)
-            file.write(np.ascontiguousarray(value).tobytes())
-        file.truncate(start + at)
+    out = bytearray(start + at)
+    out[: 8 + len(head)] = len(head).to_bytes(8, "little") + head
+    for (_, _, _, offset), value in zip(index, arrays.values()):
+        out[start + offset : start + offset + value.nbytes] = np.ascontiguousarray(value).tobytes()
+    return bytes(out)
 
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    raw = np.memmap(path, np.uint8, "r")
+    return arrays_of(np.memmap(path, np.uint8, "r"))
+
+
+def arrays_of(raw: np.ndarray) -> dict[str, np.ndarray]:
     size = int.from_bytes(raw[:8].tobytes(), "little")
     start = -(-(8 + size) // 64) * 64
     out = {}
@@ -63,260 +69,317 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     return out
 
 
+def quantised(values: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and code book: half of the edges fill bins equally, half are evenly spaced, so that neither frequent values
+    nor the few at the ends are far from their bin's mean, for which the code stands."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1)
+    parts = np.linspace(0, 1, 2 ** (bits - 1) + 1)
+    edges = np.unique([*np.quantile(values, parts[1:-1]), *(values.min() + parts[1:-1] * np.ptp(values))])
+    codes = np.searchsorted(edges, values, "right")
+    sums, sizes = np.bincount(codes, values, len(edges) + 1), np.bincount(codes, minlength=len(edges) + 1)
+    return codes.astype(np.uint8), sums / np.maximum(sizes, 1)
+
+
 class Trie:
-    """The trie over mapped arrays; words are looked up in a dictionary built when the file is opened."""
+    """One shard over mapped arrays: contexts of two words, and the words after them."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
-        ends, blob = arrays["word_ends"], arrays["word_bytes"].tobytes()
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        self.ids = {blob[s:e]: k for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist()))}
-        self.words = len(ends)
-        self.order = int(arrays["order"][0])
-        self.keys, self.pointers = {}, {}
-        for level in range(2, self.order + 1):
-            of = {n[len(f"keys{level}.") :]: v for n, v in arrays.items() if n.startswith(f"keys{level}.")}
-            self.keys[level] = EliasFano(of)
-            of = {n[len(f"pointers{level}.") :]: v for n, v in arrays.items() if n.startswith(f"pointers{level}.")}
-            self.pointers[level] = EliasFano(of)
-
-    def children(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The node at ``level`` under each parent for each word, or -1. Parents or words of -1 have none."""
+        parts = {name: {n[len(name) + 1 :]: v for n, v in arrays.items() if n.startswith(name + ".")} for name in ("contexts", "words", "keys", "pointers")}
+        self.contexts, self.words, self.keys, self.pointers = (EliasFano(parts[n]) for n in ("contexts", "words", "keys", "pointers"))
+
+    @staticmethod
+    def arrays(contexts: np.ndarray, joint: np.ndarray, words: np.ndarray, parents: np.ndarray, after: np.ndarray, own: np.ndarray, back: np.ndarray) -> dict[str, np.ndarray]:
+        """Arrays of a shard: sorted hashes of contexts and words; children by (parent, word); log10 of all values."""
+        begins = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=len(contexts)))])
+        out = {}
+        for name, values, universe in (
+            ("contexts", contexts, HASHES), ("words", words, HASHES), ("keys", parents * len(words) + after, max(1, len(contexts) * len(words))), ("pointers", begins, len(parents) + 1),
+        ):
+            out |= {f"{name}.{n}": v for n, v in EliasFano.arrays(values, universe).items()}
+        for name, values in (("joint", joint), ("own", own), ("back", back)):
+            out[name], out[f"{name}_book"] = quantised(values)
+        return out
+
+    def children(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The child of each parent for each word, or -1. Parents or words of -1 have none."""
         out = np.full(len(parents), -1, np.int64)
         live = np.flatnonzero((parents >= 0) & (words >= 0))
-        if not len(live) or not self.keys[level].size:
+        if not len(live) or not self.keys.size:
             return out
-        asked, back = np.unique(parents[live] * self.words + words[live], return_inverse=True)
-        above = asked // self.words
-        pointers = self.pointers[level]
-        some = np.flatnonzero(pointers.get(above + 1) > pointers.get(above))
-        found = np.full(len(asked), -1, np.int64)
-        found[some] = self.keys[level].find(asked[some])
-        out[live] = found[back]
+        live = live[self.pointers.get(parents[live] + 1) > self.pointers.get(parents[live])]
+        out[live] = self.keys.find(parents[live] * self.words.size + words[live])
         return out
 
-    def nodes(self, ids: np.ndarray, first: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-        """For each level, the node of the run that ends at each token. ``first`` marks the first token of a text."""
-        out = {1: ids}
-        for level in range(2, upto + 1):
-            parent = np.concatenate([[-1], out[level - 1][:-1]])
-            parent[first] = -1
-            out[level] = self.children(level, parent, ids)
-        return out
+    def value(self, name: str, nodes: np.ndarray, missing: float) -> np.ndarray:
+        """The probability or weight of each node; ``missing`` for -1."""
+        if not len(self.a[name]):
+            return np.full(len(nodes), missing, np.float32)
+        found = 10.0 ** self.a[f"{name}_book"][self.a[name][np.maximum(nodes, 0)]]
+        return np.where(nodes >= 0, found, missing).astype(np.float32)
 
 
-def open_trie(name: str) -> Trie:
-    return Trie(map_arrays(SparkFiles.get(name)))
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of known types as one compressed message: their lengths, then their bytes."""
+    raw = b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def share_file(docs: DataFrame, arrays: dict[str, np.ndarray]) -> str:
-    """Hand a file of arrays to all executors, now and later ones; returns its name."""
-    name = f"trie-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    write_arrays(path, arrays)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+def unsqueezed(message: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.decompress(message[8:], int.from_bytes(message[:8], "little"), "zstd", asbytes=True)
+    at, out = 8 * len(types), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return out
 
 
-def count_words(texts: DataFrame, keep: int = 400_000) -> DataFrame:
-    """word, c over the texts (column t), ends included. Tasks send what they have counted whenever it gets large."""
+def joined(messages: list[bytes], *types: str) -> tuple[list[np.ndarray], list[list[int]]]:
+    """The arrays of all messages end to end, and each array's length in each message."""
+    parts = [unsqueezed(m, *types) for m in messages]
+    whole = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(types)]
+    return whole, [[len(p[k]) for p in parts] for k in range(len(types))]
 
-    def run(batches):
-        from collections import Counter
 
-        held: Counter = Counter()
+def split_back(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1]) if sizes else []
 
-        def out():
-            yield pa.record_batch([pa.array([w.decode("utf-8", "surrogatepass") for w in held]), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > keep:
-                    yield from out()
-                    held.clear()
-        if held:
-            yield from out()
+def context_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """62 bits of a mix of two words' hashes."""
+    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(2)).astype(np.int64)
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
+def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the hashes by shard and value, and the rank of each."""
+    order = np.lexsort((hashes, hashes % shards))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
 
-def _tokens(texts: list[str], ids: dict) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids of all tokens (-1 outside the vocabulary), whether each is the first of its text, and the words."""
-    split = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((ids.get(w, -1) for s in split for w in s), np.int64, int(sizes.sum()))
-    first = np.zeros(len(flat), bool)
-    first[np.cumsum(sizes) - sizes] = True
-    return flat, first, split
 
+class Runs:
+    """The distinct runs of two and three words of a block, in the order of their shards.
 
-def count_runs(texts: DataFrame, name: str, level: int, keep: int = 2_000_000) -> DataFrame:
-    """key, c of the runs of ``level`` words whose two shorter runs are nodes; key is parent * vocabulary + word."""
+    ``ids`` number the block's words by their place in ``hashes``; no run crosses the border of two texts.
+    """
 
-    def run(batches):
-        trie = open_trie(name)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for begin, end in text_chunks(texts):
-                ids, first, _ = _tokens(texts[begin:end], trie.ids)
-                above = trie.nodes(ids, first, level - 1)[level - 1]
-                parent = np.concatenate([[-1], above[:-1]])
-                parent[first] = -1
-                both = (parent >= 0) & (above >= 0)
-                got, n = np.unique(parent[both] * trie.words + ids[both], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                if len(keys) > keep:
-                    yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.record_batch([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, shards: int):
+        words = max(1, len(hashes))
+        inner = np.ones(len(ids), bool)
+        inner[np.cumsum(sizes) - sizes] = False  # a text's first token ends no run
+        self.second = np.flatnonzero(inner)
+        distinct, back = np.unique(ids[self.second - 1] * words + ids[self.second], return_inverse=True)
+        context = context_hash(hashes[distinct // words], hashes[distinct % words])
+        order, rank = by_shard(context, shards)
+        self.context, self.left = context[order], (distinct // words)[order]
+        self.pair = rank[back]  # of each token in ``second``
+        at = np.full(len(ids), -1, np.int64)
+        at[self.second] = self.pair
+        self.third = self.second[inner[self.second - 1]]
+        self.above = at[self.third - 1]
+        distinct, self.triple = np.unique(self.above * words + ids[self.third], return_inverse=True)
+        self.parent, self.word = distinct // words, distinct % words
 
 
-def quantised(values: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and code book: values in equally filled bins, each bin stands for its mean."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 2**bits + 1)[1:-1]))
-    codes = np.searchsorted(edges, values, "right")
-    sums, sizes = np.bincount(codes, values, len(edges) + 1), np.bincount(codes, minlength=len(edges) + 1)
-    return codes.astype(np.uint8), sums / np.maximum(sizes, 1)
+BLOCKS = "kind string, block long, shard long, train_tokens long, content binary"
 
 
-def learn(texts: DataFrame, counted: DataFrame, total: int, kinds: int, order: int = 3, word_share: float = 1e-6, run_share: float = 1e-6, discount: float = 0.75) -> tuple[str, int]:
-    """Build the trie from training texts (column t) and their word counts; the name of its shared file, and the count
-    below which a word is left out of the vocabulary. A level holds at most 1 / share entries."""
-    least = max(2, int(np.ceil(word_share * total)))
-    picked = counted.where((F.col("c") >= least) | (F.col("word") == END)).toPandas().sort_values("word")
-    spelled = [w.encode("utf-8", "surrogatepass") for w in picked["word"]]
-    counts = {1: picked["c"].to_numpy(np.int64)}
-    size = len(spelled)
-    arrays = {
-        "word_ends": np.cumsum([len(w) for w in spelled]).astype(np.int64) if size else np.zeros(0, np.int64),
-        "word_bytes": np.frombuffer(b"".join(spelled), np.uint8),
-        "count1": counts[1],
-        "order": np.array([1]),
-    }
-    log_p = {1: np.log10((counts[1] + 1.0) / (total + 1.0 * (kinds + 1)))}
-    arrays["prob1"] = log_p[1]
-    enough = max(2, int(np.ceil(run_share * total)))
-    name = share_file(texts, arrays)
-    for level in range(2, order + 1):
-        found = count_runs(texts, name, level).where(F.col("c") >= enough).toPandas().sort_values("key")
-        keys, counts[level] = found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-        parents, words = keys // max(1, size), keys % max(1, size)
-        above = len(counts[level - 1])
-        own = (counts[level] - discount) / counts[level - 1][parents]
-        left = np.maximum(1.0 - np.bincount(parents, own, above), 1e-9)
-        # The node of the run without its first word gives the shorter context's probability.
-        lower = words if level == 2 else Trie(arrays | {"order": np.array([level - 1])}).children(level - 1, _suffix(arrays, parents, level, size), words)
-        log_p[level] = np.log10(own + left[parents] * 10.0 ** log_p[level - 1][lower])
-        codes, book = quantised(log_p[level])
-        arrays[f"prob{level}"], arrays[f"prob_book{level}"] = codes, book
-        codes, book = quantised(np.log10(left))
-        arrays[f"back{level - 1}"], arrays[f"back_book{level - 1}"] = codes, book
-        begins = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=above))])
-        for field, values, universe in (("keys", keys, above * max(1, size)), ("pointers", begins, len(keys) + 1)):
-            arrays |= {f"{field}{level}.{n}": v for n, v in EliasFano.arrays(values, universe).items()}
-        arrays["order"] = np.array([level])
-        name = share_file(texts, arrays)
-    return name, least
-
-
-def _suffix(arrays: dict, nodes: np.ndarray, level: int, size: int) -> np.ndarray:
-    """For nodes of the level above, the node of their run without its first word, one level higher still."""
-    trie, path, here = Trie(arrays), [], nodes
-    for above in range(level - 1, 1, -1):
-        key = trie.keys[above].get(here) if len(here) else here
-        path.append(key % size)
-        here = key // size
-    words = path[::-1]  # the run's words from its second on
-    out = words[0]
-    for depth, word in enumerate(words[1:], 2):
-        out = trie.children(depth, out, word)
-    return out
+def cut_blocks(slim: DataFrame, shards: int, block_chars: int) -> DataFrame:
+    """Rows k, h, t (id, held out, text) to blocks: a row ``self`` of tokens, and messages ``words`` and ``pairs``."""
 
+    def run(batches):
+        import xxhash
+        from pyspark import TaskContext
 
-def score_tokens(trie: Trie, ids: np.ndarray, first: np.ndarray, rest: float) -> np.ndarray:
-    """log10 probability of each token; tokens outside the vocabulary miss log10(count + 1), ``rest`` is their base."""
-    a, order = trie.a, trie.order
-    nodes = trie.nodes(ids, first, order)
-    log_p = np.where(ids >= 0, a["prob1"][np.maximum(ids, 0)] if trie.words else rest, rest)
-    for level in range(2, order + 1):
-        context = np.concatenate([[-1], nodes[level - 1][:-1]])
-        context[first] = -1
-        if len(a[f"back{level - 1}"]):
-            back = a[f"back_book{level - 1}"][a[f"back{level - 1}"][np.maximum(context, 0)]]
-            log_p = log_p + np.where(context >= 0, back, 0.0)
-        if len(a[f"prob{level}"]):
-            own = a[f"prob_book{level}"][a[f"prob{level}"][np.maximum(nodes[level], 0)]]
-            log_p = np.where(nodes[level] >= 0, own, log_p)
-    return log_p
-
-
-def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            keys, held, texts = (batch.column(k).to_pylist() for k in range(3))
+            for begin, end in text_chunks(texts, block_chars):
+                split = [words_of(t) for t in texts[begin:end]]
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                seen: dict[bytes, int] = {}
+                ids = np.fromiter((seen.setdefault(w, len(seen)) for s in split for w in s), np.int64, int(sizes.sum()))
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 2 for w in seen), np.int64, len(seen))
+                del split, seen
+                order, rank = by_shard(hashes, shards)
+                ids, hashes = rank[ids], hashes[order]
+                out_of_fit = np.array([bool(h) for h in held[begin:end]])
+                counted = np.repeat(~out_of_fit, sizes).astype(np.float64)
+                ks = keys[begin:end]
+                own = squeezed(
+                    np.array([k or 0 for k in ks], np.int64), np.array([k is None for k in ks]), out_of_fit, sizes, ids.astype(np.int32), hashes
+                )
+                rows = [("self", -1, int(counted.sum()), own)]
+                count = np.bincount(ids, counted, len(hashes)).astype(np.uint32)
+                edges = np.searchsorted(hashes % shards, np.arange(shards + 1)).tolist()
+                for s in np.unique(hashes % shards).tolist():
+                    i, j = edges[s : s + 2]
+                    rows.append(("words", s, 0, squeezed(hashes[i:j], count[i:j])))
+                runs = Runs(ids, sizes, hashes, shards)
+                pairs = np.bincount(runs.pair, counted[runs.second], len(runs.context)).astype(np.uint32)
+                triples = np.bincount(runs.triple, counted[runs.third], len(runs.parent)).astype(np.uint32)
+                kids = np.bincount(runs.parent, minlength=len(runs.context)).astype(np.uint32)
+                edges = np.searchsorted(runs.context % shards, np.arange(shards + 1)).tolist()
+                below = np.searchsorted(runs.parent, edges).tolist()
+                for s in np.unique(runs.context % shards).tolist():
+                    (i, j), (m, n) = edges[s : s + 2], below[s : s + 2]
+                    part = squeezed(runs.context[i:j], hashes[runs.left[i:j]], pairs[i:j], kids[i:j], hashes[runs.word[m:n]], triples[m:n])
+                    rows.append(("pairs", s, 0, part))
+                for kind, s, n, content in rows:  # one at a time, so that a batch stays small
+                    yield pa.record_batch([[kind], [block], [s], [n], pa.array([content], pa.binary())], names=["kind", "block", "shard", "train_tokens", "content"])
+                block += 1
+
+    return slim.mapInArrow(run, BLOCKS)
+
+
+ANSWERS = "kind string, block long, shard long, content binary"
+ANSWER_NAMES = ["kind", "block", "shard", "content"]
+
+
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=ANSWER_NAMES)
+
+
+def open_shard(folder: str, name: str) -> Trie:
+    """A shard's file: memory-mapped where the shared folder is a mounted one, else read whole."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    path = f"{path}/{name}"
+    if isinstance(system, fs.LocalFileSystem):
+        return Trie(map_arrays(path))
+    with system.open_input_stream(path) as file:
+        return Trie(arrays_of(np.frombuffer(file.read(), np.uint8)))
+
+
+def answer_pairs(messages: DataFrame, shards: int, total: int, discount: float, folder: str) -> DataFrame:
+    """Build each shard from its messages, write it, and answer: per block the joint probability of each context, its
+    back-off weight and the own share of each run of three. Rows ``roots``: first words and their distinct followers."""
+
+    def run(key, table):
+        shard = key[0].as_py()
+        blocks = table.column("block").to_pylist()
+        got, sizes = joined(table.column("content").to_pylist(), "i8", "i8", "u4", "u4", "i8", "u4")
+        context, first, pairs, kids, word, triples = got
+        contexts, lead, at = np.unique(context, return_index=True, return_inverse=True)
+        count2 = np.bincount(at, pairs, len(contexts))
+        words, word_at = np.unique(word, return_inverse=True)
+        keys, key_at = np.unique(np.repeat(at, kids) * max(1, len(words)) + word_at, return_inverse=True)
+        count3 = np.bincount(key_at, triples, len(keys))
+        parents, after = keys // max(1, len(words)), keys % max(1, len(words))
+
+        live, live3 = np.flatnonzero(count2 > 0), np.flatnonzero(count3 > 0)
+        place = np.full(len(contexts), -1, np.int64)
+        place[live] = np.arange(len(live))
+        up, learnt = place[parents[live3]], np.unique(after[live3])
+        followers = np.bincount(up, minlength=len(live))
+        name = f"shard-{shard:08d}.trie"
+        arrays = Trie.arrays(
+            contexts[live], np.log10((count2[live] - discount) / max(1, total)), words[learnt], up, np.searchsorted(learnt, after[live3]),
+            np.log10((count3[live3] - discount) / count2[parents[live3]]), np.log10(discount * np.maximum(followers, 1) / count2[live]),
+        )
+        _put(folder, name, file_of(arrays))
+        trie = open_shard(folder, name)
+        node = trie.contexts.find(contexts)
+        child = trie.children(node[parents], trie.words.find(words)[after])
+        joint, back, own = trie.value("joint", node, 0.0), trie.value("back", node, 1.0), trie.value("own", child, 0.0)
+        parts = zip(split_back(joint[at], sizes[0]), split_back(back[at], sizes[0]), split_back(own[key_at], sizes[4]))
+        rows = [("pairs", block, shard, squeezed(*part)) for block, part in zip(blocks, parts)]
+        roots, distinct = np.unique(first[lead[live]], return_counts=True)
+        order, _ = by_shard(roots, shards)
+        roots, distinct = roots[order], distinct[order]
+        cuts = np.flatnonzero(np.diff(roots % shards, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(roots)]):
+            rows.append(("roots", -1, int(roots[i] % shards), squeezed(roots[i:j], distinct[i:j])))
+        return _answer_table(rows)
+
+    return messages.groupBy("shard").applyInArrow(run, ANSWERS)
+
+
+def answer_words(messages: DataFrame) -> DataFrame:
+    """Messages ``words`` and ``roots`` to each block's counts of words and of their distinct followers; rows ``kinds``
+    hold how many of a shard's words are in training texts."""
+
+    def run(key, table):
+        shard, kinds = key[0].as_py(), table.column("kind").to_pylist()
+        contents, blocks = table.column("content").to_pylist(), table.column("block").to_pylist()
+        asked = [n for n, kind in enumerate(kinds) if kind == "words"]
+        (hashes, counts), sizes = joined([contents[n] for n in asked], "i8", "u4")
+        (roots, distinct), _ = joined([contents[n] for n, kind in enumerate(kinds) if kind == "roots"], "i8", "i8")
+        words, at = np.unique(hashes, return_inverse=True)
+        count = np.bincount(at, counts, len(words)).astype(np.int64)
+        followers = np.bincount(np.searchsorted(words, roots), distinct, len(words)).astype(np.int64)  # every root is a word
+        parts = zip(split_back(count[at], sizes[0]), split_back(followers[at], sizes[0]))
+        rows = [("words", blocks[n], shard, squeezed(*part)) for n, part in zip(asked, parts)]
+        return _answer_table([*rows, ("kinds", int((count > 0).sum()), shard, b"")])
+
+    return messages.groupBy("shard").applyInArrow(run, ANSWERS)
+
+
+def score_blocks(rows: DataFrame, shards: int, total: int, kinds: int, discount: float, id_column: str) -> DataFrame:
+    """Rows ``self`` and all answers of each block to one row per document."""
+    names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(key, table):
+        kind, shard, content = (table.column(n).to_pylist() for n in ("kind", "shard", "content"))
+        order = sorted(range(len(kind)), key=lambda n: shard[n])
+        own = content[kind.index("self")]
+        keys, no_key, held, sizes, ids, hashes = unsqueezed(own, "i8", "?", "?", "i8", "i4", "i8")
+        ids = ids.astype(np.int64)
+        (count, followers), _ = joined([content[n] for n in order if kind[n] == "words"], "i8", "i8")
+        (joint, back, share), _ = joined([content[n] for n in order if kind[n] == "pairs"], "f4", "f4", "f4")
+        runs = Runs(ids, sizes, hashes, shards)
+        base = (count[ids] + 1.0) / (total + 1.0 * (kinds + 1))
+        p = base.copy()
+        left = ids[runs.second - 1]
+        seen = np.maximum(count[left], 1)
+        p[runs.second] = np.where(
+            count[left] > 0, joint[runs.pair].astype(np.float64) * total / seen + discount * followers[left] / seen * p[runs.second], p[runs.second]
+        )
+        p[runs.third] = share[runs.triple] + back[runs.above].astype(np.float64) * p[runs.third]
+        heads = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(v, heads) for v in ((count[ids] > 0).astype(np.int64), np.log10(base), np.log10(np.minimum(p, 1.0)))]
+        columns = [pa.array(keys, mask=no_key), held, sizes, sums[0], np.full(len(keys), total, np.int64), sums[1], sums[2]]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    schema = f"`{id_column}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("block").applyInArrow(run, schema)
+
+
+def score_documents(
+    docs: DataFrame, folds: int = 7, held_fold: int = 2, id_column: str = "doc_id", text_column: str = "text", discount: float = 0.75,
+    shard_bytes: int = 16_000_000, block_chars: int = 6_000_000, folder: str | None = None,
+) -> DataFrame:
     """Scores of every row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id as text) mod ``folds`` is ``held_fold`` are left out of all counts. NULL texts count as empty
     and have the end alone; repeated rows count and score like any other; without training rows every token is unknown.
+    There is a shard for each ``shard_bytes`` of text; ``folder`` (a fresh shared one by default) keeps their files.
+    A block is whole texts of ``block_chars`` characters together, one text at least.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit("")).alias("t")
     held_out = F.pmod(crc32_of(id_column), F.lit(folds)) == held_fold
-    train = docs.where(~held_out).select(text)
-    counted = staged(count_words(train), "word-counts")
-    total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    name, least = learn(train, counted, total, kinds, **options)
-    rest = -float(np.log10(total + 1.0 * (kinds + 1)))
-
-    def run(batches):
-        from collections import Counter
-
-        from pyspark import TaskContext
-
-        trie, row = open_trie(name), TaskContext.get().partitionId() << 33
-        counts = trie.a["count1"]
-        base1 = np.log10(counts + 1.0) + rest
-        for batch in batches:
-            keys, held, texts = (batch.column(k).to_pylist() for k in range(3))
-            for begin, end in text_chunks(texts):
-                ids, first, split = _tokens(texts[begin:end], trie.ids)
-                log_p = score_tokens(trie, ids, first, rest)
-                base = np.where(ids >= 0, base1[np.maximum(ids, 0)] if trie.words else rest, rest)
-                known = (ids >= 0) & (counts[np.maximum(ids, 0)] > 0) if trie.words else np.zeros(len(ids), bool)
-                heads = np.flatnonzero(first)
-                rare = [Counter(w for w in s if w not in trie.ids) for s in split]
-                sizes = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-                listed = pa.StructArray.from_arrays(
-                    [
-                        pa.array([w.decode("utf-8", "surrogatepass") for r in rare for w in r], pa.string()),
-                        pa.array([n for r in rare for n in r.values()], pa.int32()),
-                    ],
-                    ["word", "n"],
-                )
-                yield pa.record_batch(
-                    [
-                        pa.array(np.arange(row, row + end - begin)), pa.array(keys[begin:end], pa.int64()), pa.array(held[begin:end], pa.bool_()),
-                        pa.array([len(s) for s in split], pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), heads)),
-                        pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(log_p, heads)), pa.ListArray.from_arrays(pa.array(sizes), listed),
-                    ],
-                    names=["row", "id", "held_out", "n_tokens", "known", "base", "part", "rare"],
-                )
-                row += end - begin
-
-    schema = "row long, id long, held_out boolean, n_tokens long, known long, base double, part double, rare array<struct<word string, n int>>"
     slim = docs.select(F.col(id_column).cast("long").alias("k"), held_out.alias("h"), text)
-    rows = staged(slim.mapInArrow(run, schema), "scored")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    # Rare words of the documents meet the counts of rare words; no such word has more than a small share of all.
-    met = rare.join(counted.where(F.col("c") < least), "word")
-    sums = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("rare_known"))
-    joined = rows.drop("rare").join(sums, "row", "left")
-    more, rare_known = F.coalesce("more", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
-    return joined.select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", (F.col("known") + rare_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("part") + more).alias("score"),
-    )
+    shards = max(1, -(-(docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0) // shard_bytes))
+    blocks = staged(cut_blocks(slim, shards, block_chars), "blocks", "kind")
+    total = blocks.where("kind = 'self'").agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]
+    folder = folder or shared_path(spark, "trie")
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+    of_kind = {k: blocks.where(F.col("kind") == k).select(*ANSWER_NAMES) for k in ("self", "words", "pairs")}
+    pairs = staged(answer_pairs(of_kind["pairs"], shards, total, discount, folder), "answers", "kind")
+    roots = pairs.where("kind = 'roots'").select(*ANSWER_NAMES)
+    words = staged(answer_words(of_kind["words"].unionByName(roots)), "word-answers", "kind")
+    kinds = words.where("kind = 'kinds'").agg(F.coalesce(F.sum("block"), F.lit(0))).first()[0]
+    answers = [t.where(F.col("kind") == k).select(*ANSWER_NAMES) for t, k in ((pairs, "pairs"), (words, "words"))]
+    rows = of_kind["self"].unionByName(answers[0]).unionByName(answers[1])
+    return score_blocks(rows, shards, total, kinds, discount, id_column)
