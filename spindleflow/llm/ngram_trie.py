@@ -113,17 +113,16 @@ class Trie:
         return out
 
     def value(self, name: str, nodes: np.ndarray, missing: float) -> np.ndarray:
-        """The probability or weight of each node; ``missing`` for -1."""
+        """log10 of the probability or weight of each node; ``missing`` for -1."""
         if not len(self.a[name]):
-            return np.full(len(nodes), missing, np.float32)
-        found = 10.0 ** self.a[f"{name}_book"][self.a[name][np.maximum(nodes, 0)]]
-        return np.where(nodes >= 0, found, missing).astype(np.float32)
+            return np.full(len(nodes), missing)
+        return np.where(nodes >= 0, self.a[f"{name}_book"][self.a[name][np.maximum(nodes, 0)]], missing)
 
 
-def squeezed(*arrays: np.ndarray) -> bytes:
+def squeezed(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays of known types as one compressed message: their lengths, then their bytes."""
     raw = b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unsqueezed(message: bytes, *types: str) -> list[np.ndarray]:
@@ -135,6 +134,15 @@ def unsqueezed(message: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^32 as low and high parts: the high ones are mostly zero and take next to no room."""
+    return (numbers & 0xFFFF).astype(np.uint16), (numbers >> 16).astype(np.uint16)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | high.astype(np.int64) << 16
+
+
 def joined(messages: list[bytes], *types: str) -> tuple[list[np.ndarray], list[list[int]]]:
     """The arrays of all messages end to end, and each array's length in each message."""
     parts = [unsqueezed(m, *types) for m in messages]
@@ -154,16 +162,16 @@ def context_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(2)).astype(np.int64)
 
 
-def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the hashes by shard and value, and the rank of each."""
-    order = np.lexsort((hashes, hashes % shards))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return order, rank
+def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the hashes by shard, stable, and each shard's stretch of it: shard, begin, end."""
+    of = hashes % shards
+    order = np.argsort(of, kind="stable")
+    begins = np.flatnonzero(np.diff(of[order], prepend=-1))
+    return order, list(zip(of[order][begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)]))
 
 
 class Runs:
-    """The distinct runs of two and three words of a block, in the order of their shards.
+    """The distinct runs of two and three words of a block, by shard, then by their words.
 
     ``ids`` number the block's words by their place in ``hashes``; no run crosses the border of two texts.
     """
@@ -174,9 +182,11 @@ class Runs:
         inner[np.cumsum(sizes) - sizes] = False  # a text's first token ends no run
         self.second = np.flatnonzero(inner)
         distinct, back = np.unique(ids[self.second - 1] * words + ids[self.second], return_inverse=True)
-        context = context_hash(hashes[distinct // words], hashes[distinct % words])
-        order, rank = by_shard(context, shards)
-        self.context, self.left = context[order], (distinct // words)[order]
+        left, right = distinct // words, distinct % words
+        order, self.stretches = by_shard(context_hash(hashes[left], hashes[right]), shards)
+        self.left, self.right = left[order], right[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         self.pair = rank[back]  # of each token in ``second``
         at = np.full(len(ids), -1, np.int64)
         at[self.second] = self.pair
@@ -187,10 +197,12 @@ class Runs:
 
 
 BLOCKS = "kind string, block long, shard long, train_tokens long, content binary"
+SELF = ("i8", "?", "?", "i8", "u2", "u2", "i8")
+PAIRS = ("i8", "u2", "u2", "u2", "u2", "u4", "u4", "u2", "u2", "u4")
 
 
 def cut_blocks(slim: DataFrame, shards: int, block_chars: int) -> DataFrame:
-    """Rows k, h, t (id, held out, text) to blocks: a row ``self`` of tokens, and messages ``words`` and ``pairs``."""
+    """Rows k, h, t (id, held out, text) to blocks: a row ``self`` of tokens, and messages ``words``."""
 
     def run(batches):
         import xxhash
@@ -206,37 +218,57 @@ def cut_blocks(slim: DataFrame, shards: int, block_chars: int) -> DataFrame:
                 ids = np.fromiter((seen.setdefault(w, len(seen)) for s in split for w in s), np.int64, int(sizes.sum()))
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w) >> 2 for w in seen), np.int64, len(seen))
                 del split, seen
-                order, rank = by_shard(hashes, shards)
+                # Frequent words have small numbers.
+                order = np.argsort(-np.bincount(ids, minlength=len(hashes)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 ids, hashes = rank[ids], hashes[order]
                 out_of_fit = np.array([bool(h) for h in held[begin:end]])
                 counted = np.repeat(~out_of_fit, sizes).astype(np.float64)
                 ks = keys[begin:end]
-                own = squeezed(
-                    np.array([k or 0 for k in ks], np.int64), np.array([k is None for k in ks]), out_of_fit, sizes, ids.astype(np.int32), hashes
-                )
+                own = squeezed(np.array([k or 0 for k in ks], np.int64), np.array([k is None for k in ks]), out_of_fit, sizes, *halves(ids), hashes, level=9)
                 rows = [("self", -1, int(counted.sum()), own)]
                 count = np.bincount(ids, counted, len(hashes)).astype(np.uint32)
-                edges = np.searchsorted(hashes % shards, np.arange(shards + 1)).tolist()
-                for s in np.unique(hashes % shards).tolist():
-                    i, j = edges[s : s + 2]
-                    rows.append(("words", s, 0, squeezed(hashes[i:j], count[i:j])))
-                runs = Runs(ids, sizes, hashes, shards)
-                pairs = np.bincount(runs.pair, counted[runs.second], len(runs.context)).astype(np.uint32)
-                triples = np.bincount(runs.triple, counted[runs.third], len(runs.parent)).astype(np.uint32)
-                kids = np.bincount(runs.parent, minlength=len(runs.context)).astype(np.uint32)
-                edges = np.searchsorted(runs.context % shards, np.arange(shards + 1)).tolist()
-                below = np.searchsorted(runs.parent, edges).tolist()
-                for s in np.unique(runs.context % shards).tolist():
-                    (i, j), (m, n) = edges[s : s + 2], below[s : s + 2]
-                    part = squeezed(runs.context[i:j], hashes[runs.left[i:j]], pairs[i:j], kids[i:j], hashes[runs.word[m:n]], triples[m:n])
-                    rows.append(("pairs", s, 0, part))
-                for kind, s, n, content in rows:  # one at a time, so that a batch stays small
-                    yield pa.record_batch([[kind], [block], [s], [n], pa.array([content], pa.binary())], names=["kind", "block", "shard", "train_tokens", "content"])
+                order, stretches = by_shard(hashes, shards)
+                for s, i, j in stretches:
+                    rows.append(("words", s, 0, squeezed(hashes[order[i:j]], count[order[i:j]])))
+                columns = list(zip(*rows))
+                yield pa.record_batch([columns[0], [block] * len(rows), columns[1], columns[2], pa.array(columns[3], pa.binary())], names=["kind", "block", "shard", "train_tokens", "content"])
                 block += 1
 
     return slim.mapInArrow(run, BLOCKS)
 
 
+def send_pairs(own: DataFrame, shards: int) -> DataFrame:
+    """Rows ``self`` of blocks to messages ``pairs``: the distinct runs of two and three words that fall to a shard, in
+    numbers of the message's own list of words, with their counts in training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for block, content in zip(batch.column(1).to_pylist(), batch.column(3)):
+                _, _, held, sizes, low, high, hashes = unsqueezed(content.as_py(), *SELF)
+                counted = np.repeat(~held, sizes).astype(np.float64)
+                runs = Runs(whole(low, high), sizes, hashes, shards)
+                pairs = np.bincount(runs.pair, counted[runs.second], len(runs.left)).astype(np.uint32)
+                triples = np.bincount(runs.triple, counted[runs.third], len(runs.parent)).astype(np.uint32)
+                kids = np.bincount(runs.parent, minlength=len(runs.left)).astype(np.uint32)
+                rows = []
+                for s, i, j in runs.stretches:
+                    m, n = np.searchsorted(runs.parent, (i, j)).tolist()
+                    left, right, word = runs.left[i:j], runs.right[i:j], runs.word[m:n]
+                    used = np.zeros(len(hashes), bool)
+                    used[left] = used[right] = used[word] = True
+                    number = np.cumsum(used) - 1
+                    steps = np.diff(number[left], prepend=0)
+                    part = squeezed(hashes[used], *halves(steps), *halves(number[right]), pairs[i:j], kids[i:j], *halves(number[word]), triples[m:n])
+                    rows.append((s, part))
+                if rows:
+                    part = [pa.array(["pairs"] * len(rows)), pa.array([block] * len(rows), pa.int64()), pa.array([s for s, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.binary())]
+                    yield pa.record_batch(part, names=ANSWER_NAMES)
+
+    return own.mapInArrow(run, ANSWERS)
+
+
 ANSWERS = "kind string, block long, shard long, content binary"
 ANSWER_NAMES = ["kind", "block", "shard", "content"]
 
@@ -266,8 +298,14 @@ def answer_pairs(messages: DataFrame, shards: int, total: int, discount: float,
     def run(key, table):
         shard = key[0].as_py()
         blocks = table.column("block").to_pylist()
-        got, sizes = joined(table.column("content").to_pylist(), "i8", "i8", "u4", "u4", "i8", "u4")
-        context, first, pairs, kids, word, triples = got
+        parts, sizes = [], ([], [])
+        for message in table.column("content"):
+            hashes, *left, right, right_high, pairs, kids, word, word_high, triples = unsqueezed(message.as_py(), *PAIRS)
+            lead = hashes[np.cumsum(whole(*left))]
+            parts.append((context_hash(lead, hashes[whole(right, right_high)]), lead, pairs, kids, hashes[whole(word, word_high)], triples))
+            sizes[0].append(len(pairs))
+            sizes[1].append(len(triples))
+        context, first, pairs, kids, word, triples = map(np.concatenate, zip(*parts))
         contexts, lead, at = np.unique(context, return_index=True, return_inverse=True)
         count2 = np.bincount(at, pairs, len(contexts))
         words, word_at = np.unique(word, return_inverse=True)
@@ -289,15 +327,15 @@ def answer_pairs(messages: DataFrame, shards: int, total: int, discount: float,
         trie = open_shard(folder, name)
         node = trie.contexts.find(contexts)
         child = trie.children(node[parents], trie.words.find(words)[after])
-        joint, back, own = trie.value("joint", node, 0.0), trie.value("back", node, 1.0), trie.value("own", child, 0.0)
-        parts = zip(split_back(joint[at], sizes[0]), split_back(back[at], sizes[0]), split_back(own[key_at], sizes[4]))
+        # Answers are logarithms in half precision; the joint one is taken times all tokens, which keeps it small.
+        joint, back, own = trie.value("joint", node, -np.inf) + np.log10(max(1, total)), trie.value("back", node, 0.0), trie.value("own", child, -np.inf)
+        joint, back, own = (v.astype(np.float16) for v in (joint[at], back[at], own[key_at]))
+        parts = zip(split_back(joint, sizes[0]), split_back(back, sizes[0]), split_back(own, sizes[1]))
         rows = [("pairs", block, shard, squeezed(*part)) for block, part in zip(blocks, parts)]
         roots, distinct = np.unique(first[lead[live]], return_counts=True)
-        order, _ = by_shard(roots, shards)
-        roots, distinct = roots[order], distinct[order]
-        cuts = np.flatnonzero(np.diff(roots % shards, prepend=-1))
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(roots)]):
-            rows.append(("roots", -1, int(roots[i] % shards), squeezed(roots[i:j], distinct[i:j])))
+        order, stretches = by_shard(roots, shards)
+        for s, i, j in stretches:
+            rows.append(("roots", -1, s, squeezed(roots[order[i:j]], distinct[order[i:j]])))
         return _answer_table(rows)
 
     return messages.groupBy("shard").applyInArrow(run, ANSWERS)
@@ -331,19 +369,22 @@ def score_blocks(rows: DataFrame, shards: int, total: int, kinds: int, discount:
         kind, shard, content = (table.column(n).to_pylist() for n in ("kind", "shard", "content"))
         order = sorted(range(len(kind)), key=lambda n: shard[n])
         own = content[kind.index("self")]
-        keys, no_key, held, sizes, ids, hashes = unsqueezed(own, "i8", "?", "?", "i8", "i4", "i8")
-        ids = ids.astype(np.int64)
-        (count, followers), _ = joined([content[n] for n in order if kind[n] == "words"], "i8", "i8")
-        (joint, back, share), _ = joined([content[n] for n in order if kind[n] == "pairs"], "f4", "f4", "f4")
+        keys, no_key, held, sizes, low, high, hashes = unsqueezed(own, *SELF)
+        ids = whole(low, high)
+        got, _ = joined([content[n] for n in order if kind[n] == "words"], "i8", "i8")
+        (joint, back, share), _ = joined([content[n] for n in order if kind[n] == "pairs"], "f2", "f2", "f2")
+        joint, back, share = (10.0 ** v.astype(np.float64) for v in (joint, back, share))
+        count, followers = np.empty((2, len(hashes)), np.int64)
+        count[by_shard(hashes, shards)[0]], followers[by_shard(hashes, shards)[0]] = got
         runs = Runs(ids, sizes, hashes, shards)
         base = (count[ids] + 1.0) / (total + 1.0 * (kinds + 1))
         p = base.copy()
         left = ids[runs.second - 1]
         seen = np.maximum(count[left], 1)
         p[runs.second] = np.where(
-            count[left] > 0, joint[runs.pair].astype(np.float64) * total / seen + discount * followers[left] / seen * p[runs.second], p[runs.second]
+            count[left] > 0, joint[runs.pair] / seen + discount * followers[left] / seen * p[runs.second], p[runs.second]
         )
-        p[runs.third] = share[runs.triple] + back[runs.above].astype(np.float64) * p[runs.third]
+        p[runs.third] = share[runs.triple] + back[runs.above] * p[runs.third]
         heads = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(v, heads) for v in ((count[ids] > 0).astype(np.int64), np.log10(base), np.log10(np.minimum(p, 1.0)))]
         columns = [pa.array(keys, mask=no_key), held, sizes, sums[0], np.full(len(keys), total, np.int64), sums[1], sums[2]]
@@ -375,8 +416,8 @@ def score_documents(
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
-    of_kind = {k: blocks.where(F.col("kind") == k).select(*ANSWER_NAMES) for k in ("self", "words", "pairs")}
-    pairs = staged(answer_pairs(of_kind["pairs"], shards, total, discount, folder), "answers", "kind")
+    of_kind = {k: blocks.where(F.col("kind") == k).select(*ANSWER_NAMES) for k in ("self", "words")}
+    pairs = staged(answer_pairs(send_pairs(of_kind["self"], shards), shards, total, discount, folder), "answers", "kind")
     roots = pairs.where("kind = 'roots'").select(*ANSWER_NAMES)
     words = staged(answer_words(of_kind["words"].unionByName(roots)), "word-answers", "kind")
     kinds = words.where("kind = 'kinds'").agg(F.coalesce(F.sum("block"), F.lit(0))).first()[0]
