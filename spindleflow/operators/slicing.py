@@ -42,14 +42,15 @@ def slice_arrays(df: DataFrame, signal: str, rate: Column, window_s: float, stri
 
 def slice_samples(
     samples: DataFrame,
-    size: int,
-    hop: int,
+    size: int | Column,
+    hop: int | Column,
     carry: dict[str, Column] | None = None,
     keys: tuple[str, ...] = ("scenario", "episode"),
 ) -> DataFrame:
     """One-row-per-sample input: every sample goes to the windows that cover it, then one group per window.
 
-    A group holds ``size`` samples whatever the length of the recording, so nothing long is ever collected.
+    A group holds ``size`` samples whatever the length of the recording, so nothing long is ever collected. ``size`` and
+    ``hop`` may be columns that are constant per recording.
     ``carry`` adds aggregates per window (mean context, for example).
     """
     idx = F.col("sample_idx")
@@ -63,9 +64,10 @@ def slice_samples(
         F.transform(
             F.array_sort(F.collect_list(F.struct("sample_idx", "ch"))), lambda s: s["ch"]
         ).alias("sensor_window"),
+        *([F.first(size).alias("_whole")] if isinstance(size, Column) else []),
         *[expr.alias(name) for name, expr in (carry or {}).items()],
     )
-    return grouped.where(F.col("_n") == size).drop("_n")
+    return grouped.where(F.col("_n") == (F.col("_whole") if isinstance(size, Column) else size)).drop("_n", "_whole")
 
 
 def effective_cut(samples_mean: DataFrame, base: dict[str, float]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindleflow.functions import physics as phys
@@ -20,6 +20,7 @@ from spindleflow.operators.staging import staged, staged_in_buckets
 from spindleflow.schema import WINDOW_SCHEMA
 from spindleflow.sources.machine_run import read_machine_run
 from spindleflow.sources.packages import read_packages
+from spindleflow.sources.tables import METADATA_DEFAULTS
 
 
 @dataclass(frozen=True)
@@ -190,56 +191,67 @@ def standardised(samples: DataFrame, channels: int, by: tuple[str, ...] = ("scen
 def ingest_machine_run(
     spark: SparkSession, folder: str, plan: WindowPlan = WindowPlan(), default_label: str = "unknown"
 ) -> DataFrame:
-    """A machine-run folder to windows: aligned context, stability margin, interval labels.  Clock errors fail."""
+    """All machine runs below a folder to windows: aligned context, stability margin, interval labels.
+
+    A clock error in any run fails; the message names the first of them.
+    """
     tables = read_machine_run(spark, folder, plan.span_s)
-    # Findings are one row per kind and table of a run; equal ones are counted.
-    errors = tables["findings"].where("severity = 'error'").groupBy("message").count().orderBy("message").collect()
-    if errors:
-        raise ValueError("; ".join(f"{row['message']} ({row['count']} times)" if row["count"] > 1 else row["message"] for row in errors))
-    meta = tables["metadata"].first().asDict()  # one small row of a run's parameters
-    scenario = meta["run_id"] or folder.rstrip("/").rsplit("/", 1)[-1]
-    return machine_windows(tables["samples"], tables["labels"], meta, scenario, plan, default_label)
+    # Findings are one row per kind and table of a run; equal ones are counted, and kinds of findings are few.
+    errors = tables["findings"].where("severity = 'error'").groupBy("message").agg(F.count("*").alias("count"), F.min("run").alias("run"))
+    found = errors.orderBy("message").limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{row['message']} ({row['count']} times, first in {row['run']})" if row["count"] > 1 else row["message"] for row in found))
+    return machine_windows(tables["samples"], tables["labels"], tables["metadata"], plan, default_label)
+
+
+def run_facts(samples: DataFrame, metadata: DataFrame, plan: WindowPlan) -> DataFrame:
+    """One row per run: metadata or its defaults, rate, duration, window and hop in samples, scenario and episode.
+
+    The scenario is the run's id, or its folder where it has none; runs that share an id are its episodes, by folder.
+    """
+    clock = samples.groupBy("run").agg((F.max("time_s") - F.min("time_s")).alias("_duration"), F.count(F.lit(1)).alias("_samples"))
+    rate = (F.col("_samples") - 1) / F.nullif(F.col("_duration"), F.lit(0.0))
+    size, hop = (F.bround(F.lit(seconds) * F.col("_rate")).cast("long") for seconds in (plan.window_s, plan.stride_s))
+    short = F.raise_error(F.concat(F.lit("a window needs at least four samples and a stride one: "), F.col("run")))
+    filled = {n: F.coalesce(F.col(n), F.lit(v)) for group in METADATA_DEFAULTS.values() for n, v in group.items()}
+    facts = clock.withColumn("_rate", rate).where("_rate IS NOT NULL").join(metadata, "run", "left").withColumns(filled)
+    facts = facts.withColumn("scenario", F.coalesce("run_id", "run")).withColumn("_hop", hop)
+    facts = facts.withColumn("_size", F.when((size < 4) | (F.col("_hop") < 1), short.cast("long")).otherwise(size))
+    number = F.row_number().over(Window.partitionBy("scenario").orderBy("run")).cast("long")
+    return facts.withColumn("episode", number - 1).drop("run_id", "_samples")
 
 
 def machine_windows(
-    aligned: DataFrame, labels: DataFrame, meta: dict, scenario: str, plan: WindowPlan, default_label: str = "unknown"
+    aligned: DataFrame, labels: DataFrame, metadata: DataFrame, plan: WindowPlan, default_label: str = "unknown"
 ) -> DataFrame:
-    """Aligned samples of one run (sample_idx, time_s, ch, spindle_rpm, feed_per_tooth_m) to windows."""
+    """Aligned samples of runs (run, sample_idx, time_s, ch, spindle_rpm, feed_per_tooth_m) to windows.
+
+    ``labels`` and ``metadata`` are keyed by run as well: rates, tools and cutting parameters reach the windows by a
+    join, so runs of different machines are one job.
+    """
     samples = staged(aligned, "samples")
-    clock = samples.agg((F.max("time_s") - F.min("time_s")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    rate = (clock["n"] - 1) / clock["d"]
-    size, hop = window_samples(plan.window_s, plan.stride_s, rate)
-    rows = samples.withColumns({"scenario": F.lit(scenario), "episode": F.lit(0).cast("long")})
+    facts = staged(run_facts(samples, metadata, plan), "runs")
     cut = slice_samples(
-        rows, size, hop, {"spindle_rpm": F.avg("spindle_rpm"), "feed_per_tooth_m": F.avg("feed_per_tooth_m")}
-    )
-    modal = phys.Modal(*[meta[n] for n in ("mass_x_kg", "mass_y_kg", "stiffness_x_n_m", "stiffness_y_n_m", "damping_x_n_s_m", "damping_y_n_s_m")])
-    tool = phys.Tool(meta["diameter_m"], meta["flute_count"], meta["overhang_m"], meta["runout_m"])
-    process = phys.Cut(
-        F.col("spindle_rpm"), F.col("feed_per_tooth_m"), meta["axial_depth_m"], meta["radial_depth_m"],
-        meta["cutting_coeff_t_n_m2"], meta["cutting_coeff_r_n_m2"],
-    )
+        samples.join(facts.select("run", "_size", "_hop"), "run"), F.col("_size"), F.col("_hop"),
+        {"spindle_rpm": F.avg("spindle_rpm"), "feed_per_tooth_m": F.avg("feed_per_tooth_m")}, ("run",),
+    )
+    cut = cut.join(facts.drop("_size", "_hop"), "run")
+    modal = phys.Modal(*[F.col(n) for n in METADATA_DEFAULTS["modal"]])
+    tool = phys.Tool(*[F.col(n) for n in METADATA_DEFAULTS["tool"]])
+    process = phys.Cut(F.col("spindle_rpm"), F.col("feed_per_tooth_m"), *[F.col(n) for n in METADATA_DEFAULTS["process"]])
     margins = cut.withColumn("_v", phys.stability(modal, tool, process))
     done = featurise(
         margins.withColumns(
             {"_margin": F.col("_v.signed_margin"), "limiting_frequency_hz": F.col("_v.limiting_frequency_hz")}
         ).drop("_v"),
-        F.lit(rate), F.col("spindle_rpm"), F.lit(int(meta["flute_count"])), phys.natural_frequency(modal), F.col("_margin"), 0.20,
+        F.col("_rate"), F.col("spindle_rpm"), F.col("flute_count"), phys.natural_frequency(modal), F.col("_margin"), 0.20,
     )
     filled = done.withColumns(
         {
-            "axial_depth_m": F.lit(meta["axial_depth_m"]),
-            "radial_depth_m": F.lit(meta["radial_depth_m"]),
-            "cutting_coeff_t_n_m2": F.lit(meta["cutting_coeff_t_n_m2"]),
-            "cutting_coeff_r_n_m2": F.lit(meta["cutting_coeff_r_n_m2"]),
             "axial_depth_profile_scale": F.lit(1.0),
             "cutting_coeff_profile_scale": F.lit(1.0),
-            "episode_progress": clip(F.col("start_time_s") / F.lit(max(clock["d"], 1e-12)), 0.0, 1.0),
+            "episode_progress": clip(F.col("start_time_s") / F.greatest(F.col("_duration"), F.lit(1e-12)), 0.0, 1.0),
         }
     )
-    named = label_windows(
-        filled, labels.withColumn("scenario", F.lit(scenario)), ["scenario"], "window_index_in_episode", plan.span_s, default_label
-    )
-    return finish(named.drop("_margin"), plan)
-
-
+    named = label_windows(filled, labels, ["run"], "window_index_in_episode", plan.span_s, default_label)
+    return finish(named.drop("_margin", "_rate", "_duration", "run", *METADATA_DEFAULTS["modal"], *METADATA_DEFAULTS["tool"]), plan)

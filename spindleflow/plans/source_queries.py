@@ -11,7 +11,7 @@ from spindleflow.operators.scan import with_position
 from spindleflow.operators.staging import staged
 from spindleflow.plans.catalog import pick, query, read
 from spindleflow.plans.inputs import LAYOUT, PRED_SQL, TRACE_SQL, WIN_SQL, trace, windows, with_probabilities
-from spindleflow.plans.ingest import WindowPlan, ingest_packages, ingest_samples, machine_windows
+from spindleflow.plans.ingest import WindowPlan, ingest_machine_run, ingest_packages, ingest_samples, machine_windows
 from spindleflow.schema import struct_of
 from spindleflow.session import shared_folder
 from spindleflow.sources import packages, tables
@@ -389,11 +389,73 @@ def s7(spark: SparkSession, folder: str) -> DataFrame:
     clock = aligned.agg(F.max("time_s") - F.min("time_s"), F.count(F.lit(1))).first()
     step = clock[0] / (clock[1] - 1)
     plan = WindowPlan(16.2 * step, 8.1 * step, 20.0 * step, span)
-    meta = {**{k: v for group in tables.METADATA_DEFAULTS.values() for k, v in group.items()}, "run_id": "run"}
-    table = machine_windows(aligned, marks, meta, "run", plan, "stable")
+    defaults = [F.lit(v).alias(k) for group in tables.METADATA_DEFAULTS.values() for k, v in group.items()]
+    one = spark.range(1).select(F.lit("run").alias("run"), F.lit("run").alias("run_id"), *defaults)
+    table = machine_windows(aligned, marks.withColumn("run", F.lit("run")), one, plan, "stable")
     return table.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum("start_time_s"), 3).alias("start_sum"))
 
 
+def _write_run_folders(spark: SparkSession, folder: str) -> str:
+    """A run folder for every 2,000 events or so: 10 samples a second, tools and depths that differ between runs."""
+    base = folder_for(spark, "run-folders")
+    rows = windows(spark, folder).select("window_id", "label", "k", "rms", "value")
+    count, last = rows.agg(F.count(F.lit(1)), F.max("window_id")).first()
+    runs = max(1, count // 2000)
+    dealt = rows.withColumn("run", F.floor(F.col("window_id") * F.lit(runs) / F.lit((last or 0) + 1)))
+
+    def write(key, table):
+        import json
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        run, rows = key[0].as_py(), table.sort_by("window_id").to_pylist()
+        system, root = fs.FileSystem.from_uri(base)
+        home = f"{root}/run{run:06d}"
+        system.create_dir(home, recursive=True)
+        clock = [5.0 + i / 10 for i in range(len(rows))]
+
+        def put(name, lines):
+            with system.open_output_stream(f"{home}/{name}") as out:
+                out.write("\n".join(lines).encode())
+
+        put("sensors.csv", ["time_s,accel_x,accel_y,accel_z", *(f"{t!r},{r['rms']!r},{r['value']!r},{r['k']!r}" for t, r in zip(clock, rows))])
+        marks = range(0, len(rows) + 10, 10)
+        put("cnc_context.csv", ["time_s,spindle_rpm,feed_mm_min", *(f"{5.0 + i / 10!r},{6000 + 300 * (run % 7)},600" for i in marks)])
+        marked = [(5.0 + i / 10, r["label"]) for i, r in enumerate(rows) if r["label"] in ("slight", "severe") and r["k"] > 90]
+        put("labels.csv", ["start_time_s,end_time_s,label", *(f"{t - 0.02!r},{t + 1.01!r},{label}" for t, label in marked)])
+        if run % 5 != 4:  # the others take the defaults
+            facts = {"run_id": f"part{run // 2}", "tool": {"flute_count": 2 + run % 3}, "process": {"axial_depth_m": 0.0004 + 0.0001 * (run % 3)}}
+            put("metadata.json", [json.dumps(facts)])
+        return pa.table({"run": [run], "samples": [len(rows)]})
+
+    dealt.groupBy("run").applyInArrow(write, "run long, samples long").agg(F.sum("samples")).collect()
+    return base
+
+
+@query(
+    "s7_run_folders",
+    f"""WITH {WIN_SQL}, m AS (SELECT greatest(1, count(*) // 2000) AS runs, max(window_id) + 1 AS ids FROM win),
+    n AS (SELECT label, k, CAST(floor(window_id * runs / ids) AS BIGINT) AS run, row_number() OVER (PARTITION BY CAST(floor(window_id * runs / ids) AS BIGINT) ORDER BY window_id) - 1 AS i FROM win CROSS JOIN m),
+    w AS (SELECT run, unnest(range(CAST(greatest(0, ceil((i - 15) / 8.0)) AS BIGINT), i // 8 + 1)) AS w FROM n),
+    g AS (SELECT run, w, 0.8e0 * w + 0.75e0 AS centre FROM w GROUP BY ALL HAVING count(*) = 16),
+    iv AS (SELECT run, i / 10e0 - 0.02e0 AS a, i / 10e0 + 1.01e0 AS b, CASE label WHEN 'slight' THEN 2 ELSE 3 END AS sv FROM n WHERE label IN ('slight', 'severe') AND k > 90),
+    h AS (SELECT g.run, g.w, max(sv) AS sv FROM g JOIN iv ON g.run = iv.run AND centre BETWEEN a AND b GROUP BY ALL),
+    f AS (SELECT g.run, g.w, CASE sv WHEN 2 THEN 'slight' WHEN 3 THEN 'severe' ELSE 'stable' END AS label, g.run % 5 = 4 AS bare, 6000e0 + 300 * (g.run % 7) AS rpm FROM g LEFT JOIN h ON g.run = h.run AND g.w = h.w),
+    t AS (SELECT *, CASE WHEN bare THEN 'run' || lpad(CAST(run AS VARCHAR), 6, '0') ELSE 'part' || CAST(run // 2 AS VARCHAR) END AS scenario, CASE WHEN bare THEN 4 ELSE 2 + run % 3 END AS flutes, CASE WHEN bare THEN 0.0006e0 ELSE 0.0004e0 + 0.0001e0 * (run % 3) END AS depth FROM f)
+    SELECT scenario, label, count(*) AS windows, count(DISTINCT run) AS episodes, round(sum(0.8e0 * w), 3) AS start_sum, round(avg(rpm * flutes / 60e0), 4) AS tooth_hz, round(avg(600e3 / (rpm * flutes)), 4) AS feed_um, round(avg(depth * 1e6), 3) AS depth_um
+    FROM t GROUP BY scenario, label""",
+)
+def s7_run_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Run folders written from the events, read and ingested together: a tool, a rate and labels for each run."""
+    table = ingest_machine_run(spark, _write_run_folders(spark, folder), WindowPlan(1.6, 0.8, 3.2, 60.0), "stable")
+    return table.groupBy("scenario", "label").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_distinct("episode").alias("episodes"), F.round(F.sum("start_time_s"), 3).alias("start_sum"),
+        F.round(F.avg("tooth_frequency_hz"), 4).alias("tooth_hz"), F.round(F.avg(F.col("feed_per_tooth_m") * 1e6), 4).alias("feed_um"),
+        F.round(F.avg(F.col("axial_depth_m") * 1e6), 3).alias("depth_um"),
+    )
+
+
 def _write_sounds(spark: SparkSession, folder: str) -> str:
     """Three 16-bit sound files for each label and thousand vectors, written by the tasks that hold their samples."""
     base = folder_for(spark, "sounds")

@@ -25,14 +25,18 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def read_rows(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """All CSV files below a folder as text columns, with ``_path`` and the row's place in its file."""
+def read_rows(spark: SparkSession, path: str, pattern: str = "*.csv", one_header: bool = False) -> DataFrame:
+    """All CSV files below a folder as text columns, with ``_path`` and the row's place in its file.
+
+    With ``one_header`` a file whose header differs from the first one's fails instead of being read by position.
+    """
     rows = (
         spark.read.option("header", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .option("maxCharsPerColumn", -1)
         .option("maxColumns", 100_000)
+        .option("enforceSchema", not one_header)
         .csv(path)
     )
     return rows.select(
@@ -173,10 +177,14 @@ def read_trial_sheet(rows: DataFrame, cells: str = "cells", place: str = "row")
 
 def read_label_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Label intervals; one that does not end after it starts fails the job."""
-    raw = spark.read.option("header", True).csv(path)
+    return label_intervals(spark.read.option("header", True).csv(path))
+
+
+def label_intervals(raw: DataFrame, *keys: Column) -> DataFrame:
+    """Label intervals of rows as text; one that does not end after it starts fails the job."""
     start, end = F.col("start_time_s").cast("double"), F.col("end_time_s").cast("double")
     checked = F.when(end <= start, F.raise_error(F.lit("end_time_s must exceed start_time_s"))).otherwise(end)
-    return raw.select(start.alias("start_time_s"), checked.alias("end_time_s"), status_to_label(F.col("label")).alias("label"))
+    return raw.select(*keys, start.alias("start_time_s"), checked.alias("end_time_s"), status_to_label(F.col("label")).alias("label"))
 
 
 def read_cutting_intervals(spark: SparkSession, path: str) -> DataFrame:
@@ -224,14 +232,19 @@ METADATA_DEFAULTS = {
 
 
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Nested run metadata with every missing value replaced by its default; one row per run file."""
-    raw = spark.read.schema(RUN_METADATA_SCHEMA).option("multiLine", True).json(path)
+    """Nested metadata of all ``metadata.json`` files below a folder, every missing value replaced by its default.
+
+    One row per file; ``run`` is the folder that holds it.
+    """
+    found = spark.read.schema(RUN_METADATA_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json")
+    raw = found.option("multiLine", True).json(path)
     fields = [
         F.coalesce(F.col(f"{group}.{name}"), F.lit(value)).alias(name)
         for group, values in METADATA_DEFAULTS.items()
         for name, value in values.items()
     ]
-    return raw.select(F.nullif(F.col("run_id"), F.lit("")).alias("run_id"), *fields)
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return raw.select(run.alias("run"), F.nullif(F.col("run_id"), F.lit("")).alias("run_id"), *fields)
 
 
 def read_runs(

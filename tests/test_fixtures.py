@@ -110,6 +110,41 @@ def test_machine_run(spark, tmp_path):
     assert table[0]["axial_depth_m"] == 0.0004
 
 
+def test_many_machine_runs_in_one_job(spark, tmp_path):
+    machine_run_of = {"first": (2, "shared"), "second": (5, "shared"), "third": (None, None)}
+    for name, (flutes, run_id) in machine_run_of.items():
+        home, rate = tmp_path / name, 500 if name == "second" else 1000
+        home.mkdir()
+        machine_run(home)
+        if name == "second":
+            t = [i / rate for i in range(120)]
+            csv_of(home / "sensors.csv", ("time_s", "accel_x", "accel_y", "accel_z"), [(x + 5.0, math.sin(700 * x), math.sin(900 * x), 0.1) for x in t])
+        csv_of(home / "cnc_context.csv", ("time_s", "spindle_rpm", "feed_mm_min"), [(5.0 + x, 9000, 1800) for x in (0.0, 0.24)])
+        if flutes is None:
+            (home / "metadata.json").unlink()
+            (home / "labels.csv").unlink()
+        else:
+            (home / "metadata.json").write_text(json.dumps({"run_id": run_id, "tool": {"flute_count": flutes}}))
+    table = ingest.ingest_machine_run(spark, str(tmp_path), ingest.WindowPlan(0.05, 0.05, 0.10, 0.1), "unknown")
+    rows = table.orderBy("scenario", "episode", "window_index_in_episode").collect()
+    assert [(r["scenario"], r["episode"]) for r in rows] == [*[("shared", 0)] * 4, *[("shared", 1)] * 4, *[("third", 0)] * 4]
+    for r, flutes in zip(rows, [2] * 4 + [5] * 4 + [4] * 4):
+        assert r["feed_per_tooth_m"] == pytest.approx(1.8 / (9000 * flutes))
+        assert r["tooth_frequency_hz"] == pytest.approx(150 * flutes)
+    assert [r["label"] for r in rows] == ["stable", "stable", "transition", "slight"] * 2 + ["unknown"] * 4
+    assert [r["start_time_s"] for r in rows[:8]] == pytest.approx([0.0, 0.05, 0.1, 0.15] * 2)
+    assert len({r["margin_physics"] for r in rows}) == 3
+
+
+def test_runs_with_different_headers_fail(spark, tmp_path):
+    for name, axes in (("one", ("accel_x", "accel_y", "accel_z")), ("two", ("accel_y", "accel_x", "accel_z"))):
+        (tmp_path / name).mkdir()
+        machine_run(tmp_path / name)
+        csv_of(tmp_path / name / "sensors.csv", ("time_s", *axes), [(5.0 + n / 10, 0, 1, 2) for n in range(20)])
+    with pytest.raises(Exception, match="CSV header"):
+        ingest.ingest_machine_run(spark, str(tmp_path), ingest.WindowPlan(0.5, 0.5, 1.0, 0.1)).collect()
+
+
 def test_machine_run_with_a_clock_that_stalls(spark, tmp_path):
     machine_run(tmp_path)
     csv_of(tmp_path / "sensors.csv", ("time_s", "accel_x", "accel_y", "accel_z"), [(5.0, 0, 0, 0)] * 6)
