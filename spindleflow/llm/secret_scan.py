@@ -74,7 +74,7 @@ def with_battery(tokens: DataFrame) -> DataFrame:
     # A run that mixes both kinds of base64 has an alphabet of its own.
     df = tokens.withColumn("encoding", F.coalesce(encoding, F.lit("mixed"))).withColumn("alphabet", alphabet)
     df = df.withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.length("token").cast("double"))
-    df = df.withColumn("v", F.expr("transform(sequence(1, length(token)), i -> CAST(instr(alphabet, substring(token, i, 1)) - 1 AS DOUBLE))"))
+    df = df.withColumn("v", F.expr("transform(split(token, '', -1), c -> CAST(instr(alphabet, c) - 1 AS DOUBLE))"))
     df = df.withColumn("mean", F.expr("aggregate(v, 0D, (a, x) -> a + x) / n"))
     df = df.withColumn("chi", F.expr("aggregate(transform(sequence(0, 4), b -> size(filter(v, x -> floor(x * 5 / k) = b)) - n / 5), 0D, (a, d) -> a + d * d) / (n / 5)"))
     df = df.withColumn("high", F.expr("CAST(size(filter(v, x -> x * 2 >= k)) AS DOUBLE)"))
@@ -96,7 +96,7 @@ def with_battery(tokens: DataFrame) -> DataFrame:
 def random_tokens(tokens: DataFrame, alpha: float = 0.01, share: float = 0.01) -> DataFrame:
     """The distinct tokens that pass for random: not rejected at ``alpha``, and kept at false discovery rate ``share``."""
     judged = staged(with_battery(tokens), "battery")
-    pairs = F.expr("transform(sequence(1, length(token) - 1), i -> concat(substring(class, i, 1), substring(token, i + 1, 1)))")
+    pairs = F.expr("zip_with(split(left(class, length(class) - 1), '', -1), split(substring(token, 2), '', -1), (c, x) -> concat(c, x))")
     # A run of capitals alone is judged as its small letters: a shouted word is no less a word.
     judged = judged.withColumn("shown", F.col("token")).withColumn("token", F.when(F.col("token").rlike("^[A-Z]+$"), F.lower("token")).otherwise(F.col("token")))
     stepped = judged.withColumn("class", F.translate("token", LETTERS, CLASSES)).withColumn("steps", pairs)
