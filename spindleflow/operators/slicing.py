@@ -40,34 +40,72 @@ def slice_arrays(df: DataFrame, signal: str, rate: Column, window_s: float, stri
     ).drop(signal, "window_index", "_size", "_rate")
 
 
+# A block of windows is cut from one row: at least this many samples, and eight times what neighbours share.
+BLOCK_SAMPLES = 1024
+BLOCK_OVERLAPS = 8
+
+
 def slice_samples(
     samples: DataFrame,
     size: int | Column,
     hop: int | Column,
-    carry: dict[str, Column] | None = None,
+    carry: tuple[str, ...] = (),
+    mean: tuple[str, ...] = (),
     keys: tuple[str, ...] = ("scenario", "episode"),
 ) -> DataFrame:
-    """One-row-per-sample input: every sample goes to the windows that cover it, then one group per window.
+    """One-row-per-sample input: samples are collected in blocks of consecutive windows, then cut inside the block's row.
 
-    A group holds ``size`` samples whatever the length of the recording, so nothing long is ever collected. ``size`` and
-    ``hop`` may be columns that are constant per recording.
-    ``carry`` adds aggregates per window (mean context, for example).
+    Only the samples that a block shares with its neighbour (window minus hop) are copied, at most an eighth of the
+    block, so about the input itself is exchanged whatever the overlap of the windows. A block is bounded by the window,
+    not by the recording. ``size`` and ``hop`` may be columns that are constant per recording. ``carry`` names columns
+    constant per recording, ``mean`` columns to average over each window.
     """
+    size, hop = (v if isinstance(v, Column) else F.lit(v) for v in (size, hop))
     idx = F.col("sample_idx")
+    per = F.greatest(
+        F.ceil(F.lit(BLOCK_OVERLAPS) * (size - hop) / hop), F.ceil(F.lit(BLOCK_SAMPLES) / hop), F.lit(1).cast("long")
+    )
     last = F.floor(idx / hop)
     first = F.greatest(F.lit(0), F.ceil((idx - size + 1) / hop))
-    spread = samples.where(first <= last).withColumn("window_index_in_episode", F.explode(F.sequence(first, last)))
-    grouped = spread.groupBy(*keys, "window_index_in_episode").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("time_s").alias("start_time_s"),
-        F.max("time_s").alias("end_time_s"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("sample_idx", "ch"))), lambda s: s["ch"]
-        ).alias("sensor_window"),
-        *([F.first(size).alias("_whole")] if isinstance(size, Column) else []),
-        *[expr.alias(name) for name, expr in (carry or {}).items()],
+    blocks = F.sequence(F.floor(first / per), F.floor(last / per))
+    grouped = samples.where(first <= last).withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("sample_idx", "time_s", "ch", *mean))).alias("_s"),
+        F.first(size).cast("long").alias("_size"),
+        F.first(hop).cast("long").alias("_hop"),
+        F.first(per).alias("_per"),
+        *[F.first(c).alias(c) for c in carry],
+    )
+    # A field of an array of structs is the array of that field.
+    lists = [F.col("_s")[n].alias(f"_l_{n}") for n in ("sample_idx", "time_s", "ch", *mean)]
+    listed = grouped.select(*keys, *carry, "_block", "_size", "_hop", "_per", *lists)
+    held = F.col("_l_sample_idx")
+    whole = F.element_at(held, -1) - held[0] + 1 == F.size(held)
+
+    def window(w: Column) -> Column:
+        at, size = w * F.col("_hop"), F.col("_size")
+        before = F.when(whole, at - held[0]).otherwise(F.size(F.filter(held, lambda i: i < at)))
+        inside = F.size(F.filter(held, lambda i: (i >= at) & (i < at + size))) == size
+        full = F.when(whole, (at >= held[0]) & (at + size <= held[0] + F.size(held))).otherwise(inside)
+        begin = F.when(full, before + 1).cast("int")
+        cuts = [F.slice(f"_l_{n}", begin, size.cast("int")).alias(f"_l_{n}") for n in ("time_s", "ch", *mean)]
+        return F.struct(w.alias("window_index_in_episode"), *cuts)
+
+    numbers = F.sequence(F.col("_block") * F.col("_per"), (F.col("_block") + 1) * F.col("_per") - 1)
+    cut = listed.select(*keys, *carry, F.inline(F.transform(numbers, window))).where(F.col("_l_ch").isNotNull())
+
+    def average(name: str) -> Column:
+        known = F.filter(f"_l_{name}", lambda v: v.isNotNull())
+        return F.aggregate(known, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.nullif(F.size(known), F.lit(0))
+
+    return cut.select(
+        *keys,
+        "window_index_in_episode",
+        F.array_min("_l_time_s").alias("start_time_s"),
+        F.array_max("_l_time_s").alias("end_time_s"),
+        F.col("_l_ch").alias("sensor_window"),
+        *carry,
+        *[average(name).alias(name) for name in mean],
     )
-    return grouped.where(F.col("_n") == (F.col("_whole") if isinstance(size, Column) else size)).drop("_n", "_whole")
 
 
 def effective_cut(samples_mean: DataFrame, base: dict[str, float]) -> DataFrame:

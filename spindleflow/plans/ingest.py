@@ -170,7 +170,7 @@ def ingest_samples(
     """
     size, hop = window_samples(plan.window_s, plan.stride_s, rate)
     lengths = samples.groupBy("scenario", "episode").agg((F.max("sample_idx") + 1).alias("_samples"))
-    cut = slice_samples(samples, size, hop, {c: F.first(c) for c in carry})
+    cut = slice_samples(samples, size, hop, carry)
     cut = cut.join(lengths, ["scenario", "episode"]).withColumn("_duration", F.col("_samples") / F.lit(rate)).drop("_samples")
     speed = F.col("spindle_rpm") if "spindle_rpm" in carry else F.lit(float(rpm))
     teeth = F.col("flutes") if "flutes" in carry else F.lit(flutes)
@@ -233,7 +233,7 @@ def machine_windows(
     facts = staged(run_facts(samples, metadata, plan), "runs")
     cut = slice_samples(
         samples.join(facts.select("run", "_size", "_hop"), "run"), F.col("_size"), F.col("_hop"),
-        {"spindle_rpm": F.avg("spindle_rpm"), "feed_per_tooth_m": F.avg("feed_per_tooth_m")}, ("run",),
+        mean=("spindle_rpm", "feed_per_tooth_m"), keys=("run",),
     )
     cut = cut.join(facts.drop("_size", "_hop"), "run")
     modal = phys.Modal(*[F.col(n) for n in METADATA_DEFAULTS["modal"]])

@@ -34,7 +34,7 @@ def sample_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.array("rms").alias("ch"),
         "k",
     )
-    return slicing.slice_samples(samples, _SIZE, _HOP, {"mean_k": F.avg("k")})
+    return slicing.slice_samples(samples.withColumnRenamed("k", "mean_k"), _SIZE, _HOP, mean=("mean_k",))
 
 
 @query(

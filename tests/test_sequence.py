@@ -268,3 +268,21 @@ def test_slices_cover_full_windows_only(spark):
         assert math.isclose(out[k]["end_time_s"], (s + size - 1) / 10.0)
     with pytest.raises(ValueError):
         slicing.window_samples(0.2, 0.1, 10.0)
+
+
+@pytest.mark.parametrize(("size", "hop"), [(8, 3), (5, 7), (700, 40)])
+def test_windows_of_several_blocks_with_gaps(spark, size, hop):
+    kept = [i for i in range(4000) if i % 911 != 500 and not 2000 <= i < 2100]
+    rows = [("s", 0, i, i / 10.0, [float(i)], float(i % 13), 7) for i in kept]
+    schema = "scenario string, episode long, sample_idx long, time_s double, ch array<double>, load double, teeth int"
+    samples = spark.createDataFrame(rows, schema).repartition(5)
+    held = set(kept)
+    whole = [w for w in range(4000) if all(w * hop + j in held for j in range(size))]
+    for given in ((size, hop), (F.lit(size), F.lit(hop))):
+        out = {r["window_index_in_episode"]: r for r in slicing.slice_samples(samples, *given, ("teeth",), ("load",)).collect()}
+        assert sorted(out) == whole
+        for w in whole[:: max(1, len(whole) // 50)]:
+            covered = range(w * hop, w * hop + size)
+            assert [c[0] for c in out[w]["sensor_window"]] == [float(i) for i in covered]
+            assert math.isclose(out[w]["load"], sum(i % 13 for i in covered) / size) and out[w]["teeth"] == 7
+            assert math.isclose(out[w]["start_time_s"], w * hop / 10.0)
