@@ -100,7 +100,7 @@ def cut_by_interval(
         label_rows.select(experiment, "position", *attributes), [experiment, "position"], "left"
     ).withColumns(
         {
-            "interval_start": F.bround(F.col("start") * rate).cast("long"),
+            "interval_start": F.greatest(F.bround(F.col("start") * rate).cast("long"), F.lit(0).cast("long")),
             "interval_end": F.bround(F.col("end") * rate).cast("long"),
         }
     )

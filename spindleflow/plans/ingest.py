@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from spindleflow.functions import physics as phys
 from spindleflow.functions import signal as sig
-from spindleflow.functions.labels import id_of_label
+from spindleflow.functions.labels import comment_to_label, id_of_label
 from spindleflow.functions.risk import RiskInputs, clip, risk_struct
 from spindleflow.operators import sequence as seq
-from spindleflow.operators.align import label_windows
+from spindleflow.operators.align import cut_by_interval, label_windows
 from spindleflow.operators.quantiles import spread_of
 from spindleflow.operators.scan import Layout, with_position
 from spindleflow.operators.slicing import slice_arrays, slice_samples, window_samples
 from spindleflow.operators.staging import staged, staged_in_buckets
+from spindleflow.operators.timebase import dense_number
 from spindleflow.schema import WINDOW_SCHEMA
 from spindleflow.sources.machine_run import read_machine_run
-from spindleflow.sources.packages import read_packages
-from spindleflow.sources.tables import METADATA_DEFAULTS
+from spindleflow.sources.packages import SOUND_BLOCK, read_packages, read_sound
+from spindleflow.sources.tables import METADATA_DEFAULTS, read_controller_hf, read_cutting_intervals
 
 
 @dataclass(frozen=True)
@@ -162,19 +163,92 @@ def ingest_packages(
 
 
 def ingest_samples(
-    samples: DataFrame, plan: WindowPlan, rate: float, rpm: float, flutes: int = 4, modal_hz: float | None = None, carry: tuple[str, ...] = ("label",)
+    samples: DataFrame, plan: WindowPlan, rate: float | Column, rpm: float, flutes: int = 4, modal_hz: float | None = None, carry: tuple[str, ...] = ("label",)
 ) -> DataFrame:
     """One-row-per-sample recordings (scenario, episode, sample_idx, time_s, ch, label) to windows.
 
-    Serves the triaxial, controller and sound families; columns in ``carry`` are constant per recording.
+    Serves the triaxial, controller and sound families; columns in ``carry`` are constant per recording. ``rate`` may be
+    one of them, for recordings of different rates.
     """
-    size, hop = window_samples(plan.window_s, plan.stride_s, rate)
+    if isinstance(rate, Column):
+        short = F.raise_error(F.lit("a window needs at least four samples and a stride one")).cast("long")
+        size, hop = (F.bround(F.lit(seconds) * rate).cast("long") for seconds in (plan.window_s, plan.stride_s))
+        size = F.when((size < 4) | (hop < 1), short).otherwise(size)
+    else:
+        size, hop = window_samples(plan.window_s, plan.stride_s, rate)
+        rate = F.lit(rate)
     lengths = samples.groupBy("scenario", "episode").agg((F.max("sample_idx") + 1).alias("_samples"))
     cut = slice_samples(samples, size, hop, carry)
-    cut = cut.join(lengths, ["scenario", "episode"]).withColumn("_duration", F.col("_samples") / F.lit(rate)).drop("_samples")
+    cut = cut.join(lengths, ["scenario", "episode"]).withColumn("_duration", F.col("_samples") / rate).drop("_samples")
     speed = F.col("spindle_rpm") if "spindle_rpm" in carry else F.lit(float(rpm))
     teeth = F.col("flutes") if "flutes" in carry else F.lit(flutes)
-    return _public(cut, plan, F.lit(rate), speed, teeth, modal_hz)
+    return _public(cut, plan, rate, speed, teeth, modal_hz)
+
+
+# What is known of a recording beside its samples.
+CUT_FACTS = ("label", "flutes", "spindle_rpm", "feed_per_tooth_m", "axial_depth_m", "radial_depth_m")
+
+
+def ingest_sound(
+    spark: SparkSession, path: str, labels: DataFrame, plan: WindowPlan = SOUND, sensors: tuple[int, ...] = (0, 1, 2)
+) -> DataFrame:
+    """Sound files and ``cutting.csv`` in a folder per experiment, with operator labels, to windows.
+
+    Cutting interval *i* of an experiment is an episode and takes label row *i* (``position`` from 1, columns of
+    ``operator_labels``); without one it counts as stable, at one turn a minute. Experiments without label rows or
+    intervals are left out, their sound is not read.
+    """
+    intervals = staged(
+        read_cutting_intervals(spark, path, "cutting.csv")
+        .withColumn("experiment", F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)).drop("_path")
+        .join(labels.select("experiment").distinct(), "experiment", "left_semi"),
+        "cutting",
+    )
+    samples = staged(read_sound(spark, path, sensors, intervals), "sound")
+    rates = samples.groupBy("experiment").agg(F.min("rate").alias("rate"))
+    placed = cut_by_interval(
+        samples.drop("rate"), intervals.join(rates, "experiment"), labels, "experiment", F.col("rate"), SOUND_BLOCK, list(CUT_FACTS)
+    )
+    missing = dict(zip(CUT_FACTS, ("stable", 4, 1.0, 1.0e-9, 0.0, 0.0)))
+    filled = placed.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in missing.items()})
+    filled = filled.withColumns({"scenario": F.col("experiment"), "time_s": F.col("sample_idx") / F.col("rate")})
+    return ingest_samples(filled, plan, F.col("rate"), 1.0, carry=(*CUT_FACTS, "rate"))
+
+
+def ingest_controller(
+    spark: SparkSession,
+    path: str,
+    trials: DataFrame,
+    columns: tuple[str, ...],
+    rate: float,
+    plan: WindowPlan = CONTROLLER,
+    include_unknown: bool = False,
+    robust: bool = False,
+) -> DataFrame:
+    """Controller files ``<trial>_hfdata.csv`` with their trial sheet (columns of ``read_trial_sheet``) to windows.
+
+    The comment is the label; trials of other comments are dropped before their samples are joined unless
+    ``include_unknown``. Episodes number the trials by name; ``robust`` replaces each signal by its robust z-score.
+    """
+    def at_least(name: str, low: float, scale: float = 1.0) -> Column:
+        return F.greatest(F.coalesce(F.col(name), F.lit(0.0)) / F.lit(scale), F.lit(low))
+
+    known = trials.select(
+        "trial",
+        comment_to_label(F.col("comment")).alias("label"),
+        F.greatest(F.coalesce("flutes", F.lit(1)), F.lit(1)).alias("flutes"),
+        at_least("spindle_rpm", 1.0).alias("spindle_rpm"),
+        at_least("feed_per_tooth_mm", 1.0e-9, 1000.0).alias("feed_per_tooth_m"),
+        at_least("axial_depth_mm", 0.0, 1000.0).alias("axial_depth_m"),
+        (phys.mean_of_numbers(F.col("overlap_mm")) / 1000.0).alias("radial_depth_m"),
+    )
+    chosen = staged(known if include_unknown else known.where(F.col("label") != "unknown"), "trials")
+    numbered = chosen.join(dense_number(chosen.select("trial").distinct(), "trial", "episode"), "trial")
+    samples = read_controller_hf(spark, path, columns, rate)
+    samples = samples.withColumn("trial", F.regexp_replace("recording", "_hfdata$", "")).join(numbered, "trial").withColumnRenamed("trial", "scenario")
+    if robust:
+        samples = standardised(staged(samples, "controller"), len(columns))
+    return ingest_samples(samples, plan, rate, 1.0, carry=CUT_FACTS)
 
 
 def standardised(samples: DataFrame, channels: int, by: tuple[str, ...] = ("scenario", "episode")) -> DataFrame:

@@ -11,7 +11,7 @@ from spindleflow.operators.scan import with_position
 from spindleflow.operators.staging import staged
 from spindleflow.plans.catalog import pick, query, read
 from spindleflow.plans.inputs import LAYOUT, PRED_SQL, TRACE_SQL, WIN_SQL, trace, windows, with_probabilities
-from spindleflow.plans.ingest import WindowPlan, ingest_machine_run, ingest_packages, ingest_samples, machine_windows
+from spindleflow.plans.ingest import WindowPlan, ingest_controller, ingest_machine_run, ingest_packages, ingest_samples, ingest_sound, machine_windows
 from spindleflow.schema import struct_of
 from spindleflow.session import shared_folder
 from spindleflow.sources import packages, tables
@@ -457,7 +457,7 @@ def s7_run_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _write_sounds(spark: SparkSession, folder: str) -> str:
-    """Three 16-bit sound files for each label and thousand vectors, written by the tasks that hold their samples."""
+    """Three 16-bit sound files and a list of cuts for each label and thousand vectors, written by the tasks that hold their samples."""
     base = folder_for(spark, "sounds")
     parts = read(spark, folder, "embeddings").select(
         F.concat_ws("x", F.concat(F.lit("Exp"), F.col("label").cast("string")), F.floor(F.col("vec_id") / 1000).cast("string")).alias("experiment"), "vec_id", F.col("embedding").cast("array<double>").alias("x")
@@ -486,6 +486,9 @@ def _write_sounds(spark: SparkSession, folder: str) -> str:
                     out.writeframes(np.floor(samples * 10_000 / 2**sensor).astype("<i2").tobytes())
                 with system.open_output_stream(f"{root}/{experiment}/cut_sensor{sensor}.wav") as out:
                     out.write(held.getvalue())
+            cuts = ["Start,End", *(f"{i * 64 / 1000 + 0.003!r},{i * 64 / 1000 + 0.303!r}" for i in range(0, len(blocks), 8))]
+            with system.open_output_stream(f"{root}/{experiment}/cutting.csv") as out:
+                out.write("\n".join(cuts).encode())
             return pd.DataFrame({"experiment": [experiment], "samples": [len(samples)]})
 
         for frame in frames:
@@ -516,3 +519,90 @@ def s8(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("experiment").agg(
         F.count(F.lit(1)).alias("samples"), F.avg(ch[0] * ch[0]).alias("power0"), F.avg(ch[1] * ch[1]).alias("power1"), F.avg(ch[0] * ch[2]).alias("joint02")
     )
+
+
+@query(
+    "s8_ingest_sound",
+    """WITH v AS (SELECT 'Exp' || label || 'x' || vec_id // 1000 AS e, row_number() OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) - 1 AS i, embedding FROM embeddings),
+    u AS (SELECT e, i * 64 + unnest(range(64)) AS n, unnest(embedding)::DOUBLE * 10000e0 AS x FROM v),
+    q AS (SELECT e, n, floor(x) / 32768e0 AS a, floor(x / 2e0) / 32768e0 AS b, floor(x / 4e0) / 32768e0 AS c FROM u),
+    m AS (SELECT e, avg(a) AS a, avg(b) AS b, avg(c) AS c, count(*) AS n FROM q GROUP BY e),
+    s AS (SELECT q.e, q.n, sqrt((q.a - m.a) ** 2 + (q.b - m.b) ** 2 + (q.c - m.c) ** 2) AS r FROM q JOIN m USING (e)),
+    iv AS (SELECT e, unnest(range(1, CAST((n // 64 + 7) // 8 + 1 AS BIGINT))) AS p, (n // 64 + 7) // 8 AS cuts FROM m),
+    f AS (SELECT e, p, (p - 1) * 512 + 3 AS lo, p < cuts AS known, greatest(p % 3, p % 2) AS vote, 3000e0 + 100 * (p % 5) AS rpm FROM iv WHERE cuts > 1),
+    k AS (SELECT f.e, f.p, n - lo AS i, r FROM f JOIN s ON s.e = f.e AND n >= lo AND n < lo + 300),
+    w AS (SELECT e, p, r, unnest(range(CAST(greatest(0, ceil((i - 99) / 50e0)) AS BIGINT), CAST(i // 50 + 1 AS BIGINT))) AS w FROM k),
+    g AS (SELECT e, p, w, stddev_pop(r) AS rms FROM w GROUP BY ALL HAVING count(*) = 100)
+    SELECT g.e AS scenario, CASE WHEN NOT known OR vote <= 0 THEN 'stable' WHEN vote < 2 THEN 'slight' ELSE 'severe' END AS label, count(*) AS windows, count(DISTINCT g.p) AS episodes, round(avg(rms), 6) + 0.0 AS rms,
+      round(avg(CASE WHEN known THEN rpm * 2 ELSE 4e0 END / 60e0), 4) + 0.0 AS tooth_hz, round(avg(1e6 * CASE WHEN known THEN 30 * 0.0254e0 / (rpm * 2) ELSE 1e-9 END), 4) + 0.0 AS feed_um, round(sum(w * 0.05e0), 3) + 0.0 AS start_sum
+    FROM g JOIN f USING (e, p) GROUP BY 1, 2""",
+)
+def s8_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Sound files, their cuts and operator labels (none for an experiment's last cut) to the full window table."""
+    names = F.concat_ws("x", F.concat(F.lit("Exp"), F.col("label").cast("string")), F.floor(F.col("vec_id") / 1000).cast("string"))
+    cuts = read(spark, folder, "embeddings").groupBy(names.alias("experiment")).agg(F.floor((F.count(F.lit(1)) + 7) / 8).alias("cuts"))
+    p = F.col("position")
+    rows = cuts.where("cuts > 1").select("experiment", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cuts") - 1)).alias("position")).select(
+        "experiment", "position", p.cast("string").alias("No."), F.lit('3/8" 2-Flute end mill').alias("Tool"),
+        (3000 + 100 * (p % 5)).cast("string").alias("Spindle speed [RPM]"), F.lit("30").alias("Feedrate [IPM]"),
+        F.lit("0.1").alias("Depth of cut [inch]"), F.lit("n/a").alias("Width of cut [inch]"),
+        (p % 3).cast("string").alias("Chatter (operator 1)"), (p % 2).cast("string").alias("Chatter (operator 2)"),
+    )
+    labels = staged(tables.operator_labels(rows), "operator-labels")
+    return _by_label(ingest_sound(spark, _write_sounds(spark, folder), labels))
+
+
+def _by_label(table: DataFrame) -> DataFrame:
+    return table.groupBy("scenario", "label").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_distinct("episode").alias("episodes"), F.avg("rms").alias("rms"),
+        F.round(F.avg("tooth_frequency_hz"), 4).alias("tooth_hz"), F.round(F.avg(F.col("feed_per_tooth_m") * 1e6), 4).alias("feed_um"),
+        F.round(F.sum("start_time_s"), 3).alias("start_sum"),
+    )
+
+
+def _write_trials(spark: SparkSession, folder: str) -> str:
+    """A controller file for every 500 events, one value in 50 unreadable."""
+    base = folder_for(spark, "trials")
+    rows = read(spark, folder, "events").select(F.floor(F.col("event_id") / 500).alias("trial"), "event_id", "value")
+
+    def write(key, table):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        trial = key[0].as_py()
+        system, root = fs.FileSystem.from_uri(base)
+        system.create_dir(f"{root}/T{trial}", recursive=True)
+        lines = ["CYCLE,LOAD|6,CURRENT|6"]
+        for row in table.sort_by("event_id").to_pylist():
+            load = "n/a" if row["event_id"] % 50 == 7 else repr(row["value"])
+            lines.append(f"{row['event_id']},{load},{row['value'] / 2!r}")
+        with system.open_output_stream(f"{root}/T{trial}/T{trial}_hfdata.csv") as out:
+            out.write("\n".join(lines).encode())
+        return pa.table({"trial": [trial], "rows": [table.num_rows]})
+
+    rows.groupBy("trial").applyInArrow(write, "trial long, rows long").agg(F.sum("rows")).collect()
+    return base
+
+
+@query(
+    "s5_ingest_controller",
+    """WITH n AS (SELECT event_id // 500 AS t, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS i, sqrt(value * value + (value / 2e0) * (value / 2e0)) AS m FROM events WHERE event_id % 50 <> 7),
+    w AS (SELECT t, m, unnest(range(CAST(greatest(0, ceil((i - 9) / 5.0)) AS BIGINT), i // 5 + 1)) AS w FROM n WHERE t % 4 <> 3),
+    g AS (SELECT t, w, stddev_pop(m) AS rms FROM w GROUP BY ALL HAVING count(*) = 10)
+    SELECT 'T' || t AS scenario, CASE t % 4 WHEN 2 THEN 'slight' ELSE 'stable' END AS label, count(*) AS windows, 1 AS episodes, round(avg(rms), 6) + 0.0 AS rms, round(avg((600e0 + t % 9 * 60) * (2 + t % 3) / 60e0), 4) + 0.0 AS tooth_hz,
+      round(avg(CASE WHEN t % 5 = 0 THEN 1e-3 ELSE (t % 5) * 10e0 END), 4) + 0.0 AS feed_um, round(sum(w * 0.5e0), 3) + 0.0 AS start_sum FROM g GROUP BY t""",
+)
+def s5_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Controller files with a trial sheet to the full window table; one comment in four is of another kind and is left out."""
+    t = F.col("t")
+    trials = read(spark, folder, "events").select(F.floor(F.col("event_id") / 500).alias("t")).distinct()
+    cells = [
+        F.concat(F.lit("T"), t.cast("string")), F.get(F.array(*[F.lit(c) for c in ("", "Roughing", "some chatter heard", "tool broke")]), (t % 4).cast("int")),
+        (600 + t % 9 * 60).cast("string"), ((t % 5) / 100.0).cast("string"), (2 + t % 3).cast("string"),
+    ]
+    head = [F.lit(h) for h in ("Trial", "Comment", "Spindle Speed [U/min]", "fz [mm]", "Number of teeth")]
+    # Every trial brings its own section title and header, so titles and headers repeat through the sheet.
+    lines = F.array(F.array(F.lit(tables.SHEET_SECTIONS[0])), F.array(*head), F.array(*cells))
+    sheet = trials.select(t, F.posexplode(lines).alias("i", "cells")).select((t * 3 + F.col("i")).alias("row"), "cells")
+    known = tables.read_trial_sheet(sheet)
+    return _by_label(ingest_controller(spark, _write_trials(spark, folder), known, ("LOAD|6", "CURRENT|6"), 10.0))

@@ -187,9 +187,9 @@ def label_intervals(raw: DataFrame, *keys: Column) -> DataFrame:
     return raw.select(*keys, start.alias("start_time_s"), checked.alias("end_time_s"), status_to_label(F.col("label")).alias("label"))
 
 
-def read_cutting_intervals(spark: SparkSession, path: str) -> DataFrame:
+def read_cutting_intervals(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Cutting intervals under any of the header spellings; unusable rows are dropped; ``position`` is the row order."""
-    raw = in_file_order(read_rows(spark, path), "_n")
+    raw = in_file_order(read_rows(spark, path, pattern), "_n")
 
     def either(*names: str) -> Column:
         present = [F.col(n) for n in names if n in raw.columns]

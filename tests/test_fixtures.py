@@ -462,3 +462,30 @@ def test_saved_models_score_alike(spark, tmp_path, kind):
     again = learning.RiskModel.load(spark, str(tmp_path))
     mine, theirs = ({r["window_id"]: (r["probability"], r["predicted_label"]) for r in m.transform(df).collect()} for m in (model, again))
     assert mine == theirs
+
+
+def test_sound_is_read_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    written = {}
+    for experiment, widths, channels in (("ExpA", (2, 3), 1), ("Exp B", (1, 4), 2)):
+        for sensor, width in enumerate(widths):
+            path = tmp_path / experiment / f"cut_sensor{sensor}.wav"
+            path.parent.mkdir(exist_ok=True)
+            n = 1000 + 37 * sensor
+            low, high = (0, 256) if width == 1 else (-(2 ** (8 * width - 1)), 2 ** (8 * width - 1))
+            data = rng.integers(low, high, (n, channels))
+            with wave.open(str(path), "wb") as out:
+                out.setnchannels(channels)
+                out.setsampwidth(width)
+                out.setframerate(1000)
+                out.writeframes(b"".join(int(v).to_bytes(width, "little", signed=width > 1) for v in data.reshape(-1)))
+            mono = data.mean(axis=1) / (255 if width == 1 else high)
+            written[experiment, sensor] = mono - mono.mean()
+    rows = packages.read_sound(spark, str(tmp_path), (0, 1), frames=64).orderBy("experiment", "sample_idx").collect()
+    assert [r["sample_idx"] for r in rows] == list(range(1000)) * 2
+    for experiment in ("ExpA", "Exp B"):
+        got = np.array([r["ch"] for r in rows if r["experiment"] == experiment])
+        for sensor in (0, 1):
+            assert np.allclose(got[:, sensor], written[experiment, sensor][:1000])
+    with pytest.raises(Exception, match="a sensor's sound file is missing in"):
+        packages.read_sound(spark, str(tmp_path), (0, 1, 2)).collect()
