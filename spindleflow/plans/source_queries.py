@@ -205,6 +205,25 @@ def s9(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end") - F.col("start")).alias("length_sum"))
 
 
+@query(
+    "s9_read_label_intervals",
+    f"""WITH {WIN_SQL} SELECT CASE k % 5 WHEN 0 THEN 'stable' WHEN 1 THEN 'slight' WHEN 2 THEN 'stable' WHEN 3 THEN 'unknown' ELSE 'severe' END AS label, count(*) AS intervals,
+      round(sum(k + 0.5e0), 6) AS length_sum, round(min(value), 6) AS first_start FROM win GROUP BY 1""",
+)
+def s9_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Label intervals written from the windows, in names, numbers and free text, and read back."""
+    path = folder_for(spark, "label-intervals")
+    words = F.array(*[F.lit(w) for w in ("stable", "Slight", "0", "", "SEVERE")])
+    windows(spark, folder).select(
+        F.col("value").alias("start_time_s"), (F.col("value") + F.col("k") + 0.5).alias("end_time_s"), F.get(words, (F.col("k") % 5).cast("int")).alias("label")
+    ).write.option("header", True).csv(path)
+    found = tables.read_label_intervals(spark, path)
+    length = F.col("end_time_s") - F.col("start_time_s")
+    return found.groupBy("label").agg(
+        F.count(F.lit(1)).alias("intervals"), F.sum(length).alias("length_sum"), F.min("start_time_s").alias("first_start")
+    )
+
+
 @query(
     "s10_operator_labels",
     """SELECT p_partkey AS position, CASE WHEN greatest(p_size % 3, p_size % 2) <= 0 THEN 'stable' WHEN greatest(p_size % 3, p_size % 2) < 2 THEN 'slight' ELSE 'severe' END AS label,
