@@ -115,8 +115,9 @@ def add_predictions(df: DataFrame) -> DataFrame:
 
 
 def balanced(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Attach balanced class weights; the weight table has one row per label."""
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(weight)), label)
+    """Attach balanced class weights; the weight table has one row per label, so it goes to the rows: a join by label
+    would leave each label's rows to one task."""
+    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight").alias(weight))), label)
 
 
 def _scaled(features: list[str], stats: dict[str, tuple[float, float]]) -> list[Column]:

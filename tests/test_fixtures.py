@@ -489,3 +489,17 @@ def test_sound_is_read_by_ranges(spark, tmp_path):
             assert np.allclose(got[:, sensor], written[experiment, sensor][:1000])
     with pytest.raises(Exception, match="a sensor's sound file is missing in"):
         packages.read_sound(spark, str(tmp_path), (0, 1, 2)).collect()
+
+
+def test_class_weights_leave_rows_in_their_tasks(spark):
+    """A join by label would bring all rows of a label into one task."""
+    from spindleflow.operators import learning
+
+    df = spark.range(4000, numPartitions=8).select((F.col("id") % 10 == 0).cast("int").alias("y"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = learning.balanced(df, "y").groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("weight")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [(r[1], round(r[2], 6)) for r in parts] == [(500, 500.0)] * 8
