@@ -1,7 +1,8 @@
 """Live recommendations in event order, whatever the order and the batches in which rows arrive.
 
-1. ``ordered_chunks``: rows wait in the state of their (machine, time chunk) until the watermark passes the chunk's end;
-   an event-time timer then puts them in order and emits the chunk as one record: its rows, packed, and its effect. The
+1. ``ordered_chunks``: rows wait in the state of their time chunk and group of machines until the watermark passes the
+   chunk's end; an event-time timer then puts them in order and emits each machine's chunk as one record: its rows,
+   packed, and its effect. (A group shares one list and one timer, which cost more than the few rows of a machine.) The
    effect says what the chunk makes of the state in which a machine enters it, so nothing earlier has to be known yet.
 2. ``fold``: for each micro-batch the effects of a machine (one small row a chunk) are applied in order to the state it
    had, which gives every chunk its entry state; then all chunks are worked off independently of each other. A long
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -160,48 +162,71 @@ ROWS = (
 )
 
 
+def _blob(frame: pd.DataFrame) -> bytes:
+    batch, out = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 class _Chunks(StatefulProcessor):
-    """Rows of one (machine, chunk) in a list until the watermark passes the chunk's end."""
+    """Rows of one (group of machines, chunk) in a list until the watermark passes the chunk's end."""
 
     def __init__(self, names: list[str], rules: Recursion, span_us: int):
         self.names, self.rules, self.span_us = names, rules, span_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("rows", "us long, id long, score double")
+        self.held = handle.getListState("rows", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kinds = {"us": "int64", "window_id": "int64", "score": "float64"}
         for frame in rows:
-            self.held.appendList([(int(u), int(i), NAN if pd.isna(s) else float(s)) for u, i, s in zip(frame["us"], frame["window_id"], frame["score"])])
+            self.held.appendValue((_blob(frame[[*self.names, *kinds]].astype(kinds)),))
         self.handle.registerTimer((key[-1] + 1) * self.span_us // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = np.array([tuple(r) for r in self.held.get()], _ROW)
+        frames = [pa.ipc.open_stream(r[0]).read_pandas() for r in self.held.get()]
         self.held.clear()
-        if not len(rows):
+        if not frames:
             return
-        rows = rows[np.lexsort((rows["id"], rows["us"]))]
-        record = dict(zip(self.names, key[:-1])) | {
-            "chunk": key[-1], "first_us": rows["us"][0], "last_us": rows["us"][-1], "end_us": (key[-1] + 1) * self.span_us,
-            "mark_us": timerValues.getCurrentWatermarkInMs() * 1000, "effect": self.rules.effect(rows["us"], rows["score"]), "packed": rows.tobytes(),
-        }
-        yield pd.DataFrame([record])
+        held = pd.concat(frames, ignore_index=True)
+        machine = held.groupby(self.names, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((held["window_id"], held["us"], machine))
+        rows = np.empty(len(held), _ROW)
+        for name, column in zip(_ROW.names, ("us", "window_id", "score")):
+            rows[name] = held[column].to_numpy()[order]
+        cuts = np.flatnonzero(np.diff(machine[order])) + 1
+        records = held[self.names].iloc[order[[0, *cuts]]].to_dict("records")
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for record, own in zip(records, np.split(rows, cuts)):
+            record |= {
+                "chunk": key[-1], "first_us": own["us"][0], "last_us": own["us"][-1], "end_us": (key[-1] + 1) * self.span_us,
+                "mark_us": mark, "effect": self.rules.effect(own["us"], own["score"]), "packed": own.tobytes(),
+            }
+        yield pd.DataFrame(records)
 
     def close(self) -> None:
         pass
 
 
-def ordered_chunks(stream: DataFrame, keys: dict[str, str], rules: Recursion, span: str, delay: str) -> DataFrame:
-    """One record per closed (machine, chunk): its rows in order, packed, and its effect on a machine's state."""
+def ordered_chunks(stream: DataFrame, keys: dict[str, str], rules: Recursion, span: str, delay: str, shards: int = 4_096) -> DataFrame:
+    """One record per closed (machine, chunk): its rows in order, packed, and its effect on a machine's state.
+
+    Machines share the state of one of ``shards`` groups, told by a hash.
+    """
     span_us = int(pd.Timedelta(span).total_seconds() * 1e6)
     # List state and timers need a state store that holds more than one column family.
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     us = F.unix_micros("ts")
     slim = stream.where(F.col("ts").isNotNull()).select(*keys, "ts", us.alias("us"), "window_id", "score")
-    dealt = slim.withColumn("chunk", F.expr(f"us div {span_us} - CAST(us % {span_us} < 0 AS INT)").cast("long"))
-    schema = ", ".join(f"{n} {t}" for n, t in keys.items()) + ", " + _CHUNK
-    return dealt.withWatermark("ts", delay).groupBy(*keys, "chunk").transformWithStateInPandas(_Chunks(list(keys), rules, span_us), schema, "append", "eventTime")
+    chunk = F.expr(f"us div {span_us} - CAST(us % {span_us} < 0 AS INT)").cast("long")
+    # Keys travel as texts: a NULL would turn whole numbers into doubles in a frame.
+    dealt = slim.withColumns({"shard": F.pmod(F.xxhash64(*keys), F.lit(shards)), "chunk": chunk, **{n: F.col(n).cast("string") for n in keys}})
+    schema = ", ".join(f"{n} string" for n in keys) + ", " + _CHUNK
+    closed = dealt.withWatermark("ts", delay).groupBy("shard", "chunk").transformWithStateInPandas(_Chunks(list(keys), rules, span_us), schema, "append", "eventTime")
+    return closed.withColumns({n: F.col(n).cast(t) for n, t in keys.items()})
 
 
 def _batches(spark: SparkSession, folder: str) -> list[int]:
@@ -252,19 +277,34 @@ def fold(base: str, keys: dict[str, str], rules: Recursion, span: str) -> Callab
 
     def recommend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            parts, held = [], 0
             for row in frame.to_dict("records"):
                 rows = np.frombuffer(row["packed"], _ROW)
                 state = None if pd.isna(row["entry_us"]) else (bool(row["active"]), row["feed"], row["spindle"], row["mean"], int(row["entry_us"]))
-                mean, flags, feed, spindle, silent = rules.rows(rows["us"], rows["score"], state)
-                made = pd.DataFrame(
-                    {
-                        "window_id": pd.array(rows["id"], "Int64"), "ts": rows["us"].astype("datetime64[us]"), "score": rows["score"], "score_ewma": mean,
-                        "shadow_warning": flags, "feed_override": feed, "spindle_override": spindle, "state": "live",
-                    }
-                )
-                if silent:
-                    made = pd.concat([made, _unknown(silent)])
-                yield made.assign(**{n: row[n] for n in names})[[*names, *made.columns]]
+                parts.append((row, rows, *rules.rows(rows["us"], rows["score"], state)))
+                held += len(rows)
+                if held >= 100_000:
+                    yield made(parts)
+                    parts, held = [], 0
+            if parts:
+                yield made(parts)
+
+    def made(parts: list[tuple]) -> pd.DataFrame:
+        """The rows of several chunks as one frame."""
+        heads, packed, mean, flags, feed, spindle, silent = zip(*parts)
+        rows = np.concatenate(packed)
+        live = pd.DataFrame(
+            {
+                "window_id": pd.array(rows["id"], "Int64"), "ts": rows["us"].astype("datetime64[us]"), "score": rows["score"], "score_ewma": np.concatenate(mean),
+                "shadow_warning": np.concatenate(flags), "feed_override": np.concatenate(feed), "spindle_override": np.concatenate(spindle), "state": "live",
+            }
+        )
+        owner = np.repeat(np.arange(len(heads)), [len(p) for p in packed])
+        if any(silent):
+            live = pd.concat([live, _unknown([us for times in silent for us in times])], ignore_index=True)
+            owner = np.concatenate([owner, np.repeat(np.arange(len(heads)), [len(times) for times in silent])])
+        machines = pd.DataFrame([[h[n] for n in names] for h in heads], columns=names, dtype=object).iloc[owner].reset_index(drop=True)
+        return pd.concat([machines, live], axis=1)
 
     def _unknown(times: list[int]) -> pd.DataFrame:
         n = len(times)

@@ -132,3 +132,26 @@ def test_late_rows_are_told_by_the_watermark_they_meet(spark, tmp_path):
     assert sorted(r.us for r in late.collect()) == sorted(want) and want
     assert kept.count() + late.count() == sum(map(len, parts))
     assert kept.where("ts IS NULL").count() == len(parts)
+
+
+def test_machines_of_a_group_share_a_state():
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    from spindleflow.operators.shadow import ShadowPolicy
+    from spindleflow.streaming import event_order as order
+
+    held, timers = [], []
+    state = types.SimpleNamespace(appendValue=held.append, get=lambda: iter(held), clear=lambda: None)
+    rules = order.Recursion.of(ShadowPolicy(threshold=0.6, clear=0.45), "2 days")
+    chunks = order._Chunks(["m"], rules, 1_000_000)
+    chunks.init(types.SimpleNamespace(getListState=lambda *a: state, registerTimer=timers.append))
+    frame = pd.DataFrame({"m": ["b", None, "b", "a"], "us": [20, 5, 10, 30], "window_id": [1, 2, 3, 4], "score": [0.7, None, 0.1, 0.2]})
+    list(chunks.handleInputRows((9, 0), iter([frame, frame.assign(us=frame["us"] + 100, window_id=frame["window_id"] + 10)]), None))
+    (out,) = chunks.handleExpiredTimer((9, 0), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 7), None)
+    found = {r["m"]: np.frombuffer(r["packed"], order._ROW) for r in out.to_dict("records")}
+    assert set(timers) == {1000} and list(out["chunk"]) == [0, 0, 0]
+    assert {k: v["id"].tolist() for k, v in found.items()} == {"b": [3, 1, 13, 11], None: [2, 12], "a": [4, 14]}
+    assert found["b"]["us"].tolist() == [10, 20, 110, 120] and np.isnan(found[None]["score"]).all()
