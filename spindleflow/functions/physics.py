@@ -196,10 +196,18 @@ _INPUTS = ("rpm", "flutes", "diameter", "ap", "ae", "kt", "kr", "mx", "my", "kx"
 
 
 def _solve_in_blocks(values: dict[str, np.ndarray]) -> np.ndarray:
-    """Blocks that fit the cache."""
+    """Blocks that fit the cache. Cuts that differ in the axial depth only share one scan: candidate grids meet the same
+    speeds again and again, and the critical depth does not depend on the depth that is cut."""
     count = len(values["rpm"])
-    blocks = [_solve({n: column[i : i + 512] for n, column in values.items()}) for i in range(0, count, 512)]
-    return np.vstack(blocks) if blocks else np.empty((0, 4))
+    if not count:
+        return np.empty((0, 4))
+    varying = {n: v[:, 0] for n, v in values.items() if n != "ap" and (v[1:] != v[0]).any()}
+    place = pd.DataFrame(varying).groupby(list(varying), sort=False, dropna=False).ngroup().to_numpy() if varying else np.zeros(count, int)
+    first = np.unique(place, return_index=True)[1]
+    distinct = {n: v[first] for n, v in values.items()}
+    solved = np.vstack([_solve({n: v[i : i + 512] for n, v in distinct.items()}) for i in range(0, len(first), 512)])[place]
+    solved[:, 1] = (solved[:, 0] - values["ap"][:, 0]) / solved[:, 0]
+    return solved
 
 
 @pandas_udf(STABILITY_TYPE)

@@ -503,3 +503,13 @@ def test_class_weights_leave_rows_in_their_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert [(r[1], round(r[2], 6)) for r in parts] == [(500, 500.0)] * 8
+
+
+def test_cuts_that_differ_in_depth_only_share_a_scan(monkeypatch):
+    cuts = {n: np.full((3000, 1), v) for n, v in zip(physics._INPUTS, (6000.0, 4, 0.01, 1e-4, 0.004, 7e8, 2.1e8, 0.8, 0.8, 1.55e7, 1.25e7, 80.0, 75.0, 0.0, math.pi))}
+    cuts["rpm"] = cuts["rpm"] + 100.0 * (np.arange(3000) % 7)[:, None]
+    cuts["ap"] = 1e-4 + 1e-7 * np.arange(3000)[:, None]
+    whole, solved, solve = physics._solve(cuts), [], physics._solve
+    monkeypatch.setattr(physics, "_solve", lambda c: solved.append(len(c["rpm"])) or solve(c))
+    assert np.array_equal(physics._solve_in_blocks(cuts), whole)
+    assert sum(solved) == 7
