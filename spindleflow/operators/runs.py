@@ -206,9 +206,11 @@ def pareto_front3(
         ["_l"],
         {"_before": Running("max", F.col("_offer"), inclusive=False)},
     )
-    questions = base.select(*key, "_l", F.inline(asks), F.struct(F.col("_h"), (-F.col("_c")).alias("_c")).alias("_mine"))
+    # Rows alike in all three measures share a verdict, and questions at one low of a block share what they meet there:
+    # each (block, low) is looked up once, so a low that many rows have in common does not fill a task.
+    questions = base.groupBy("_l", "_h", "_c").agg(F.max("_bits").alias("_bits")).select("_l", "_h", "_c", F.inline(asks))
     # An offer at the same low must be strictly better; one from a smaller low may also be equal.
-    both = questions.select(*key, "bit", "at", "_l", "_mine", F.lit(1).alias("_ask")).unionByName(
+    both = questions.select("bit", "at", "_l").distinct().withColumn("_ask", F.lit(1)).unionByName(
         offers.select("bit", "at", "_l", F.struct("_l", "_offer", "_before").alias("_seen"), F.lit(0).alias("_ask")),
         allowMissingColumns=True,
     )
@@ -218,16 +220,19 @@ def pareto_front3(
         F.floor(F.col("_l") * parts).cast("long"),
         ["_l", "_ask"],
         {"_near": Running("last", F.col("_seen"))},
-    ).where(F.col("_ask") == 1)
-    mine, near = F.col("_mine"), F.col("_near")
-    at_same = near["_l"] == F.col("_l")
+    ).where((F.col("_ask") == 1) & F.col("_near").isNotNull())
+    mine, near = F.struct(F.col("q._h"), (-F.col("q._c")).alias("_c")), F.col("a._near")
+    at_same = near["_l"] == F.col("q._l")
     beaten = (
         (near["_offer"] > mine)
         | (~at_same & (near["_offer"] >= mine))
         | F.coalesce(near["_before"] >= mine, F.lit(False))
     )
-    verdict = answered.groupBy(*key).agg(F.max(F.coalesce(beaten, F.lit(False)).cast("int")).alias("_beaten"))
-    return df.join(verdict, key, "left").withColumn(name, F.coalesce("_beaten", F.lit(0)) == 0).drop("_beaten")
+    same_low = [F.col(f"q.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("bit", "at", "_l")]
+    losers = questions.alias("q").join(answered.alias("a"), same_low).where(F.coalesce(beaten, F.lit(False)))
+    losers = losers.select("q._l", "q._h", "q._c").distinct().withColumn("_beaten", F.lit(True))
+    same = [F.col(c).eqNullSafe(losers[k]) for c, k in ((low, "_l"), (high, "_h"))] + [F.col(count).cast("long").eqNullSafe(losers["_c"])]
+    return df.join(losers, same, "left").withColumn(name, F.col("_beaten").isNull()).drop("_beaten", "_l", "_h", "_c")
 
 
 def delta_vs_baseline(summary: DataFrame, baseline: str, profile: str = "profile") -> DataFrame:

@@ -513,3 +513,18 @@ def test_cuts_that_differ_in_depth_only_share_a_scan(monkeypatch):
     monkeypatch.setattr(physics, "_solve", lambda c: solved.append(len(c["rpm"])) or solve(c))
     assert np.array_equal(physics._solve_in_blocks(cuts), whole)
     assert sum(solved) == 7
+
+
+def test_a_low_that_many_rows_share_is_looked_up_once(spark, monkeypatch):
+    from spindleflow.operators import runs
+
+    rows = [(i, (i % 3) / 10.0, float((i * 7) % 5), (i * 11) % 6) for i in range(3000)] + [(3000, None, 1.0, 0), (3001, 0.1, None, 0), (3002, 0.1, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, l double, h double, c long")
+    seen, scan = [], runs.scan
+    monkeypatch.setattr(runs, "scan", lambda d, *a, **k: seen.append(d.count()) or scan(d, *a, **k))
+    found = {r["id"]: r["pareto_efficient"] for r in runs.pareto_front3(df, ["id"], "l", "h", "c").collect()}
+    known = set(r[1:] for r in rows if None not in r)
+    beaten = {(l, h, c) for l, h, c in known for a, b, d in known if a <= l and b >= h and d <= c and (a < l or b > h or d < c)}
+    assert found.keys() == {r[0] for r in rows}
+    assert all(found[r[0]] == (r[1:] not in beaten) for r in rows if None not in r)
+    assert max(seen) < 200
