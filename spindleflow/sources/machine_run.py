@@ -24,12 +24,12 @@ def run_of(path: str = "_path"):
 def read_sensors(
     spark: SparkSession, folder: str, time: str = "time_s", channels: tuple[str, ...] = ("accel_x", "accel_y", "accel_z")
 ) -> DataFrame:
-    rows = in_file_order(read_rows(spark, folder, "sensors.csv", one_header=True), "_n")
+    rows = in_file_order(read_rows(spark, folder, "sensors.csv", one_header=True), "_n", _run=run_of())
     missing = [c for c in (time, *channels) if c not in rows.columns]
     if missing:
         raise ValueError(f"sensors.csv is missing columns {missing}")
     return rows.select(
-        run_of().alias("run"),
+        F.col("_run").alias("run"),
         (F.col("_n") - 1).alias("sample_idx"),
         F.col(time).cast("double").alias("time_s"),
         F.array(*[F.col(c).cast("double") for c in channels]).alias("ch"),
@@ -41,7 +41,7 @@ def read_context(spark: SparkSession, folder: str, tools: DataFrame | None = Non
 
     ``tools`` holds run and flute_count; a run without a tool has 4.
     """
-    rows = in_file_order(read_rows(spark, folder, "cnc_context.csv", one_header=True), "_n").withColumn("run", run_of())
+    rows = in_file_order(read_rows(spark, folder, "cnc_context.csv", one_header=True), "_n", _run=run_of()).withColumn("run", F.col("_run"))
     if "spindle_rpm" not in rows.columns or not {"feed_per_tooth_m", "feed_mm_min"} & set(rows.columns):
         raise ValueError("cnc_context.csv needs spindle_rpm and feed_per_tooth_m or feed_mm_min")
     rpm = F.col("spindle_rpm").cast("double")

@@ -80,12 +80,12 @@ def read_packages(
     """
     raw = read_rows(spark, path)
     names = [c for c in raw.columns if not c.startswith("_")]
-    rows = in_file_order(raw, "package_number")
+    rows = in_file_order(raw, "package_number", _scenario=stem(F.col("_path")))
     if max_per_file is not None:
         rows = rows.where(F.col("package_number") <= max_per_file)
     status = F.col("status") if "status" in names else F.lit("unknown")
     parsed = rows.select(
-        stem(F.col("_path")).alias("scenario"),
+        F.col("_scenario").alias("scenario"),
         F.col("_path").alias("path"),
         "package_number",
         channel(names, "x").alias("_x"),

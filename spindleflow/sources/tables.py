@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindleflow.functions.labels import status_to_label, vote_to_label
 from spindleflow.functions.physics import feed_from_inch_min, first_number, flute_count, inch_to_m
 from spindleflow.operators.scan import Running, scan, with_position
+from spindleflow.operators.staging import staged
 from spindleflow.schema import RUN_METADATA_SCHEMA, SCHEMA_VERSION, WINDOW_SCHEMA
 
 
@@ -47,9 +48,21 @@ def read_rows(spark: SparkSession, path: str, pattern: str = "*.csv", one_header
     )
 
 
-def in_file_order(rows: DataFrame, name: str) -> DataFrame:
-    """1-based row number inside each file; a large file is ranked block by block."""
-    return with_position(rows, ["_path"], F.col("_block"), ["_block", "_row"], name).drop("_block", "_row")
+def in_file_order(rows: DataFrame, name: str, **of_path: Column) -> DataFrame:
+    """1-based row number inside each file, for rows as ``read_rows`` gives them (filters may lie between).
+
+    ``of_path`` are further columns made from ``_path`` alone, worked out once a block: patterns over long paths cost more
+    than all else that is done with a short row.
+
+    A task reads a block of a file in one go, so a row's number counts from the block's first row, and only the blocks,
+    a row each, are ordered. The rows are staged: files are parsed once, and rows are neither exchanged nor sorted.
+    """
+    held = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    blocks = held.groupBy("_path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_rows")
+    shifts = staged(blocks.select("_path", "_block", (before - F.col("_first") + 1).alias("_shift"), *[c.alias(n) for n, c in of_path.items()]), "file-blocks")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("_block", "_row")]
+    return held.join(shifts, ["_path", "_block"]).select(*kept, (F.col("_row") + F.col("_shift")).alias(name), *of_path)
 
 
 def discover_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
@@ -73,15 +86,19 @@ def discover_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> Da
 
 def read_triaxial(spark: SparkSession, path: str, rate: float) -> DataFrame:
     """x, y, z sample files in M*/OP*/{good,bad} folders as the sample table."""
-    rows = in_file_order(read_rows(spark, path), "_n")
+    parts = r"/(M\d+)/(OP\d+)/(good|bad)/"
+    rows = in_file_order(
+        read_rows(spark, path), "_n",
+        _scenario=F.concat_ws("_", F.regexp_extract("_path", parts, 1), F.regexp_extract("_path", parts, 2)),
+        _quality=F.regexp_extract("_path", parts, 3),
+    )
     missing = {"x", "y", "z"} - set(rows.columns)
     if missing:
         raise ValueError(f"triaxial files are missing columns {sorted(missing)}")
-    parts = r"/(M\d+)/(OP\d+)/(good|bad)/"
     return rows.select(
-        F.concat_ws("_", F.regexp_extract("_path", parts, 1), F.regexp_extract("_path", parts, 2)).alias("scenario"),
+        F.col("_scenario").alias("scenario"),
         F.col("_path").alias("recording"),
-        F.regexp_extract("_path", parts, 3).alias("quality"),
+        F.col("_quality").alias("quality"),
         (F.col("_n") - 1).alias("sample_idx"),
         ((F.col("_n") - 1) / F.lit(rate)).alias("time_s"),
         F.array(*[F.col(c).cast("double") for c in ("x", "y", "z")]).alias("ch"),
@@ -98,9 +115,9 @@ def read_controller_hf(spark: SparkSession, path: str, columns: tuple[str, ...],
     rows = raw.select("_path", "_block", "_row", F.array(*values).alias("ch")).where(
         ~F.exists("ch", lambda v: v.isNull())
     )
-    ranked = in_file_order(rows, "_n")
+    ranked = in_file_order(rows, "_n", _recording=stem(F.col("_path")))
     return ranked.select(
-        stem(F.col("_path")).alias("recording"),
+        F.col("_recording").alias("recording"),
         (F.col("_n") - 1).alias("sample_idx"),
         ((F.col("_n") - 1) / F.lit(rate)).alias("time_s"),
         "ch",

@@ -528,3 +528,24 @@ def test_a_low_that_many_rows_share_is_looked_up_once(spark, monkeypatch):
     assert found.keys() == {r[0] for r in rows}
     assert all(found[r[0]] == (r[1:] not in beaten) for r in rows if None not in r)
     assert max(seen) < 200
+
+
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3), ("c", 90)):
+        csv_of(tmp_path / name / f"{name}.csv", ("v", "w"), [(i, i % 7) for i in range(n)])
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")  # long files are cut into blocks
+    try:
+        rows = tables.read_rows(spark, str(tmp_path))
+        assert rows.select("_path", "_block").distinct().count() > 5
+        whole = tables.in_file_order(rows, "n", stem=tables.stem(F.col("_path")))
+        assert whole.columns == ["v", "w", "_path", "n", "stem"]
+        assert sorted((r["stem"], r["n"], int(r["v"])) for r in whole.collect()) == [
+            (name, i + 1, i) for name, n in (("a", 400), ("b", 3), ("c", 90)) for i in range(n)
+        ]
+        some = tables.in_file_order(rows.where("w <> 3"), "n", stem=tables.stem(F.col("_path")))
+        assert sorted((r["n"], int(r["v"])) for r in some.where("stem = 'a'").collect()) == list(enumerate((i for i in range(400) if i % 7 != 3), 1))
+        # Rows are neither sorted nor exchanged for it.
+        assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
