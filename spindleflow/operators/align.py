@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindleflow.functions.labels import severity_of_label
 from spindleflow.operators.scan import Running, scan
+from spindleflow.schema import SEVERITY
 
 
 def interpolate_context(
@@ -14,24 +15,26 @@ def interpolate_context(
 ) -> DataFrame:
     """Linear interpolation of the context columns at each sample time, clamped at both ends.
 
-    Both tables become one ordered table; the context row before and the one after each sample are running values.
-    No range join, no per-recording collection.
+    Every context row first learns the one after it, among context rows alone; of rows of one time the least counts. Then
+    both tables become one ordered table in which the last context row is carried forward: samples, by far the more rows,
+    are sorted once. No range join, no per-recording collection.
     """
+    def chunk() -> Column:
+        return F.floor(F.col(time) / F.lit(float(span))).cast("long")
+
     reading = F.struct(F.col(time).alias("t"), *[F.col(c) for c in columns])
-    right = context.select(*keys, time, F.lit(0).alias("_kind"), F.lit(-1).cast("long").alias("_tie"), reading.alias("_r"))
+    once = context.groupBy(*keys, time).agg(F.min(reading).alias("_lo"))
+    near = {"_hi": Running("last", F.col("_lo"), False, reverse=True), "_prior": Running("last", F.lit(True), False)}
+    linked = scan(once, list(keys), chunk(), [time], near)
+    own = F.struct(F.lit(0).alias("_kind"), F.struct("_lo", F.coalesce("_hi", "_lo").alias("_hi")).alias("_r"))
+    # The first row of all also stands before every sample.
+    start = F.struct(F.lit(-1).alias("_kind"), F.struct(F.col("_lo"), F.col("_lo").alias("_hi")).alias("_r"))
+    right = linked.select(*keys, time, F.inline(F.when(F.col("_prior").isNull(), F.array(start, own)).otherwise(F.array(own))))
     left = samples.withColumns({"_kind": F.lit(1), "_tie": F.col(tie).cast("long")})
     both = left.unionByName(right, allowMissingColumns=True)
-    order = [time, "_kind", "_tie"]
-    chunk = F.floor(F.col(time) / F.lit(float(span))).cast("long")
-    both = scan(
-        both,
-        list(keys),
-        chunk,
-        order,
-        {"_lo": Running("last", F.col("_r")), "_hi": Running("last", F.col("_r"), reverse=True)},
-    )
-    rows = both.where(F.col("_kind") == 1)
-    lo, hi = F.coalesce("_lo", "_hi"), F.coalesce("_hi", "_lo")
+    place = F.when(F.col("_kind") == -1, F.lit(-(1 << 62))).otherwise(chunk())
+    rows = scan(both, list(keys), place, [time, "_kind", "_tie"], {"_r": Running("last", F.col("_r"))}).where("_kind = 1")
+    lo, hi = F.col("_r._lo"), F.col("_r._hi")
     gap = hi["t"] - lo["t"]
     share = F.when(gap > 0, (F.col(time) - lo["t"]) / gap).otherwise(0.0)
     return rows.select(*samples.columns, *[(lo[c] + (hi[c] - lo[c]) * share).alias(c) for c in columns])
@@ -64,19 +67,28 @@ def interval_matches(
 def label_windows(
     windows: DataFrame, intervals: DataFrame, keys: list[str], window_key: str, bucket: float, default: str = "unknown"
 ) -> DataFrame:
-    """Label each window by the severest interval that contains its centre (both ends count)."""
-    centre = windows.withColumn("_centre", 0.5 * (F.col("start_time_s") + F.col("end_time_s")))
-    marks = intervals.select(
+    """Label each window by the severest interval that contains its centre (both ends count).
+
+    Centres and starts of intervals become one ordered table that carries the latest end of each severity, so no pair of
+    a window and an interval is formed, however many intervals overlap.
+    """
+    centre = 0.5 * (F.col("start_time_s") + F.col("end_time_s"))
+    points = windows.select(*keys, window_key, centre.alias("_at"), F.lit(1).alias("_kind"))
+    marks = intervals.where("start_time_s IS NOT NULL AND end_time_s IS NOT NULL AND label IS NOT NULL").select(
         *keys,
-        F.col("start_time_s").alias("interval_start"),
-        F.col("end_time_s").alias("interval_end"),
-        F.col("label").alias("_label"),
-    )
-    hits = (
-        interval_matches(centre.select(*keys, window_key, "_centre"), marks, keys, "_centre", bucket)
-        .groupBy(*keys, window_key)
-        .agg(F.max_by("_label", severity_of_label(F.col("_label"))).alias("_label"))
+        F.col("start_time_s").alias("_at"),
+        F.lit(0).alias("_kind"),
+        F.col("end_time_s").alias("_end"),
+        severity_of_label(F.col("label")).alias("_severity"),
     )
+    # Of the intervals of one severity that started by a centre, one contains it if the one that ends last does.
+    ends = {f"_end{n}": Running("max", F.when(F.col("_severity") == severity, F.col("_end"))) for n, severity in enumerate(SEVERITY.values())}
+    chunk = F.floor(F.col("_at") / F.lit(float(bucket))).cast("long")
+    swept = scan(points.unionByName(marks, allowMissingColumns=True), keys, chunk, ["_at", "_kind"], ends).where("_kind = 1")
+    severity = F.greatest(*[F.when(F.col(f"_end{n}") >= F.col("_at"), F.lit(v)) for n, v in enumerate(SEVERITY.values())])
+    severest = swept.groupBy(*keys, window_key).agg(F.max(severity).alias("_severity"))
+    label = F.coalesce(*[F.when(F.col("_severity") == v, F.lit(name)) for name, v in SEVERITY.items()])
+    hits = severest.select(*keys, window_key, label.alias("_label"))
     rest = windows.drop("label", "label_id") if "label" in windows.columns else windows
     return rest.join(hits, [*keys, window_key], "left").withColumn(
         "label", F.coalesce("_label", F.lit(default))

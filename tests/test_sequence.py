@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -286,3 +287,31 @@ def test_windows_of_several_blocks_with_gaps(spark, size, hop):
             assert [c[0] for c in out[w]["sensor_window"]] == [float(i) for i in covered]
             assert math.isclose(out[w]["load"], sum(i % 13 for i in covered) / size) and out[w]["teeth"] == 7
             assert math.isclose(out[w]["start_time_s"], w * hop / 10.0)
+
+
+def test_overlapping_intervals_make_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    names = ["unknown", "stable", "transition", "slight", "severe"]
+    marks = [(f"r{k % 2}", s, s + d, names[int(c)]) for k, (s, d, c) in enumerate(zip(rng.integers(0, 60, 300) / 2, rng.integers(-2, 12, 300) / 2, rng.integers(0, 5, 300)))]
+    rows = [(f"r{k % 3}", k, k / 8, k / 8 + 0.5) for k in range(300)]
+    windows = spark.createDataFrame(rows, "run string, w long, start_time_s double, end_time_s double")
+    intervals = spark.createDataFrame([(r, float(a), float(b), n) for r, a, b, n in marks], "run string, start_time_s double, end_time_s double, label string")
+    found = align.label_windows(windows, intervals, ["run"], "w", 7.0, "none")
+    want = {}
+    for run, w, a, b in rows:
+        held = [names.index(n) for r, s, e, n in marks if r == run and s <= (a + b) / 2 <= e]
+        want[w] = names[max(held)] if held else "none"
+    assert {r["w"]: r["label"] for r in found.collect()} == want
+    # Intervals are not copied to buckets that windows join.
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interpolation_sorts_the_samples_once(spark):
+    samples = spark.createDataFrame([("a", k / 4, k) for k in range(80)] + [("b", 3.0, 0), ("c", 1.0, 0)], "run string, time_s double, sample_idx long")
+    context = spark.createDataFrame([("a", 5.0, 1.0), ("a", 5.0, 2.0), ("a", 9.0, 4.0), ("b", 7.0, 6.0)], "run string, time_s double, level double")
+    out = align.interpolate_context(samples, context, ["level"], ("run",), "time_s", "sample_idx", 3.0)
+    got = {(r["run"], r["sample_idx"]): r["level"] for r in out.collect()}
+    assert got["b", 0] == 6.0 and got["c", 0] is None
+    assert np.allclose([got["a", k] for k in range(80)], np.interp(np.arange(80) / 4, [5.0, 9.0], [1.0, 4.0]), atol=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_tie#" in plan and not re.search(r"_tie#\d+L? DESC", plan)
