@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,15 @@ HEADER = "<8sIIQQQQ"
 
 def bits_needed(values: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value; zero needs none."""
-    return np.where(values == 0, 0, np.frexp(values.astype(np.float64))[1]).astype(np.uint8)
+    # Single precision holds integers of up to 24 bits; the exponent of zero is zero.
+    exact = np.float32 if values.max(initial=0) < 1 << 24 else np.float64
+    return np.frexp(values.astype(exact))[1].astype(np.uint8)
 
 
-def choose_widths(residuals: np.ndarray, percentile: float) -> np.ndarray:
-    """The width of each row of residuals: from the percentile up, the one that makes the block shortest."""
-    need = np.sort(bits_needed(residuals), axis=1)
-    length = residuals.shape[1]
+def choose_widths(bits: np.ndarray, percentile: float) -> np.ndarray:
+    """The width of each row, from the bits its residuals need: from the percentile up, what makes the block shortest."""
+    need = np.sort(bits, axis=1)
+    length = bits.shape[1]
     best = need[:, min(length - 1, max(0, int(np.ceil(percentile * length)) - 1))]
     least = best.copy()
     cost = np.full(len(best), np.iinfo(np.int64).max)
@@ -90,8 +93,9 @@ def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block: int =
     table = padded.reshape(blocks, block)
     least = table.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = table - least[:, None]
-    widths = choose_widths(rest, percentile) if blocks else np.zeros(0, np.uint8)
-    over = bits_needed(rest) > widths[:, None]
+    bits = bits_needed(rest)
+    widths = choose_widths(bits, percentile) if blocks else np.zeros(0, np.uint8)
+    over = bits > widths[:, None]
     extra = over.sum(axis=1).astype(np.uint16)
     sizes = widths.astype(np.uint64) * np.uint64(block // 8) + extra.astype(np.uint64) * np.uint64(6)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
@@ -190,16 +194,20 @@ class WordEncoder:
         return found
 
     def _ids(self, word: str) -> bytes:
-        if not self.plain(word):
+        simple = word.isascii() and (word.isalpha() or (word[:-1].isalpha() and word[-1] in ".,"))
+        if not simple and not self.plain(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
         word = word.lower()
+        known = self.pieces.get(word)
+        if known is not None:
+            return known
         if word.isalpha():
             return self._piece(word)
-        if word[:-1].isalpha() and word[-1] in ".,":
+        if simple or (word[:-1].isalpha() and word[-1] in ".,"):
             return self._piece(word[:-1]) + self._piece(word[-1])
         return b"".join(map(self._piece, self.cut(word)))
 
-    def _learn(self, words: set) -> None:
+    def _learn(self, words: list) -> None:
         if not words:
             return
         if len(self.pieces) > self.keep_pieces:
@@ -215,14 +223,16 @@ class WordEncoder:
         """All ids of the texts, and how many each text has."""
         if len(self.codes) > self.keep:
             self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        self._learn(set(words).difference(self.codes))
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        # Words are told apart by Arrow: only distinct ones become objects and are looked up.
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w not in self.codes])
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         at = np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        bounds = np.cumsum([len(s) for s in split])
+        bounds = np.cumsum(split.value_lengths().to_numpy())
         per_text = np.diff(np.concatenate([[0], ends[bounds - 1]])) if len(split) else np.zeros(0, np.int64)
         return self.pool[at], per_text
 

@@ -641,3 +641,21 @@ def test_neighbours_recall_on_crowded_vectors(spark):
     assert onebit.search(df.limit(0)).count() == 0
     few = onebit.search(df.where("vec_id <= 3"), k=10).collect()
     assert [(r.query_id, r.rank) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_words_are_looked_up_once_a_slice():
+    encoder = token_blocks.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    encoder.codes = Counting()
+    texts = ["The mill, the MILL.\nn'est-ce pas <x> 12", "", "the mill the mill the mill  the"] * 40
+    ids, counts = encoder.encode(texts)
+    assert Counting.asked == len({w for t in texts for w in t.replace("\n", " ").split(" ")})
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
