@@ -21,7 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8 or more)."""
+    """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8 or more).
+
+    SimHash fingerprints propose what differs in few bits, by the generalised pigeonhole; bands of smallest values
+    propose the rest. The shingles themselves decide."""
     return simhash.one_of_each_group(docs)
 
 

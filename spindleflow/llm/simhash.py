@@ -5,7 +5,8 @@ differ in some part by no more than that part's threshold. Parts hold correlated
 unequally by dynamic programming on the number of candidates and probes expected from each choice. Every fingerprint
 probes the values within the threshold of each part; candidates are verified on all bits inside the join.
 
-The near copies of the pipeline are decided by exact Jaccard similarity instead (``similar_groups``).
+The near copies of the pipeline are found by the same fingerprints and parts, each link decided by exact Jaccard
+similarity; links that differ in more bits come from bands of smallest values (``similar_groups``).
 """
 
 from __future__ import annotations
@@ -54,9 +55,13 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int, more: int = 0) -> list[int]:
     """The majority bits of a text's shingle hashes as signed 64-bit integers, ``more`` further ones behind the first."""
+    return majority_bits(shingle_hashes(text, words), more)
+
+
+def majority_bits(slices, more: int = 0) -> list[int]:
     counts = np.zeros((more + 1, 64), np.int64)
     total = 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in slices:
         total += len(hashes)
         for row in range(more + 1):
             mixed = hashes if row == 0 else _mixed(hashes, WIDER[row - 1])
@@ -251,13 +256,16 @@ def near_groups(
     return rows.join(own, same).select(rows["id"], rows["f0"], "component_id")
 
 
-def sketch(text: str, words: int, bands: int, rows: int) -> tuple[np.ndarray, list[int]]:
-    """The distinct shingle hashes of a text, sorted, and for each of its bands a hash of ``rows`` smallest mixed values.
-    A text without words has no shingle and no band."""
-    found = [np.unique(h) for h in shingle_hashes(text, words)]
-    if not found:
-        return np.zeros(0, np.uint64), []
-    own = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+def distinct_hashes(slices: list[np.ndarray]) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = [np.unique(h) for h in slices] or [np.zeros(0, np.uint64)]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+
+
+def band_values(own: np.ndarray, bands: int, rows: int) -> list[int]:
+    """For each band a hash of ``rows`` smallest mixed values. A text without words has no shingle and no band."""
+    if not len(own):
+        return []
     draw = np.random.default_rng(20_240_501).integers(0, 2**64, (2, bands * rows, 1), np.uint64)
     least = np.full(bands * rows, np.iinfo(np.uint64).max)
     for k in range(0, len(own), 2_048):
@@ -265,7 +273,7 @@ def sketch(text: str, words: int, bands: int, rows: int) -> tuple[np.ndarray, li
     held = np.arange(bands, dtype=np.uint64)
     for row in least.reshape(bands, rows).T:
         held = _mixed(held * np.uint64(WIDER[0]) + row, WIDER[1])
-    return own, held.view(np.int64).tolist()
+    return held.view(np.int64).tolist()
 
 
 def set_key(own: np.ndarray) -> int:
@@ -350,16 +358,24 @@ def bloom(rows: DataFrame, bits_a_row: int = 16, most_bits: int = 1 << 28, probe
     return out
 
 
+def _places(filter_words: np.ndarray, a: str, b: str, probes: int = 4) -> Column:
+    """The bits of a Bloom filter that a row of two longs asks for."""
+    return F.array(*[F.pmod(F.xxhash64(a, b, F.lit(k)), F.lit(len(filter_words) * 64)) for k in range(probes)])
+
+
+def _all_set(filter_words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return ((filter_words[places >> 6] >> (places & 63)) & 1 == 1).all(axis=1)
+
+
 def maybe_in(filter_words: np.ndarray, spark, a: str, b: str, probes: int = 4) -> Column:
     """Whether a row of two longs may be in a Bloom filter; never false for one that is."""
-    shared, bits = spark.sparkContext.broadcast(filter_words), len(filter_words) * 64
+    shared = spark.sparkContext.broadcast(filter_words)
 
     @F.pandas_udf("boolean")
     def passes(places: pd.Series) -> pd.Series:
-        p = np.stack(places.to_numpy()) if len(places) else np.zeros((0, probes), np.int64)
-        return pd.Series(((shared.value[p >> 6] >> (p & 63)) & 1 == 1).all(axis=1))
+        return pd.Series(_all_set(shared.value, np.stack(places.to_numpy()) if len(places) else np.zeros((0, probes), np.int64)))
 
-    return passes(F.array(*[F.pmod(F.xxhash64(a, b, F.lit(k)), F.lit(bits)) for k in range(probes)]))
+    return passes(_places(filter_words, a, b, probes))
 
 
 def _compared_in_slices(sized: DataFrame, sets: DataFrame, similarity: float, most: int, most_shingles: int) -> DataFrame:
@@ -392,48 +408,69 @@ def _compared_in_slices(sized: DataFrame, sets: DataFrame, similarity: float, mo
     return meeting.join(sets, "key").groupBy("root", "i", "j").applyInArrow(compared, "key_a long, key_b long")
 
 
-def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, turns: int, most: int, most_shingles: int) -> DataFrame:
-    """Links (key_a, key_b) that connect all sets of a Jaccard similarity of at least ``similarity`` which share a band.
+def _print_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (key, head) that connect all nodes (key, f0) whose fingerprints differ in at most ``max_bits`` bits.
 
-    Groups of candidates that one task can hold are compared whole: each set goes there once. In larger groups each node
-    is first compared with heads of its bands, one comparison a node and turn, and what is linked so is contracted; only
-    nodes that share a band with a node of another component then meet in slices.
+    The first node of a fingerprint stands for it, so equal fingerprints make no pairs among themselves; of the links
+    between fingerprints each task keeps a forest."""
+    heads = staged(nodes.groupBy("f0").agg(F.min("key").alias("key"), F.count("*").alias("n")), "prints")
+    links = forests(near_links(heads.select("key", "f0"), max_bits))
+    same = nodes.join(heads.where("n > 1").select("f0", F.col("key").alias("head")), "f0").where("key <> head")
+    return same.select("key", "head").unionByName(links.select(F.col("key_a").alias("key"), F.col("key_b").alias("head")))
+
+
+def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, max_bits: int, turns: int, most: int, most_shingles: int) -> DataFrame:
+    """Links (key_a, key_b) that connect all sets of a Jaccard similarity of at least ``similarity`` whose fingerprints
+    differ in at most ``max_bits`` bits or which share a band.
+
+    Pairs of near fingerprints are verified first and what they link is contracted; bands whose nodes are all of one
+    component are settled and go. Of the rest, groups of candidates that one task can hold are compared whole: each set
+    goes there once. In larger groups each node is first compared with heads of its bands, one comparison a node and
+    turn, and what is linked so is contracted; only nodes that share a band with a node of another component then meet in
+    slices.
     """
     spark = nodes.sparkSession
+    pairs = staged(_print_pairs(nodes.select("key", "f0"), max_bits), "print-pairs")
     entries = nodes.select("key", F.explode("bands").alias("band"))
     several = entries.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
     met = staged(entries.join(several, "band"), "shared-bands")
-    groups = components(forests(met.where("key <> low").select("key", "low").distinct())).withColumnRenamed("node", "key")
-    sized = staged(groups.join(nodes.select("key", "size", "least"), "key"), "candidates")
-    wanted = sized.select(F.col("least.own").alias("own"), F.col("least.hash").alias("hash"))
+    asked = met.select("key").unionByName(pairs.select("key")).unionByName(pairs.select(F.col("head").alias("key"))).distinct()
+    asked = staged(asked.join(nodes.select("key", "size", "least"), "key"), "candidates")
     # Texts stay where they are: rows that may be a candidate's are told by a filter and give their sets in place.
-    rows = texts.where(maybe_in(bloom(wanted), spark, "own", "hash")).select("t")
+    wanted = bloom(asked.select(F.col("least.own").alias("own"), F.col("least.hash").alias("hash")))
+    shared = spark.sparkContext.broadcast(wanted)
 
     def whole(batches):
         for batch in batches:
-            lengths = [t or "" for t in batch.column(0).to_pylist()]
-            for begin, end in text_chunks(lengths):
-                sets = [sketch(t, words, 1, 1)[0] for t in lengths[begin:end]]
+            places = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            found = batch.column(0).filter(pa.array(_all_set(shared.value, places))).to_pylist() if batch.num_rows else []
+            for begin, end in text_chunks(found):
+                sets = [distinct_hashes(list(shingle_hashes(t, words))) for t in found[begin:end]]
                 yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    sets = staged(rows.mapInArrow(whole, "key long, shingles array<long>"), "shingles")
+    # The filter and the sets share one worker: a filter of its own would take a second one for every task.
+    sets = staged(texts.select("t", _places(wanted, "own", "hash").alias("places")).mapInArrow(whole, "key long, shingles array<long>"), "shingles")
+    links = staged(_verified(pairs, sets, similarity), "print-links")
+    known = components(forests(links)).withColumnRenamed("node", "key")
+    named = met.join(known, "key", "left").select("key", "band", "low", F.coalesce("root", "key").alias("label"))
+    mixed = named.groupBy("band").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("band")
+    met = staged(named.join(mixed, "band").select("key", "band", "low"), "mixed-bands")
+    groups = components(forests(met.where("key <> low").select("key", "low").distinct())).withColumnRenamed("node", "key")
+    sized = staged(groups.join(asked.select("key", "size"), "key"), "band-groups")
     large = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where((F.col("n") > most) | (F.col("s") > most_shingles)).select("root")
     large = staged(large, "large-groups")
     small = sized.join(large, "root", "left_anti").select("key", "root", "size", F.lit(False).alias("settled"))
     small_links = _compared_in_slices(small, sets, similarity, most, most_shingles)
     if large.isEmpty():
-        return small_links
+        return small_links.unionByName(links.select(F.col("key").alias("key_a"), F.col("head").alias("key_b")))
     crowd = staged(sized.join(large, "root").select("key", "size"), "crowd")
     sets = staged(sets.where(maybe_in(bloom(crowd.select("key", F.col("key").alias("same"))), spark, "key", "key")), "crowd-shingles")
     met = staged(met.join(crowd.select("key"), "key").select("key", "band"), "crowded-bands")
-    labels = crowd.select("key", F.col("key").alias("label"))
-    links = None
     for turn in range(turns):
-        more = staged(_verified(_star_pairs(met, labels, turn), sets, similarity), "star-links")
-        links = more if links is None else links.unionByName(more)
         # Nodes linked to one head belong together; chains of heads are followed below.
         best = links.groupBy("key").agg(F.min("head").alias("head"))
         labels = crowd.join(best, "key", "left").select("key", F.coalesce("head", "key").alias("label"))
+        links = links.unionByName(staged(_verified(_star_pairs(met, labels, turn), sets, similarity), "star-links"))
     links = links.select(F.col("key").alias("key_a"), F.col("head").alias("key_b"))
     known = components(forests(links)).withColumnRenamed("node", "key")
     contracted = crowd.join(known, "key", "left").select("key", F.coalesce("root", "key").alias("label"))
@@ -449,7 +486,7 @@ def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: flo
     return small_links.unionByName(links).unionByName(rest_links)
 
 
-def _similar_rows(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, turns: int, most: int, most_shingles: int, id_column: str, text_column: str) -> DataFrame:
+def _similar_rows(docs: DataFrame, words: int, similarity: float, max_bits: int, bands: int, rows: int, turns: int, most: int, most_shingles: int, id_column: str, text_column: str) -> DataFrame:
     """own, hash and least of every row: its id and the hash of its text, and the same two of the first row of its
     component (in the order of ids, then hashes)."""
     slim = docs.select(F.col(id_column).cast("long").alias("own"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
@@ -457,17 +494,24 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, bands: int, ro
 
     def sketched(batches):
         for batch in batches:
-            found = [sketch(t, words, bands, rows) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch(
-                [*batch.columns[:2], pa.array([set_key(s) for s, _ in found], pa.int64()), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))],
-                names=["own", "hash", "key", "size", "bands"],
-            )
-
-    every = staged(slim.mapInArrow(sketched, "own long, hash long, key long, size long, bands array<long>"), "sketches")
+            texts = batch.column(2).to_pylist()
+            for begin, end in text_chunks(texts):
+                found = []
+                for text in texts[begin:end]:
+                    slices = list(shingle_hashes(text, words))
+                    own = distinct_hashes(slices)
+                    found.append((set_key(own), len(own), majority_bits(slices)[0], band_values(own, bands, rows)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
+                ids = batch.slice(begin, end - begin)
+                yield pa.record_batch([ids.column(0), ids.column(1), *columns], names=["own", "hash", "key", "size", "f0", "bands"])
+
+    every = staged(slim.mapInArrow(sketched, "own long, hash long, key long, size long, f0 long, bands array<long>"), "sketches")
     least = F.min(F.struct("own", "hash")).alias("least")
     # Equal sets are one node, so copies make no entries of their own.
-    nodes = staged(every.groupBy("key").agg(least, F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    links = _linked_sets(nodes, slim, words, similarity, turns, most, most_shingles)
+    merged = every.groupBy("key").agg(least, F.first("size").alias("size"), F.min("f0").alias("f0"), F.first("bands").alias("bands"))
+    nodes = staged(merged, "nodes")
+    links = _linked_sets(nodes, slim, words, similarity, max_bits, turns, most, most_shingles)
     found = components(forests(links)).withColumnRenamed("node", "key")
     named = nodes.select("key", "least").join(found, "key")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
@@ -483,19 +527,20 @@ def _own_ids(docs: DataFrame, id_column: str, text_column: str) -> Column:
 
 def similar_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5, turns: int = 2, most: int = 512, most_shingles: int = 2_000_000,
-    id_column: str = "doc_id", text_column: str = "text",
+    max_bits: int = 4, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """Columns id and component_id of every row: components of the links between texts whose sets of shingles have a
     Jaccard similarity of at least ``similarity``, each named by its smallest id.
 
-    Equal sets are one node. Candidates are nodes that share a band of smallest values; a pair at 0.8 shares none of the
-    40 bands of 5 with a probability of 1.3e-7. What is linked is decided on the whole sets, see ``_linked_sets``; the
+    Equal sets are one node. Candidates are nodes whose fingerprints differ in at most ``max_bits`` bits, all of them
+    found as in ``near_links``, and, as texts of a similarity of 0.8 differ in some ten bits, nodes that share a band of
+    smallest values; a pair at 0.8 shares none of the 40 bands of 5 with a probability of 1.3e-7. What is linked is decided on the whole sets, see ``_linked_sets``; the
     result is the same for any ``turns``, ``most`` and ``most_shingles``. Texts without words are one node, like no other.
     NULL ids take part; a component of rows without ids alone has none.
     """
     own = _own_ids(docs, id_column, text_column)
     named = docs.select(own.alias("own"), F.col(text_column).alias("text"))
-    found = _similar_rows(named, words, similarity, bands, rows, turns, most, most_shingles, "own", "text")
+    found = _similar_rows(named, words, similarity, max_bits, bands, rows, turns, most, most_shingles, "own", "text")
     known = lambda c: F.when(c < F.lit(1 << 62), c)
     return found.select(known(F.col("own")).alias("id"), known(F.col("least.own")).alias("component_id"))
 
@@ -508,7 +553,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     documents of their own, told apart by the hash of the text. Rows without an id rank behind all others of their group.
     """
     own, text = _own_ids(docs, id_column, text_column), F.coalesce(F.col(text_column), F.lit(""))
-    found = _similar_rows(docs.select(own.alias("own"), F.col(text_column).alias("text")), words, similarity, 40, 5, 2, 512, 2_000_000, "own", "text")
+    found = _similar_rows(docs.select(own.alias("own"), F.col(text_column).alias("text")), words, similarity, 4, 40, 5, 2, 512, 2_000_000, "own", "text")
     stays = F.col("own").eqNullSafe(F.col("least.own")) & F.col("hash").eqNullSafe(F.col("least.hash"))
     once = found.groupBy("own", "hash").agg(F.count("*").alias("n"), F.first(stays).alias("stays"))
     # Most rows are single and stay: only those that may go, or that stand more than once, are looked up.

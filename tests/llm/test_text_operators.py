@@ -399,6 +399,22 @@ def test_near_copies_are_decided_by_their_shingles(spark):
     assert {r.doc_id for r in simhash.one_of_each_group(df).collect()} == kept
 
 
+def test_near_copies_are_proposed_by_fingerprints(spark):
+    rng, rows = random.Random(11), []
+    for pair in range(40):
+        words = [f"w{rng.getrandbits(40):x}" for _ in range(400)]
+        rows.append((2 * pair, " ".join(words)))
+        words[rng.randrange(400)] = "changed"
+        rows.append((2 * pair + 1, " ".join(words)))
+    prints = brute_prints([t for _, t in rows], 5)
+    near = np.bitwise_count(prints[::2] ^ prints[1::2]) <= 4
+    assert near.sum() > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Equal in all of 2,000 smallest values is no pair, so the bands propose none.
+    found = {r.id: r.component_id for r in simhash.similar_groups(df, bands=1, rows=2_000).collect()}
+    assert [found[2 * k + 1] == 2 * k for k in range(40)] == near.tolist()
+
+
 def test_slices_of_a_large_group_lose_no_link(spark):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
