@@ -20,6 +20,7 @@ import sys
 import types
 import zlib
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,15 @@ def bits_needed(values: np.ndarray) -> np.ndarray:
 
 def choose_widths(bits: np.ndarray, percentile: float) -> np.ndarray:
     """The width of each row, from the bits its residuals need: from the percentile up, what makes the block shortest."""
-    need = np.sort(bits, axis=1)
-    length = bits.shape[1]
-    best = need[:, min(length - 1, max(0, int(np.ceil(percentile * length)) - 1))]
+    rows, length = bits.shape
+    kinds = int(bits.max(initial=0)) + 1
+    # How many values of each row need at most so many bits.
+    within = np.bincount((np.arange(rows)[:, None] * kinds + bits).ravel(), minlength=rows * kinds).reshape(rows, kinds).cumsum(axis=1)
+    best = (within <= min(length - 1, max(0, int(np.ceil(percentile * length)) - 1))).sum(axis=1).astype(np.uint8)
     least = best.copy()
     cost = np.full(len(best), np.iinfo(np.int64).max)
-    for width in range(int(need.max(initial=0)) + 1):
-        size = width * length + 48 * (need > width).sum(axis=1, dtype=np.int64)
+    for width in range(kinds):
+        size = width * length + 48 * (length - within[:, width])
         better = (width >= least) & (size < cost)
         best, cost = np.where(better, width, best).astype(np.uint8), np.where(better, size, cost)
     return best
@@ -106,11 +109,10 @@ def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block: int =
             low = rest[rows] & np.uint32((1 << int(width)) - 1)
             packed = _pack(low, int(width)).astype("<u8").view(np.uint8)
             payload[starts[rows].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
-    for row in np.flatnonzero(extra):
-        places = np.flatnonzero(over[row])
-        at = int(starts[row]) + int(widths[row]) * (block // 8)
-        tail = places.astype("<u2").tobytes() + rest[row, places].astype("<u4").tobytes()
-        payload[at : at + len(tail)] = np.frombuffer(tail, np.uint8)
+    rows, places = np.nonzero(over)
+    first, second = _exception_bytes(rows, starts, widths, extra, block)
+    payload[first] = places.astype("<u2").view(np.uint8).reshape(-1, 2)
+    payload[second] = rest[rows, places].astype("<u4").view(np.uint8).reshape(-1, 4)
     head = struct.pack(HEADER, MAGIC, block, round(percentile * 1000), len(doc_ids), len(ids), blocks, len(payload))
     parts = (
         np.array([0 if d is None else d for d in doc_ids], "<i8"),
@@ -125,6 +127,14 @@ def encode_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block: int =
     return head + b"".join(p.tobytes() for p in parts)
 
 
+def _exception_bytes(rows: np.ndarray, starts: np.ndarray, widths: np.ndarray, extra: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The payload bytes of each exception's place and of its value; ``rows`` names the blocks of the exceptions, in order."""
+    held = extra.astype(np.int64)
+    begin = starts[: len(widths)].astype(np.int64) + widths.astype(np.int64) * (block // 8)
+    nth = np.arange(len(rows)) - (np.cumsum(held) - held)[rows]
+    return (begin[rows] + 2 * nth)[:, None] + np.arange(2), (begin[rows] + 2 * held[rows] + 4 * nth)[:, None] + np.arange(4)
+
+
 def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, numbers of ids and all ids of a file."""
     magic, block, _, docs, total, blocks, size = struct.unpack_from(HEADER, content)
@@ -147,10 +157,9 @@ def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         if width:
             at_bytes = starts[rows][:, None] + np.arange(int(width) * (block // 8))
             out[rows] = _unpack(payload[at_bytes].view("<u8"), int(width), block)
-    for row in np.flatnonzero(extra):
-        count, begin = int(extra[row]), int(starts[row]) + int(widths[row]) * (block // 8)
-        places = payload[begin : begin + 2 * count].view("<u2")
-        out[row, places] = payload[begin + 2 * count : begin + 6 * count].view("<u4")
+    rows = np.repeat(np.arange(blocks), extra)
+    first, second = _exception_bytes(rows, starts, widths, extra, block)
+    out[rows, payload[first].view("<u2").reshape(-1)] = payload[second].view("<u4").reshape(-1)
     out += least[:, None]
     return [None if m else int(d) for d, m in zip(names, missing)], counts, out.reshape(-1)[:total]
 
@@ -185,6 +194,20 @@ class WordEncoder:
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drop the words that one slice only has asked for; drop all if that leaves more than half."""
+        stay = self.uses > 1
+        if 2 * int(stay.sum()) > self.keep:
+            self.clear()
+            return
+        words = [w for w, held in zip(self.codes, stay.tolist()) if held]  # codes are in the order of their numbers
+        sizes = self.sizes[stay]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        self.codes = dict(zip(words, range(len(words))))
+        self.pool, self.starts, self.sizes, self.uses = self.pool[at], ends - sizes, sizes, np.zeros(len(words), np.int64)
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
@@ -217,18 +240,21 @@ class WordEncoder:
         self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(found))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         if len(self.codes) > self.keep:
-            self.clear()
+            self._forget()
         # Words are told apart by Arrow: only distinct ones become objects and are looked up.
         split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn([w for w in words if w not in self.codes])
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        self._learn(list(filterfalse(self.codes.__contains__, words)))
+        kinds = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        self.uses[kinds] += 1
+        codes = kinds[coded.indices.to_numpy()]
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         at = np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -288,7 +314,7 @@ def write_token_files(
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in text_chunks(texts):
+            for begin, end in text_chunks(texts, 4_000_000):
                 got, per_text = encoder.encode(texts[begin:end])
                 bounds = np.cumsum(per_text)
                 with_end = np.insert(got, bounds, np.uint32(end_id))

@@ -675,3 +675,18 @@ def test_words_are_looked_up_once_a_slice():
     assert Counting.asked == len({w for t in texts for w in t.replace("\n", " ").split(" ")})
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_frequent_words_stay_known_when_rare_ones_are_dropped():
+    encoder = token_blocks.WordEncoder(tokenizer_path("word_bpe_49k.json"), keep=60)
+    texts = ["the mill turns " + " ".join(f"rare{k}{n}" for n in range(30)) for k in range(6)]
+    for text in texts:
+        ids, counts = encoder.encode([text])
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and counts.tolist() == [len(want)]
+    assert list(encoder.codes)[:3] == ["the", "mill", "turns"] and len(encoder.codes) < 100
+    known = []
+    encoder._ids = lambda word: known.append(word) or b""
+    encoder._forget()
+    encoder.encode(["the mill turns"])
+    assert not known
