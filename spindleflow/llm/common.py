@@ -41,6 +41,21 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def text_slices(texts, limit: int = 1_000_000):
+    """Cut an Arrow array of texts into lists of at most ``limit`` characters (one text at least): begin, end, texts.
+
+    Only one list at a time is made of Python objects; the array itself may hold many times as much."""
+    import pyarrow.compute as pc
+
+    begin, held = 0, 0
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).tolist()
+    for place, size in enumerate([*sizes, limit]):
+        if place > begin and (place == len(sizes) or held + size > limit):
+            yield begin, place, texts.slice(begin, place - begin).to_pylist()
+            begin, held = place, 0
+        held += size
+
+
 def text_chunks(values: list, limit: int = 2_000_000):
     """Split a list of texts into slices of at most ``limit`` characters (one text at least)."""
     begin, held = 0, 0

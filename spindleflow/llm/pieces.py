@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import text_chunks, tokenizer_path
+from spindleflow.llm.common import text_chunks, text_slices, tokenizer_path
 
 SPACE = "▁"
 BASE = 0x9E3779B97F4A7C15
@@ -264,6 +264,15 @@ def _hinted(run):
     return run
 
 
+def ids_of(walker: PieceModel, texts: pa.Array):
+    """The piece ids of an array of texts, one array for each slice of it: what a worker holds beside the texts does not
+    grow with them."""
+    for _, _, some in text_slices(texts):
+        ids, sizes = walker.encode(some)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
 def encoded(text: Column, model: str = "piece_bpe_32k.model") -> Column:
     """The piece ids of each whole text, as array<int>; NULL and empty texts give an empty array."""
     path = tokenizer_path(model)
@@ -271,14 +280,7 @@ def encoded(text: Column, model: str = "piece_bpe_32k.model") -> Column:
     def run(batches):
         walker = piece_model(path)
         for batch in batches:
-            texts = batch.to_pylist()
-            ids, sizes = [np.zeros(0, np.int32)], []
-            for begin, end in text_chunks(texts, 4_000_000):
-                got, per_text = walker.encode(texts[begin:end])
-                ids.append(got)
-                sizes += per_text.tolist()
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+            yield from ids_of(walker, batch)
 
     return F.arrow_udf(_hinted(run), "array<int>")(F.coalesce(text, F.lit("")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindleflow.llm.common import staged, text_chunks
+from spindleflow.llm.common import staged, text_slices
 from spindleflow.llm.graph import components
 
 # Seeds of the further fingerprints made from the same shingle hashes.
@@ -443,9 +443,9 @@ def _linked_sets(nodes: DataFrame, texts: DataFrame, words: int, similarity: flo
     def whole(batches):
         for batch in batches:
             places = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found = batch.column(0).filter(pa.array(_all_set(shared.value, places))).to_pylist() if batch.num_rows else []
-            for begin, end in text_chunks(found):
-                sets = [distinct_hashes(list(shingle_hashes(t, words))) for t in found[begin:end]]
+            found = batch.column(0).filter(pa.array(_all_set(shared.value, places), pa.bool_()))
+            for _, _, texts in text_slices(found):
+                sets = [distinct_hashes(list(shingle_hashes(t, words))) for t in texts]
                 yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
 
     # The filter and the sets share one worker: a filter of its own would take a second one for every task.
@@ -494,10 +494,9 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, max_bits: int,
 
     def sketched(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for begin, end in text_chunks(texts):
+            for begin, end, texts in text_slices(batch.column(2)):
                 found = []
-                for text in texts[begin:end]:
+                for text in texts:
                     slices = list(shingle_hashes(text, words))
                     own = distinct_hashes(slices)
                     found.append((set_key(own), len(own), majority_bits(slices)[0], band_values(own, bands, rows)))

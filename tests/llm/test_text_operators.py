@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -237,6 +238,21 @@ def test_pieces_on_awkward_rows(awkward, piece_file):
     assert pieces.encode_documents(awkward.limit(0)).count() == 0
 
 
+def test_a_batch_of_long_texts_is_encoded_slice_by_slice(piece_file):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3_000)]
+    texts = [None, "", *(" ".join(rng.choices(words, k=60_000)) for _ in range(30)), "été " * 300_000, "end"]
+    walker = pieces.PieceModel(piece_file)
+    asked, encode = [], walker.encode
+    walker.encode = lambda some: asked.append(some) or encode(some)
+    batch = pa.array([t or "" for t in texts])
+    found = [ids for part in pieces.ids_of(walker, batch) for ids in part.to_numpy(zero_copy_only=False)]
+    assert [t for some in asked for t in some] == [t or "" for t in texts]
+    assert all(len(some) == 1 or sum(map(len, some)) <= 1_000_000 for some in asked)
+    for text, ids in zip(texts[:6], found):
+        assert ids.tolist() == encode([text or ""])[0].tolist()
+
+
 # Pages
 
 
