@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +19,7 @@ from spindleflow.functions.labels import label_of_id
 from spindleflow.functions.physics import CONTEXT_FEATURES, MarginCalibration, context_features
 from spindleflow.operators.metrics import chatter_score, class_weights, standard_scaler
 from spindleflow.operators.scan import seeded, unit_interval
+from spindleflow.operators.staging import staged
 from spindleflow.schema import LABELS
 
 
@@ -211,28 +214,100 @@ def calibrate_scores(
     """Fit on all folds but one, calibrate each label's score on the fold left out, average the calibrated models."""
     fold = F.floor(unit_interval(seeded(seed, F.col(key))) * folds).cast("int")
     tagged = df.withColumn("_fold", fold).persist()
-    pairs = []
+    pairs, scores = [], []
     for k in range(folds):
         model = fit(tagged.where(F.col("_fold") != k).drop("_fold"))
         held = model.scorer(tagged.where(F.col("_fold") == k).drop("_fold"))
-        maps = {}
-        for c in model.classes:
-            rows = held.select(
-                F.col("probability")[c].alias("s"), (F.col(label) == c).cast("double").alias("y")
-            )
-            if method == "isotonic":
-                maps[c] = IsotonicRegression(featuresCol="s", labelCol="y", predictionCol=f"_q{c}").fit(rows)
-            else:
-                vector = rows.withColumn("_v", array_to_vector(F.array("s")))
-                fitted = LogisticRegression(featuresCol="_v", labelCol="y", regParam=0.0).fit(vector)
-                maps[c] = (float(fitted.coefficients[0]), float(fitted.intercept))
-        pairs.append((model, maps))
+        scores.append(held.select(F.lit(k).alias("fold"), F.col("probability").alias("p"), F.col(label).alias("label")))
+        pairs.append((model, {}))
+    # Each row is scored once, for the maps of all its labels.
+    held = staged(reduce(DataFrame.unionByName, scores), "calibration-scores")
     tagged.unpersist()
+    if method == "isotonic":
+        for k, (model, maps) in enumerate(pairs):
+            for c in model.classes:
+                rows = held.where(F.col("fold") == k).select(F.col("p")[c].alias("s"), (F.col("label") == c).cast("double").alias("y"))
+                maps[c] = IsotonicRegression(featuresCol="s", labelCol="y", predictionCol=f"_q{c}").fit(rows)
+    else:
+        fitted = sigmoid_maps(held, sorted((k, c) for k, (model, _) in enumerate(pairs) for c in model.classes))
+        for (k, c), line in fitted.items():
+            pairs[k][1][c] = line
     classes = sorted({c for model, _ in pairs for c in model.classes})
 
     return RiskModel("calibrated", pairs[0][0].features, classes, parts=pairs)
 
 
+def sigmoid_maps(rows: DataFrame, wanted: list[tuple[int, int]], most: int = 100) -> dict[tuple[int, int], tuple[float, float]]:
+    """Slope and intercept of a logistic map of one score for each (fold, class), at the optimum without a penalty.
+
+    ``rows`` have fold, p (scores of all classes) and label. Newton steps of all maps go together: one aggregate of five
+    sums a map each step. A step that makes a map worse is halved; a score that never varies has slope 0, and a class
+    without or with nothing but rows of its own an infinite intercept.
+    """
+    y = {c: (F.col("label") == c).cast("double") for _, c in wanted}
+    counts = {
+        r["fold"]: r
+        for r in rows.groupBy("fold").agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            *[f(e).alias(f"{name}{c}") for c in y for name, f, e in (("y", F.sum, y[c]), ("low", F.min, F.col("p")[c]), ("high", F.max, F.col("p")[c]))],
+        ).collect()
+    }
+    done, now, steps, loss = {}, {}, {}, {}
+    for k, c in wanted:
+        n, positive = (counts[k]["n"], counts[k][f"y{c}"]) if k in counts else (0.0, 0.0)
+        if positive in (0.0, n):
+            done[k, c] = (0.0, math.inf if positive else -math.inf)
+            continue
+        now[k, c] = (0.0, math.log(positive / (n - positive)))
+        if counts[k][f"low{c}"] == counts[k][f"high{c}"]:
+            done[k, c] = now.pop((k, c))
+    for _ in range(most):
+        if not now:
+            break
+        # The maps of one step are a literal of a few numbers, looked up by fold.
+        classes = sorted({c for _, c in now})
+        sums = []
+        for c in classes:
+            line = [_by_fold({k: value[j] for (k, d), value in now.items() if d == c}) for j in (0, 1)]
+            s = F.col("p")[c]
+            z = line[0] * s + line[1]
+            p = 1.0 / (1.0 + F.exp(-z))
+            away, weight = y[c] - p, p * (1.0 - p)
+            # log(1 + exp(z)) - y z, without overflow
+            cost = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y[c] * z
+            parts = (cost, away, away * s, weight, weight * s, weight * s * s)
+            sums += [F.sum(e).alias(f"_{j}_{c}") for j, e in enumerate(parts)]
+        found = {r["fold"]: r for r in rows.where(F.col("fold").isin(sorted({k for k, _ in now}))).groupBy("fold").agg(*sums).collect()}
+        for k, c in list(now):
+            cost, g0, g1, h00, h01, h11 = (found[k][f"_{j}_{c}"] for j in range(6))
+            if (k, c) in loss and cost > loss[k, c] + 1e-12 * abs(cost):
+                a, b = steps[k, c]
+                now[k, c] = (now[k, c][0] - a / 2, now[k, c][1] - b / 2)
+                steps[k, c] = (a / 2, b / 2)
+                if max(abs(a), abs(b)) < 1e-9:
+                    done[k, c] = now.pop((k, c))
+                continue
+            det = h00 * h11 - h01 * h01
+            if not det > 1e-14 * h00 * h11:
+                done[k, c] = now.pop((k, c))
+                continue
+            a, b = (h00 * g1 - h01 * g0) / det, (h11 * g0 - h01 * g1) / det
+            # Half of the gain that the step promises; what it is worth beside the loss decides the end.
+            gain = 0.5 * (a * g1 + b * g0)
+            loss[k, c], steps[k, c] = cost, (a, b)
+            now[k, c] = (now[k, c][0] + a, now[k, c][1] + b)
+            if gain <= max(1e-10 * cost, 1e-12 * counts[k]["n"]):
+                done[k, c] = now.pop((k, c))
+    return done | now
+
+
+def _by_fold(values: dict[int, float]) -> Column:
+    found = F.lit(0.0)
+    for k, value in values.items():
+        found = F.when(F.col("fold") == k, F.lit(value)).otherwise(found)
+    return found
+
+
 def fit_margin_calibration(df: DataFrame, margin: str, positive: str, context: bool = False) -> MarginCalibration:
     """Balanced logistic of the positive flag on the raw margin or the 13 context features."""
     counts = df.agg(F.sum(F.col(positive).cast("long")), F.count(F.lit(1))).collect()[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -69,10 +70,23 @@ def split_windows(df: DataFrame, config: Training, layout: Layout) -> DataFrame:
     )
 
 
-def train_risk(windows: DataFrame, config: Training, layout: Layout) -> dict[str, object]:
+class Results(dict):
+    """Results by name; what ``later`` names is computed when it is first asked for, and kept."""
+
+    def __init__(self, found: dict[str, object], later: dict[str, Callable[[], object]]):
+        super().__init__(found)
+        self.later = later
+
+    def __missing__(self, name: str) -> object:
+        self[name] = self.later[name]()
+        return self[name]
+
+
+def train_risk(windows: DataFrame, config: Training, layout: Layout) -> Results:
     """Model, predictions and metric tables.
 
     Windows are split and projected once and staged; predictions are staged once; all metrics read the predictions.
+    Threshold sweeps are computed when they are read.
     """
     target = "label_id" if config.target == "current" else "horizon_label_id"
     keep = tuple(
@@ -113,19 +127,20 @@ def train_risk(windows: DataFrame, config: Training, layout: Layout) -> dict[str
             predictions.withColumn("split", F.when(F.col("split") == "fit", "train").otherwise(F.col("split")))
         )
     score = F.col("predicted_chatter_score")
-    result: dict[str, object] = {
+    found = {
         "model": model,
         "calibration": plan,
         "predictions": predictions,
         "classification": metrics.classification_metrics(predictions, target, "predicted_id", ("split",)),
     }
+    later: dict[str, Callable[[], object]] = {
+        "event_sweep": lambda: staged(metrics.event_sweep(predictions, score, EPISODE, ("split",)), "event-sweep"),
+        "event_best": lambda: metrics.best_threshold(result["event_sweep"], ("split",)),
+    }
     if "future_chatter_within_horizon" in keep:
-        lead = staged(metrics.lead_time_sweep(predictions, score, ("split",)), "lead-sweep")
-        result["lead_sweep"] = lead
-        result["lead_best"] = metrics.best_threshold(lead, ("split",))
-    event = staged(metrics.event_sweep(predictions, score, EPISODE, ("split",)), "event-sweep")
-    result["event_sweep"] = event
-    result["event_best"] = metrics.best_threshold(event, ("split",))
+        later["lead_sweep"] = lambda: staged(metrics.lead_time_sweep(predictions, score, ("split",)), "lead-sweep")
+        later["lead_best"] = lambda: metrics.best_threshold(result["lead_sweep"], ("split",))
+    result = Results(found, later)
     return result
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spindleflow.functions import control, labels, physics, signal
 from spindleflow.functions.features import project_features
 from spindleflow.functions.risk import RiskInputs, risk_struct
-from spindleflow.operators import align, gates, metrics, pseudo, runs, shadow, splits
+from spindleflow.operators import align, gates, learning, metrics, pseudo, runs, shadow, splits
 from spindleflow.operators.scan import Layout
 from spindleflow.plans import ingest, training
 from spindleflow.schema import WINDOW_SCHEMA
@@ -445,6 +445,42 @@ def test_sql_names(spark):
     assert wave_row["p"]["tooth_frequency_hz"] == 20.0
 
 
+def test_sigmoid_maps_reach_the_optimum_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for fold in range(2):
+        for _ in range(600):
+            a, b = rng.random(), rng.random()
+            label = 0 if rng.random() < 1 / (1 + np.exp(3 - (4 + fold) * a)) else 1
+            rows.append((fold, [a, b, 0.25, float(label == 1)], label))
+    table = spark.createDataFrame(rows, "fold int, p array<double>, label int").persist()
+    passes, collect = [], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda self: passes.append(1) or collect(self))
+    found = learning.sigmoid_maps(table, [(k, c) for k in range(2) for c in range(4)])
+    assert len(passes) < 70
+    for (k, c), (slope, intercept) in found.items():
+        s = np.array([p[c] for f, p, _ in rows if f == k])
+        y = np.array([float(label == c) for f, _, label in rows if f == k])
+        if c > 1:  # no row of the class
+            assert (slope, intercept) == (0.0, -math.inf)
+            continue
+        away = y - 1 / (1 + np.exp(-(slope * s + intercept)))
+        assert abs(away.sum()) < 1e-4 and abs((away * s).sum()) < 1e-4
+    apart = table.select("fold", F.array(F.col("p")[2], F.col("p")[3]).alias("p"), "label")
+    found = learning.sigmoid_maps(apart, [(0, 0), (0, 1)])
+    share = np.mean([label == 0 for f, _, label in rows if f == 0])
+    assert found[0, 0] == (0.0, pytest.approx(math.log(share / (1 - share))))  # a score that never varies
+    slope, intercept = found[0, 1]  # a score that tells the class without fail
+    assert 1 / (1 + math.exp(-slope - intercept)) > 0.999 and 1 / (1 + math.exp(-intercept)) < 0.001
+
+
+def test_sweeps_are_computed_when_they_are_read():
+    asked = []
+    run = training.Results({"model": 1}, {"lead": lambda: asked.append("lead") or 2})
+    assert run["model"] == 1 and not asked
+    assert run["lead"] == run["lead"] == 2 and asked == ["lead"]
+
+
 @pytest.mark.parametrize("kind", ["softmax", "trees", "sigmoid", "isotonic"])
 def test_saved_models_score_alike(spark, tmp_path, kind):
     from spindleflow.operators import learning
