@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
@@ -17,18 +17,22 @@ from pyspark.sql import functions as F
 
 from spindleflow.functions.labels import label_of_id
 from spindleflow.functions.physics import CONTEXT_FEATURES, MarginCalibration, context_features
+from spindleflow.operators import forest
+from spindleflow.operators.forest import Forest
 from spindleflow.operators.metrics import chatter_score, class_weights, standard_scaler
 from spindleflow.operators.scan import seeded, unit_interval
 from spindleflow.operators.staging import staged
 from spindleflow.schema import LABELS
+from spindleflow.session import shared_folder
 
 
 @dataclass
 class RiskModel:
     """A fitted scorer: adds ``probability`` (five labels), ``predicted_id``, ``predicted_label`` and the chatter score.
 
-    ``kind`` is softmax, trees or calibrated. ``stages`` are fitted Spark ML models; a calibrated model has ``parts``
-    instead: models with one map for each of their labels, a fitted isotonic model or the two numbers of a sigmoid.
+    ``kind`` is softmax, trees or calibrated. ``stages`` are fitted Spark ML models; trees grown from cells are a
+    ``forest`` instead; a calibrated model has ``parts``: models with one map for each of their labels, a fitted isotonic
+    model or the two numbers of a sigmoid.
     """
 
     kind: str
@@ -37,6 +41,7 @@ class RiskModel:
     stages: list = field(default_factory=list)
     stats: dict[str, tuple[float, float]] = field(default_factory=dict)
     parts: list[tuple[RiskModel, dict]] = field(default_factory=list)
+    forest: Forest | None = None
 
     def scorer(self, rows: DataFrame) -> DataFrame:
         return {"softmax": _score_softmax, "trees": _score_trees, "calibrated": _score_calibrated}[self.kind](self, rows)
@@ -49,7 +54,7 @@ class RiskModel:
         base = path.rstrip("/")
         facts = {
             "kind": self.kind, "features": list(self.features), "classes": self.classes, "stats": self.stats,
-            "stages": [type(s).__name__ for s in self.stages], "parts": [],
+            "stages": [type(s).__name__ for s in self.stages], "parts": [], "forest": self.forest and asdict(self.forest),
         }
         for i, stage in enumerate(self.stages):
             stage.write().overwrite().save(f"{base}/stage-{i}")
@@ -73,7 +78,8 @@ class RiskModel:
             parts.append((cls.load(spark, f"{base}/part-{k}"), held))
         stages = [readers[name].load(f"{base}/stage-{i}") for i, name in enumerate(facts["stages"])]
         stats = {name: tuple(pair) for name, pair in facts["stats"].items()}
-        return cls(facts["kind"], tuple(facts["features"]), facts["classes"], stages, stats, parts)
+        grown = Forest(**facts["forest"]) if facts.get("forest") else None
+        return cls(facts["kind"], tuple(facts["features"]), facts["classes"], stages, stats, parts, grown)
 
 
 def _score_softmax(model: RiskModel, rows: DataFrame) -> DataFrame:
@@ -83,6 +89,10 @@ def _score_softmax(model: RiskModel, rows: DataFrame) -> DataFrame:
 
 
 def _score_trees(model: RiskModel, rows: DataFrame) -> DataFrame:
+    if model.forest:
+        out = rows.withColumn("_s", model.forest.scores([F.col(f) for f in model.features]))
+        out = out.withColumns({f"_s{c}": F.col("_s")[i] for i, c in enumerate(model.classes)})
+        return normalised(out, model.classes).drop("_s", *[f"_s{c}" for c in model.classes])
     out = VectorAssembler(inputCols=list(model.features), outputCol="_x").transform(rows)
     for c, stage in zip(model.classes, model.stages):
         out = stage.transform(out).withColumn(f"_s{c}", vector_to_array("probability")[1])
@@ -169,8 +179,24 @@ def train_trees(
     df: DataFrame, features: tuple[str, ...], label: str, max_iter: int = 250, step: float = 0.05, depth: int = 4,
     min_rows: int = 5, seed: int = 303,
 ) -> RiskModel:
-    """Boosted trees, one per seen label against the rest, balanced weights, normalised probabilities."""
-    classes = seen_classes(df, label)
+    """Boosted trees, one forest per seen label against the rest, balanced weights, normalised probabilities.
+
+    Trees are grown from cells (rows counted by their bins), whatever the number of rows. Where rows are alike so seldom
+    that the cells exceed a task, Spark's own trees are grown over the rows.
+    """
+    weights = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
+    classes = sorted(weights)
+    if not classes:
+        return RiskModel("trees", tuple(features), classes)
+    edges = forest.bin_edges(df, features, label)
+    cells = forest.count_cells(df, features, label, classes, edges)
+    if cells.count() <= forest.CELLS:
+        grown = forest.grow(cells, [weights[c] for c in classes], edges, max_iter, step, depth, min_rows)
+        return RiskModel("trees", tuple(features), classes, forest=grown)
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else each tree would carry all before it in its lineage
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     train = assembler.transform(balanced(df, label)).select("_x", label, "weight").persist()
     models = []

@@ -36,7 +36,7 @@ def m1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m2_trees")
 def m2(spark: SparkSession, folder: str) -> DataFrame:
-    return _run(spark, folder, model="trees", split="time_block", iterations=5)["classification"]
+    return _run(spark, folder, model="trees", split="time_block")["classification"]
 
 
 @query("m3_calibrated_scores")

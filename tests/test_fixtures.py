@@ -500,6 +500,69 @@ def test_saved_models_score_alike(spark, tmp_path, kind):
     assert mine == theirs
 
 
+def test_m2_grows_all_rounds_of_its_trees(spark, sf, monkeypatch):
+    from spindleflow.plans import model_queries
+
+    runs, train = [], model_queries.train_risk
+    monkeypatch.setattr(model_queries, "train_risk", lambda *a: runs.append(train(*a)) or runs[-1])
+    scores = {r["split"]: r for r in model_queries.m2(spark, sf).collect()}
+    model = runs[0]["model"]
+    rounds = [len(trees) for trees in model.forest.values] if model.forest else [s.getNumTrees for s in model.stages]
+    assert rounds == [250] * 4 and scores["test"]["accuracy"] > 0.9
+
+
+def test_trees_of_cells_are_those_of_rows(spark, monkeypatch):
+    from spindleflow.operators import forest
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        a, b, c = int(rng.integers(0, 12)), int(rng.integers(0, 9)), int(rng.integers(0, 30))
+        label = 0 if a + b < 7 + rng.normal() else 3 if c > 24 else 1
+        rows.append((i, label, a / 7.0, float(b), c / 3.0))
+    df = spark.createDataFrame(rows, "window_id long, label_id int, a double, b double, c double")
+    fit = lambda: learning.train_trees(df, ("a", "b", "c"), "label_id", max_iter=12, min_rows=7)
+    counted = fit()
+    assert counted.forest and [len(e) for e in counted.forest.edges] == [11, 8, 29]
+    monkeypatch.setattr(forest, "CELLS", 0)
+    whole = fit()
+    assert len(whole.stages) == 3 and whole.forest is None
+    # New rows too, in cells that had none and beyond all values.
+    new = [(1000 + i, 0, float(rng.uniform(-1, 3)), float(rng.uniform(-2, 11)), float(rng.uniform(-1, 12))) for i in range(300)]
+    both = df.union(spark.createDataFrame(new, df.schema))
+    mine, theirs = ({r["window_id"]: r["probability"] for r in m.transform(both).collect()} for m in (counted, whole))
+    assert len(mine) == 1200
+    for key, p in mine.items():
+        assert p == pytest.approx(theirs[key], abs=1e-9)
+
+
+def test_scores_of_cells_outlive_what_is_kept(spark, monkeypatch):
+    from spindleflow.operators import forest
+
+    rows = [(i, i % 2, float(i % 17), float((i * 7) % 13)) for i in range(900)]
+    df = spark.createDataFrame(rows, "window_id long, label_id int, a double, b double").coalesce(1)
+    model = learning.train_trees(df, ("a", "b"), "label_id", max_iter=4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        kept = {r["window_id"]: r["probability"] for r in model.transform(df).collect()}
+        monkeypatch.setattr(forest, "KNOWN", 60)
+        assert kept == {r["window_id"]: r["probability"] for r in model.transform(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    with pytest.raises(Exception, match="a feature is NULL or NaN"):
+        model.transform(df.withColumn("a", F.when(F.col("a") > 1, F.col("a")))).collect()
+
+
+def test_edges_count_each_label_alike(spark):
+    from spindleflow.operators import forest
+
+    rows = [(0, i / 5000.0) for i in range(5000)] + [(1, 1.0 + i / 100.0) for i in range(100)]
+    (edges,) = forest.bin_edges(spark.createDataFrame(rows, "y int, x double"), ("x",), "y")
+    assert len(edges) == 31 and sum(e < 1.0 for e in edges) in (15, 16)
+    assert np.allclose(np.diff(edges[:15]), 1 / 16, atol=0.005)
+
+
 def test_sound_is_read_by_ranges(spark, tmp_path):
     rng = np.random.default_rng(5)
     written = {}
