@@ -105,7 +105,9 @@ def _edges(points: np.ndarray) -> list[float]:
     if len(cuts) >= BINS:
         shares = np.arange(1, BINS) * (upto[-1] / BINS)
         cuts = np.unique(np.abs(upto[:-1, None] - shares).argmin(0))
-    return ((values[cuts] + values[cuts + 1]) / 2.0).tolist()
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = (values[cuts] + values[cuts + 1]) / 2.0
+    return np.where(np.isfinite(middle), middle, values[cuts]).tolist()
 
 
 def count_cells(
